@@ -32,3 +32,52 @@ METERED = """metered as (
 
 def with_views(body: str, *views: str) -> str:
     return "with " + ",\n".join(views) + "\n" + body
+
+# Expected validation outcome per event_id % 50 (FIXTURES B7), as SQL.
+DIRTY_REASON = """case event_id % 50
+    when 7 then 'missing_event_type'
+    when 11 then 'missing_meter'
+    when 13 then 'invalid_properties'
+    when 15 then 'invalid_properties'
+    when 17 then 'missing_properties'
+    when 19 then 'missing_properties'
+    when 23 then 'missing_properties'
+    when 29 then 'missing_properties'
+    when 31 then 'missing_properties'
+    when 33 then 'missing_properties'
+    when 37 then 'missing_properties'
+    when 39 then 'missing_properties'
+    when 43 then 'invalid_timestamp'
+    when 47 then 'invalid_field'
+  end"""
+
+DIRTY_MISSING = """case event_id % 50
+    when 17 then 'amount'
+    when 19 then 'amount'
+    when 23 then 'k'
+    when 29 then 'page'
+    when 31 then 'amount,k,page'
+    when 33 then 'amount,k,page'
+    when 37 then 'amount,k,page'
+    when 39 then 'page'
+  end"""
+
+# Accepted events of the dirty fixture in stored form.
+DIRTY_ACCEPTED = f"""accepted as (
+  select concat('evt_', cast(event_id as varchar)) as id,
+         concat('app.', event_type) as type,
+         case when event_id % 2 = 0 then 'web_api' else 'mobile_api' end as source,
+         concat('org_', cast(user_id % 10 as varchar)) as organization,
+         concat('usr_', cast(user_id as varchar)) as "user",
+         date_trunc('second', ts) as "timestamp",
+         concat('{{"k":"k', {K}, '","page":',
+                case when event_id % 100 = 95 then '"[]"'
+                     else concat('"p', cast(cast({K} as integer) % 10 as varchar), '"') end,
+                ',"amount":',
+                case when event_id % 50 = 41 then '"abc"'
+                     when event_id % 100 = 45 then '0'
+                     else cast(value as varchar) end,
+                '}}') as properties,
+         event_id, value
+  from events
+  where ({DIRTY_REASON}) is null)"""

@@ -265,3 +265,79 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in REGISTRY.items() if sql is not None}
+
+
+# ---------------------------------------------------------------- ingest ---
+from meterkit.checks.oracle import DIRTY_ACCEPTED, DIRTY_MISSING, DIRTY_REASON  # noqa: E402
+from meterkit.operators import ingest  # noqa: E402
+from meterkit.operators.rollup import rollup_rejects  # noqa: E402
+from meterkit.sources.fixtures import dirty_meters, dirty_raw_events  # noqa: E402
+
+DIRTY_TENANT = "acme"
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.validate(dirty_raw_events(spark, sf_dir), dirty_meters(spark, sf_dir), tenant=DIRTY_TENANT)
+
+
+@register("l03_required_properties", """
+select distinct concat('app.', event_type) as event_type, 'amount,k,page' as required from events""")
+def l03_required_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2-L3: required properties per event type of the tenant's meters."""
+    req = ingest.required_properties(ingest.meters_for_types(dirty_meters(spark, sf_dir), tenant=DIRTY_TENANT))
+    return req.select("event_type", F.array_join("required", ",").alias("required"))
+
+
+@register("v01_validation_reasons", f"""
+select concat('evt_', cast(event_id as varchar)) as id, {DIRTY_REASON} as reason from events""")
+def v01_validation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First failing rule per event (null = accepted)."""
+    return _validated(spark, sf_dir).select("id", "reason")
+
+
+@register("v02_reason_counts", f"""
+select {DIRTY_REASON} as reason, count(*) as events from events group by 1""")
+def v02_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V9: accepted (null) and rejected events per reason."""
+    return ingest.reason_counts(_validated(spark, sf_dir))
+
+
+@register("v03_accepted_events", with_views("""
+select id, type, source, organization, "user", "timestamp", properties from accepted""", DIRTY_ACCEPTED))
+def v03_accepted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted events in stored form."""
+    valid, _ = ingest.split(_validated(spark, sf_dir))
+    return valid
+
+
+@register("v04_missing_properties", f"""
+select concat('evt_', cast(event_id as varchar)) as id, {DIRTY_MISSING} as missing
+from events where ({DIRTY_REASON}) = 'missing_properties'""")
+def v04_missing_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The missing or empty required names of each reject."""
+    _, rejected = ingest.split(_validated(spark, sf_dir))
+    return (rejected.where(F.col("reason") == "missing_properties")
+            .select("id", F.array_join("missing", ",").alias("missing")))
+
+
+@register("v05_ingested_sum_day_by_org", with_views("""
+select date_trunc('day', "timestamp") as windowstart,
+       date_trunc('day', "timestamp") + interval 1 day as windowend,
+       round(sum(case when event_id % 100 = 45 then 0 else value end), 6) as value, organization
+from accepted
+where type = 'app.purchase' and event_id % 50 <> 41
+group by 1, 2, organization""", DIRTY_ACCEPTED))
+def v05_ingested_sum_day_by_org(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest -> rollup -> query: only accepted, numeric events are metered."""
+    valid, _ = ingest.split(_validated(spark, sf_dir))
+    partials = minute_partials(valid, SUM_PURCHASE)
+    return rounded(query_rollup(partials, SUM_PURCHASE, Q_DAY_ORG), "value")
+
+
+@register("v06_non_numeric_rejects", """
+select concat('evt_', cast(event_id as varchar)) as id, 'non_numeric_value' as reason
+from events where event_type = 'purchase' and event_id % 50 = 41""")
+def v06_non_numeric_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """accepted events a numeric meter cannot measure."""
+    valid, _ = ingest.split(_validated(spark, sf_dir))
+    return rollup_rejects(valid, SUM_PURCHASE).select("id", "reason")
