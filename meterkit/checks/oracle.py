@@ -81,3 +81,102 @@ DIRTY_ACCEPTED = f"""accepted as (
          event_id, value
   from events
   where ({DIRTY_REASON}) is null)"""
+
+
+def case_of(index_sql: str, values: tuple[str, ...]) -> str:
+    whens = " ".join(f"when {i} then '{v}'" for i, v in enumerate(values))
+    return f"case {index_sql} {whens} end"
+
+
+# Reset periods, actions and aggregations in fixture order.
+_PERIODS = ("day", "week", "month", "year", "custom", "rolling", "never")
+_ACTIONS = ("none", "block", "throttle")
+_AGGS = ("count", "sum", "avg", "min", "max", "unique_count")
+
+TENANTS = """tenants as (select r_regionkey, lower(replace(r_name, ' ', '_')) as tenant_slug from region)"""
+
+METERS = f"""meters_t as (
+  select concat('mtr_', cast(p_partkey as varchar)) as id, concat('m', cast(p_partkey as varchar)) as slug,
+         p_name as name, concat(split_part(p_name, ' ', 2), '.', lower(p_type)) as event_type,
+         case when p_size % 6 = 0 then null when p_partkey % 3 = 0 then 'amount'
+              when p_partkey % 3 = 1 then 'tokens' else 'latency_ms' end as value_property,
+         case when p_size > 25 then [split_part(p_name, ' ', 1), 'region'] else [split_part(p_name, ' ', 1)] end
+           as properties,
+         {case_of('p_size % 6', _AGGS)} as aggregation,
+         tenant_slug, timestamp '2024-01-01' + to_seconds(p_partkey) as created_at
+  from part join tenants on p_partkey % 5 = r_regionkey)"""
+
+PLANS = """plans_t as (
+  select concat('plan_', cast(n_nationkey as varchar)) as id, lower(replace(n_name, ' ', '_')) as slug,
+         n_name as name, case when n_nationkey % 3 = 0 then 'custom' else 'standard' end as type, tenant_slug,
+         timestamp '2024-01-01' + to_days(n_nationkey) as created_at,
+         case when n_nationkey % 5 = 0 then timestamp '2024-01-01' + to_days(n_nationkey + 100) end as archived_at
+  from nation join tenants on n_regionkey = r_regionkey)"""
+
+FEATURES = """features_t as (
+  select concat(p_brand, '@', tenant_slug) as id,
+         concat('f', cast(b as varchar), '_', cast(r_regionkey as varchar)) as slug, p_brand as name,
+         case when b % 2 = 1 then 'metered' else 'static' end as type,
+         case when b % 2 = 1 then '{"unit":"call"}' else '{}' end as config, tenant_slug,
+         timestamp '2024-01-01' + to_seconds((b * 5 + r_regionkey) * 60) as created_at
+  from (select distinct p_brand, cast(substr(p_brand, 7) as integer) as b, r_regionkey, tenant_slug
+        from part join tenants on p_partkey % 5 = r_regionkey))"""
+
+LINKS = """links_t as (
+  select concat('plan_', cast(l.n as varchar)) as plan_id, concat(l.p_brand, '@', ft.tenant_slug) as feature_id,
+         pt.tenant_slug as tenant_slug, l.n, l.b, l.fr, pt.tenant_slug = ft.tenant_slug as same_tenant
+  from (select distinct s_nationkey as n, p_brand, cast(substr(p_brand, 7) as integer) as b, p_partkey % 5 as fr
+        from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey) l
+  join (select n_nationkey, tenant_slug from nation join tenants on n_regionkey = r_regionkey) pt
+    on pt.n_nationkey = l.n
+  join tenants ft on ft.r_regionkey = l.fr)"""
+
+PLAN_FEATURES = """plan_features_t as (
+  select concat(plan_id, ':', feature_id) as id, plan_id, feature_id,
+         case when b % 4 = 0 then '{"visible":true}' end as config,
+         timestamp '2024-01-01' + to_seconds((n * 1000 + b * 5 + fr) * 60) as created_at
+  from links_t where same_tenant)"""
+
+QUOTAS = f"""quota_base as (
+  select concat('q_', plan_id, ':', feature_id) as id, concat(plan_id, ':', feature_id) as plan_feature_id,
+         cast(case when (n + b) % 17 = 0 then 0 else b * 1000 end as bigint) as limit_value,
+         {case_of('(n + b) % 7', _PERIODS)} as reset_period,
+         n, b, {case_of('b % 3', _ACTIONS)} as action_at_limit,
+         timestamp '2024-01-01' + to_seconds((n * 1000 + b * 5 + fr) * 60 + 1) as created_at
+  from links_t where same_tenant and (b % 2 = 1 or (n + b) % 7 = 0)),
+quota_one as (
+  select id, plan_feature_id, limit_value, reset_period,
+         case when reset_period = 'custom' and (n * b) % 11 <> 0 then cast(b * 60 as bigint)
+              when reset_period <> 'custom' and (n * b) % 13 = 0 then cast(30 as bigint) end
+           as custom_period_minutes,
+         action_at_limit, created_at, (n * b) % 19 = 0 as dup
+  from quota_base),
+quotas_t as (
+  select id, plan_feature_id, limit_value, reset_period, custom_period_minutes, action_at_limit, created_at
+  from quota_one
+  union all
+  select concat('q2_', plan_feature_id), plan_feature_id, limit_value, reset_period, custom_period_minutes,
+         action_at_limit, created_at + interval 1 second
+  from quota_one where dup)"""
+
+ASSIGNMENTS = """assignments_t as (
+  select concat('asg_', cast(c_custkey as varchar)) as id, concat('plan_', cast(c_nationkey as varchar)) as plan_id,
+         case when c_custkey % 2 = 0 then concat('org_', cast(c_custkey as varchar)) end as organization_id,
+         case when c_custkey % 2 = 1 then concat('usr_', cast(c_custkey as varchar)) end as user_id,
+         timestamp '2024-01-01' + to_days(cast(c_custkey % 365 as integer)) as valid_from,
+         case when c_custkey % 7 <> 0
+              then timestamp '2024-01-01' + to_days(cast(c_custkey % 365 + 90 as integer)) end as valid_until,
+         timestamp '2024-01-01' + to_seconds(c_custkey) as created_at
+  from customer)"""
+
+HISTORY = """history_t as (
+  select concat('h_', cast(o_orderkey as varchar)) as id,
+         case o_orderstatus when 'O' then 'CREATE' when 'P' then 'UPDATE' else 'DELETE' end as action,
+         concat('asg_', cast(c_custkey as varchar)) as assignment_id,
+         concat('plan_', cast(c_nationkey as varchar)) as plan_id,
+         case when c_custkey % 2 = 0 then concat('org_', cast(c_custkey as varchar)) end as organization_id,
+         case when c_custkey % 2 = 1 then concat('usr_', cast(c_custkey as varchar)) end as user_id,
+         o_orderdate as valid_from,
+         case when o_orderkey % 7 <> 0 then o_orderdate + interval 90 day end as valid_until,
+         o_orderdate + to_seconds(o_orderkey % 86400) as created_at
+  from orders join customer on o_custkey = c_custkey)"""

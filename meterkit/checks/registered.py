@@ -341,3 +341,242 @@ def v06_non_numeric_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """accepted events a numeric meter cannot measure."""
     valid, _ = ingest.split(_validated(spark, sf_dir))
     return rollup_rejects(valid, SUM_PURCHASE).select("id", "reason")
+
+
+# --------------------------------------------------------------- catalog ---
+from meterkit.checks.oracle import (  # noqa: E402
+    ASSIGNMENTS, FEATURES, HISTORY, LINKS, METERS, PLAN_FEATURES, PLANS, QUOTAS, TENANTS)
+from meterkit.operators import catalog as cat  # noqa: E402
+from meterkit.sources import catalog as fx  # noqa: E402
+
+
+def _cat_sql(body: str, *views: str) -> str:
+    return with_views(body, TENANTS, *views)
+
+
+@register("c01_meter_counts_by_tenant", _cat_sql("""
+select tenant_slug, count(*) as meters from meters_t group by tenant_slug""", METERS))
+def c01_meter_counts_by_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meters per tenant."""
+    return cat.meter_counts(fx.meters(spark, sf_dir))
+
+
+@register("c01_meter_counts_by_event_type", _cat_sql("""
+select tenant_slug, event_type, count(*) as meters from meters_t group by tenant_slug, event_type""", METERS))
+def c01_meter_counts_by_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meters per (tenant, event type)."""
+    return cat.meter_counts(fx.meters(spark, sf_dir), by=("tenant_slug", "event_type"))
+
+
+@register("c02_value_properties", _cat_sql("""
+select distinct tenant_slug, event_type, value_property from meters_t where value_property is not null""",
+                                           METERS))
+def c02_value_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct value properties per tenant and event type."""
+    return cat.value_properties(fx.meters(spark, sf_dir))
+
+
+@register("c03_event_properties", _cat_sql("""
+select distinct tenant_slug, event_type, unnest(properties) as property from meters_t""", METERS))
+def c03_event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct unnested properties per tenant and event type."""
+    return cat.event_properties(fx.meters(spark, sf_dir))
+
+
+@register("c04_meters_page", _cat_sql("""
+select id, slug, tenant_slug, created_at, position from (
+  select *, row_number() over (partition by tenant_slug order by created_at desc, id desc) as position
+  from meters_t) where position between 21 and 40""", METERS))
+def c04_meters_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: page 2 (limit 20) of every tenant's meters, newest first."""
+    page = cat.meters_page(fx.meters(spark, sf_dir), cat.Page(2, 20))
+    return page.select("id", "slug", "tenant_slug", "created_at", "position")
+
+
+@register("c06_plans_page", _cat_sql("""
+select p.id, p.tenant_slug, p.type, p.created_at, p.position, t.total from (
+  select *, row_number() over (partition by tenant_slug order by created_at desc, id desc) as position
+  from plans_t where archived_at is null) p
+join (select tenant_slug, count(*) as total from plans_t where archived_at is null group by tenant_slug) t
+  on p.tenant_slug = t.tenant_slug
+where p.position <= 3""", PLANS))
+def c06_plans_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 3 non-archived plans per tenant, with the total."""
+    page = cat.plans_page(fx.plans(spark, sf_dir), cat.Page(1, 3), archived=False)
+    return page.select("id", "tenant_slug", "type", "created_at", "position", "total")
+
+
+@register("c07_features_page", _cat_sql("""
+select f.id, f.tenant_slug, f.type, f.created_at, f.position, t.total from (
+  select *, row_number() over (partition by tenant_slug order by created_at desc, id desc) as position
+  from features_t where type = 'metered') f
+join (select tenant_slug, count(*) as total from features_t where type = 'metered' group by tenant_slug) t
+  on f.tenant_slug = t.tenant_slug
+where f.position between 11 and 20""", FEATURES))
+def c07_features_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 2 (limit 10) of metered features per tenant, with the total."""
+    page = cat.features_page(fx.features(spark, sf_dir), cat.Page(2, 10), feature_type="metered")
+    return page.select("id", "tenant_slug", "type", "created_at", "position", "total")
+
+
+@register("c08_plan_features", _cat_sql("""
+select pf.id as plan_feature_id, pf.plan_id, pf.feature_id, pf.config, pf.created_at,
+       f.name as feature_name, f.slug as feature_slug, f.type as feature_type, f.config as feature_config,
+       p.tenant_slug
+from plan_features_t pf join features_t f on pf.feature_id = f.id join plans_t p on pf.plan_id = p.id""",
+                                        PLANS, FEATURES, LINKS, PLAN_FEATURES))
+def c08_plan_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan-features with feature and plan columns."""
+    return cat.plan_features_listing(fx.plan_features(spark, sf_dir), fx.features(spark, sf_dir),
+                                     fx.plans(spark, sf_dir))
+
+
+@register("c09_link_check", _cat_sql("""
+select l.plan_id, l.feature_id, l.tenant_slug,
+       coalesce(exists (select 1 from plans_t p join features_t f on p.tenant_slug = f.tenant_slug
+                        where p.id = l.plan_id and f.id = l.feature_id and p.tenant_slug = l.tenant_slug), false)
+         as allowed
+from links_t l""", PLANS, FEATURES, LINKS))
+def c09_link_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """May this feature be attached to this plan within the tenant?"""
+    req = fx.link_requests(spark, sf_dir).select("plan_id", "feature_id", "tenant_slug")
+    return cat.tenant_link_check(req, fx.plans(spark, sf_dir), fx.features(spark, sf_dir))
+
+
+@register("c10_plan_feature_ids", _cat_sql("""
+select l.plan_id, l.feature_id, l.tenant_slug, pf.id as plan_feature_id
+from links_t l join plan_features_t pf on pf.plan_id = l.plan_id and pf.feature_id = l.feature_id
+join plans_t p on pf.plan_id = p.id join features_t f on pf.feature_id = f.id
+where p.tenant_slug = l.tenant_slug""", PLANS, FEATURES, LINKS, PLAN_FEATURES))
+def c10_plan_feature_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolve (plan, feature, tenant) to the plan-feature id."""
+    req = fx.link_requests(spark, sf_dir).select("plan_id", "feature_id", "tenant_slug")
+    return cat.plan_feature_ids(req, fx.plan_features(spark, sf_dir), fx.plans(spark, sf_dir),
+                                fx.features(spark, sf_dir))
+
+
+@register("c11_unmetered_quotas", _cat_sql("""
+select q.id, q.plan_feature_id from quotas_t q
+where not exists (select 1 from features_t f join plan_features_t pf on f.id = pf.feature_id
+                  where pf.id = q.plan_feature_id and f.type = 'metered')""",
+                                           FEATURES, LINKS, PLAN_FEATURES, QUOTAS))
+def c11_unmetered_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11: quotas on plan-features whose feature is not metered."""
+    return cat.unmetered_quotas(fx.quotas(spark, sf_dir), fx.plan_features(spark, sf_dir),
+                                fx.features(spark, sf_dir)).select("id", "plan_feature_id")
+
+
+@register("c12_entitlements", _cat_sql("""
+select p.tenant_slug, pf.plan_id, pf.feature_id, pf.id as plan_feature_id, f.type as feature_type,
+       q.limit_value, q.reset_period, q.custom_period_minutes, q.action_at_limit
+from plan_features_t pf join features_t f on pf.feature_id = f.id join plans_t p on pf.plan_id = p.id
+left join quotas_t q on q.plan_feature_id = pf.id""", PLANS, FEATURES, LINKS, PLAN_FEATURES, QUOTAS))
+def c12_entitlements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan-features with their quota definition (if any)."""
+    return cat.entitlements(fx.plan_features(spark, sf_dir), fx.features(spark, sf_dir),
+                            fx.plans(spark, sf_dir), fx.quotas(spark, sf_dir))
+
+
+@register("c13_quota_violations", _cat_sql("""
+select id, plan_feature_id, violation from (
+  select q.id, q.plan_feature_id, unnest([
+    case when reset_period = 'custom' and custom_period_minutes is null then 'custom_without_minutes' end,
+    case when reset_period <> 'custom' and custom_period_minutes is not null then 'minutes_without_custom' end,
+    case when custom_period_minutes is not null and custom_period_minutes <= 0 then 'non_positive_minutes' end,
+    case when limit_value <= 0 then 'non_positive_limit' end,
+    case when reset_period not in ('day','week','month','year','custom','rolling','never')
+         then 'unknown_reset_period' end,
+    case when action_at_limit not in ('none','block','throttle') then 'unknown_action' end,
+    case when (select count(*) from quotas_t q2 where q2.plan_feature_id = q.plan_feature_id) > 1
+         then 'duplicate_plan_feature' end]) as violation
+  from quotas_t q) where violation is not null""", LINKS, QUOTAS))
+def c13_quota_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quota rows breaking the table's CHECK/unique rules."""
+    return cat.quota_violations(fx.quotas(spark, sf_dir))
+
+
+@register("c14_assignments_page", _cat_sql("""
+select a.id, a.plan_id, a.organization_id, a.user_id, a.valid_from, a.valid_until, a.created_at,
+       a.tenant_slug, a.position, t.total from (
+  select x.*, p.tenant_slug,
+         row_number() over (partition by p.tenant_slug order by x.created_at desc, x.id desc) as position
+  from assignments_t x join plans_t p on x.plan_id = p.id
+  where x.valid_from >= timestamp '2024-03-01' and (x.valid_until is null or x.valid_until <= timestamp '2024-09-01')
+) a join (
+  select p.tenant_slug, count(*) as total
+  from assignments_t x join plans_t p on x.plan_id = p.id
+  where x.valid_from >= timestamp '2024-03-01' and (x.valid_until is null or x.valid_until <= timestamp '2024-09-01')
+  group by p.tenant_slug) t on a.tenant_slug = t.tenant_slug
+where a.position <= 50""", PLANS, ASSIGNMENTS))
+def c14_assignments_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14: assignments by validity bounds (open end counts as below any
+    upper bound), first 50 per tenant, newest first, with total."""
+    page = cat.assignments_page(fx.assignments(spark, sf_dir), fx.plans(spark, sf_dir), cat.Page(1, 50),
+                                valid_from_gte=dt.datetime(2024, 3, 1), valid_until_lte=dt.datetime(2024, 9, 1))
+    return page.select("id", "plan_id", "organization_id", "user_id", "valid_from", "valid_until", "created_at",
+                       "tenant_slug", "position", "total")
+
+
+@register("c14_assignments_of_plan", _cat_sql("""
+select x.id, x.plan_id, x.user_id, p.tenant_slug
+from assignments_t x join plans_t p on x.plan_id = p.id
+where x.plan_id = 'plan_7' and x.user_id is not null""", PLANS, ASSIGNMENTS))
+def c14_assignments_of_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14: every user assignment of one plan (all pages)."""
+    users = fx.assignments(spark, sf_dir).where(F.col("user_id").isNotNull())
+    return cat.assignments_of(users, fx.plans(spark, sf_dir), plan_id="plan_7") \
+        .select("id", "plan_id", "user_id", "tenant_slug")
+
+
+@register("c15_active_assignments_page", _cat_sql("""
+select a.id, a.plan_id, a.created_at, a.tenant_slug, a.position, t.total from (
+  select x.*, p.tenant_slug,
+         row_number() over (partition by p.tenant_slug order by x.created_at desc, x.id desc) as position
+  from assignments_t x join plans_t p on x.plan_id = p.id where p.archived_at is null) a
+join (select p.tenant_slug, count(*) as total from assignments_t x join plans_t p on x.plan_id = p.id
+      where p.archived_at is null group by p.tenant_slug) t on a.tenant_slug = t.tenant_slug
+where a.position between 51 and 75""", PLANS, ASSIGNMENTS))
+def c15_active_assignments_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 3 (limit 25) of assignments to non-archived plans per tenant."""
+    page = cat.active_assignments_page(fx.assignments(spark, sf_dir), fx.plans(spark, sf_dir), cat.Page(3, 25))
+    return page.select("id", "plan_id", "created_at", "tenant_slug", "position", "total")
+
+
+@register("c16_history_page", _cat_sql("""
+select h.id, h.action, h.plan_id, h.valid_from, h.valid_until, h.created_at, h.tenant_slug, h.position, t.total
+from (select x.*, p.tenant_slug,
+             row_number() over (partition by p.tenant_slug order by x.created_at asc, x.id asc) as position
+      from history_t x join plans_t p on x.plan_id = p.id
+      where x.action = 'UPDATE' and x.valid_from >= timestamp '1996-01-01' and x.valid_from < timestamp '2000-01-01'
+        and (x.valid_until is null or x.valid_until < timestamp '1999-06-01')) h
+join (select p.tenant_slug, count(*) as total from history_t x join plans_t p on x.plan_id = p.id
+      where x.action = 'UPDATE' and x.valid_from >= timestamp '1996-01-01' and x.valid_from < timestamp '2000-01-01'
+        and (x.valid_until is null or x.valid_until < timestamp '1999-06-01')
+      group by p.tenant_slug) t on h.tenant_slug = t.tenant_slug
+where h.position between 101 and 200""", PLANS, HISTORY))
+def c16_history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 2 (limit 100) of UPDATE history rows in a validity window,
+    oldest first, per tenant, with total."""
+    page = cat.history_page(fx.assignment_history(spark, sf_dir), fx.plans(spark, sf_dir), cat.Page(2, 100),
+                            action="UPDATE", valid_from_after=dt.datetime(1996, 1, 1),
+                            valid_from_before=dt.datetime(2000, 1, 1), valid_until_before=dt.datetime(1999, 6, 1))
+    return page.select("id", "action", "plan_id", "valid_from", "valid_until", "created_at", "tenant_slug",
+                       "position", "total")
+
+
+@register("c22_cascade_archived_plans", _cat_sql("""
+select 'plan' as entity, id from plans_t where archived_at is not null
+union all
+select 'plan_feature', pf.id from plan_features_t pf join plans_t p on pf.plan_id = p.id where p.archived_at is not null
+union all
+select 'quota', q.id from quotas_t q join plan_features_t pf on q.plan_feature_id = pf.id
+  join plans_t p on pf.plan_id = p.id where p.archived_at is not null
+union all
+select 'assignment', a.id from assignments_t a join plans_t p on a.plan_id = p.id where p.archived_at is not null""",
+                                                  PLANS, FEATURES, LINKS, PLAN_FEATURES, QUOTAS, ASSIGNMENTS))
+def c22_cascade_archived_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows a delete of every archived plan would cascade to."""
+    plans = fx.plans(spark, sf_dir)
+    return cat.cascade_delete(plans, fx.features(spark, sf_dir), fx.plan_features(spark, sf_dir),
+                              fx.quotas(spark, sf_dir), fx.assignments(spark, sf_dir),
+                              deleted_plans=plans.where(F.col("archived_at").isNotNull()))
