@@ -180,3 +180,114 @@ HISTORY = """history_t as (
          case when o_orderkey % 7 <> 0 then o_orderdate + interval 90 day end as valid_until,
          o_orderdate + to_seconds(o_orderkey % 86400) as created_at
   from orders join customer on o_custkey = c_custkey)"""
+
+CHANGES = """changes_a as (
+  select o_orderkey, c_custkey, c_nationkey, o_orderdate,
+         case when o_orderstatus = 'P' then 'CREATE'
+              when o_orderstatus = 'F' and o_orderkey % 5 = 0 then 'DELETE' else 'UPDATE' end as action
+  from orders join customer on o_custkey = c_custkey),
+changes_t as (
+  select concat('chg_', cast(o_orderkey as varchar)) as change_id, o_orderkey as seq, action,
+         concat('plan_', cast(case when o_orderkey % 9 = 0 then (c_nationkey + 1) % 25 else c_nationkey end
+                              as varchar)) as plan_id,
+         case when c_custkey % 2 = 0 or o_orderkey % 97 = 0 then concat('org_', cast(c_custkey as varchar)) end
+           as organization_id,
+         case when c_custkey % 2 = 1 or o_orderkey % 97 = 0 then concat('usr_', cast(c_custkey as varchar)) end
+           as user_id,
+         case when action = 'CREATE' then timestamp '2024-01-01' + to_seconds((o_orderkey % 365) * 86400)
+              when action = 'UPDATE' and o_orderkey % 3 <> 0
+              then timestamp '2024-01-01' + to_seconds((c_custkey % 365 + o_orderkey % 120 - 20) * 86400)
+         end as valid_from,
+         case when action = 'CREATE' then
+                case when o_orderkey % 11 = 0
+                     then timestamp '2024-01-01' + to_seconds((o_orderkey % 365) * 86400 - 86400)
+                     when o_orderkey % 7 <> 0
+                     then timestamp '2024-01-01' + to_seconds((o_orderkey % 365) * 86400 + 30 * 86400) end
+              when action = 'UPDATE' and o_orderkey % 4 <> 0
+              then timestamp '2024-01-01' + to_seconds((c_custkey % 365 + 30 + o_orderkey % 90) * 86400)
+         end as valid_until,
+         action = 'UPDATE' and o_orderkey % 13 = 0 as clear_valid_until,
+         o_orderdate + to_seconds(o_orderkey % 86400) as requested_at
+  from changes_a)"""
+
+# Sequential application of the changes, one step per change rank, all keys
+# in parallel (recursive CTE): the independent twin of the Spark fold.
+CHANGE_WALK = """checked_k as (
+  select c.*, concat_ws('|', c.plan_id, coalesce(c.organization_id, ''), coalesce(c.user_id, '')) as key,
+         case when c.action = 'CREATE' and ((c.organization_id is not null) = (c.user_id is not null))
+                then 'not_exactly_one_entity'
+              when c.action = 'CREATE' and c.valid_from is null then 'missing_valid_from'
+              when c.action = 'CREATE' and c.valid_until is not null and c.valid_from > c.valid_until
+                then 'valid_from_after_valid_until'
+              when c.action = 'CREATE' and p.id is null then 'unknown_plan'
+              when c.action = 'CREATE' and p.archived_at is not null then 'plan_archived' end as pre_reason
+  from changes_t c left join plans_t p on c.plan_id = p.id),
+checked as (
+  select *, row_number() over (partition by key order by requested_at, seq) as rn from checked_k),
+a_keyed as (
+  select *, concat_ws('|', plan_id, coalesce(organization_id, ''), coalesce(user_id, '')) as key
+  from assignments_t),
+all_keys as (select key from checked union select key from a_keyed),
+walk as (
+  select k.key, 0 as rn, a.id is not null as ex, a.id as aid,
+         a.plan_id as pid, a.organization_id as oid, a.user_id as uid,
+         a.valid_from as vf, a.valid_until as vu, a.created_at as ca, a.created_at as ua,
+         cast(null as varchar) as change_id, cast(null as varchar) as action, cast(null as varchar) as outcome,
+         cast(null as varchar) as reason,
+         cast(null as varchar) as h_aid, cast(null as timestamp) as h_vf, cast(null as timestamp) as h_vu,
+         cast(null as timestamp) as h_at,
+         cast(null as varchar) as h_pid, cast(null as varchar) as h_oid, cast(null as varchar) as h_uid
+  from all_keys k left join a_keyed a on a.key = k.key
+  union all
+  select key, rn,
+         case when r is not null then ex when action = 'CREATE' then true when action = 'DELETE' then false
+              else ex end,
+         case when r is null and action = 'CREATE' then concat('asg_', change_id)
+              when r is null and action = 'DELETE' then null else aid end,
+         case when r is null and action = 'CREATE' then c_pid when r is null and action = 'DELETE' then null
+              else pid end,
+         case when r is null and action = 'CREATE' then c_oid when r is null and action = 'DELETE' then null
+              else oid end,
+         case when r is null and action = 'CREATE' then c_uid when r is null and action = 'DELETE' then null
+              else uid end,
+         case when r is null and action = 'CREATE' then c_vf
+              when r is null and action = 'UPDATE' then coalesce(c_vf, vf)
+              when r is null and action = 'DELETE' then null else vf end,
+         case when r is null and action = 'CREATE' then c_vu
+              when r is null and action = 'UPDATE'
+                then case when c_vu is not null then c_vu when c_clear then null else vu end
+              when r is null and action = 'DELETE' then null else vu end,
+         case when r is null and action = 'CREATE' then c_at when r is null and action = 'DELETE' then null
+              else ca end,
+         case when r is null and action in ('CREATE', 'UPDATE') then c_at
+              when r is null and action = 'DELETE' then null else ua end,
+         change_id, action,
+         case when r is not null then 'rejected' when action = 'DELETE' and not ex then 'no_op'
+              else 'applied' end,
+         r,
+         case when r is null and action = 'CREATE' then concat('asg_', change_id)
+              when r is null and ex then aid end,
+         case when r is null and action = 'CREATE' then c_vf
+              when r is null and action = 'UPDATE' and ex then coalesce(c_vf, vf)
+              when r is null and action = 'DELETE' and ex then vf end,
+         case when r is null and action = 'CREATE' then c_vu
+              when r is null and action = 'UPDATE' and ex
+                then case when c_vu is not null then c_vu when c_clear then null else vu end
+              when r is null and action = 'DELETE' and ex then vu end,
+         c_at, c_pid, c_oid, c_uid
+  from (
+    select w.key, c.rn, w.ex, w.aid, w.pid, w.oid, w.uid, w.vf, w.vu, w.ca, w.ua,
+           c.change_id, c.action, c.plan_id as c_pid, c.organization_id as c_oid, c.user_id as c_uid,
+           c.valid_from as c_vf, c.valid_until as c_vu, c.clear_valid_until as c_clear, c.requested_at as c_at,
+           case when c.pre_reason is not null then c.pre_reason
+                when c.action = 'CREATE' and w.ex then 'already_assigned'
+                when c.action = 'UPDATE' and not w.ex then 'not_found'
+                when c.action = 'UPDATE' and c.valid_from is not null and c.valid_from < w.vf
+                  then 'valid_from_before_current'
+                when c.action = 'UPDATE' and c.valid_from is not null and w.vu is not null and c.valid_from > w.vu
+                  then 'valid_from_after_current_until'
+                when c.action = 'UPDATE' and c.valid_until is not null and w.vu is not null
+                     and c.valid_until > w.vu
+                  then 'valid_until_after_current'
+           end as r
+    from walk w join checked c on c.key = w.key and c.rn = w.rn + 1) step)"""

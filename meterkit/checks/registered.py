@@ -580,3 +580,75 @@ def c22_cascade_archived_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.cascade_delete(plans, fx.features(spark, sf_dir), fx.plan_features(spark, sf_dir),
                               fx.quotas(spark, sf_dir), fx.assignments(spark, sf_dir),
                               deleted_plans=plans.where(F.col("archived_at").isNotNull()))
+
+
+# ----------------------------------------------------- assignment changes ---
+from meterkit.checks.oracle import CHANGE_WALK, CHANGES  # noqa: E402
+from meterkit.operators import changes as chg  # noqa: E402
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chg.apply_changes(fx.assignments(spark, sf_dir), fx.assignment_changes(spark, sf_dir),
+                             fx.plans(spark, sf_dir))
+
+
+def _walk_sql(body: str) -> str:
+    return "with recursive " + with_views(body, TENANTS, PLANS, ASSIGNMENTS, CHANGES, CHANGE_WALK)[len("with "):]
+
+
+@register("c17_assignment_history", _walk_sql("""
+select concat('h_', change_id) as id, action, h_aid as assignment_id, h_pid as plan_id,
+       h_oid as organization_id, h_uid as user_id, h_vf as valid_from, h_vu as valid_until, h_at as created_at
+from walk where outcome = 'applied'"""))
+def c17_assignment_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C17: history images of the applied changes."""
+    return chg.history_rows(_folded(spark, sf_dir))
+
+
+@register("c18_assignments_after_changes", _walk_sql("""
+select aid as id, pid as plan_id, oid as organization_id, uid as user_id, vf as valid_from, vu as valid_until,
+       ca as created_at, ua as updated_at
+from walk w
+where ex and rn = (select max(rn) from walk w2 where w2.key = w.key)"""))
+def c18_assignments_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignments after applying the change batch in order."""
+    return chg.final_assignments(_folded(spark, sf_dir))
+
+
+@register("c19_change_outcomes", _walk_sql("""
+select change_id, action, outcome, reason from walk where rn > 0"""))
+def c19_change_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C19 (+C20, C21 on creates): applied / no_op / rejected per change."""
+    return chg.change_outcomes(_folded(spark, sf_dir))
+
+
+@register("c20_archived_plan_rejects", with_views("""
+select c.change_id, c.plan_id, 'plan_archived' as reason
+from changes_t c join plans_t p on c.plan_id = p.id
+where c.action = 'CREATE' and p.archived_at is not null""", TENANTS, PLANS, CHANGES))
+def c20_archived_plan_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C20: create requests naming an archived plan."""
+    creates = fx.assignment_changes(spark, sf_dir).where(F.col("action") == "CREATE")
+    return cat.archived_plan_rejects(creates, fx.plans(spark, sf_dir)).select("change_id", "plan_id", "reason")
+
+
+@register("c21_assignment_violations", with_views("""
+select id, plan_id, violation from (
+  select r.id, r.plan_id, unnest([
+    case when (r.organization_id is not null) = (r.user_id is not null) then 'not_exactly_one_entity' end,
+    case when r.valid_until is not null and r.valid_from > r.valid_until then 'valid_from_after_valid_until' end,
+    case when r.organization_id is not null and (select count(*) from requests r2
+         where r2.plan_id = r.plan_id and r2.organization_id = r.organization_id) > 1
+         then 'duplicate_plan_organization' end,
+    case when r.user_id is not null and (select count(*) from requests r2
+         where r2.plan_id = r.plan_id and r2.user_id = r.user_id) > 1
+         then 'duplicate_plan_user' end]) as violation
+  from requests r) where violation is not null""", CHANGES,
+    "requests as (select change_id as id, plan_id, organization_id, user_id, valid_from, valid_until "
+    "from changes_t where action = 'CREATE')"))
+def c21_assignment_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Create requests checked as assignment rows (entity, range, unique)."""
+    creates = (fx.assignment_changes(spark, sf_dir).where(F.col("action") == "CREATE")
+               .select(F.col("change_id").alias("id"), "plan_id", "organization_id", "user_id",
+                       "valid_from", "valid_until"))
+    return cat.assignment_violations(creates)

@@ -208,3 +208,45 @@ def assignment_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(o % 7 != 0, start + F.expr("INTERVAL 90 DAYS")).alias("valid_until"),
         F.timestamp_seconds(F.unix_seconds(start) + o % DAY).alias("created_at"),
     )
+
+
+def assignment_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignment change requests, one per order, applied in
+    ``(requested_at, seq)`` order per (plan, organization/user) key.
+
+    Status ``P`` asks to CREATE, ``F`` with ``o_orderkey % 5 = 0`` to DELETE,
+    anything else to UPDATE. Every ninth order names the next nation's plan
+    (a key with no assignment yet); every 97th names both an organization and
+    a user. Dates are chosen so each C19 rule and the C20/C21 checks fire.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    o, c = F.col("o_orderkey"), F.col("c_custkey")
+    action = (F.when(F.col("o_orderstatus") == "P", F.lit("CREATE"))
+              .when((F.col("o_orderstatus") == "F") & (o % 5 == 0), F.lit("DELETE"))
+              .otherwise(F.lit("UPDATE")))
+    nation = F.when(o % 9 == 0, (F.col("c_nationkey") + 1) % 25).otherwise(F.col("c_nationkey"))
+    both = o % 97 == 0
+    org = F.when((c % 2 == 0) | both, F.concat(F.lit("org_"), c.cast("string")))
+    user = F.when((c % 2 == 1) | both, F.concat(F.lit("usr_"), c.cast("string")))
+    create_from = at_seconds((o % 365) * DAY)
+    update_from = at_seconds((c % 365 + o % 120 - 20) * DAY)
+    valid_from = (F.when(action == "CREATE", create_from)
+                  .when((action == "UPDATE") & (o % 3 != 0), update_from))
+    valid_until = (F.when(action == "CREATE",
+                          F.when(o % 11 == 0, at_seconds((o % 365) * DAY - DAY))
+                          .when(o % 7 != 0, at_seconds((o % 365) * DAY + 30 * DAY)))
+                   .when((action == "UPDATE") & (o % 4 != 0), at_seconds((c % 365 + 30 + o % 90) * DAY)))
+    requested_at = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + o % DAY)
+    return orders.join(cust, F.col("o_custkey") == c).select(
+        F.concat(F.lit("chg_"), o.cast("string")).alias("change_id"),
+        o.alias("seq"),
+        action.alias("action"),
+        F.concat(F.lit("plan_"), nation.cast("string")).alias("plan_id"),
+        org.alias("organization_id"),
+        user.alias("user_id"),
+        valid_from.alias("valid_from"),
+        valid_until.alias("valid_until"),
+        ((action == "UPDATE") & (o % 13 == 0)).alias("clear_valid_until"),
+        requested_at.alias("requested_at"),
+    )
