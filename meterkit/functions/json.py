@@ -27,7 +27,7 @@ def text_map(properties: Column) -> Column:
 
 def text_value(parsed: Column, key: str) -> Column:
     """JSONExtractString semantics on a parsed map: missing/null -> ''."""
-    return F.coalesce(parsed.getItem(F.lit(key)), F.lit(""))
+    return F.coalesce(parsed[key], F.lit(""))
 
 
 def variant_map(properties: Column) -> Column:

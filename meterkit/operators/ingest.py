@@ -115,7 +115,7 @@ def validate(raw: DataFrame, meters: DataFrame, tenant: str | None = None,
     if "properties" in raw.columns and dict(raw.dtypes)["properties"] != "string":
         props = F.to_json(props)
     parsed = variant_map(props)
-    missing = F.filter("required", lambda k: is_empty_json(parsed.getItem(k)))
+    missing = F.filter("required", lambda k: is_empty_json(parsed[k]))
     ts = _parsed_timestamp(F.col("timestamp"))
     id_ok = F.lit(True) if not strict_ids else \
         (F.coalesce(F.col("id"), F.lit("")) == "") | F.col("id").rlike(UUID_PATTERN)
