@@ -86,8 +86,8 @@ def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Seq
                  .withColumn("event_date", F.to_date("timestamp")))
         (valid.write.mode("overwrite").partitionBy("event_date")
          .parquet(os.path.join(events_path, batch_dir)))
-        (ingest.rejected_events(validated).drop("missing")
-         .withColumn("missing", F.array_join(validated["missing"], ","))
+        (ingest.rejected_events(validated)
+         .withColumn("missing", F.array_join("missing", ","))
          .write.mode("overwrite").parquet(os.path.join(rejects_path, batch_dir)))
         stored = valid.drop("ingested_at", "event_date")
         for spec in specs:
