@@ -100,3 +100,17 @@ def test_crash_between_compaction_steps_does_not_double_count(spark, scratch_dir
     store.write_batch(merged, scratch_dir, SUM, "c2")
     assert sorted(store.list_batches(spark, store.meter_root(scratch_dir, SUM))) == ["1", "2", "c2"]
     assert rows(query_rollup(store.read_rollup(spark, scratch_dir, SUM), SUM, Q)) == expected
+
+
+def test_kafka_records_and_event_types(spark):
+    from meterkit.operators.ingest import distinct_event_types
+    from meterkit.streaming.ingest import kafka_records
+    valid = spark.createDataFrame([("e1", "api.sum", "", "org1", "u1", "2024-01-01 00:00:00", '{"a":1}')],
+                                  "id string, type string, source string, organization string, user string, "
+                                  "timestamp string, properties string")
+    [rec] = kafka_records(valid).collect()
+    assert rec.key == "org1-u1"
+    assert '"type":"api.sum"' in rec.value and '"properties":"{\\"a\\":1}"' in rec.value
+    assert rec.headers[0].key == "content-type" and bytes(rec.headers[0].value) == b"application/json"
+    batch = spark.createDataFrame([("a",), ("",), ("a",), ("b",)], "type string")
+    assert sorted(r.event_type for r in distinct_event_types(batch).collect()) == ["a", "b"]
