@@ -188,7 +188,7 @@ where type = 'app.purchase' and amount is not null
 SQL_SHAPED_HOUR_ORG = _sql("""
 select date_trunc('hour', ws) as windowstart, date_trunc('hour', ws) + interval 1 hour as windowend,
        round(sum(amount), 6) as value,
-       to_json(map(['organization'], [organization])) as group_by
+       cast(to_json(map(['organization'], [organization])) as varchar) as group_by
 from metered
 where type = 'app.purchase' and amount is not null
   and ws >= timestamp '2024-01-01 00:00:00' and we <= timestamp '2024-01-31 00:00:00'
