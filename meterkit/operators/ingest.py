@@ -175,3 +175,31 @@ def ensure_all_valid(validated: DataFrame) -> None:
     bad = validated.where(F.col("reason").isNotNull()).select("reason").limit(1).collect()
     if bad:
         raise BatchRejected(f"batch rejected: {bad[0]['reason']}")
+
+
+class BatchError(ValueError):
+    """A publish call the reference answers with an error."""
+
+
+def publish(raw: DataFrame, meters: DataFrame, tenant: str | None = None,
+            allow_partial_success: bool = True, strict_ids: bool = False) -> tuple[DataFrame, DataFrame]:
+    """V8 as one batch call: validate, then decide like the reference's
+    publish endpoint.
+
+    * an empty batch, or one without any non-empty event type, is an error (L1);
+    * strict mode (``allow_partial_success=False``) fails on the first reject;
+    * partial mode fails only when no event is accepted.
+
+    Returns ``(accepted, rejected)``. The checks are ``limit(1)`` probes, so
+    no data is brought to the driver.
+    """
+    if not raw.limit(1).collect():
+        raise BatchError("cannot process empty event batch")
+    if not distinct_event_types(raw).limit(1).collect():
+        raise BatchError("no valid event types found in the batch")
+    validated = validate(raw, meters, tenant=tenant, strict_ids=strict_ids)
+    if not allow_partial_success:
+        ensure_all_valid(validated)
+    elif not validated.where(F.col("reason").isNull()).limit(1).collect():
+        raise BatchError("all events failed validation")
+    return split(validated)

@@ -100,7 +100,7 @@ def _direct_value(spec: MeterSpec) -> Column:
     elif agg == "max":
         value = F.max(v)
     elif agg == "count":
-        value = F.count(F.lit(1))
+        value = F.count(v if spec.value_property else F.lit(1))
     elif spec.unique_mode == "hll":
         value = F.hll_sketch_estimate(F.hll_sketch_agg(v))
     else:
@@ -157,6 +157,9 @@ def query_events(events: DataFrame, spec: MeterSpec, q: MeterQuery) -> DataFrame
     if spec.aggregation in ("sum", "avg", "min", "max"):
         out = _aggregate(df, q, _direct_value(spec), F.col(VALUE).isNotNull())
         return out.where(F.col("value").isNotNull())
+    if spec.numeric_value:
+        out = _aggregate(df, q, _direct_value(spec), F.col(VALUE).isNotNull())
+        return out.where(F.col("value") > 0)
     return _aggregate(df, q, _direct_value(spec))
 
 

@@ -59,7 +59,7 @@ def group_columns(spec: MeterSpec) -> list[str]:
 
 def value_column(spec: MeterSpec, parsed: Column) -> Column | None:
     """The measured value (M3): text for unique_count, double otherwise."""
-    if spec.aggregation == "count":
+    if spec.aggregation == "count" and not spec.value_property:
         return None
     text = text_value(parsed, spec.value_property)
     if spec.aggregation == "unique_count":
@@ -100,7 +100,7 @@ def measured(aggregated: DataFrame, spec: MeterSpec, state: str | None = None) -
     """
     if spec.aggregation in ("sum", "min", "max"):
         return aggregated.where(F.col(state or STATE_COLUMNS[spec.aggregation][0]).isNotNull())
-    if spec.aggregation == "avg":
+    if spec.aggregation == "avg" or spec.numeric_value:
         return aggregated.where(F.col(state or "cnt_v") > 0)
     return aggregated
 
@@ -111,7 +111,7 @@ def rollup_rejects(events: DataFrame, spec: MeterSpec) -> DataFrame:
     The reference's rollup insert fails on such a value; here the event is
     set aside with reason ``non_numeric_value`` and the rest is metered.
     """
-    if spec.aggregation in ("count", "unique_count"):
+    if not spec.numeric_value:
         return events.limit(0).withColumn("reason", F.lit(None).cast("string"))
     parsed = text_map(F.col("properties"))
     value = text_value(parsed, spec.value_property).try_cast("double")
@@ -133,7 +133,7 @@ def partial_states(spec: MeterSpec) -> list[Column]:
     if agg == "max":
         return [F.max(v).alias("max_v")]
     if agg == "count":
-        return [F.count(F.lit(1)).alias("cnt_v")]
+        return [F.count(v if spec.value_property else F.lit(1)).alias("cnt_v")]
     if spec.unique_mode == "hll":
         return [F.hll_sketch_agg(v, HLL_LG_CONFIG_K).alias(HLL_STATE)]
     raise ValueError("exact unique_count partials are distinct rows, not an aggregate")

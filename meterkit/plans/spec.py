@@ -46,13 +46,21 @@ class MeterSpec:
     populate: bool = True
     # "exact" keeps distinct values per minute; "hll" keeps a mergeable sketch.
     unique_mode: str = "exact"
+    # The API blanks a count meter's value property (F18); the rollup layer can
+    # also count the numeric values of a property (M10) when this is set.
+    count_values: bool = False
 
     def __post_init__(self):
         object.__setattr__(self, "properties", tuple(self.properties))
-        # A count meter never reads a value: the API blanks it.
-        if self.aggregation == "count":
+        if self.aggregation == "count" and not self.count_values:
             object.__setattr__(self, "value_property", None)
 
+    @property
+    def numeric_value(self) -> bool:
+        """The value is read as a number (F10): sum/avg/min/max, counted values."""
+        return self.aggregation in ("sum", "avg", "min", "max") or (
+            self.aggregation == "count" and bool(self.value_property))
+
     @property
     def dimensions(self) -> tuple[str, ...]:
         """Property columns of the rollup, sorted by name like the reference."""
@@ -70,7 +78,7 @@ class MeterSpec:
             raise MeterSpecError(f"invalid aggregation type: {self.aggregation}")
         if not self.slug or not self.event_type:
             raise MeterSpecError("slug and event_type are required")
-        if self.aggregation != "count" and not self.value_property:
+        if (self.aggregation != "count" or self.count_values) and not self.value_property:
             raise MeterSpecError(f"value_property is required for {self.aggregation} meters")
         if require_properties and not self.properties:
             raise MeterSpecError("at least one property is required")

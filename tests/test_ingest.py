@@ -108,3 +108,17 @@ def test_strict_ids_and_default_ids(spark, meters):
     assert [r.reason for r in strict] == [None, "invalid_field"]
     valid = ingest.typed_events(ingest.validate(df, meters, tenant="t")).collect()
     assert sorted(len(r.id) for r in valid) == [10, 36]
+
+
+def test_publish_modes(spark, meters):
+    good, bad = ev(id_="g"), ev(id_="b", type_="nope")
+    valid, rejected = ingest.publish(spark.createDataFrame([good, bad], FIELDS), meters, tenant="t")
+    assert (valid.count(), rejected.count()) == (1, 1)
+    with pytest.raises(ingest.BatchRejected):
+        ingest.publish(spark.createDataFrame([good, bad], FIELDS), meters, tenant="t", allow_partial_success=False)
+    with pytest.raises(ingest.BatchError, match="all events failed"):
+        ingest.publish(spark.createDataFrame([bad], FIELDS), meters, tenant="t")
+    with pytest.raises(ingest.BatchError, match="no valid event types"):
+        ingest.publish(spark.createDataFrame([ev(type_="")], FIELDS), meters, tenant="t")
+    with pytest.raises(ingest.BatchError, match="empty"):
+        ingest.publish(spark.createDataFrame([], FIELDS), meters, tenant="t")

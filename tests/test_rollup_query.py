@@ -128,3 +128,21 @@ def test_result_range_and_shaping(spark, events):
     assert (empty.window_start, empty.window_end) == (q.from_ts, q.to_ts)
     shaped = shape_rows(out, q).first()
     assert set(shaped.group_by) == {"organization"}
+
+
+def test_count_of_values_when_enabled(spark):
+    ev = spark.createDataFrame(
+        [("1", "t", "o", "u", dt.datetime(2024, 1, 1, 0, 0, 5), '{"v":"2.5","p":"a"}'),
+         ("2", "t", "o", "u", dt.datetime(2024, 1, 1, 0, 0, 9), '{"v":"abc","p":"a"}'),
+         ("3", "t", "o", "u", dt.datetime(2024, 1, 1, 0, 1, 9), '{"p":"b"}'),
+         ("4", "t", "o", "u", dt.datetime(2024, 1, 1, 0, 2, 9), '{"v":7,"p":"b"}')],
+        "id string, type string, organization string, user string, timestamp timestamp, properties string")
+    api = MeterSpec("m", "t", "count", "v", ("p",))
+    assert api.value_property is None
+    spec = MeterSpec("m", "t", "count", "v", ("p",), count_values=True).validate()
+    q = MeterQuery("minute", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), group_by=("p",))
+    merged = rows(query_rollup(minute_partials(ev, spec), spec, q))
+    assert merged == rows(query_events(ev, spec, q))
+    assert [(r[2], r[3]) for r in merged] == [(1.0, "a"), (1.0, "b")]
+    assert sorted(r.id for r in rollup_rejects(ev, spec).collect()) == ["2", "3"]
+    assert sum(r[2] for r in rows(query_rollup(minute_partials(ev, api), api, q))) == 4.0

@@ -57,6 +57,11 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, scratch_dir):
 
     stored = spark.read.parquet(paths["events"])
     assert stored.count() == events.count()
+    from meterkit.sources.events import read_events
+    window = read_events(spark, paths["events"], dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 5), "app.purchase")
+    expected = events.where("type = 'app.purchase' and timestamp >= '2024-01-03' and timestamp < '2024-01-05'")
+    assert window.count() == expected.count() > 0
+    assert "PartitionFilters: [isnotnull(event_date" in window._jdf.queryExecution().executedPlan().toString()
     assert spark.read.parquet(paths["rejects"]).count() == 0
 
     # Replaying epoch 1 with the same input rewrites batch 2 instead of adding to it.
