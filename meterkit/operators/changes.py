@@ -176,7 +176,9 @@ def apply_changes(current: DataFrame, changes: DataFrame, plans: DataFrame,
         "valid_from", "valid_until", F.lit(None).cast("timestamp").alias("created_at"))
     both = state_rows.unionByName(change_rows)
     parts = [num_partitions] if num_partitions else []
-    ordered = both.repartition(*parts, "key").sortWithinPartitions("key", "prio", "requested_at", "seq")
+    # (key, prio, time, seq, id) is a total order: a retried task replays the same fold.
+    ordered = both.withColumn("__tie", F.coalesce("change_id", "assignment_id")) \
+        .repartition(*parts, "key").sortWithinPartitions("key", "prio", "requested_at", "seq", "__tie")
     return ordered.mapInPandas(_walk, FOLD_SCHEMA)
 
 
