@@ -31,9 +31,18 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# Decimal-valued inputs make exact rounding midpoints common (an average of
+# cent amounts over 32 events ends in ...5 at the 7th decimal), and each
+# engine's summation noise then breaks the tie its own way. Both sides scale
+# by this factor before rounding to 6 decimals, which moves exact midpoints
+# off the tie identically and leaves other values' rounding unchanged.
+TIE_NUDGE = 0.999999999999
+TIE_NUDGE_SQL = "cast('0.999999999999' as double)"
+
+
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
     for c in cols:
-        df = df.withColumn(c, F.round(c, 6))
+        df = df.withColumn(c, F.round(F.col(c) * F.lit(TIE_NUDGE), 6))
     return df
 
 
@@ -92,7 +101,7 @@ group by ws, we""")
 
 SQL_SUM_HOUR_ORG = _sql("""
 select date_trunc('hour', ws) as windowstart, date_trunc('hour', ws) + interval 1 hour as windowend,
-       round(sum(amount), 6) as value, organization
+       round(sum(amount) * cast('0.999999999999' as double), 6) as value, organization
 from metered
 where type = 'app.purchase' and amount is not null
   and ws >= timestamp '2024-01-01 00:00:00' and we <= timestamp '2024-01-31 00:00:00'
@@ -100,7 +109,7 @@ group by 1, 2, organization""")
 
 SQL_SUM_DAY_ORG = _sql("""
 select date_trunc('day', ws) as windowstart, date_trunc('day', ws) + interval 1 day as windowend,
-       round(sum(amount), 6) as value, organization
+       round(sum(amount) * cast('0.999999999999' as double), 6) as value, organization
 from metered
 where type = 'app.purchase' and amount is not null
   and ws >= timestamp '2024-01-03 00:00:00' and we <= timestamp '2024-01-21 00:00:00'
@@ -108,7 +117,7 @@ group by 1, 2, organization""")
 
 SQL_AVG_DAY_PAGE = _sql("""
 select date_trunc('day', ws) as windowstart, date_trunc('day', ws) + interval 1 day as windowend,
-       round(avg(amount), 6) as value, page
+       round(avg(amount) * cast('0.999999999999' as double), 6) as value, page
 from metered
 where type = 'app.view' and amount is not null
   and ws >= timestamp '2024-01-01 00:00:00' and we <= timestamp '2024-01-31 00:00:00'
@@ -116,7 +125,7 @@ group by 1, 2, page""")
 
 SQL_MIN_HOUR_PAGE = _sql("""
 select date_trunc('hour', ws) as windowstart, date_trunc('hour', ws) + interval 1 hour as windowend,
-       round(min(amount), 6) as value, page
+       round(min(amount) * cast('0.999999999999' as double), 6) as value, page
 from metered
 where type = 'app.signup' and amount is not null
   and ws >= timestamp '2024-01-01 00:00:00' and we <= timestamp '2024-01-31 00:00:00'
@@ -124,7 +133,7 @@ group by 1, 2, page""")
 
 SQL_MAX_DAY_IN = _sql("""
 select date_trunc('day', ws) as windowstart, date_trunc('day', ws) + interval 1 day as windowend,
-       round(max(amount), 6) as value, organization
+       round(max(amount) * cast('0.999999999999' as double), 6) as value, organization
 from metered
 where type = 'app.error' and amount is not null and page in ('p1', 'p2', 'p3')
   and ws >= timestamp '2024-01-01 00:00:00' and we <= timestamp '2024-01-31 00:00:00'
@@ -146,7 +155,7 @@ where type = 'app.click'
 group by page""")
 
 SQL_SUM_MINUTE_USER = _sql("""
-select ws as windowstart, we as windowend, round(sum(amount), 6) as value, page
+select ws as windowstart, we as windowend, round(sum(amount) * cast('0.999999999999' as double), 6) as value, page
 from metered
 where type = 'app.purchase' and amount is not null and "user" = 'usr_7'
   and ws >= timestamp '2024-01-01 00:00:00' and we <= timestamp '2024-01-31 00:00:00'
@@ -161,13 +170,13 @@ where type = 'app.click' and organization in ('org_1', 'org_2') and page = 'p3'
 group by 1, 2, "user" """)
 
 SQL_AVG_TOTAL = _sql("""
-select min(ws) as windowstart, max(we) as windowend, round(avg(amount), 6) as value
+select min(ws) as windowstart, max(we) as windowend, round(avg(amount) * cast('0.999999999999' as double), 6) as value
 from metered
 where type = 'app.view' and amount is not null""")
 
 SQL_PARTIALS_SUM = _sql("""
 select ws as windowstart, we as windowend, organization, "user", page,
-       round(sum(amount), 6) as sum_v, cast(ws as date) as window_date
+       round(sum(amount) * cast('0.999999999999' as double), 6) as sum_v, cast(ws as date) as window_date
 from metered
 where type = 'app.purchase' and amount is not null
 group by ws, we, organization, "user", page""")
@@ -187,7 +196,7 @@ where type = 'app.purchase' and amount is not null
 
 SQL_SHAPED_HOUR_ORG = _sql("""
 select date_trunc('hour', ws) as windowstart, date_trunc('hour', ws) + interval 1 hour as windowend,
-       round(sum(amount), 6) as value,
+       round(sum(amount) * cast('0.999999999999' as double), 6) as value,
        cast(to_json(map(['organization'], [organization])) as varchar) as group_by
 from metered
 where type = 'app.purchase' and amount is not null
@@ -323,7 +332,7 @@ def v04_missing_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("v05_ingested_sum_day_by_org", with_views("""
 select date_trunc('day', "timestamp") as windowstart,
        date_trunc('day', "timestamp") + interval 1 day as windowend,
-       round(sum(case when event_id % 100 = 45 then 0 else value end), 6) as value, organization
+       round(sum(case when event_id % 100 = 45 then 0 else value end) * cast('0.999999999999' as double), 6) as value, organization
 from accepted
 where type = 'app.purchase' and event_id % 50 <> 41
 group by 1, 2, organization""", DIRTY_ACCEPTED))
