@@ -526,15 +526,13 @@ def c14_assignments_page(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "tenant_slug", "position", "total")
 
 
-@register("c14_assignments_of_plan", _cat_sql("""
-select x.id, x.plan_id, x.user_id, p.tenant_slug
-from assignments_t x join plans_t p on x.plan_id = p.id
-where x.plan_id = 'plan_7' and x.user_id is not null""", PLANS, ASSIGNMENTS))
-def c14_assignments_of_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C14: every user assignment of one plan (all pages)."""
-    users = fx.assignments(spark, sf_dir).where(F.col("user_id").isNotNull())
-    return cat.assignments_of(users, fx.plans(spark, sf_dir), plan_id="plan_7") \
-        .select("id", "plan_id", "user_id", "tenant_slug")
+@register("c14_assignments_with_tenant", _cat_sql("""
+select x.id, x.plan_id, x.organization_id, x.user_id, x.valid_from, x.valid_until, p.tenant_slug
+from assignments_t x join plans_t p on x.plan_id = p.id""", PLANS, ASSIGNMENTS))
+def c14_assignments_with_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14 unpaged: every assignment whose plan exists, with the plan's tenant."""
+    return cat.assignments_of(fx.assignments(spark, sf_dir), fx.plans(spark, sf_dir)) \
+        .select("id", "plan_id", "organization_id", "user_id", "valid_from", "valid_until", "tenant_slug")
 
 
 @register("c15_active_assignments_page", _cat_sql("""

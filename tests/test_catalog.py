@@ -130,3 +130,12 @@ def test_cascade_delete(spark, plans, features, plan_features, quotas):
         plans, features, plan_features, quotas, a, deleted_features=features.where("id = 'f1'")).collect())
     assert gone == [("feature", "f1"), ("plan_feature", "pf1"), ("plan_feature", "pf3"),
                     ("quota", "q1"), ("quota", "q3"), ("quota", "q4")]
+
+
+def test_assignments_of_plan_and_entity(spark, plans):
+    a = spark.createDataFrame(
+        [("a1", "p1", "o1", None), ("a2", "p1", None, "u1"), ("a3", "p3", None, "u1")],
+        "id string, plan_id string, organization_id string, user_id string")
+    assert {r.id for r in cat.assignments_of(a, plans, plan_id="p1").collect()} == {"a1", "a2"}
+    assert {r.id for r in cat.assignments_of(a, plans, user_id="u1").collect()} == {"a2", "a3"}
+    assert {r.id for r in cat.assignments_of(a, plans, tenant="t2").collect()} == {"a3"}
