@@ -74,6 +74,8 @@ Q_MINUTE_USER_EQ = MeterQuery("minute", MONTH_FROM, MONTH_TO, group_by=("page",)
 Q_HOUR_FILTERS = MeterQuery("hour", MONTH_FROM, MONTH_TO, group_by=("user",),
                             filters={"organization": ["org_1", "org_2"], "page": ["p3"], "k": []})
 Q_TOTAL = MeterQuery(None)
+Q_HOUR_UNALIGNED = MeterQuery("hour", dt.datetime(2024, 1, 5, 10, 20, 15), dt.datetime(2024, 1, 7, 18, 10),
+                              group_by=("organization", "page"))
 
 
 def _from_rollup(spec: MeterSpec, q: MeterQuery, *round_cols: str) -> QueryFn:
@@ -174,6 +176,14 @@ select min(ws) as windowstart, max(we) as windowend, round(avg(amount) * cast('0
 from metered
 where type = 'app.view' and amount is not null""")
 
+SQL_COUNT_HOUR_UNALIGNED = _sql("""
+select date_trunc('hour', ws) as windowstart, date_trunc('hour', ws) + interval 1 hour as windowend,
+       cast(count(*) as double) as value, organization, page
+from metered
+where type = 'app.click'
+  and ws >= timestamp '2024-01-05 10:00:00' and we <= timestamp '2024-01-07 19:00:00'
+group by 1, 2, organization, page""")
+
 SQL_PARTIALS_SUM = _sql("""
 select ws as windowstart, we as windowend, organization, "user", page,
        round(sum(amount) * cast('0.999999999999' as double), 6) as sum_v, cast(ws as date) as window_date
@@ -215,6 +225,7 @@ register("q09_sum_minute_user_eq", SQL_SUM_MINUTE_USER)(_from_rollup(SUM_PURCHAS
 register("q10_unique_hour_filters", SQL_UNIQUE_HOUR_FILTERS)(
     _from_rollup(UNIQUE_CLICK_K, Q_HOUR_FILTERS))
 register("q11_avg_total", SQL_AVG_TOTAL)(_from_rollup(AVG_VIEW, Q_TOTAL, "value"))
+register("q14_count_hour_unaligned", SQL_COUNT_HOUR_UNALIGNED)(_from_rollup(COUNT_CLICKS, Q_HOUR_UNALIGNED))
 register("q15_events_sum_day_by_org", SQL_SUM_DAY_ORG)(_from_events(SUM_PURCHASE, Q_SUM_DAY_ORG, "value"))
 register("q16_events_unique_day_by_org", SQL_UNIQUE_DAY_ORG)(_from_events(UNIQUE_CLICK_K, Q_DAY_ORG))
 register("q17_events_count_range_by_page", SQL_COUNT_RANGE_PAGE)(_from_events(COUNT_CLICKS, Q_RANGE_PAGE))
