@@ -5,11 +5,19 @@ Partials of one micro-batch (or backfill) are written with overwrite of their
 own ``batch_id`` directory, so replaying a batch replaces rather than adds.
 Readers merge states on read, so batches need not be disjoint.
 
-Compaction folds every batch up to ``N`` into ``batch_id=c{N}`` and only
-then removes the absorbed directories; readers skip batches ``<= N`` as soon
-as ``c{N}`` exists, so a crash between the two steps never double counts.
-A backfill is written as ``c0`` (everything before the stream), and stream
-epoch ``e`` as batch ``e + 1``.
+Compaction works in layers, so its cost follows the new data, not the
+meter's history:
+
+* a *minor* compaction folds the numbered batches written since the last
+  compaction into ``c{N}`` (covering batches ``(previous, N]``);
+* a *full* compaction folds every live batch and layer into ``f{N}``.
+
+Readers merge the newest ``f{N}``, every ``c{k}`` with ``k > N`` and the
+numbered batches above the highest compaction. A compaction writes its output
+before removing what it absorbed, and a batch directory only counts once its
+``_SUCCESS`` marker is committed, so neither a crash between the two steps nor
+a half-written batch changes what readers see. A backfill is written as
+``f0`` (everything before the stream) and stream epoch ``e`` as batch ``e + 1``.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ from pyspark.sql import types as T
 from meterkit.operators.rollup import HLL_STATE, compact_partials, minute_partials, state_columns
 from meterkit.plans.spec import MeterSpec
 
-_COMPACTED = re.compile(r"^c(\d+)$")
+_LAYER = re.compile(r"^([cf])(\d+)$")
 
 
 def meter_root(root: str, spec: MeterSpec) -> str:
@@ -53,16 +61,22 @@ def _fs(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
-def list_batches(spark: SparkSession, root: str) -> list[str]:
-    """Names of the ``batch_id=...`` directories under a meter root."""
+def list_batches(spark: SparkSession, root: str, committed_only: bool = True) -> list[str]:
+    """Names of the ``batch_id=...`` directories under a meter root
+    (only those whose write committed, unless ``committed_only`` is off)."""
     fs, hpath = _fs(spark, root)
     if not fs.exists(hpath):
         return []
     out = []
     for status in fs.listStatus(hpath):
         name = status.getPath().getName()
-        if status.isDirectory() and name.startswith("batch_id="):
-            out.append(name[len("batch_id="):])
+        if not (status.isDirectory() and name.startswith("batch_id=")):
+            continue
+        if committed_only:
+            marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+            if not fs.exists(marker):
+                continue
+        out.append(name[len("batch_id="):])
     return out
 
 
@@ -71,13 +85,24 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(hpath, True))
 
 
+def _layers(batches: list[str]) -> tuple[int, list[int], list[int]]:
+    """(newest full compaction, minor compactions, numbered batches)."""
+    fulls = [int(m.group(2)) for b in batches if (m := _LAYER.match(b)) and m.group(1) == "f"]
+    minors = [int(m.group(2)) for b in batches if (m := _LAYER.match(b)) and m.group(1) == "c"]
+    numbered = [int(b) for b in batches if b.isdigit()]
+    return (max(fulls) if fulls else -1), minors, numbered
+
+
 def live_batches(batches: list[str]) -> list[str]:
-    """Batches a reader must merge: the newest compaction and later batches."""
-    compacted = [int(m.group(1)) for b in batches if (m := _COMPACTED.match(b))]
-    upto = max(compacted) if compacted else -1
-    live = [b for b in batches if b.isdigit() and int(b) > upto]
-    if compacted:
-        live.append(f"c{upto}")
+    """Batches a reader must merge: newest full compaction, later minor
+    compactions, and numbered batches above every compaction."""
+    full, minors, numbered = _layers(batches)
+    live_minors = sorted(k for k in minors if k > full)
+    upto = max([full, *live_minors])
+    live = [str(b) for b in sorted(numbered) if b > upto]
+    live += [f"c{k}" for k in live_minors]
+    if full >= 0:
+        live.append(f"f{full}")
     return live
 
 
@@ -107,19 +132,32 @@ def read_rollup(spark: SparkSession, root: str, spec: MeterSpec) -> DataFrame:
     return spark.read.schema(schema).option("basePath", base).parquet(*paths)
 
 
-def compact(spark: SparkSession, root: str, spec: MeterSpec) -> str | None:
-    """Fold all live batches into one, then drop the absorbed ones."""
+def compact(spark: SparkSession, root: str, spec: MeterSpec, full: bool = False) -> str | None:
+    """Fold batches into one layer, then drop what it absorbed.
+
+    Minor (default): only the numbered batches above the last compaction,
+    so the cost follows the data written since. Full: every live layer.
+    """
     base = meter_root(root, spec)
-    batches = list_batches(spark, base)
-    live = live_batches(batches)
-    numbered = [int(b) for b in live if b.isdigit()]
-    if not numbered:
+    batches = list_batches(spark, base, committed_only=False)
+    live = live_batches(list_batches(spark, base))
+    new = [int(b) for b in live if b.isdigit()]
+    if not new and not full:
         return None
-    upto = max(numbered)
-    merged = compact_partials(read_rollup(spark, root, spec).drop("batch_id"), spec)
-    out = write_batch(merged, root, spec, f"c{upto}")
+    if full:
+        upto = max([int(b[1:]) if not b.isdigit() else int(b) for b in live] or [0])
+        sources, name = live, f"f{upto}"
+    else:
+        upto = max(new)
+        sources, name = [str(b) for b in new], f"c{upto}"
+    paths = [os.path.join(base, f"batch_id={b}") for b in sources]
+    merged = compact_partials(
+        spark.read.schema(rollup_schema(spec)).option("basePath", base).parquet(*paths).drop("batch_id"), spec)
+    out = write_batch(merged, root, spec, name)
+    absorbed = set(sources) - {name}
     for b in batches:
-        if (b.isdigit() and int(b) <= upto) or (_COMPACTED.match(b) and b != f"c{upto}"):
+        stale_number = b.isdigit() and int(b) <= upto
+        if b in absorbed or stale_number or (full and _LAYER.match(b) and b != name):
             delete_path(spark, os.path.join(base, f"batch_id={b}"))
     return out
 
@@ -131,10 +169,10 @@ def drop_rollup(spark: SparkSession, root: str, spec: MeterSpec) -> bool:
 
 def backfill(events: DataFrame, root: str, spec: MeterSpec) -> str | None:
     """M13 (``populate``): build the rollup from the existing events table
-    as compaction ``c0``; without ``populate`` only new events are metered."""
+    as the full layer ``f0``; without ``populate`` only new events are metered."""
     if not spec.populate:
         return None
-    return write_batch(minute_partials(events, spec), root, spec, "c0")
+    return write_batch(minute_partials(events, spec), root, spec, "f0")
 
 
 def write_epoch(partials: DataFrame, root: str, spec: MeterSpec, epoch_id: int) -> str:

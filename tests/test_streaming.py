@@ -119,3 +119,34 @@ def test_kafka_records_and_event_types(spark):
     assert rec.headers[0].key == "content-type" and bytes(rec.headers[0].value) == b"application/json"
     batch = spark.createDataFrame([("a",), ("",), ("a",), ("b",)], "type string")
     assert sorted(r.event_type for r in distinct_event_types(batch).collect()) == ["a", "b"]
+
+
+def test_layered_compaction_and_uncommitted_batches(spark, scratch_dir):
+    from meterkit.operators.rollup import minute_partials
+    events = usage_events(spark, SF_SMALL)
+    quarters = [events.where(F.abs(F.hash("id")) % 4 == i) for i in range(4)]
+    expected = rows(query_events(events, SUM, Q))
+    read = lambda: rows(query_rollup(store.read_rollup(spark, scratch_dir, SUM), SUM, Q))
+    base = store.meter_root(scratch_dir, SUM)
+
+    for i in (0, 1):
+        store.write_epoch(minute_partials(quarters[i], SUM), scratch_dir, SUM, i)
+    assert store.compact(spark, scratch_dir, SUM).endswith("batch_id=c2")
+    for i in (2, 3):
+        store.write_epoch(minute_partials(quarters[i], SUM), scratch_dir, SUM, i)
+    store.compact(spark, scratch_dir, SUM)          # minor: only batches 3 and 4
+    assert sorted(store.list_batches(spark, base)) == ["c2", "c4"]
+    assert store.read_rollup(spark, scratch_dir, SUM).where("batch_id = 'c4'").count() < \
+        minute_partials(events, SUM).count()
+    assert read() == expected
+
+    # a batch whose write never committed is invisible
+    stray = os.path.join(base, "batch_id=5")
+    minute_partials(quarters[0], SUM).write.parquet(stray)
+    os.remove(os.path.join(stray, "_SUCCESS"))
+    assert read() == expected
+
+    store.compact(spark, scratch_dir, SUM, full=True)
+    # the uncommitted batch above the compaction may still be in flight: kept, still unread
+    assert sorted(store.list_batches(spark, base, committed_only=False)) == ["5", "f4"]
+    assert read() == expected
