@@ -114,9 +114,12 @@ def validate(raw: DataFrame, meters: DataFrame, tenant: str | None = None,
     props = F.col("properties")
     if "properties" in raw.columns and dict(raw.dtypes)["properties"] != "string":
         props = F.to_json(props)
-    parsed = variant_map(props)
-    missing = F.filter("required", lambda k: is_empty_json(parsed[k]))
-    ts = _parsed_timestamp(F.col("timestamp"))
+    # Parse once into its own column: lambdas (the per-key emptiness test)
+    # are outside subexpression elimination, so referencing the parse
+    # expression inside them would re-parse the JSON for every key.
+    df = df.select("*", variant_map(props).alias("__parsed"),
+                   _parsed_timestamp(F.col("timestamp")).alias("__timestamp"))
+    df = df.withColumn("__missing", F.filter("required", lambda k: is_empty_json(F.col("__parsed")[k])))
     id_ok = F.lit(True) if not strict_ids else \
         (F.coalesce(F.col("id"), F.lit("")) == "") | F.col("id").rlike(UUID_PATTERN)
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
@@ -125,16 +128,16 @@ def validate(raw: DataFrame, meters: DataFrame, tenant: str | None = None,
         F.when(_nil_event(raw), F.lit("nil_event"))
         .when(empty("type"), F.lit("missing_event_type"))
         .when(empty("organization") | empty("user") | ~id_ok, F.lit("invalid_field"))
-        .when(ts.isNull(), F.lit("invalid_timestamp"))
+        .when(F.col("__timestamp").isNull(), F.lit("invalid_timestamp"))
         .when(F.col("required").isNull(), F.lit("missing_meter"))
-        .when((F.size("required") > 0) & parsed.isNull(), F.lit("invalid_properties"))
-        .when(F.size(missing) > 0, F.lit("missing_properties"))
+        .when((F.size("required") > 0) & F.col("__parsed").isNull(), F.lit("invalid_properties"))
+        .when(F.size("__missing") > 0, F.lit("missing_properties"))
     )
     return df.select(
         *[F.col(c) for c in raw.columns],
-        ts.alias("__timestamp"),
+        "__timestamp",
         reason.alias("reason"),
-        F.when(reason == "missing_properties", missing).alias("missing"),
+        F.when(reason == "missing_properties", F.col("__missing")).alias("missing"),
     )
 
 

@@ -109,14 +109,15 @@ def live_batches(batches: list[str]) -> list[str]:
 def write_batch(partials: DataFrame, root: str, spec: MeterSpec, batch_id: int | str) -> str:
     """Write one batch of partials, replacing that batch if present.
 
-    Rows are range-partitioned on the sort key (date, minute, organization,
-    user), so a busy day is split over many tasks rather than sent to one,
-    and every file covers a narrow, contiguous key range whose Parquet
-    min/max statistics let time-bounded scans skip row groups.
+    The ``rebalance`` hint hash-distributes rows by ``window_date`` and lets
+    AQE size the write tasks: a busy day is split over several tasks, small
+    ones are merged, so files stay few and even without a sampling job. Rows
+    are sorted within each file by the rollup's sort key, so Parquet min/max
+    statistics on ``windowstart`` and the dimensions skip row groups.
     """
     path = os.path.join(meter_root(root, spec), f"batch_id={batch_id}")
     keys = ["window_date", "windowstart", "organization", "user", *spec.dimensions]
-    (partials.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    (partials.hint("rebalance", "window_date").sortWithinPartitions(*keys)
      .write.mode("overwrite").partitionBy("window_date").parquet(path))
     return path
 
