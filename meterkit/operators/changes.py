@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterkit.operators.joins import bounded_broadcast
+from meterkit.session import materialize
 
 # Change actions and outcome reasons.
 ACTIONS = ("CREATE", "UPDATE", "DELETE")
@@ -182,6 +183,14 @@ def apply_changes(current: DataFrame, changes: DataFrame, plans: DataFrame,
     return ordered.mapInPandas(_walk, FOLD_SCHEMA)
 
 
+def apply_changes_materialized(current: DataFrame, changes: DataFrame, plans: DataFrame,
+                               name: str = "assignment_changes") -> DataFrame:
+    """``apply_changes`` written once to the shared checkpoint folder, so
+    outcomes, history and final state are read from it instead of each
+    re-running the fold."""
+    return materialize(apply_changes(current, changes, plans), name)
+
+
 def change_outcomes(folded: DataFrame) -> DataFrame:
     """Per change, applied / no_op / rejected with the reason."""
     return folded.where(F.col("kind") == "outcome").select("change_id", "action", "outcome", "reason")

@@ -68,3 +68,12 @@ def test_sequence_applies_in_order(spark, plans):
     assert [(h.action, h.assignment_id, h.valid_from) for h in history] == [
         ("UPDATE", "a1", ts(12)), ("UPDATE", "a2", ts(15)), ("UPDATE", "a2", ts(15)),
         ("DELETE", "a1", ts(12)), ("CREATE", "asg_c6", ts(3))]
+
+
+def test_materialized_fold_matches(spark, plans):
+    cur = spark.createDataFrame(CURRENT, CUR_SCHEMA)
+    ch = spark.createDataFrame([("c0", 0, "UPDATE", "p1", "o1", None, ts(12), None, False, ts(2))], CHG_SCHEMA)
+    direct = sorted(chg.change_outcomes(chg.apply_changes(cur, ch, plans)).collect())
+    stored = chg.apply_changes_materialized(cur, ch, plans, name="test_fold")
+    assert sorted(chg.change_outcomes(stored).collect()) == direct
+    assert "InMemoryFileIndex" in stored._jdf.queryExecution().executedPlan().toString()
