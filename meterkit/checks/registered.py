@@ -14,11 +14,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.checks.oracle import METERED, USAGE_EVENTS, with_views
+from meterkit.checks.oracle import (
+    ASSIGNMENTS, CHANGE_WALK, CHANGES, DIRTY_ACCEPTED, DIRTY_MISSING, DIRTY_REASON, FEATURES, HISTORY, LINKS,
+    METERED, METERS, PLAN_FEATURES, PLANS, QUOTAS, TENANTS, USAGE_EVENTS, with_views)
+from meterkit.operators import catalog as cat
+from meterkit.operators import changes as chg
+from meterkit.operators import ingest
 from meterkit.operators.query import query_events, query_rollup, result_range, shape_rows
-from meterkit.operators.rollup import compact_partials, minute_partials
+from meterkit.operators.rollup import compact_partials, minute_partials, rollup_rejects
 from meterkit.plans.spec import MeterQuery, MeterSpec
-from meterkit.sources.fixtures import usage_events
+from meterkit.sources import catalog as fx
+from meterkit.sources.fixtures import dirty_meters, dirty_raw_events, usage_events
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -288,10 +294,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 # ---------------------------------------------------------------- ingest ---
-from meterkit.checks.oracle import DIRTY_ACCEPTED, DIRTY_MISSING, DIRTY_REASON  # noqa: E402
-from meterkit.operators import ingest  # noqa: E402
-from meterkit.operators.rollup import rollup_rejects  # noqa: E402
-from meterkit.sources.fixtures import dirty_meters, dirty_raw_events  # noqa: E402
 
 DIRTY_TENANT = "acme"
 
@@ -364,10 +366,6 @@ def v06_non_numeric_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------- catalog ---
-from meterkit.checks.oracle import (  # noqa: E402
-    ASSIGNMENTS, FEATURES, HISTORY, LINKS, METERS, PLAN_FEATURES, PLANS, QUOTAS, TENANTS)
-from meterkit.operators import catalog as cat  # noqa: E402
-from meterkit.sources import catalog as fx  # noqa: E402
 
 
 def _cat_sql(body: str, *views: str) -> str:
@@ -601,8 +599,6 @@ def c22_cascade_archived_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ----------------------------------------------------- assignment changes ---
-from meterkit.checks.oracle import CHANGE_WALK, CHANGES  # noqa: E402
-from meterkit.operators import changes as chg  # noqa: E402
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
