@@ -146,7 +146,9 @@ def compact(spark: SparkSession, root: str, spec: MeterSpec, full: bool = False)
     if not new and not full:
         return None
     if full:
-        upto = max([int(b[1:]) if not b.isdigit() else int(b) for b in live] or [0])
+        if not live or live == [f for f in live if f.startswith("f")]:
+            return None  # nothing to fold: at most one full layer is live
+        upto = max(int(b[1:]) if not b.isdigit() else int(b) for b in live)
         sources, name = live, f"f{upto}"
     else:
         upto = max(new)

@@ -147,6 +147,8 @@ def test_layered_compaction_and_uncommitted_batches(spark, scratch_dir):
     assert read() == expected
 
     store.compact(spark, scratch_dir, SUM, full=True)
+    assert store.compact(spark, scratch_dir, SUM, full=True) is None   # already one layer: no self-overwrite
+    assert store.compact(spark, scratch_dir, SUM) is None
     # the uncommitted batch above the compaction may still be in flight: kept, still unread
     assert sorted(store.list_batches(spark, base, committed_only=False)) == ["5", "f4"]
     assert read() == expected
