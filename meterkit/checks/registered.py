@@ -20,6 +20,7 @@ from meterkit.checks.oracle import (
 from meterkit.operators import catalog as cat
 from meterkit.operators import changes as chg
 from meterkit.operators import ingest
+from meterkit.operators.multi import long_partials
 from meterkit.operators.query import query_events, query_rollup, result_range, shape_rows
 from meterkit.operators.rollup import compact_partials, minute_partials, rollup_rejects
 from meterkit.plans.spec import MeterQuery, MeterSpec
@@ -666,3 +667,29 @@ def c21_assignment_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
                .select(F.col("change_id").alias("id"), "plan_id", "organization_id", "user_id",
                        "valid_from", "valid_until"))
     return cat.assignment_violations(creates)
+
+
+# ------------------------------------------------------------ many meters ---
+
+
+_LONG_SQL_PART = """
+select 'default' as tenant_slug, '{meter}' as meter, ws as windowstart, we as windowend, organization, "user",
+       page as dims, {uniq} as uniq_v,
+       round(sum({num}) * cast('0.999999999999' as double), 6) as sum_v, count({num}) as cnt_num,
+       count(*) as cnt_all, min({num}) as min_v, max({num}) as max_v
+from metered where type = '{type}'
+group by ws, we, organization, "user", page{extra}"""
+
+
+@register("m05_registry_partials", _sql(" union all ".join([
+    _LONG_SQL_PART.format(meter="purchase_amount", type="app.purchase", uniq="cast(null as varchar)",
+                          num="amount", extra=""),
+    _LONG_SQL_PART.format(meter="clicks", type="app.click", uniq="cast(null as varchar)",
+                          num="cast(null as double)", extra=""),
+    _LONG_SQL_PART.format(meter="click_unique_k", type="app.click", uniq="k", num="cast(null as double)",
+                          extra=", k"),
+])))
+def m05_registry_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1-M11 for a registry: three meters' partials from one pass over events."""
+    long = long_partials(usage_events(spark, sf_dir), [SUM_PURCHASE, COUNT_CLICKS, UNIQUE_CLICK_K])
+    return rounded(long.withColumn("dims", F.array_join("dims", "|")), "sum_v")

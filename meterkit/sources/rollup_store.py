@@ -178,6 +178,51 @@ def backfill(events: DataFrame, root: str, spec: MeterSpec) -> str | None:
     return write_batch(minute_partials(events, spec), root, spec, "f0")
 
 
+def write_many(spark: SparkSession, events: DataFrame, root: str, specs: list[MeterSpec],
+               batch_id: int | str, long_path: str | None = None, parallel: int = 8) -> list[str]:
+    """Write one batch of every meter in ``specs`` from a single pass over
+    ``events`` (see ``operators.multi``).
+
+    The long table of all meters' partials is either written to
+    ``long_path`` (large inputs: a table on shared storage, partitioned by
+    meter, that the per-meter writes read back with pruning and that survives
+    executor loss) or cached (micro-batches). Per-meter writes then run
+    ``parallel`` at a time. HLL meters are built on their own.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from meterkit.operators.multi import long_partials, meter_partials
+
+    plain = [s for s in specs if not (s.aggregation == "unique_count" and s.unique_mode == "hll")]
+    sketched = [s for s in specs if s not in plain]
+    long = None
+    if plain:
+        long = long_partials(events, plain)
+        if long_path is not None:
+            long.write.mode("overwrite").partitionBy("tenant_slug", "meter").parquet(long_path)
+            long = spark.read.parquet(long_path)
+        else:
+            long = long.persist()
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+            jobs = [pool.submit(write_batch, meter_partials(long, s), root, s, batch_id) for s in plain]
+            jobs += [pool.submit(write_batch, minute_partials(events, s), root, s, batch_id) for s in sketched]
+            return [j.result() for j in jobs]
+    finally:
+        if long is not None and long_path is None:
+            long.unpersist()
+
+
+def backfill_many(spark: SparkSession, events: DataFrame, root: str, specs: list[MeterSpec],
+                  scratch: str) -> list[str]:
+    """M13 for a whole registry: every ``populate`` meter's ``f0`` layer
+    from one scan of the events table."""
+    todo = [s for s in specs if s.populate]
+    if not todo:
+        return []
+    return write_many(spark, events, root, todo, "f0", long_path=scratch)
+
+
 def write_epoch(partials: DataFrame, root: str, spec: MeterSpec, epoch_id: int) -> str:
     """The partials of stream epoch ``epoch_id`` (idempotent on replay)."""
     return write_batch(partials, root, spec, epoch_id + 1)

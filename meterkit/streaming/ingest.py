@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +28,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from meterkit.operators import ingest
-from meterkit.operators.rollup import minute_partials
 from meterkit.plans.spec import MeterSpec
-from meterkit.sources.rollup_store import write_epoch
+from meterkit.sources.rollup_store import write_many
 
 # Queue form, every field a string (properties as JSON text).
 RAW_EVENT_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in ingest.RAW_FIELDS])
@@ -81,9 +79,9 @@ def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Seq
                   parallel_meters: int = 8) -> None:
     """The body of one micro-batch (also usable as a plain batch job).
 
-    The validated batch is cached once; each meter's rollup is an independent
-    job over it, and up to ``parallel_meters`` of them are submitted at once
-    so many small meters share the cluster instead of queueing one by one.
+    The validated batch is cached once; all meters' partials come from one
+    aggregation over it (``operators.multi``), then each meter's batch is
+    written, up to ``parallel_meters`` at once.
     """
     validated = ingest.validate(batch, meters, tenant=tenant).persist()
     try:
@@ -99,11 +97,9 @@ def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Seq
          .withColumn("missing", F.array_join("missing", ","))
          .write.mode("overwrite").parquet(os.path.join(rejects_path, batch_dir)))
         stored = valid.drop("ingested_at", "event_date")
-        with ThreadPoolExecutor(max_workers=max(1, parallel_meters)) as pool:
-            jobs = [pool.submit(write_epoch, minute_partials(stored, spec), rollup_root, spec, epoch_id)
-                    for spec in specs]
-            for job in jobs:
-                job.result()
+        if specs:
+            write_many(batch.sparkSession, stored, rollup_root, list(specs), epoch_id + 1,
+                       parallel=parallel_meters)
     finally:
         validated.unpersist()
 
