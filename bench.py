@@ -7,7 +7,8 @@ Timed steps (each forces full evaluation; outputs go to the noop sink or to
 Parquet in a fresh scratch folder):
 
 * ``rollup_build_<agg>``: minute partials of one meter per aggregation,
-  written as a rollup batch (M1-M13);
+  written as a rollup batch (M1-M13); ``rollup_build_all_six_one_pass``: the
+  same six meters from one scan (``operators.multi``);
 * ``query_day_rollup`` / ``query_day_events``: the same day-by-organization
   query merged from the stored rollup vs. computed from events (Q3);
 * ``validate_ingest``: validation of the dirty event fixture (V1-V9);
@@ -82,6 +83,9 @@ def main() -> None:
         queries[f"rollup_build_{spec.aggregation}"] = round(sec, 3)
         rollup_rows += store.read_rollup(spark, rollups, spec).count()
     extra["rollup_rows_per_event_row"] = round(rollup_rows / max(1, event_rows * len(SPECS)), 4)
+    many = [MeterSpec(s.slug + "_m", s.event_type, s.aggregation, s.value_property, s.properties) for s in SPECS]
+    sec, _ = timed(lambda: store.backfill_many(spark, events, rollups, many, os.path.join(scratch, "long")))
+    queries["rollup_build_all_six_one_pass"] = round(sec, 3)
 
     sum_spec = SPECS[1]
     rollup = store.read_rollup(spark, rollups, sum_spec)
