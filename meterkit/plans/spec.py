@@ -117,7 +117,8 @@ class MeterQuery:
     window_time_zone: str | None = None
 
     def __post_init__(self):
-        object.__setattr__(self, "group_by", tuple(self.group_by))
+        # a repeated name is one dimension (the result's group_by map has one key per name)
+        object.__setattr__(self, "group_by", tuple(dict.fromkeys(self.group_by)))
         object.__setattr__(self, "filters", {k: tuple(v) for k, v in dict(self.filters).items()})
 
     def validate(self, spec: MeterSpec) -> "MeterQuery":

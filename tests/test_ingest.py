@@ -122,3 +122,12 @@ def test_publish_modes(spark, meters):
         ingest.publish(spark.createDataFrame([ev(type_="")], FIELDS), meters, tenant="t")
     with pytest.raises(ingest.BatchError, match="empty"):
         ingest.publish(spark.createDataFrame([], FIELDS), meters, tenant="t")
+
+
+@pytest.mark.parametrize("text,ok", [
+    ("2024-05-06T12:00:00Z", True), ("2024-05-06T12:00:00.5-03:30", True), ("2024-05-06t12:00:00z", False),
+    ("2024-05-06 12:00:00Z", False), ("2024-05-06T12:00:00", False), ("2024-13-06T12:00:00Z", False),
+])
+def test_rfc3339_only(spark, meters, text, ok):
+    [(_, reason, _)] = reasons(spark, meters, [ev(ts=text)])
+    assert (reason is None) == ok

@@ -74,3 +74,7 @@ def test_empty_filter_list_is_skipped():
     MeterQuery(None, filters={"unknown": []}).validate(SPEC)
     MeterQuery("minute", t(2023, 1, 1), t(2023, 1, 2), group_by=("llm", "organization"),
                filters={"persona": ["a", "b"], "user": ["u"]}, window_time_zone="UTC").validate(SPEC)
+
+
+def test_repeated_group_by_is_one_dimension():
+    assert MeterQuery(None, group_by=("page", "user", "page")).group_by == ("page", "user")
