@@ -74,9 +74,17 @@ def kafka_records(valid: DataFrame) -> DataFrame:
     )
 
 
+def publish_to_kafka(valid: DataFrame, bootstrap_servers: str, topic: str) -> None:
+    """Write accepted events to the event topic (needs the spark-sql-kafka
+    package). Records are keyed ``{organization}-{user}``, so the broker's key
+    partitioner keeps one organization-user pair on one partition."""
+    (kafka_records(valid).write.format("kafka")
+     .option("kafka.bootstrap.servers", bootstrap_servers).option("topic", topic).save())
+
+
 def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Sequence[MeterSpec],
                   events_path: str, rejects_path: str, rollup_root: str, tenant: str | None = None,
-                  parallel_meters: int = 8) -> None:
+                  parallel_meters: int = 8, kafka_sink: tuple[str, str] | None = None) -> None:
     """The body of one micro-batch (also usable as a plain batch job).
 
     The validated batch is cached once; all meters' partials come from one
@@ -97,6 +105,8 @@ def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Seq
          .withColumn("missing", F.array_join("missing", ","))
          .write.mode("overwrite").parquet(os.path.join(rejects_path, batch_dir)))
         stored = valid.drop("ingested_at", "event_date")
+        if kafka_sink is not None:
+            publish_to_kafka(stored, *kafka_sink)
         if specs:
             write_many(batch.sparkSession, stored, rollup_root, list(specs), epoch_id + 1,
                        parallel=parallel_meters)
