@@ -693,3 +693,25 @@ def m05_registry_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1-M11 for a registry: three meters' partials from one pass over events."""
     long = long_partials(usage_events(spark, sf_dir), [SUM_PURCHASE, COUNT_CLICKS, UNIQUE_CLICK_K])
     return rounded(long.withColumn("dims", F.array_join("dims", "|")), "sum_v")
+
+
+@register("l01_event_types", """
+select distinct event_type from (
+  select case event_id % 50 when 7 then '' when 11 then 'unknown.type' else concat('app.', event_type) end
+         as event_type
+  from events) where event_type <> ''""")
+def l01_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: the non-empty event types of the dirty batch."""
+    return ingest.distinct_event_types(dirty_raw_events(spark, sf_dir))
+
+
+@register("l02_meters_for_types", """
+with types as (select distinct concat('app.', event_type) as event_type from events)
+select concat(event_type, '.sum') as slug, event_type, 'sum' as aggregation from types
+union all
+select concat(event_type, '.unique_count'), event_type, 'unique_count' from types""")
+def l02_meters_for_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: the tenant's meters whose type occurs in the batch (semi-join)."""
+    types = ingest.distinct_event_types(dirty_raw_events(spark, sf_dir))
+    found = ingest.meters_for_types(dirty_meters(spark, sf_dir), types, tenant=DIRTY_TENANT)
+    return found.select("slug", "event_type", "aggregation")
