@@ -36,12 +36,18 @@ RAW_EVENT_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in
 
 
 def parse_event_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """JSON line -> the seven raw fields; an unparsable line gives all nulls
-    (``nil_event``). ``properties`` given as an object is kept as JSON text."""
-    schema = T.StructType([f if f.name != "properties" else T.StructField("properties", T.StringType())
-                           for f in RAW_EVENT_SCHEMA])
-    parsed = F.from_json(F.col(column).cast("string"), schema)
-    return lines.select(parsed.alias("e")).select(*[F.col(f"e.{n}").alias(n) for n in ingest.RAW_FIELDS])
+    """JSON line -> the seven raw fields.
+
+    A line that is not a JSON object gives all nulls (``nil_event``); in a
+    line that is one, absent fields are ``''`` as Go's decoder leaves them
+    (so ``{}`` is an event with an empty type). ``properties`` given as an
+    object is kept as its JSON text.
+    """
+    text = F.col(column).cast("string")
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+    decoded = lines.select(F.from_json(text, RAW_EVENT_SCHEMA).alias("__e"), is_object.alias("__ok"))
+    return decoded.select(*[F.when(F.col("__ok"), F.coalesce(F.col(f"__e.{n}"), F.lit(""))).alias(n)
+                            for n in ingest.RAW_FIELDS])
 
 
 def kafka_event_source(spark: SparkSession, bootstrap_servers: str, topic: str,

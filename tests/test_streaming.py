@@ -152,3 +152,20 @@ def test_layered_compaction_and_uncommitted_batches(spark, scratch_dir):
     # the uncommitted batch above the compaction may still be in flight: kept, still unread
     assert sorted(store.list_batches(spark, base, committed_only=False)) == ["5", "f4"]
     assert read() == expected
+
+
+def test_event_lines_nil_versus_empty(spark):
+    from meterkit.operators import ingest
+    from meterkit.streaming.ingest import parse_event_lines
+    lines = spark.createDataFrame([("{bad",), ("[1,2]",), ("{}",), (
+        '{"id":"e1","type":"app.click","organization":"o","user":"u","timestamp":"2024-01-01T00:00:00Z",'
+        '"properties":{"page":"p1","k":"k1","amount":2}}',)], "value string")
+    parsed = parse_event_lines(lines)
+    rows = parsed.collect()
+    assert [r.type for r in rows] == [None, None, "", "app.click"]
+    assert rows[3].properties == '{"page":"p1","k":"k1","amount":2}'
+    meters = spark.createDataFrame([("app.click", "sum", "amount", ["page"], "acme")],
+                                   "event_type string, aggregation string, value_property string, "
+                                   "properties array<string>, tenant_slug string")
+    reasons = [r.reason for r in ingest.validate(parsed, meters, tenant="acme").collect()]
+    assert reasons == ["nil_event", "nil_event", "missing_event_type", None]
