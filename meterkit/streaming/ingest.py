@@ -22,7 +22,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -90,14 +90,18 @@ def publish_to_kafka(valid: DataFrame, bootstrap_servers: str, topic: str) -> No
 
 def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Sequence[MeterSpec],
                   events_path: str, rejects_path: str, rollup_root: str, tenant: str | None = None,
-                  parallel_meters: int = 8, kafka_sink: tuple[str, str] | None = None) -> None:
+                  parallel_meters: int = 8, kafka_sink: tuple[str, str] | None = None) -> dict[str, int]:
     """The body of one micro-batch (also usable as a plain batch job).
 
     The validated batch is cached once; all meters' partials come from one
     aggregation over it (``operators.multi``), then each meter's batch is
-    written, up to ``parallel_meters`` at once.
+    written, up to ``parallel_meters`` at once. Returns the batch's counts
+    (V9), observed while the batch is first computed (no extra job).
     """
-    validated = ingest.validate(batch, meters, tenant=tenant).persist()
+    counts = Observation(f"ingest_{epoch_id}")
+    validated = ingest.validate(batch, meters, tenant=tenant).observe(
+        counts, F.count(F.lit(1)).alias("events"),
+        F.count(F.when(F.col("reason").isNull(), F.lit(1))).alias("accepted")).persist()
     try:
         batch_dir = f"batch_id={epoch_id + 1}"
         valid = (ingest.typed_events(validated)
@@ -116,6 +120,9 @@ def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Seq
         if specs:
             write_many(batch.sparkSession, stored, rollup_root, list(specs), epoch_id + 1,
                        parallel=parallel_meters)
+        seen = counts.get
+        return {"events": seen["events"], "accepted": seen["accepted"],
+                "rejected": seen["events"] - seen["accepted"]}
     finally:
         validated.unpersist()
 

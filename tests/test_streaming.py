@@ -68,8 +68,9 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, scratch_dir):
     before = rows(query_rollup(store.read_rollup(spark, paths["rollups"], SUM), SUM, Q))
     replay = spark.read.text(os.path.join(inbox, "events_1.json"))
     from meterkit.streaming.ingest import parse_event_lines
-    process_batch(parse_event_lines(replay), 1, meters, [SUM], paths["events"], paths["rejects"],
-                  paths["rollups"], tenant="acme")
+    counts = process_batch(parse_event_lines(replay), 1, meters, [SUM], paths["events"], paths["rejects"],
+                           paths["rollups"], tenant="acme")
+    assert counts["events"] == replay.count() and counts["rejected"] == 0
     assert rows(query_rollup(store.read_rollup(spark, paths["rollups"], SUM), SUM, Q)) == before
 
     # Compaction keeps results and leaves one batch behind.
