@@ -61,3 +61,24 @@ def test_jobs_backfill_query_compact_drop(spark, scratch_dir):
     jobs.run(["compact", *common, "--full"], spark)
     jobs.run(["drop", *common], spark)
     assert not os.path.exists(os.path.join(root, "tenant=acme", "meter=purchases"))
+
+
+def test_jobs_ingest_available_now(spark, scratch_dir):
+    from meterkit.sources.fixtures import dirty_raw_events
+    inbox = os.path.join(scratch_dir, "inbox")
+    (dirty_raw_events(spark, SF_SMALL).drop("seq").select(F.to_json(F.struct("*")).alias("value"))
+     .repartition(2).write.text(inbox))
+    registry = os.path.join(scratch_dir, "meters.json")
+    with open(registry, "w") as fh:
+        for agg, vp in (("sum", "amount"), ("unique_count", "k")):
+            fh.write(json.dumps({"slug": f"purchase_{agg}", "event_type": "app.purchase", "aggregation": agg,
+                                 "value_property": vp, "properties": ["page"], "tenant_slug": "acme"}) + "\n")
+    paths = {k: os.path.join(scratch_dir, k) for k in ("events", "rejects", "rollups", "ckpt")}
+    assert jobs.run(["ingest", "--source", inbox, "--meters", registry, "--tenant", "acme",
+                     "--events-path", paths["events"], "--rejects-path", paths["rejects"],
+                     "--rollup-root", paths["rollups"], "--checkpoint", paths["ckpt"], "--available-now"],
+                    spark) == 0
+    total = dirty_raw_events(spark, SF_SMALL).count()
+    stored, rejected = spark.read.parquet(paths["events"]).count(), spark.read.parquet(paths["rejects"]).count()
+    assert stored + rejected == total and rejected > 0
+    assert os.path.isdir(os.path.join(paths["rollups"], "tenant=acme", "meter=purchase_sum"))
