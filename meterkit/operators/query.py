@@ -144,14 +144,21 @@ def query_events(events: DataFrame, spec: MeterSpec, q: MeterQuery) -> DataFrame
     """Answer a meter query directly from typed events (no rollup).
 
     Besides the window predicates an implied range on the raw ``timestamp``
-    is added so Parquet statistics can skip row groups.
+    is added so Parquet statistics can skip row groups, and on
+    ``event_date`` when the events table is partitioned by it.
     """
     q.validate(spec)
     start, end = q.bounds()
+    dated = "event_date" in events.columns
     if start is not None:
-        events = events.where(F.col("timestamp") >= F.lit(start.replace(second=0, microsecond=0)))
+        floor = start.replace(second=0, microsecond=0)
+        events = events.where(F.col("timestamp") >= F.lit(floor))
+        if dated:
+            events = events.where(F.col("event_date") >= F.lit(floor.date()))
     if end is not None:
         events = events.where(F.col("timestamp") < F.lit(end))
+        if dated:
+            events = events.where(F.col("event_date") <= F.lit(_last_date_before(end)))
     df = _dimension_filters(extract(events, spec), q)
     df = _time_range(df, q, partitioned=False)
     if spec.aggregation in ("sum", "avg", "min", "max"):

@@ -170,3 +170,15 @@ def test_event_lines_nil_versus_empty(spark):
                                    "properties array<string>, tenant_slug string")
     reasons = [r.reason for r in ingest.validate(parsed, meters, tenant="acme").collect()]
     assert reasons == ["nil_event", "nil_event", "missing_event_type", None]
+
+
+def test_direct_query_prunes_event_dates(spark, scratch_dir):
+    events = usage_events(spark, SF_SMALL).withColumn("event_date", F.to_date("timestamp"))
+    events.write.partitionBy("event_date").parquet(scratch_dir + "/events")
+    from meterkit.sources.events import read_events
+    stored = read_events(spark, scratch_dir + "/events")
+    q = MeterQuery("day", dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 5), group_by=("organization",))
+    out = query_events(stored, SUM, q)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert rows(out) == rows(query_events(usage_events(spark, SF_SMALL), SUM, q))
