@@ -76,9 +76,10 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
 
     spark = spark or build_session()
     if args.command == "backfill":
-        from meterkit.sources.events import read_events
+        from meterkit.session import scratch_path
         spec = _spec(args)
-        store.backfill(read_events(spark, args.events, event_type=spec.event_type), args.rollup_root, spec)
+        store.backfill_from_events_table(spark, args.events, args.rollup_root, [spec],
+                                         scratch_path(spark, f"backfill_{spec.tenant_slug}_{spec.slug}"))
     elif args.command == "compact":
         store.compact(spark, args.rollup_root, _spec(args), full=args.full)
     elif args.command == "drop":

@@ -223,6 +223,32 @@ def backfill_many(spark: SparkSession, events: DataFrame, root: str, specs: list
     return write_many(spark, events, root, todo, "f0", long_path=scratch)
 
 
+def backfill_from_events_table(spark: SparkSession, events_path: str, root: str,
+                               specs: list[MeterSpec], scratch: str) -> str | None:
+    """M13 against the ingest job's events table, race-free.
+
+    The events table and the rollups share batch numbers (epoch ``e`` is
+    batch ``e + 1`` in both). The backfill reads the committed event batches
+    up to the highest one, ``N``, and writes every meter's rollup as layer
+    ``f{N}``. Readers then take stream batches above ``N`` only, so an epoch
+    that is in the backfill and is later replayed by the stream is never
+    counted twice, and a meter can be added while ingest keeps running.
+    """
+    from pyspark.sql import functions as F
+
+    from meterkit.sources.events import read_events
+
+    numbered = [int(b) for b in list_batches(spark, events_path) if b.isdigit()]
+    todo = [s for s in specs if s.populate]
+    if not numbered or not todo:
+        return None
+    upto = max(numbered)
+    events = read_events(spark, events_path).where(
+        F.col("batch_id").isin(*[str(b) for b in numbered if b <= upto]))
+    write_many(spark, events, root, todo, f"f{upto}", long_path=scratch)
+    return f"f{upto}"
+
+
 def write_epoch(partials: DataFrame, root: str, spec: MeterSpec, epoch_id: int) -> str:
     """The partials of stream epoch ``epoch_id`` (idempotent on replay)."""
     return write_batch(partials, root, spec, epoch_id + 1)

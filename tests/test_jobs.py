@@ -40,7 +40,7 @@ def test_request_parsing():
 def test_jobs_backfill_query_compact_drop(spark, scratch_dir):
     events_path = os.path.join(scratch_dir, "events")
     (usage_events(spark, SF_SMALL).withColumn("event_date", F.to_date("timestamp"))
-     .write.partitionBy("event_date").parquet(os.path.join(events_path, "batch_id=0")))
+     .write.partitionBy("event_date").parquet(os.path.join(events_path, "batch_id=1")))
     meter, query = os.path.join(scratch_dir, "m.json"), os.path.join(scratch_dir, "q.json")
     json.dump(METER, open(meter, "w"))
     json.dump(QUERY, open(query, "w"))
