@@ -5,6 +5,8 @@
     spark-submit meterkit/jobs.py compact  --rollup-root ROOT --meter meter.json --tenant acme [--full]
     spark-submit meterkit/jobs.py query    --rollup-root ROOT --meter meter.json --tenant acme --query q.json --out OUT
     spark-submit meterkit/jobs.py drop     --rollup-root ROOT --meter meter.json --tenant acme
+    spark-submit meterkit/jobs.py changes  --changes changes.json --plans PLANS --state S --history H
+                                            --outcomes O --batch-id N
 
 ``meter.json`` is a ``POST /v1/meters`` body, ``q.json`` a ``POST /v1/meters/query``
 body, ``meters.json`` a JSON-lines file of registry rows (event_type,
@@ -31,6 +33,12 @@ from meterkit.session import build_session  # noqa: E402
 from meterkit.sources import rollup_store as store  # noqa: E402
 
 
+# Change requests (POST / PUT / DELETE on assignments), one JSON object per line.
+CHANGE_SCHEMA = ("change_id string, seq long, action string, plan_id string, organization_id string, "
+                 "user_id string, valid_from timestamp, valid_until timestamp, clear_valid_until boolean, "
+                 "requested_at timestamp")
+
+
 def _load(path: str) -> dict:
     with open(path) as fh:
         return json.load(fh)
@@ -61,6 +69,13 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     p.add_argument("--out", required=True)
     p = sub.add_parser("drop")
     meter_args(p)
+    p = sub.add_parser("changes")
+    p.add_argument("--changes", required=True)
+    p.add_argument("--plans", required=True)
+    p.add_argument("--state", required=True)
+    p.add_argument("--history", required=True)
+    p.add_argument("--outcomes", required=True)
+    p.add_argument("--batch-id", type=int, required=True)
     p = sub.add_parser("ingest")
     p.add_argument("--source")
     p.add_argument("--kafka")
@@ -93,6 +108,11 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         result.write.mode("overwrite").parquet(os.path.join(args.out, "rows"))
         written = spark.read.parquet(os.path.join(args.out, "rows"))
         result_range(written, q).write.mode("overwrite").parquet(os.path.join(args.out, "range"))
+    elif args.command == "changes":
+        from meterkit.sources.assignments_store import apply_change_batch
+        changes = spark.read.schema(CHANGE_SCHEMA).json(args.changes)
+        apply_change_batch(spark, changes, spark.read.parquet(args.plans), args.state, args.history,
+                           args.outcomes, args.batch_id)
     elif args.command == "ingest":
         from meterkit.plans.spec import MeterSpec
         from meterkit.streaming.ingest import file_event_source, kafka_event_source, start_ingest

@@ -77,3 +77,24 @@ def test_materialized_fold_matches(spark, plans):
     stored = chg.apply_changes_materialized(cur, ch, plans, name="test_fold")
     assert sorted(chg.change_outcomes(stored).collect()) == direct
     assert "InMemoryFileIndex" in stored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_change_batches_persist_and_replay(spark, plans, scratch_dir):
+    from meterkit.sources import assignments_store as st
+    cur = spark.createDataFrame(CURRENT, CUR_SCHEMA)
+    st.write_initial_state(cur, scratch_dir + "/state")
+    batch1 = spark.createDataFrame([("c0", 0, "UPDATE", "p1", "o1", None, ts(12), None, False, ts(2)),
+                                    ("c1", 1, "DELETE", "p1", None, "u1", None, None, False, ts(3))], CHG_SCHEMA)
+    batch2 = spark.createDataFrame([("c2", 2, "CREATE", "p1", None, "u1", ts(5), None, False, ts(4)),
+                                    ("c3", 3, "UPDATE", "p1", "o1", None, ts(11), None, False, ts(5))], CHG_SCHEMA)
+    args = (scratch_dir + "/state", scratch_dir + "/history", scratch_dir + "/outcomes")
+    st.apply_change_batch(spark, batch1, plans, *args, batch_id=1)
+    st.apply_change_batch(spark, batch2, plans, *args, batch_id=2)
+    st.apply_change_batch(spark, batch1, plans, *args, batch_id=1)   # replay of batch 1
+    st.apply_change_batch(spark, batch2, plans, *args, batch_id=2)   # and of batch 2
+    state = {r.id: r for r in st.read_state(spark, scratch_dir + "/state").collect()}
+    assert set(state) == {"a1", "asg_c2"} and state["a1"].valid_from == ts(12)
+    history = st.read_history(spark, scratch_dir + "/history").collect()
+    assert sorted((h.id, h.action) for h in history) == [("h_c0", "UPDATE"), ("h_c1", "DELETE"), ("h_c2", "CREATE")]
+    outcomes = {r.change_id: r.reason for r in spark.read.parquet(scratch_dir + "/outcomes").collect()}
+    assert outcomes["c3"] == "valid_from_before_current"

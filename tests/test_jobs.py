@@ -82,3 +82,25 @@ def test_jobs_ingest_available_now(spark, scratch_dir):
     stored, rejected = spark.read.parquet(paths["events"]).count(), spark.read.parquet(paths["rejects"]).count()
     assert stored + rejected == total and rejected > 0
     assert os.path.isdir(os.path.join(paths["rollups"], "tenant=acme", "meter=purchase_sum"))
+
+
+def test_jobs_changes(spark, scratch_dir):
+    from meterkit.sources import assignments_store as st
+    from meterkit.sources import catalog as fx
+    st.write_initial_state(fx.assignments(spark, SF_SMALL), scratch_dir + "/state")
+    fx.plans(spark, SF_SMALL).write.parquet(scratch_dir + "/plans")
+    changes = scratch_dir + "/changes.json"
+    with open(changes, "w") as fh:
+        fh.write(json.dumps({"change_id": "x1", "seq": 1, "action": "DELETE", "plan_id": "plan_8",
+                             "organization_id": "org_0", "requested_at": "2024-02-01T00:00:00Z"}) + "\n")
+        fh.write(json.dumps({"change_id": "x2", "seq": 2, "action": "CREATE", "plan_id": "plan_8",
+                             "organization_id": "org_0", "valid_from": "2024-03-01T00:00:00Z",
+                             "requested_at": "2024-02-02T00:00:00Z"}) + "\n")
+    jobs.run(["changes", "--changes", changes, "--plans", scratch_dir + "/plans", "--state", scratch_dir + "/state",
+              "--history", scratch_dir + "/history", "--outcomes", scratch_dir + "/outcomes", "--batch-id", "1"],
+             spark)
+    out = {r.change_id: (r.outcome, r.reason) for r in spark.read.parquet(scratch_dir + "/outcomes").collect()}
+    assert out["x2"][0] in ("applied", "rejected") and set(out) == {"x1", "x2"}
+    before = fx.assignments(spark, SF_SMALL).count()
+    after = st.read_state(spark, scratch_dir + "/state").count()
+    assert after - before == (out["x2"][0] == "applied") - (out["x1"][0] == "applied")
