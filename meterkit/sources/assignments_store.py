@@ -10,6 +10,7 @@ outputs: idempotent without a transactional table format.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +52,9 @@ def apply_change_batch(spark: SparkSession, changes: DataFrame, plans: DataFrame
     if batch_id < 1:
         raise ValueError("change batches are numbered from 1 (version 0 is the initial state)")
     current = read_state(spark, state_path, before=batch_id)
-    folded = chg.apply_changes_materialized(current, changes, plans, name=f"assignment_fold_{batch_id}")
+    # one scratch table per (state table, batch): a replay reuses it, two state tables never share it
+    tag = hashlib.sha1(state_path.encode()).hexdigest()[:12]
+    folded = chg.apply_changes_materialized(current, changes, plans, name=f"assignment_fold_{tag}_{batch_id}")
     out = {
         "history": os.path.join(history_path, f"batch_id={batch_id}"),
         "outcomes": os.path.join(outcomes_path, f"batch_id={batch_id}"),
