@@ -79,7 +79,7 @@ def _merge_value(spec: MeterSpec) -> Column:
     elif agg == "max":
         value = F.max("max_v")
     elif agg == "count":
-        value = F.sum("cnt_v")
+        value = F.coalesce(F.sum("cnt_v"), F.lit(0))  # countMerge of nothing is 0
     elif spec.unique_mode == "hll":
         value = F.hll_sketch_estimate(F.hll_union_agg(HLL_STATE, True))
     else:
@@ -161,13 +161,13 @@ def query_events(events: DataFrame, spec: MeterSpec, q: MeterQuery) -> DataFrame
             events = events.where(F.col("event_date") <= F.lit(_last_date_before(end)))
     df = _dimension_filters(extract(events, spec), q)
     df = _time_range(df, q, partitioned=False)
-    if spec.aggregation in ("sum", "avg", "min", "max"):
-        out = _aggregate(df, q, _direct_value(spec), F.col(VALUE).isNotNull())
-        return out.where(F.col("value").isNotNull())
-    if spec.numeric_value:
-        out = _aggregate(df, q, _direct_value(spec), F.col(VALUE).isNotNull())
-        return out.where(F.col("value") > 0)
-    return _aggregate(df, q, _direct_value(spec))
+    if not spec.numeric_value:
+        return _aggregate(df, q, _direct_value(spec))
+    out = _aggregate(df, q, _direct_value(spec), F.col(VALUE).isNotNull())
+    if q.window_size is None and not q.group_by:
+        return out  # a global aggregate keeps its single row, as the rollup path does
+    # groups that saw only non-numeric values have no rollup row either
+    return out.where(F.col("value") > 0) if spec.aggregation == "count" else out.where(F.col("value").isNotNull())
 
 
 def result_range(result: DataFrame, q: MeterQuery) -> DataFrame:

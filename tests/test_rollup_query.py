@@ -146,3 +146,13 @@ def test_count_of_values_when_enabled(spark):
     assert [(r[2], r[3]) for r in merged] == [(1.0, "a"), (1.0, "b")]
     assert sorted(r.id for r in rollup_rejects(ev, spec).collect()) == ["2", "3"]
     assert sum(r[2] for r in rows(query_rollup(minute_partials(ev, api), api, q))) == 4.0
+
+
+@pytest.mark.parametrize("agg,expected", [("sum", None), ("avg", None), ("max", None), ("count", 0.0),
+                                          ("unique_count", 0.0)])
+def test_global_query_over_no_rows_agrees(spark, events, agg, expected):
+    spec = SPECS[agg]
+    q = MeterQuery(None, dt.datetime(2030, 1, 1), dt.datetime(2030, 1, 2))
+    merged = query_rollup(minute_partials(events, spec), spec, q).collect()
+    direct = query_events(events, spec, q).collect()
+    assert [tuple(r) for r in merged] == [tuple(r) for r in direct] == [(None, None, expected)]
