@@ -19,6 +19,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterkit.functions import column
 from meterkit.functions.time import window_end, window_start
 from meterkit.operators.rollup import HLL_STATE, VALUE, extract
 from meterkit.plans.spec import MeterQuery, MeterSpec
@@ -30,9 +31,9 @@ def _dimension_filters(df: DataFrame, q: MeterQuery) -> DataFrame:
         if not values:
             continue
         if len(values) == 1:
-            df = df.where(F.col(name) == F.lit(values[0]))
+            df = df.where(column(name) == F.lit(values[0]))
         else:
-            df = df.where(F.col(name).isin(*values))
+            df = df.where(column(name).isin(*values))
     return df
 
 
@@ -114,11 +115,11 @@ def _aggregate(df: DataFrame, q: MeterQuery, value: Column, counted: Column | No
     ``counted`` marks the rows that carry a value; the whole-range bounds are
     taken over those rows only.
     """
-    dims = list(q.group_by)
+    dims = [column(d) for d in q.group_by]
     if q.window_size is not None:
         keys = _window_keys(q)
         out = df.groupBy(*keys, *dims).agg(value)
-        return out.select("windowstart", "windowend", "value", *dims)
+        return out.select("windowstart", "windowend", "value", *[column(d) for d in q.group_by])
     # Q4: whole range -> earliest start and latest end of the matched minutes.
     start, end = F.col("windowstart"), F.col("windowend")
     if counted is not None:
@@ -128,7 +129,7 @@ def _aggregate(df: DataFrame, q: MeterQuery, value: Column, counted: Column | No
         F.max(end).alias("windowend"),
         value,
     )
-    return out.select("windowstart", "windowend", "value", *dims)
+    return out.select("windowstart", "windowend", "value", *[column(d) for d in q.group_by])
 
 
 def query_rollup(partials: DataFrame, spec: MeterSpec, q: MeterQuery,
@@ -203,7 +204,7 @@ def shape_rows(result: DataFrame, q: MeterQuery) -> DataFrame:
     if dims:
         packed = F.map_filter(
             F.map_from_arrays(F.array(*[F.lit(d) for d in dims]),
-                              F.array(*[F.col(d).cast("string") for d in dims])),
+                              F.array(*[column(d).cast("string") for d in dims])),
             lambda k, v: v.isNotNull())
     else:
         packed = F.create_map().cast("map<string,string>")

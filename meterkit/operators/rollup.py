@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterkit.functions import column
 from meterkit.functions.json import text_map, text_value
 from meterkit.functions.time import window_end, window_start
 from meterkit.plans.spec import MeterSpec
@@ -52,9 +53,9 @@ def state_columns(spec: MeterSpec) -> tuple[str, ...]:
     return STATE_COLUMNS[spec.aggregation]
 
 
-def group_columns(spec: MeterSpec) -> list[str]:
+def group_columns(spec: MeterSpec) -> list[Column]:
     """Rollup grain, in the reference's sort-key order."""
-    return ["windowstart", "windowend", "organization", "user", *spec.dimensions]
+    return [column(c) for c in ("windowstart", "windowend", "organization", "user", *spec.dimensions)]
 
 
 def value_column(spec: MeterSpec, parsed: Column) -> Column | None:
@@ -175,7 +176,7 @@ def merge_states(spec: MeterSpec) -> list[Column]:
 
 def compact_partials(partials: DataFrame, spec: MeterSpec) -> DataFrame:
     """Fold rows with equal grain into one (AggregatingMergeTree merge)."""
-    keys = group_columns(spec) + ["window_date"]
+    keys = group_columns(spec) + [F.col("window_date")]
     if spec.aggregation == "unique_count" and spec.unique_mode == "exact":
         return partials.select(*keys, "uniq_v").distinct()
     return partials.groupBy(*keys).agg(*merge_states(spec))

@@ -28,6 +28,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from meterkit.functions import column
 from meterkit.operators.rollup import HLL_STATE, compact_partials, minute_partials, state_columns
 from meterkit.plans.spec import MeterSpec
 
@@ -116,7 +117,7 @@ def write_batch(partials: DataFrame, root: str, spec: MeterSpec, batch_id: int |
     statistics on ``windowstart`` and the dimensions skip row groups.
     """
     path = os.path.join(meter_root(root, spec), f"batch_id={batch_id}")
-    keys = ["window_date", "windowstart", "organization", "user", *spec.dimensions]
+    keys = [column(c) for c in ("window_date", "windowstart", "organization", "user", *spec.dimensions)]
     (partials.hint("rebalance", "window_date").sortWithinPartitions(*keys)
      .write.mode("overwrite").partitionBy("window_date").parquet(path))
     return path

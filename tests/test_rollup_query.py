@@ -156,3 +156,19 @@ def test_global_query_over_no_rows_agrees(spark, events, agg, expected):
     merged = query_rollup(minute_partials(events, spec), spec, q).collect()
     direct = query_events(events, spec, q).collect()
     assert [tuple(r) for r in merged] == [tuple(r) for r in direct] == [(None, None, expected)]
+
+
+def test_property_names_with_dots_and_spaces(spark):
+    ev = spark.createDataFrame(
+        [("1", "t", "o", "u", dt.datetime(2024, 1, 1, 0, 0, 5), '{"user.id":"a","a b":"x","v":1}'),
+         ("2", "t", "o", "u", dt.datetime(2024, 1, 1, 0, 0, 9), '{"user.id":"a","a b":"y","v":2}'),
+         ("3", "t", "o", "u", dt.datetime(2024, 1, 1, 0, 1, 9), '{"user.id":"b","a b":"x","v":4}')],
+        "id string, type string, organization string, user string, timestamp timestamp, properties string")
+    spec = MeterSpec("m", "t", "sum", "v", ("user.id", "a b")).validate()
+    q = MeterQuery("hour", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), group_by=("user.id",),
+                   filters={"a b": ["x"]})
+    merged = query_rollup(compact_partials(minute_partials(ev, spec), spec), spec, q)
+    assert merged.columns == ["windowstart", "windowend", "value", "user.id"]
+    assert sorted((r["user.id"], r["value"]) for r in merged.collect()) == [("a", 1.0), ("b", 4.0)]
+    assert rows(merged) == rows(query_events(ev, spec, q))
+    assert shape_rows(merged, q).first().group_by.keys() == {"user.id"}
