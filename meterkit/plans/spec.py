@@ -18,7 +18,8 @@ SUPPORTED_TIME_ZONE = "UTC"
 
 # Columns every rollup carries; a property may not shadow them.
 FIXED_DIMENSIONS = ("organization", "user")
-RESERVED_COLUMNS = FIXED_DIMENSIONS + ("windowstart", "windowend", "window_date", "value")
+RESERVED_COLUMNS = FIXED_DIMENSIONS + ("windowstart", "windowend", "window_date", "batch_id", "value",
+                                       "sum_v", "cnt_v", "min_v", "max_v", "uniq_v", "uniq_hll")
 
 WINDOW_LENGTH = {
     "minute": dt.timedelta(minutes=1),

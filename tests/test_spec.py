@@ -20,6 +20,8 @@ def test_count_meter_blanks_value_property():
     dict(aggregation="sum", value_property=None),
     dict(aggregation="sum", value_property="v", properties=()),
     dict(aggregation="sum", value_property="v", properties=("user",)),
+    dict(aggregation="sum", value_property="v", properties=("batch_id",)),
+    dict(aggregation="sum", value_property="v", properties=("sum_v",)),
     dict(aggregation="unique_count", value_property="v", unique_mode="bogus"),
 ])
 def test_invalid_specs(kwargs):
