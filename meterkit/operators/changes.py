@@ -61,13 +61,14 @@ def _key() -> F.Column:
 
 
 def precheck(changes: DataFrame, plans: DataFrame) -> DataFrame:
-    """C20/C21 and unknown plans: reasons that do not depend on state."""
+    """C20/C21, entity and unknown-plan rules: reasons that do not depend on state."""
     p = plans.select(F.col("id").alias("__pid"), F.col("archived_at").alias("__archived"))
     df = changes.join(bounded_broadcast(p), changes["plan_id"] == p["__pid"], "left")
     create = F.col("action") == "CREATE"
     one_entity = F.col("organization_id").isNotNull() != F.col("user_id").isNotNull()
+    # every action names exactly one of organization / user (the API's rule)
     reason = (F.when(~F.col("action").isin(*ACTIONS), F.lit("unknown_action"))
-              .when(create & ~one_entity, F.lit("not_exactly_one_entity"))
+              .when(~one_entity, F.lit("not_exactly_one_entity"))
               .when(create & F.col("valid_from").isNull(), F.lit("missing_valid_from"))
               .when(create & F.col("valid_until").isNotNull() & (F.col("valid_from") > F.col("valid_until")),
                     F.lit("valid_from_after_valid_until"))

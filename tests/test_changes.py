@@ -42,6 +42,8 @@ def run(spark, plans, changes):
     (("CREATE", "p1", "o1", None, ts(1), None, False), "already_assigned"),
     (("CREATE", "p2", "o5", None, ts(1), None, False), "plan_archived"),
     (("CREATE", "p1", "o5", "u5", ts(1), None, False), "not_exactly_one_entity"),
+    (("UPDATE", "p1", "o1", "u1", ts(11), None, False), "not_exactly_one_entity"),
+    (("DELETE", "p1", None, None, None, None, False), "not_exactly_one_entity"),
     (("CREATE", "p1", "o5", None, ts(5), ts(4), False), "valid_from_after_valid_until"),
 ])
 def test_rejections(spark, plans, change, reason):
