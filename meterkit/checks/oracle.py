@@ -214,11 +214,11 @@ changes_t as (
 # in parallel (recursive CTE): the independent twin of the Spark fold.
 CHANGE_WALK = """checked_k as (
   select c.*, concat_ws('|', c.plan_id, coalesce(c.organization_id, ''), coalesce(c.user_id, '')) as key,
-         case when (c.organization_id is not null) = (c.user_id is not null)
-                then 'not_exactly_one_entity'
-              when c.action = 'CREATE' and c.valid_from is null then 'missing_valid_from'
+         case when c.action = 'CREATE' and c.valid_from is null then 'missing_valid_from'
               when c.action = 'CREATE' and c.valid_until is not null and c.valid_from > c.valid_until
                 then 'valid_from_after_valid_until'
+              when (c.organization_id is not null) = (c.user_id is not null)
+                then 'not_exactly_one_entity'
               when c.action = 'CREATE' and p.id is null then 'unknown_plan'
               when c.action = 'CREATE' and p.archived_at is not null then 'plan_archived' end as pre_reason
   from changes_t c left join plans_t p on c.plan_id = p.id),

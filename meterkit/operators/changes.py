@@ -66,12 +66,13 @@ def precheck(changes: DataFrame, plans: DataFrame) -> DataFrame:
     df = changes.join(bounded_broadcast(p), changes["plan_id"] == p["__pid"], "left")
     create = F.col("action") == "CREATE"
     one_entity = F.col("organization_id").isNotNull() != F.col("user_id").isNotNull()
-    # every action names exactly one of organization / user (the API's rule)
+    # the API's order: dates of a create, then exactly one of organization /
+    # user (every action), then the plan lookup
     reason = (F.when(~F.col("action").isin(*ACTIONS), F.lit("unknown_action"))
-              .when(~one_entity, F.lit("not_exactly_one_entity"))
               .when(create & F.col("valid_from").isNull(), F.lit("missing_valid_from"))
               .when(create & F.col("valid_until").isNotNull() & (F.col("valid_from") > F.col("valid_until")),
                     F.lit("valid_from_after_valid_until"))
+              .when(~one_entity, F.lit("not_exactly_one_entity"))
               .when(create & F.col("__pid").isNull(), F.lit("unknown_plan"))
               .when(create & F.col("__archived").isNotNull(), F.lit("plan_archived")))
     return df.select(*changes.columns, reason.alias("pre_reason"))
