@@ -133,9 +133,14 @@ def validate(raw: DataFrame, meters: DataFrame, tenant: str | None = None,
         .when((F.size("required") > 0) & F.col("__parsed").isNull(), F.lit("invalid_properties"))
         .when(F.size("__missing") > 0, F.lit("missing_properties"))
     )
+    # The stored id, decided once here so every output of the batch (events
+    # table, topic) carries the same one; uuid() is seeded per partition, so a
+    # recomputed partition reproduces it.
+    stored_id = F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.expr("uuid()")).otherwise(F.col("id"))
     return df.select(
         *[F.col(c) for c in raw.columns],
         "__timestamp",
+        stored_id.alias("__id"),
         reason.alias("reason"),
         F.when(reason == "missing_properties", F.col("__missing")).alias("missing"),
     )
@@ -147,7 +152,7 @@ def typed_events(validated: DataFrame) -> DataFrame:
     if dict(validated.dtypes)["properties"] != "string":
         props = F.to_json(props)
     return validated.where(F.col("reason").isNull()).select(
-        F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.expr("uuid()")).otherwise(F.col("id")).alias("id"),
+        F.col("__id").alias("id"),
         "type",
         F.coalesce(F.col("source"), F.lit("")).alias("source"),
         "organization",
@@ -159,7 +164,7 @@ def typed_events(validated: DataFrame) -> DataFrame:
 
 def rejected_events(validated: DataFrame) -> DataFrame:
     """Rejected events with their reason and the missing names."""
-    keep = [c for c in validated.columns if c not in ("__timestamp",)]
+    keep = [c for c in validated.columns if c not in ("__timestamp", "__id")]
     return validated.where(F.col("reason").isNotNull()).select(*keep)
 
 
