@@ -17,20 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterkit.operators import changes as chg
 from meterkit.sources.rollup_store import list_batches
+from meterkit.sources.storage import list_subdirs
 
 
 def _versions(spark: SparkSession, state_path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(state_path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return []
-    out = []
-    for status in fs.listStatus(hpath):
-        name = status.getPath().getName()
-        if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            out.append(int(name[len("version="):]))
-    return sorted(out)
+    return sorted(int(v) for v in list_subdirs(spark, state_path, "version=") if v.isdigit())
 
 
 def write_initial_state(assignments: DataFrame, state_path: str) -> None:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from meterkit.functions import column
+from meterkit.sources.storage import delete_path, list_subdirs
 from meterkit.operators.rollup import HLL_STATE, compact_partials, minute_partials, state_columns
 from meterkit.plans.spec import MeterSpec
 
@@ -56,34 +57,10 @@ def rollup_schema(spec: MeterSpec) -> T.StructType:
     return T.StructType(fields)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
-
-
 def list_batches(spark: SparkSession, root: str, committed_only: bool = True) -> list[str]:
     """Names of the ``batch_id=...`` directories under a meter root
     (only those whose write committed, unless ``committed_only`` is off)."""
-    fs, hpath = _fs(spark, root)
-    if not fs.exists(hpath):
-        return []
-    out = []
-    for status in fs.listStatus(hpath):
-        name = status.getPath().getName()
-        if not (status.isDirectory() and name.startswith("batch_id=")):
-            continue
-        if committed_only:
-            marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if not fs.exists(marker):
-                continue
-        out.append(name[len("batch_id="):])
-    return out
-
-
-def delete_path(spark: SparkSession, path: str) -> bool:
-    fs, hpath = _fs(spark, path)
-    return bool(fs.delete(hpath, True))
+    return list_subdirs(spark, root, "batch_id=", committed_only)
 
 
 def _layers(batches: list[str]) -> tuple[int, list[int], list[int]]:
