@@ -29,7 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from meterkit.operators import ingest
 from meterkit.plans.spec import MeterSpec
-from meterkit.sources.rollup_store import write_many
+from meterkit.sources.rollup_store import compact, write_many
 
 # Queue form, every field a string (properties as JSON text).
 RAW_EVENT_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in ingest.RAW_FIELDS])
@@ -90,13 +90,17 @@ def publish_to_kafka(valid: DataFrame, bootstrap_servers: str, topic: str) -> No
 
 def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Sequence[MeterSpec],
                   events_path: str, rejects_path: str, rollup_root: str, tenant: str | None = None,
-                  parallel_meters: int = 8, kafka_sink: tuple[str, str] | None = None) -> dict[str, int]:
+                  parallel_meters: int = 8, kafka_sink: tuple[str, str] | None = None,
+                  compact_every: int | None = None) -> dict[str, int]:
     """The body of one micro-batch (also usable as a plain batch job).
 
     The validated batch is cached once; all meters' partials come from one
     aggregation over it (``operators.multi``), then each meter's batch is
-    written, up to ``parallel_meters`` at once. Returns the batch's counts
-    (V9), observed while the batch is first computed (no extra job).
+    written, up to ``parallel_meters`` at once. Every ``compact_every``
+    epochs each meter's new batches are folded into one layer (a minor
+    compaction, M12), which bounds the number of batch directories a reader
+    lists. Returns the batch's counts (V9), observed while the batch is
+    first computed (no extra job).
     """
     counts = Observation(f"ingest_{epoch_id}")
     validated = ingest.validate(batch, meters, tenant=tenant).observe(
@@ -120,6 +124,9 @@ def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Seq
         if specs:
             write_many(batch.sparkSession, stored, rollup_root, list(specs), epoch_id + 1,
                        parallel=parallel_meters)
+            if compact_every and (epoch_id + 1) % compact_every == 0:
+                for spec in specs:
+                    compact(batch.sparkSession, rollup_root, spec)
         seen = counts.get
         return {"events": seen["events"], "accepted": seen["accepted"],
                 "rejected": seen["events"] - seen["accepted"]}
@@ -130,10 +137,11 @@ def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Seq
 def start_ingest(source: DataFrame, meters: DataFrame, specs: Sequence[MeterSpec], events_path: str,
                  rejects_path: str, rollup_root: str, checkpoint_location: str,
                  tenant: str | None = None, available_now: bool = False,
-                 processing_time: str | None = None) -> StreamingQuery:
+                 processing_time: str | None = None, compact_every: int | None = None) -> StreamingQuery:
     """Start the continuous ingest query."""
     def run(batch: DataFrame, epoch_id: int) -> None:
-        process_batch(batch, epoch_id, meters, specs, events_path, rejects_path, rollup_root, tenant)
+        process_batch(batch, epoch_id, meters, specs, events_path, rejects_path, rollup_root, tenant,
+                      compact_every=compact_every)
 
     writer = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
     if available_now:

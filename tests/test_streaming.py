@@ -206,3 +206,21 @@ def test_backfill_while_ingest_runs_never_double_counts(spark, scratch_dir):
                       tenant="acme")
     got = rows(query_rollup(store.read_rollup(spark, paths["rollups"], SUM), SUM, Q))
     assert got == rows(query_events(events, SUM, Q))
+
+
+def test_stream_compacts_every_k_epochs(spark, scratch_dir):
+    from meterkit.sources.fixtures import dirty_meters
+    from meterkit.streaming.ingest import parse_event_lines
+    events = usage_events(spark, SF_SMALL)
+    lines = events.select(F.to_json(F.struct(
+        "id", "type", "source", "organization", "user",
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "properties")).alias("value"))
+    meters = dirty_meters(spark, SF_SMALL)
+    paths = [os.path.join(scratch_dir, k) for k in ("events", "rejects", "rollups")]
+    for epoch in range(5):
+        part = parse_event_lines(lines.where(F.abs(F.hash("value")) % 5 == epoch))
+        process_batch(part, epoch, meters, [SUM], *paths, tenant="acme", compact_every=2)
+    base = store.meter_root(paths[2], SUM)
+    assert sorted(store.list_batches(spark, base)) == ["5", "c2", "c4"]
+    got = rows(query_rollup(store.read_rollup(spark, paths[2], SUM), SUM, Q))
+    assert got == rows(query_events(events, SUM, Q))
