@@ -87,6 +87,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     p.add_argument("--rollup-root", required=True)
     p.add_argument("--checkpoint", required=True)
     p.add_argument("--available-now", action="store_true")
+    p.add_argument("--compact-every", type=int, default=None)
     args = parser.parse_args(argv)
 
     spark = spark or build_session()
@@ -125,7 +126,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         source = kafka_event_source(spark, args.kafka, args.topic) if args.kafka \
             else file_event_source(spark, args.source)
         query = start_ingest(source, meters, specs, args.events_path, args.rejects_path, args.rollup_root,
-                             args.checkpoint, tenant=args.tenant, available_now=args.available_now)
+                             args.checkpoint, tenant=args.tenant, available_now=args.available_now,
+                             compact_every=args.compact_every)
         query.awaitTermination()
     return 0
 
