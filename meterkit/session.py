@@ -21,6 +21,9 @@ SESSION_DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # per-tenant pages use a partial group limit before the shuffle when
+    # offset + limit stays under this bound (default 1000): 100 pages of 100
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 
