@@ -224,3 +224,14 @@ def test_stream_compacts_every_k_epochs(spark, scratch_dir):
     assert sorted(store.list_batches(spark, base)) == ["5", "c2", "c4"]
     got = rows(query_rollup(store.read_rollup(spark, paths[2], SUM), SUM, Q))
     assert got == rows(query_events(events, SUM, Q))
+
+
+def test_empty_micro_batch(spark, scratch_dir):
+    from meterkit.sources.fixtures import dirty_meters
+    from meterkit.streaming.ingest import parse_event_lines
+    empty = parse_event_lines(spark.createDataFrame([], "value string"))
+    paths = [os.path.join(scratch_dir, k) for k in ("events", "rejects", "rollups")]
+    counts = process_batch(empty, 0, dirty_meters(spark, SF_SMALL), [SUM, UNIQ], *paths, tenant="acme")
+    assert counts == {"events": 0, "accepted": 0, "rejected": 0}
+    assert store.read_rollup(spark, paths[2], SUM).count() == 0
+    assert query_rollup(store.read_rollup(spark, paths[2], UNIQ), UNIQ, Q).count() == 0
