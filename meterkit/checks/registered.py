@@ -715,3 +715,14 @@ def l02_meters_for_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = ingest.distinct_event_types(dirty_raw_events(spark, sf_dir))
     found = ingest.meters_for_types(dirty_meters(spark, sf_dir), types, tenant=DIRTY_TENANT)
     return found.select("slug", "event_type", "aggregation")
+
+
+@register("c04_meters_page_one_tenant", _cat_sql("""
+select id, slug, tenant_slug, created_at from meters_t where tenant_slug = 'asia'
+order by created_at desc, id desc limit 25 offset 50""", METERS))
+def c04_meters_page_one_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 as the reference serves it: one tenant's page 3 (limit 25), as an
+    ordered top-k with offset."""
+    meters = fx.meters(spark, sf_dir).where(F.col("tenant_slug") == "asia")
+    return cat.page_of(meters, cat.newest_first(), cat.Page(3, 25)).select("id", "slug", "tenant_slug",
+                                                                             "created_at")
