@@ -131,3 +131,19 @@ def test_publish_modes(spark, meters):
 def test_rfc3339_only(spark, meters, text, ok):
     [(_, reason, _)] = reasons(spark, meters, [ev(ts=text)])
     assert (reason is None) == ok
+
+
+def test_whole_registry_when_no_tenant(spark, meters):
+    # type1 is metered by tenant t (propA, propB, valueProp) and other_tenant (propA):
+    # without a tenant the requirements are the union, as for a shared event stream
+    df = spark.createDataFrame([ev(props='{"propA":"a"}')], FIELDS)
+    [row] = ingest.validate(df, meters).collect()
+    assert row.reason == "missing_properties" and list(row.missing) == ["propB", "valueProp"]
+
+
+def test_read_catalog(spark, scratch_dir):
+    from meterkit.sources.catalog_io import read_catalog
+    spark.createDataFrame([("p1", "t")], "id string, tenant_slug string").write.parquet(scratch_dir + "/plan")
+    assert read_catalog(spark, "plan", scratch_dir + "/plan").count() == 1
+    with pytest.raises(ValueError):
+        read_catalog(spark, "invoices", scratch_dir + "/plan")
