@@ -44,24 +44,33 @@ def main() -> None:
     q = MeterQuery("day", dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 10), group_by=("organization",),
                    filters={"page": ["p1", "p2"]})
     sections = [
-        ("Minute rollup build (sum meter)", minute_partials(events, R.SUM_PURCHASE)),
+        ("Minute rollup build (sum meter)", minute_partials(events, R.SUM_PURCHASE),
+         "partial_sum before the one exchange on the rollup grain; the properties are parsed once."),
         ("Meter query merged from a stored rollup (sum, day, filter)",
-         query_rollup(store.read_rollup(spark, root, R.SUM_PURCHASE), R.SUM_PURCHASE, q)),
+         query_rollup(store.read_rollup(spark, root, R.SUM_PURCHASE), R.SUM_PURCHASE, q),
+         "PartitionFilters on window_date, PushedFilters for page and the window bounds, five-column ReadSchema."),
         ("Meter query merged from a stored rollup (exact unique, day)",
-         query_rollup(store.read_rollup(spark, root, R.UNIQUE_CLICK_K), R.UNIQUE_CLICK_K, q)),
-        ("Same query straight from events", query_events(events, R.SUM_PURCHASE, q)),
+         query_rollup(store.read_rollup(spark, root, R.UNIQUE_CLICK_K), R.UNIQUE_CLICK_K, q),
+         "two-phase distinct: partial aggregation on (group, value), then partial_count(distinct) on the group."),
+        ("Same query straight from events", query_events(events, R.SUM_PURCHASE, q),
+         "the raw timestamp range is pushed below the projection; a single aggregation."),
         ("Registry rollup, one pass for three meters",
-         long_partials(events, [R.SUM_PURCHASE, R.COUNT_CLICKS, R.UNIQUE_CLICK_K])),
-        ("Event validation", ingest.validate(dirty_raw_events(spark, sf), dirty_meters(spark, sf), tenant="acme")),
-        ("Per-tenant page (page 2 of 20) with totals", cat.plans_page(fx.plans(spark, sf), cat.Page(2, 20))),
-        ("Quota rule check", cat.quota_violations(fx.quotas(spark, sf))),
+         long_partials(events, [R.SUM_PURCHASE, R.COUNT_CLICKS, R.UNIQUE_CLICK_K]),
+         "one scan, BroadcastHashJoin with the meter definitions, one aggregation for all meters."),
+        ("Event validation", ingest.validate(dirty_raw_events(spark, sf), dirty_meters(spark, sf), tenant="acme"),
+         "BroadcastHashJoin with the per-type requirements (no shuffle of events); one JSON parse per event."),
+        ("Per-tenant page (page 2 of 20) with totals", cat.plans_page(fx.plans(spark, sf), cat.Page(2, 20)),
+         "WindowGroupLimit Partial before the exchange, Final after it; totals from a partial count."),
+        ("Quota rule check", cat.quota_violations(fx.quotas(spark, sf)),
+         "duplicates from a partial count per plan-feature joined back, not a window over the key."),
         ("Assignment change fold",
-         chg.apply_changes(fx.assignments(spark, sf), fx.assignment_changes(spark, sf), fx.plans(spark, sf))),
+         chg.apply_changes(fx.assignments(spark, sf), fx.assignment_changes(spark, sf), fx.plans(spark, sf)),
+         "one hash exchange on the key, a sort within partitions, then MapInPandas streaming the sorted rows."),
     ]
     out = ["# Physical plans of the headline operators", "",
            f"Generated by `tools/plans_report.py` on `{os.path.basename(sf)}` (local[8], AQE on; initial plans).", ""]
-    for title, df in sections:
-        out += [f"## {title}", "", "```", plan(df).rstrip(), "```", ""]
+    for title, df, note in sections:
+        out += [f"## {title}", "", f"What to look for: {note}", "", "```", plan(df).rstrip(), "```", ""]
     with open(os.path.join(HERE, "docs", "PLANS.md"), "w") as fh:
         fh.write("\n".join(out))
     spark.stop()
