@@ -11,9 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.llm import exact_dedup, shard
+from meterkit.llm import bpe, decontaminate, exact_dedup, shard, token_counts
 
 SHARDS = 16
+TOKEN_LIMIT = 512
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +47,65 @@ from documents window g as (partition by coalesce(text, ''))
 """
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    return (token_counts.count_tokens(docs, tokenizer_file())
+            .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")))
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated(found).alias("contaminated"))
+
+
+OP9_SQL = r"""
+with item as (
+    select item_id::varchar as item_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark where text is not null),
+gram as (
+    select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as g
+    from (select item_id, w, least(13, len(w)) as k, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i
+          from item where len(w) > 0)),
+doc as (
+    select doc_id, coalesce(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w
+    from documents),
+win as (
+    select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as g
+    from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i
+          from doc, (select distinct k from gram) where len(w) >= k)),
+hit as (select doc_id, i, win.k, item_id from win join gram using (k, g)),
+word as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from hit) group by 1),
+ids as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as items
+        from hit group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from doc left join word using (doc_id) left join ids using (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sharding": op3_sharding,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_token_counts": op6_token_counts,
+        "op7_bpe_round_trip": op7_bpe_round_trip,
+        "op9_decontamination": op9_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
