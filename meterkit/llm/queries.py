@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.llm import bpe, decontaminate, exact_dedup, shard, token_counts
+from meterkit.llm import bpe, decontaminate, exact_dedup, near_dedup, shard, token_counts
 
 SHARDS = 16
 TOKEN_LIMIT = 512
@@ -47,6 +47,33 @@ from documents window g as (partition by coalesce(text, ''))
 """
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=3, threshold=85)
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+OP5_SQL = r"""
+with recursive doc as (
+    select doc_id, coalesce(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w
+    from documents),
+shingle as (
+    select distinct doc_id, s from (
+        select doc_id, array_to_string(w[i:i + 2], ' ') as s
+        from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from doc where len(w) > 0))),
+size as (select doc_id, count(*) as n from shingle group by 1),
+shared as (select a.doc_id as u, b.doc_id as v, count(*) as k
+         from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by all),
+link as (select u, v from shared join size a on a.doc_id = u join size b on b.doc_id = v
+         where 100 * k >= 85 * (a.n + b.n - k)),
+edge as (select u, v from link union all select v, u from link),
+walk(doc_id, reached) as (
+    select doc_id, doc_id from doc union select w.doc_id, e.v from walk w join edge e on e.u = w.reached)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, min(reached) as component_id, doc_id = min(reached) as kept
+from walk left join size using (doc_id) group by doc_id, n
+"""
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
@@ -101,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sharding": op3_sharding,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_near_dedup": op5_near_dedup,
         "op6_token_counts": op6_token_counts,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op9_decontamination": op9_decontamination,
@@ -108,4 +136,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op5_near_dedup": OP5_SQL, "op9_decontamination": OP9_SQL}
