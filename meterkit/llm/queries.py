@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.llm import bpe, decontaminate, exact_dedup, near_dedup, shard, token_counts
+from meterkit.llm import bpe, decontaminate, exact_dedup, near_dedup, shard, substring_dedup, token_counts
 
 SHARDS = 16
 TOKEN_LIMIT = 512
@@ -27,6 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed",
+                      F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+with doc as (
+    select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+win as (
+    select doc_id, i, row_number() over (partition by g order by doc_id, i) as nth
+    from (select doc_id, i, array_to_string(w[i:i + 19], ' ') as g
+          from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from doc where len(w) >= 20))),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from win where nth > 1),
+word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from doc),
+kept as (select doc_id, count(*) as n, string_agg(x, ' ' order by p) as t from word anti join gone using (doc_id, p) group by 1)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from doc left join kept using (doc_id)
+"""
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     out = shard.uniform_shards(table(spark, sf_dir, "documents"), SHARDS, columns={
@@ -126,6 +147,7 @@ from doc left join word using (doc_id) left join ids using (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_sharding": op3_sharding,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_near_dedup": op5_near_dedup,
@@ -136,4 +158,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op5_near_dedup": OP5_SQL, "op9_decontamination": OP9_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_near_dedup": OP5_SQL, "op9_decontamination": OP9_SQL}

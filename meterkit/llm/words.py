@@ -53,9 +53,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a text column end to end, and where each text begins
+    """The UTF-8 bytes of a text column (or a binary column's) end to end, and where each text begins
     and ends. Null counts as empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    wide = pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string()
+    column = column.cast(wide)
+    if column.null_count:
+        column = pc.fill_null(column, b"" if wide == pa.large_binary() else "")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
     if data is None or not len(offsets):
