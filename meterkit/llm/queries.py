@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.llm import bpe, decontaminate, exact_dedup, near_dedup, shard, substring_dedup, token_counts
+from meterkit.llm import bpe, decontaminate, exact_dedup, near_dedup, quality, shard, substring_dedup, token_counts
 
 SHARDS = 16
 TOKEN_LIMIT = 512
@@ -106,6 +106,28 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
 
 
+#: Score from which a document counts as good.
+GOOD = 0.7
+
+
+def remainder(n: int):
+    """crc32 of the doc_id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """Fitted on ``docs`` and on the labels that may be learnt from."""
+    good = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (remainder(4) != 2)).select("doc_id")
+    return quality.train(docs, good, remainder(4) != 2)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -153,6 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_near_dedup": op5_near_dedup,
         "op6_token_counts": op6_token_counts,
         "op7_bpe_round_trip": op7_bpe_round_trip,
+        "op8_quality": op8_quality,
         "op9_decontamination": op9_decontamination,
     }
 
