@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.llm import bpe, decontaminate, exact_dedup, near_dedup, quality, shard, substring_dedup, token_counts
+from meterkit.llm import bpe, ctw, decontaminate, exact_dedup, near_dedup, quality, shard, substring_dedup, token_counts
 
 SHARDS = 16
 TOKEN_LIMIT = 512
@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    out = ctw.score_texts(table(spark, sf_dir, "documents"), train)
+    return out.select(F.col("id").alias("doc_id"), (~F.col("trained")).alias("held_out"), "n_tokens", "n_known",
+                      "train_tokens", "base_score", "score")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed",
@@ -169,6 +176,7 @@ from doc left join word using (doc_id) left join ids using (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ctw_scoring": op1_ctw_scoring,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_sharding": op3_sharding,
         "op4_exact_dedup": op4_exact_dedup,
