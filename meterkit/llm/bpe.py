@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
@@ -208,27 +209,33 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFram
     return df.mapInArrow(run, StructType([*df.schema.fields]).add("decoded", StringType()))
 
 
-def round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """``df`` without ``text_col`` and with ``n_tokens``, ``ids_sha256`` (of the
-    ids joined by commas) and ``decoded_sha256`` (of the text decoded from
-    them): encode and decode in one pass, moving digests only."""
-    added = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    _refuse(df, added)
+def round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """``df`` with ``n_tokens``, ``ids_sha256`` (of the ids joined by commas)
+    and ``decoded_sha256`` (of the text decoded from them): encode and decode in
+    one pass. With ``keep_ids`` also ``ids``, and the text stays; else the text
+    is dropped, and digests only move. Nulls and clashes as in ``encode``."""
+    added = StructType().add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
+    if keep_ids:
+        added = added.add("ids", ArrayType(IntegerType()))
+    _refuse(df, added.names)
     content = _broadcast(df, tokenizer_path)
+    rest = [f for f in df.schema.fields if keep_ids or f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(content.value)
         for batch in batches:
             for part in W.slices(batch, text_col):
-                n, ids_hash, text_hash = [], [], []
+                n, ids_hash, text_hash, ids_of = [], [], [], []
                 for text in part.column(text_col).to_pylist():
                     ids = own.encode(text or "")
                     n.append(ids.count(",") + 1 if ids else 0)
                     ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_hash.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
-                rest = [c for c in part.schema.names if c != text_col]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in rest), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], names=[*rest, *added])
-
-    kept = StructType([f for f in df.schema.fields if f.name != text_col])
-    return df.mapInArrow(run, kept.add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType()))
+                    if keep_ids:
+                        ids_of.append(np.fromstring(ids, dtype=np.int32, sep=",") if ids else np.zeros(0, np.int32))
+                columns = [*(part.column(f.name) for f in rest), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+                if keep_ids:
+                    columns.append(pa.array(ids_of, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in rest), *added.names])
+
+    return df.mapInArrow(run, StructType([*rest, *added.fields]))

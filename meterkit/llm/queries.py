@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.llm import bpe, ctw, decontaminate, exact_dedup, near_dedup, quality, shard, substring_dedup, token_counts
+from meterkit.llm import bpe, ctw, decontaminate, exact_dedup, near_dedup, preferences, quality, shard, substring_dedup, token_counts
 
 SHARDS = 16
 TOKEN_LIMIT = 512
@@ -174,6 +174,58 @@ from doc left join word using (doc_id) left join ids using (doc_id)
 """
 
 
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preferences.format_pairs(preferences.swapped_answers(table(spark, sf_dir, "conversations")))
+    spans = "array_join(transform({0}, x -> concat(x.start, ':', x.length)), ',')"
+    return out.select(
+        "pair_id", "prompt_turns", "chosen_turns", "rejected_turns",
+        *(F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")),
+        *(F.expr(spans.format(c)).alias(c) for c in ("chosen_mask", "rejected_mask")))
+
+
+OP10_SQL = r"""
+with turns as (select conv_id, turn, role, text from conversations where conv_id is not null),
+last as (select conv_id, max({'turn': turn, 'text': coalesce(text, '')}) as l from turns where role = 'assistant' group by 1),
+ends as (select a.conv_id, a.l, b.l.text as other from last a left join last b on b.conv_id = xor(a.conv_id, 1)),
+marked as (
+    select t.*, l, other, coalesce(role = 'assistant' and turn is not distinct from l.turn and coalesce(text, '') = l.text, false) as is_last
+    from turns t left join ends using (conv_id)),
+sides as (
+    select conv_id, 'chosen' as side, turn, coalesce(role, '') as role, coalesce(text, '') as text from marked
+    union all
+    select conv_id, 'rejected', turn, coalesce(role, ''), coalesce(case when is_last then other else text end, '')
+    from marked where not is_last or other is not null),
+placed as (
+    select conv_id, side, role, text, row_number() over (partition by conv_id, side order by turn nulls first, role, text) as i,
+           '<|' || role || '|>' || chr(10) as head, replace(text, '<|', '< |') as body
+    from sides),
+aligned as (
+    select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.i, r.i) as i,
+           coalesce(c.role = r.role and c.text = r.text, false) as same
+    from (from placed where side = 'chosen') c full join (from placed where side = 'rejected') r on c.conv_id = r.conv_id and c.i = r.i),
+prefix as (select conv_id, coalesce(min(i) filter (not same) - 1, count(*)) as k from aligned group by 1),
+cut as (
+    select p.*, k, i > k as after, length(head) + length(body) + 8 as size from placed p join prefix using (conv_id)),
+offs as (
+    select *, coalesce(sum(size) over (partition by conv_id, side, after order by i rows between unbounded preceding and 1 preceding), 0) as begins
+    from cut),
+done as (
+    select conv_id, any_value(k) as k,
+           coalesce(string_agg(head || body || '<|end|>' || chr(10), '' order by i) filter (side = 'chosen' and not after), '') as prompt,
+           coalesce(string_agg(head || body || '<|end|>' || chr(10), '' order by i) filter (side = 'chosen' and after), '') as chosen,
+           coalesce(string_agg(head || body || '<|end|>' || chr(10), '' order by i) filter (side = 'rejected' and after), '') as rejected,
+           coalesce(string_agg((begins + length(head))::bigint || ':' || (length(body) + 7), ',' order by i)
+                    filter (side = 'chosen' and after and role = 'assistant'), '') as chosen_mask,
+           coalesce(string_agg((begins + length(head))::bigint || ':' || (length(body) + 7), ',' order by i)
+                    filter (side = 'rejected' and after and role = 'assistant'), '') as rejected_mask,
+           count(*) filter (side = 'chosen' and after) as nc, count(*) filter (side = 'rejected' and after) as nr
+    from offs group by 1)
+select conv_id as pair_id, k::int as prompt_turns, nc::int as chosen_turns, nr::int as rejected_turns, sha256(prompt) as prompt_sha256,
+       sha256(chosen) as chosen_sha256, sha256(rejected) as rejected_sha256, chosen_mask, rejected_mask
+from done
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ctw_scoring": op1_ctw_scoring,
@@ -185,8 +237,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_quality": op8_quality,
         "op9_decontamination": op9_decontamination,
+        "op10_preferences": op10_preferences,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_near_dedup": OP5_SQL, "op9_decontamination": OP9_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_near_dedup": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_preferences": OP10_SQL}
