@@ -30,6 +30,16 @@ def text_value(parsed: Column, key: str) -> Column:
     return F.coalesce(parsed[key], F.lit(""))
 
 
+#: Fixed value: texts that are a decimal number. A plain cast would also take
+#: Java's forms (``12d``, ``0x1p3``, padded text, ``NaN``).
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def number(text: Column) -> Column:
+    """The double that ``text`` writes out, null for any other text."""
+    return F.when(text.rlike(NUMBER), text).try_cast("double")
+
+
 def variant_map(properties: Column) -> Column:
     """Parse for validation: ``map<string,variant>`` or null when unparsable.
 

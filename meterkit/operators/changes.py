@@ -7,14 +7,21 @@ the state left by the accepted changes before it (C19: an update may not move
 ``valid_from`` back or past the current end, nor extend a bounded end), so a
 key's changes form a sequential fold.
 
-Plan: state-independent checks (C20 archived plan, C21 entity and range,
-unknown plan) are columns computed in Spark; then current rows and changes
-are hash-partitioned by key and sorted within partitions by (key, order),
-and one ``mapInPandas`` pass walks each partition's sorted stream carrying
-one key's state at a time (O(1) state, nothing collected per key; a hot key
-is a long sequential stream in one task, which is what its order demands).
-The pass emits one outcome row per change (with the history image when
-applied) and one final row per live key.
+Plan:
+
+1. State-independent checks (C20 archived plan, C21 entity and range, unknown
+   plan) are columns computed in Spark.
+2. Assignments whose key no change names pass through; only those of changed
+   keys are shuffled with the changes.
+3. A key with one change is resolved by column expressions.
+4. The others are folded by one ``mapInPandas`` pass over rows sorted by key and
+   order, carrying one state at a time. A DELETE that passes the checks leaves
+   its key empty whatever went before, so a running count of them cuts a key
+   into segments that are folded independently, over different tasks.
+
+The result has one outcome row per change (with the history image when
+applied) and one final row per live assignment. Keys are compared column by
+column, nulls included.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,9 +62,8 @@ FOLD_SCHEMA = T.StructType([
 ])
 
 
-def _key() -> F.Column:
-    return F.concat_ws("|", F.col("plan_id"), F.coalesce(F.col("organization_id"), F.lit("")),
-                       F.coalesce(F.col("user_id"), F.lit("")))
+KEY = ("plan_id", "organization_id", "user_id")
+IMAGE = ("assignment_id", *KEY, "valid_from", "valid_until", "created_at", "updated_at")
 
 
 def precheck(changes: DataFrame, plans: DataFrame) -> DataFrame:
@@ -79,7 +85,7 @@ def precheck(changes: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def _walk(batches):
-    """Sequential fold over one partition's rows sorted by (key, prio, order)."""
+    """Sequential fold over one partition's rows sorted by (key, segment, prio, order)."""
     key, state = None, None
 
     def final(st):
@@ -91,10 +97,11 @@ def _walk(batches):
     for pdf in batches:
         out = []
         for r in pdf.itertuples(index=False):
-            if r.key != key:
+            own = (r.plan_id, r.organization_id, r.user_id, r.seg)
+            if own != key:
                 if state is not None:
                     out.append(final(state))
-                key, state = r.key, None
+                key, state = own, None
             if r.kind == "state":
                 state = {"assignment_id": r.assignment_id, "plan_id": r.plan_id,
                          "organization_id": r.organization_id, "user_id": r.user_id,
@@ -155,34 +162,96 @@ def _walk(batches):
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def _resolved(single: DataFrame) -> DataFrame:
+    """Rows of FOLD_SCHEMA for keys with one change: the change's outcome and
+    the assignment that is live after it (``s`` is the one before, or null)."""
+    has, act = F.col("s").isNotNull(), F.col("action")
+    vf, vu, cur_vf, cur_vu = F.col("valid_from"), F.col("valid_until"), F.col("s.valid_from"), F.col("s.valid_until")
+    update = act == "UPDATE"
+    reason = F.coalesce(
+        "pre_reason",
+        F.when((act == "CREATE") & has, REASON_ALREADY_ASSIGNED)
+        .when(update & ~has, REASON_NOT_FOUND)
+        .when(update & (vf < cur_vf), REASON_FROM_BEFORE)
+        .when(update & (vf > cur_vu), REASON_FROM_AFTER_UNTIL)
+        .when(update & (vu > cur_vu), REASON_UNTIL_AFTER))
+    made = F.struct(F.concat(F.lit("asg_"), "change_id").alias("assignment_id"), *KEY, "valid_from", "valid_until",
+                    F.col("requested_at").alias("created_at"), F.col("requested_at").alias("updated_at"))
+    new_until = F.when(vu.isNotNull(), vu).when(~F.col("clear_valid_until"), cur_vu)
+    moved = F.struct("s.assignment_id", *(f"s.{c}" for c in KEY), F.coalesce(vf, cur_vf).alias("valid_from"),
+                     new_until.alias("valid_until"), "s.created_at", F.col("requested_at").alias("updated_at"))
+    gone = F.struct("s.assignment_id", *(f"s.{c}" for c in KEY), "s.valid_from", "s.valid_until", "s.created_at",
+                    F.col("requested_at").alias("updated_at"))
+    done = single.withColumn("reason", reason)
+    done = done.withColumn("image", F.when(F.col("reason").isNull(), F.when(act == "CREATE", made).when(update, moved)
+                                           .when((act == "DELETE") & has, gone)))
+    done = done.withColumn("after", F.when((act == "DELETE") & F.col("reason").isNull(), F.lit(None))
+                           .otherwise(F.coalesce("image", "s")))
+    outcome = (F.when(F.col("reason").isNotNull(), "rejected").when(F.col("image").isNull(), "no_op").otherwise("applied"))
+    said = done.select(
+        F.lit("outcome").alias("kind"), "change_id", "action", outcome.alias("outcome"), "reason",
+        F.col("image.assignment_id").alias("assignment_id"), *(F.coalesce(f"image.{c}", c).alias(c) for c in KEY),
+        *(F.col(f"image.{c}").alias(c) for c in IMAGE[4:]))
+    live = done.where("after is not null").select("after.*")
+    return said.unionByName(_final(live))
+
+
+def _final(live: DataFrame) -> DataFrame:
+    """Live assignments (columns IMAGE) as rows of FOLD_SCHEMA."""
+    none = [F.lit(None).cast("string").alias(c) for c in ("change_id", "action", "outcome", "reason")]
+    return live.select(F.lit("final").alias("kind"), *none, *IMAGE)
+
+
+def _on_key(left: DataFrame, right: DataFrame) -> F.Column:
+    same = [left[c].eqNullSafe(right[f"__{c}"]) for c in KEY]
+    return same[0] & same[1] & same[2]
+
+
 def apply_changes(current: DataFrame, changes: DataFrame, plans: DataFrame,
                   num_partitions: int | None = None) -> DataFrame:
     """Fold ``changes`` into ``current`` assignments.
 
     Returns rows of ``FOLD_SCHEMA``: ``kind='outcome'`` per change (outcome
     applied / no_op / rejected, reason, image) and ``kind='final'`` per live
-    assignment after the batch.
+    assignment after the batch. Where several current rows share a key (a plain
+    table cannot forbid it), changes apply to the newest (by created_at, id) and
+    the others pass through.
     """
     checked = precheck(changes, plans)
-    state_rows = current.select(
-        _key().alias("key"), F.lit(0).alias("prio"), F.col("created_at").alias("requested_at"),
-        F.lit(0).cast("long").alias("seq"), F.lit("state").alias("kind"),
-        F.lit(None).cast("string").alias("change_id"), F.lit(None).cast("string").alias("action"),
+    named = bounded_broadcast(changes.select(*(F.col(c).alias(f"__{c}") for c in KEY)).distinct())
+    state = current.select(F.col("id").alias("assignment_id"), *KEY, "valid_from", "valid_until", "created_at",
+                           F.col("created_at").alias("updated_at"))
+    untouched = state.join(named, _on_key(state, named), "left_anti")
+    touched = state.join(named, _on_key(state, named), "left_semi")
+    newest = Window.partitionBy(*KEY).orderBy(F.col("created_at").desc(), F.col("assignment_id").desc())
+    touched = touched.withColumn("nth", F.row_number().over(newest))
+
+    state_rows = touched.where("nth = 1").select(
+        F.lit(0).alias("prio"), F.col("created_at").alias("requested_at"), F.lit(0).cast("long").alias("seq"),
+        F.lit("state").alias("kind"), F.lit(None).cast("string").alias("change_id"), F.lit(None).cast("string").alias("action"),
         F.lit(None).cast("string").alias("pre_reason"), F.lit(False).alias("clear_valid_until"),
-        F.col("id").alias("assignment_id"), "plan_id", "organization_id", "user_id",
-        "valid_from", "valid_until", "created_at")
+        "assignment_id", *KEY, "valid_from", "valid_until", "created_at")
     change_rows = checked.select(
-        _key().alias("key"), F.lit(1).alias("prio"), "requested_at", F.col("seq").cast("long").alias("seq"),
-        F.lit("change").alias("kind"), "change_id", "action", "pre_reason",
-        F.coalesce(F.col("clear_valid_until"), F.lit(False)).alias("clear_valid_until"),
-        F.lit(None).cast("string").alias("assignment_id"), "plan_id", "organization_id", "user_id",
-        "valid_from", "valid_until", F.lit(None).cast("timestamp").alias("created_at"))
-    both = state_rows.unionByName(change_rows)
-    parts = [num_partitions] if num_partitions else []
+        F.lit(1).alias("prio"), "requested_at", F.col("seq").cast("long").alias("seq"), F.lit("change").alias("kind"),
+        "change_id", "action", "pre_reason", F.coalesce(F.col("clear_valid_until"), F.lit(False)).alias("clear_valid_until"),
+        F.lit(None).cast("string").alias("assignment_id"), *KEY, "valid_from", "valid_until",
+        F.lit(None).cast("timestamp").alias("created_at"))
     # (key, prio, time, seq, id) is a total order: a retried task replays the same fold.
-    ordered = both.withColumn("__tie", F.coalesce("change_id", "assignment_id")) \
-        .repartition(*parts, "key").sortWithinPartitions("key", "prio", "requested_at", "seq", "__tie")
-    return ordered.mapInPandas(_walk, FOLD_SCHEMA)
+    order = ("prio", "requested_at", "seq", "tie")
+    both = state_rows.unionByName(change_rows).withColumn("tie", F.coalesce("change_id", "assignment_id"))
+    whole = Window.partitionBy(*KEY)
+    before = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    empties = ((F.col("action") == "DELETE") & F.col("pre_reason").isNull()).cast("int")
+    image = F.struct("assignment_id", *KEY, "valid_from", "valid_until", "created_at", F.col("created_at").alias("updated_at"))
+    placed = (both.withColumn("n", F.count("change_id").over(whole))
+              .withColumn("seg", F.coalesce(F.sum(F.coalesce(empties, F.lit(0))).over(before), F.lit(0)))
+              .withColumn("s", F.last(F.when(F.col("kind") == "state", image), ignorenulls=True).over(before)))
+    single = _resolved(placed.where("n = 1 and kind = 'change'"))
+    parts = [num_partitions] if num_partitions else []
+    folded = (placed.where("n > 1").drop("n", "s").repartition(*parts, *KEY, "seg")
+              .sortWithinPartitions(*KEY, "seg", *order).mapInPandas(_walk, FOLD_SCHEMA))
+    return (folded.unionByName(single).unionByName(_final(untouched))
+            .unionByName(_final(touched.where("nth > 1"))))
 
 
 def apply_changes_materialized(current: DataFrame, changes: DataFrame, plans: DataFrame,

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterkit.functions import column
-from meterkit.functions.json import text_map, text_value
+from meterkit.functions.json import number, text_map, text_value
 from meterkit.functions.time import window_end, window_start
 from meterkit.plans.spec import MeterSpec
 
@@ -65,7 +65,7 @@ def value_column(spec: MeterSpec, parsed: Column) -> Column | None:
     text = text_value(parsed, spec.value_property)
     if spec.aggregation == "unique_count":
         return text
-    return text.try_cast("double")
+    return number(text)
 
 
 def extract(events: DataFrame, spec: MeterSpec) -> DataFrame:
@@ -115,7 +115,7 @@ def rollup_rejects(events: DataFrame, spec: MeterSpec) -> DataFrame:
     if not spec.numeric_value:
         return events.limit(0).withColumn("reason", F.lit(None).cast("string"))
     parsed = text_map(F.col("properties"))
-    value = text_value(parsed, spec.value_property).try_cast("double")
+    value = number(text_value(parsed, spec.value_property))
     return (events.where(F.col("type") == F.lit(spec.event_type))
             .where(value.isNull())
             .withColumn("reason", F.lit("non_numeric_value")))
