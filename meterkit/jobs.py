@@ -1,8 +1,9 @@
 """Batch and streaming jobs for ``spark-submit`` (the reference's endpoints as jobs).
 
     spark-submit meterkit/jobs.py backfill --events PATH --rollup-root ROOT --meter meter.json --tenant acme
-    spark-submit meterkit/jobs.py ingest   --source DIR|--kafka HOST:PORT --topic T --meters meters.json ...
-    spark-submit meterkit/jobs.py compact  --rollup-root ROOT --meter meter.json --tenant acme [--full]
+    spark-submit meterkit/jobs.py ingest   --tenant acme --meters meters.json
+                                            --source DIR | --kafka HOST:PORT --topic T --starting-offsets earliest|latest ...
+    spark-submit meterkit/jobs.py compact  --rollup-root ROOT --tenant acme [--full] --meter meter.json | --meters meters.json
     spark-submit meterkit/jobs.py query    --rollup-root ROOT --meter meter.json --tenant acme --query q.json --out OUT
     spark-submit meterkit/jobs.py drop     --rollup-root ROOT --meter meter.json --tenant acme
     spark-submit meterkit/jobs.py changes  --changes changes.json --plans PLANS --state S --history H
@@ -21,6 +22,7 @@ import argparse
 import json
 import os
 import sys
+import uuid
 
 if __package__ in (None, ""):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -40,8 +42,17 @@ CHANGE_SCHEMA = ("change_id string, seq long, action string, plan_id string, org
 
 
 def _load(path: str) -> dict:
-    with open(path) as fh:
-        return json.load(fh)
+    """One JSON body, from wherever Spark can read."""
+    return json.loads(_session().read.text(path, wholetext=True).first()[0])
+
+
+def _session() -> SparkSession:
+    return SparkSession.getActiveSession() or build_session()
+
+
+def _registry(spark: SparkSession, path: str):
+    return spark.read.schema("slug string, event_type string, aggregation string, value_property string, "
+                             "properties array<string>, tenant_slug string").json(path)
 
 
 def _spec(args):
@@ -61,7 +72,11 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     meter_args(p)
     p.add_argument("--events", required=True)
     p = sub.add_parser("compact")
-    meter_args(p)
+    p.add_argument("--rollup-root", required=True)
+    p.add_argument("--tenant", required=True)
+    which = p.add_mutually_exclusive_group(required=True)
+    which.add_argument("--meter")
+    which.add_argument("--meters", help="the whole registry; covered epochs are deleted")
     p.add_argument("--full", action="store_true")
     p = sub.add_parser("query")
     meter_args(p)
@@ -81,23 +96,34 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     p.add_argument("--kafka")
     p.add_argument("--topic")
     p.add_argument("--meters", required=True)
-    p.add_argument("--tenant")
+    p.add_argument("--tenant", required=True)
+    p.add_argument("--starting-offsets", choices=("earliest", "latest"), help="needed with --kafka")
+    p.add_argument("--publish-to", nargs=2, metavar=("HOST:PORT", "TOPIC"), help="also send accepted events there")
+    p.add_argument("--strict-ids", action="store_true")
     p.add_argument("--events-path", required=True)
     p.add_argument("--rejects-path", required=True)
     p.add_argument("--rollup-root", required=True)
     p.add_argument("--checkpoint", required=True)
     p.add_argument("--available-now", action="store_true")
-    p.add_argument("--compact-every", type=int, default=None)
     args = parser.parse_args(argv)
+    if args.command == "ingest":
+        if bool(args.source) == bool(args.kafka):
+            parser.error("give either --source or --kafka")
+        if args.kafka and not (args.topic and args.starting_offsets):
+            parser.error("--kafka needs --topic and --starting-offsets")
 
     spark = spark or build_session()
     if args.command == "backfill":
         from meterkit.session import scratch_path
         spec = _spec(args)
         store.backfill_from_events_table(spark, args.events, args.rollup_root, [spec],
-                                         scratch_path(spark, f"backfill_{spec.tenant_slug}_{spec.slug}"))
+                                         scratch_path(spark, f"backfill-{uuid.uuid4().hex}"))
     elif args.command == "compact":
-        store.compact(spark, args.rollup_root, _spec(args), full=args.full)
+        if args.meters:
+            from meterkit.streaming.ingest import meter_specs
+            store.compact_all(spark, args.rollup_root, meter_specs(_registry(spark, args.meters), args.tenant), args.full)
+        else:
+            store.compact(spark, args.rollup_root, _spec(args), full=args.full)
     elif args.command == "drop":
         store.drop_rollup(spark, args.rollup_root, _spec(args))
     elif args.command == "query":
@@ -115,19 +141,12 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         apply_change_batch(spark, changes, spark.read.parquet(args.plans), args.state, args.history,
                            args.outcomes, args.batch_id)
     elif args.command == "ingest":
-        from meterkit.plans.spec import MeterSpec
         from meterkit.streaming.ingest import file_event_source, kafka_event_source, start_ingest
-        meters = spark.read.schema(
-            "slug string, event_type string, aggregation string, value_property string, "
-            "properties array<string>, tenant_slug string").json(args.meters)
-        specs = [MeterSpec(r.slug, r.event_type, r.aggregation, r.value_property, tuple(r.properties or ()),
-                           tenant_slug=r.tenant_slug)
-                 for r in meters.where(meters.tenant_slug == args.tenant).collect()] if args.tenant else []
-        source = kafka_event_source(spark, args.kafka, args.topic) if args.kafka \
+        source = kafka_event_source(spark, args.kafka, args.topic, args.starting_offsets) if args.kafka \
             else file_event_source(spark, args.source)
-        query = start_ingest(source, meters, specs, args.events_path, args.rejects_path, args.rollup_root,
-                             args.checkpoint, tenant=args.tenant, available_now=args.available_now,
-                             compact_every=args.compact_every)
+        query = start_ingest(source, lambda: _registry(spark, args.meters), None, args.events_path, args.rejects_path,
+                             args.rollup_root, args.checkpoint, tenant=args.tenant, available_now=args.available_now,
+                             kafka_sink=tuple(args.publish_to) if args.publish_to else None, strict_ids=args.strict_ids)
         query.awaitTermination()
     return 0
 

@@ -15,8 +15,8 @@ hundreds of full scans. Here the events are read once:
    state at once: sum, numeric count, row count, min, max;
 4. ``meter_partials`` projects one meter's rows into its rollup schema.
 
-HLL-mode meters are left to ``rollup.minute_partials``: a sketch buffer per
-group for every meter would cost more than the scan it saves.
+HLL meters keep a sketch in the same aggregation; the column is only built
+when the registry has such a meter.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.functions.json import text_map
+from meterkit.functions.json import number, text_map
 from meterkit.functions.time import window_end, window_start
 from meterkit.operators.joins import bounded_broadcast
-from meterkit.operators.rollup import measured
+from meterkit.operators.rollup import HLL_LG_CONFIG_K, HLL_STATE, measured
 from meterkit.plans.spec import MeterSpec
 
 LONG_KEYS = ["tenant_slug", "meter", "windowstart", "windowend", "organization", "user", "dims", "uniq_v"]
@@ -40,20 +40,20 @@ def meter_definitions(spark: SparkSession, specs: Sequence[MeterSpec]) -> DataFr
     rows = []
     for s in specs:
         s.validate(require_properties=False)
-        if s.aggregation == "unique_count" and s.unique_mode == "hll":
-            raise ValueError(f"meter {s.slug}: HLL meters are built with rollup.minute_partials")
+        unique = s.aggregation == "unique_count"
         rows.append((s.tenant_slug, s.slug, s.event_type, s.value_property, list(s.dimensions),
-                     s.aggregation == "unique_count"))
+                     unique and s.unique_mode == "exact", unique and s.unique_mode == "hll"))
     return spark.createDataFrame(
         rows, "tenant_slug string, meter string, event_type string, value_property string, "
-              "dim_names array<string>, exact_unique boolean")
+              "dim_names array<string>, exact_unique boolean, sketched boolean")
 
 
 def long_partials(events: DataFrame, specs: Sequence[MeterSpec]) -> DataFrame:
     """Minute partials of all ``specs`` in one long table (one shuffle).
 
-    Columns: ``LONG_KEYS`` + ``sum_v, cnt_num, cnt_all, min_v, max_v``.
-    ``uniq_v`` is the distinct value for exact unique meters, null otherwise.
+    Columns: ``LONG_KEYS`` + ``sum_v, cnt_num, cnt_all, min_v, max_v, uniq_hll``.
+    ``uniq_v`` is the distinct value for exact unique meters, null otherwise;
+    ``uniq_hll`` the sketch of HLL meters, null otherwise.
     """
     defs = bounded_broadcast(meter_definitions(events.sparkSession, specs))
     types = sorted({s.event_type for s in specs})
@@ -71,27 +71,32 @@ def long_partials(events: DataFrame, specs: Sequence[MeterSpec]) -> DataFrame:
         "organization", "user",
         F.transform("dim_names", lambda k: F.coalesce(F.try_element_at(props, k), F.lit(""))).alias("dims"),
         F.when(F.col("exact_unique"), text).alias("uniq_v"),
-        F.when(~F.col("exact_unique"), text.try_cast("double")).alias("__num"),
+        F.when(~F.col("exact_unique") & ~F.col("sketched"), number(text)).alias("__num"),
+        F.when(F.col("sketched"), text).alias("__sketch"),
     )
     num = F.col("__num")
-    return rows.groupBy(*LONG_KEYS).agg(
-        F.sum(num).alias("sum_v"), F.count(num).alias("cnt_num"), F.count(F.lit(1)).alias("cnt_all"),
-        F.min(num).alias("min_v"), F.max(num).alias("max_v"))
+    states = [F.sum(num).alias("sum_v"), F.count(num).alias("cnt_num"), F.count(F.lit(1)).alias("cnt_all"),
+              F.min(num).alias("min_v"), F.max(num).alias("max_v")]
+    if any(s.aggregation == "unique_count" and s.unique_mode == "hll" for s in specs):
+        states.append(F.when(F.count("__sketch") > 0, F.hll_sketch_agg("__sketch", HLL_LG_CONFIG_K)).alias(HLL_STATE))
+        return rows.groupBy(*LONG_KEYS).agg(*states)
+    return rows.groupBy(*LONG_KEYS).agg(*states).withColumn(HLL_STATE, F.lit(None).cast("binary"))
 
 
-def meter_partials(long: DataFrame, spec: MeterSpec) -> DataFrame:
-    """One meter's rollup rows, in the same schema as ``minute_partials``."""
+def meter_partials(long: DataFrame, spec: MeterSpec, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One meter's rollup rows, in the same schema as ``minute_partials``; with
+    ``keep``, these columns of ``long`` instead of a derived ``window_date``."""
     df = long.where((F.col("tenant_slug") == spec.tenant_slug) & (F.col("meter") == spec.slug))
     dims = [F.col("dims")[i].alias(name) for i, name in enumerate(spec.dimensions)]
     keys = [F.col(c) for c in ("windowstart", "windowend", "organization", "user")] + dims
     agg = spec.aggregation
     if agg == "unique_count":
-        states = [F.col("uniq_v")]
+        states = [F.col(HLL_STATE if spec.unique_mode == "hll" else "uniq_v")]
     elif agg == "count":
         states = [F.col("cnt_num" if spec.value_property else "cnt_all").alias("cnt_v")]
     elif agg == "avg":
         states = [F.col("sum_v"), F.col("cnt_num").alias("cnt_v")]
     else:
         states = [F.col({"sum": "sum_v", "min": "min_v", "max": "max_v"}[agg])]
-    out = measured(df.select(*keys, *states), spec)
-    return out.withColumn("window_date", F.to_date("windowstart"))
+    out = measured(df.select(*keys, *states, *keep), spec)
+    return out if keep else out.withColumn("window_date", F.to_date("windowstart"))

@@ -9,11 +9,14 @@ window lists and reads only the days it needs.
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterkit.sources.storage import list_subdirs
+
 EVENTS_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("type", T.StringType()),
@@ -29,9 +32,21 @@ EVENTS_SCHEMA = T.StructType([
 
 
 def read_events(spark: SparkSession, path: str, start: dt.datetime | None = None,
-                end: dt.datetime | None = None, event_type: str | None = None) -> DataFrame:
-    """S3: typed events, optionally limited to ``[start, end)`` and one type."""
-    df = spark.read.schema(EVENTS_SCHEMA).parquet(path)
+                end: dt.datetime | None = None, event_type: str | None = None,
+                batches: list[int] | None = None) -> DataFrame:
+    """S3: typed events, optionally limited to ``[start, end)``, one type and
+    some batches. Of the ingest job's table, committed batches only; a folder
+    without batches is read as it is."""
+    found = list_subdirs(spark, path, "batch_id=", committed_only=False)
+    if found:
+        done = set(list_subdirs(spark, path, "batch_id="))
+        wanted = sorted(done if batches is None else done & {str(b) for b in batches})
+        if not wanted:
+            return spark.createDataFrame([], EVENTS_SCHEMA)
+        df = (spark.read.schema(EVENTS_SCHEMA).option("basePath", path)
+              .parquet(*[os.path.join(path, f"batch_id={b}") for b in wanted]))
+    else:
+        df = spark.read.schema(EVENTS_SCHEMA).parquet(path)
     if start is not None:
         df = df.where((F.col("event_date") >= F.lit(start.date())) & (F.col("timestamp") >= F.lit(start)))
     if end is not None:

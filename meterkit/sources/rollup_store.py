@@ -5,19 +5,25 @@ Partials of one micro-batch (or backfill) are written with overwrite of their
 own ``batch_id`` directory, so replaying a batch replaces rather than adds.
 Readers merge states on read, so batches need not be disjoint.
 
+A stream writes each epoch once, for all meters, as one long table:
+``{root}/epochs/batch_id={id}/tenant_slug=/meter=/window_date=``. A reader
+projects its meter from it, so the jobs per epoch do not grow with meters.
+
 Compaction works in layers, so its cost follows the new data, not the
-meter's history:
+meter's history. A layer's name states the batches it covers:
 
 * a *minor* compaction folds the numbered batches written since the last
-  compaction into ``c{N}`` (covering batches ``(previous, N]``);
-* a *full* compaction folds every live batch and layer into ``f{N}``.
-
-Readers merge the newest ``f{N}``, every ``c{k}`` with ``k > N`` and the
-numbered batches above the highest compaction. A compaction writes its output
-before removing what it absorbed, and a batch directory only counts once its
-``_SUCCESS`` marker is committed, so neither a crash between the two steps nor
-a half-written batch changes what readers see. A backfill is written as
-``f0`` (everything before the stream) and stream epoch ``e`` as batch ``e + 1``.
+  compaction into ``c{lo}-{hi}``;
+* a *full* compaction, or a backfill, is ``f{N}``: everything up to ``N``.
+
+Readers merge the newest ``f{N}`` that no minor layer straddles, the minor
+layers after it, and the numbered batches that no layer covers. (A straddled
+``f{N}``, from a backfill that raced with a compaction, would count the shared
+batches twice; the backfill notices and runs again.) A compaction writes its
+output before removing what it absorbed, and a batch directory only counts once
+its ``_SUCCESS`` marker is committed, so neither a crash between the two steps
+nor a half-written batch changes what readers see. A backfill without a stream
+is written as ``f0`` and stream epoch ``e`` as batch ``e + 1``.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterkit.functions import column
@@ -33,7 +40,8 @@ from meterkit.sources.storage import delete_path, list_subdirs
 from meterkit.operators.rollup import HLL_STATE, compact_partials, minute_partials, state_columns
 from meterkit.plans.spec import MeterSpec
 
-_LAYER = re.compile(r"^([cf])(\d+)$")
+_FULL, _MINOR = re.compile(r"^f(\d+)$"), re.compile(r"^c(\d+)-(\d+)$")
+EPOCHS = "epochs"
 
 
 def meter_root(root: str, spec: MeterSpec) -> str:
@@ -63,27 +71,39 @@ def list_batches(spark: SparkSession, root: str, committed_only: bool = True) ->
     return list_subdirs(spark, root, "batch_id=", committed_only)
 
 
-def _layers(batches: list[str]) -> tuple[int, list[int], list[int]]:
-    """(newest full compaction, minor compactions, numbered batches)."""
-    fulls = [int(m.group(2)) for b in batches if (m := _LAYER.match(b)) and m.group(1) == "f"]
-    minors = [int(m.group(2)) for b in batches if (m := _LAYER.match(b)) and m.group(1) == "c"]
-    numbered = [int(b) for b in batches if b.isdigit()]
-    return (max(fulls) if fulls else -1), minors, numbered
+def _layers(batches: list[str]) -> tuple[int, list[tuple[int, int]], list[int]]:
+    """(full layer in force or -1, minor layers after it, all numbered batches)."""
+    fulls = sorted((int(m.group(1)) for b in batches if (m := _FULL.match(b))), reverse=True)
+    minors = sorted((int(m.group(1)), int(m.group(2))) for b in batches if (m := _MINOR.match(b)))
+    full = next((n for n in fulls if not straddled(n, batches)), -1)
+    # a layer within another one is left over from a crash
+    live = [(lo, hi) for lo, hi in minors if lo > full and not any(
+        (a, z) != (lo, hi) and a <= lo and hi <= z for a, z in minors)]
+    return full, live, [int(b) for b in batches if b.isdigit()]
+
+
+def straddled(n: int, batches: list[str]) -> bool:
+    """Whether a minor layer covers batches on both sides of ``f{n}``'s end."""
+    return any(int(m.group(1)) <= n < int(m.group(2)) for b in batches if (m := _MINOR.match(b)))
 
 
 def live_batches(batches: list[str]) -> list[str]:
-    """Batches a reader must merge: newest full compaction, later minor
-    compactions, and numbered batches above every compaction."""
+    """Batches a reader must merge: the full layer in force, the minor layers
+    after it, and the numbered batches that no layer covers."""
     full, minors, numbered = _layers(batches)
-    live_minors = sorted(k for k in minors if k > full)
-    upto = max([full, *live_minors])
-    live = [str(b) for b in sorted(numbered) if b > upto]
-    live += [f"c{k}" for k in live_minors]
+    live = [str(b) for b in sorted(numbered) if b > full and not any(lo <= b <= hi for lo, hi in minors)]
+    live += [f"c{lo}-{hi}" for lo, hi in minors]
     if full >= 0:
         live.append(f"f{full}")
     return live
 
 
+def covered(batches: list[str]) -> int:
+    """The last batch that the layers in force cover (-1: none)."""
+    full, minors, _ = _layers(batches)
+    return max([full, *(hi for _, hi in minors)])
+
+
 def write_batch(partials: DataFrame, root: str, spec: MeterSpec, batch_id: int | str) -> str:
     """Write one batch of partials, replacing that batch if present.
 
@@ -100,52 +120,130 @@ def write_batch(partials: DataFrame, root: str, spec: MeterSpec, batch_id: int |
     return path
 
 
+def epochs_root(root: str) -> str:
+    return os.path.join(root, EPOCHS)
+
+
+def write_epoch_of_all(events: DataFrame, root: str, specs: list[MeterSpec], epoch_id: int) -> str:
+    """The partials of every meter for one epoch, in one write (replaying
+    an epoch replaces it). Rows are clustered by meter and day, so few tasks
+    hold a meter and files stay few; AQE splits a large meter."""
+    from meterkit.operators.multi import long_partials
+
+    path = os.path.join(epochs_root(root), f"batch_id={epoch_id + 1}")
+    long = long_partials(events, specs).withColumn("window_date", F.to_date("windowstart"))
+    parts = ("tenant_slug", "meter", "window_date")
+    (long.hint("rebalance", *parts).sortWithinPartitions(*parts, "windowstart", "organization", "user")
+     .write.mode("overwrite").partitionBy(*parts).parquet(path))
+    return path
+
+
+def _epoch_schema() -> T.StructType:
+    text, number = T.StringType(), T.DoubleType()
+    types = {"windowstart": T.TimestampType(), "windowend": T.TimestampType(), "organization": text, "user": text,
+             "dims": T.ArrayType(text), "uniq_v": text, "sum_v": number, "cnt_num": T.LongType(),
+             "cnt_all": T.LongType(), "min_v": number, "max_v": number, HLL_STATE: T.BinaryType(),
+             "batch_id": text, "tenant_slug": text, "meter": text, "window_date": T.DateType()}
+    return T.StructType([T.StructField(n, t) for n, t in types.items()])
+
+
+def _read(spark: SparkSession, root: str, spec: MeterSpec, wanted: list[str], own: list[str]) -> DataFrame:
+    """The meter's rows of the ``wanted`` batches: from its own folders, else
+    from the epochs of all meters."""
+    from meterkit.operators.multi import meter_partials
+
+    base, schema = meter_root(root, spec), rollup_schema(spec)
+    mine = [b for b in wanted if b in own]
+    shared = [b for b in wanted if b not in own]
+    out = spark.createDataFrame([], schema)
+    if mine:
+        paths = [os.path.join(base, f"batch_id={b}") for b in mine]
+        out = spark.read.schema(schema).option("basePath", base).parquet(*paths)
+    if shared:
+        base = epochs_root(root)
+        paths = [os.path.join(base, f"batch_id={b}") for b in shared]
+        long = spark.read.schema(_epoch_schema()).option("basePath", base).parquet(*paths)
+        projected = meter_partials(long, spec, keep=("batch_id", "window_date")).select(*(column(f.name) for f in schema))
+        out = out.unionByName(projected) if mine else projected
+    return out
+
+
+def _listed(spark: SparkSession, root: str, spec: MeterSpec) -> tuple[list[str], list[str]]:
+    """(committed batches of the meter's own folders, those and the epochs')."""
+    own = list_batches(spark, meter_root(root, spec))
+    shared = [b for b in list_batches(spark, epochs_root(root)) if b.isdigit()]
+    return own, sorted({*own, *shared})
+
+
 def read_rollup(spark: SparkSession, root: str, spec: MeterSpec) -> DataFrame:
     """The meter's rollup (live batches only), ``window_date`` prunable."""
-    base = meter_root(root, spec)
-    live = live_batches(list_batches(spark, base))
-    schema = rollup_schema(spec)
-    if not live:
-        return spark.createDataFrame([], schema)
-    paths = [os.path.join(base, f"batch_id={b}") for b in live]
-    return spark.read.schema(schema).option("basePath", base).parquet(*paths)
+    own, every = _listed(spark, root, spec)
+    return _read(spark, root, spec, live_batches(every), own)
 
 
 def compact(spark: SparkSession, root: str, spec: MeterSpec, full: bool = False) -> str | None:
     """Fold batches into one layer, then drop what it absorbed.
 
-    Minor (default): only the numbered batches above the last compaction,
-    so the cost follows the data written since. Full: every live layer.
+    Minor (default): only the numbered batches that no layer covers, so the
+    cost follows the data written since. Full: every live layer. Epochs of all
+    meters stay until ``prune_epochs``.
     """
     base = meter_root(root, spec)
-    batches = list_batches(spark, base, committed_only=False)
-    live = live_batches(list_batches(spark, base))
+    own, every = _listed(spark, root, spec)
+    live = live_batches(every)
     new = [int(b) for b in live if b.isdigit()]
     if not new and not full:
         return None
     if full:
-        if not live or live == [f for f in live if f.startswith("f")]:
-            return None  # nothing to fold: at most one full layer is live
-        upto = max(int(b[1:]) if not b.isdigit() else int(b) for b in live)
+        if len(live) == 1 and live[0].startswith("f") or not live:
+            return None  # nothing to fold
+        upto = max([covered(every), *new])
         sources, name = live, f"f{upto}"
     else:
-        upto = max(new)
-        sources, name = [str(b) for b in new], f"c{upto}"
-    paths = [os.path.join(base, f"batch_id={b}") for b in sources]
-    merged = compact_partials(
-        spark.read.schema(rollup_schema(spec)).option("basePath", base).parquet(*paths).drop("batch_id"), spec)
+        lo, upto = max(covered(every) + 1, 0), max(new)
+        lo = min([b for b in new if b >= lo] or new)
+        sources, name = [str(b) for b in new], f"c{lo}-{upto}"
+    merged = compact_partials(_read(spark, root, spec, sources, own).drop("batch_id"), spec)
     out = write_batch(merged, root, spec, name)
-    absorbed = set(sources) - {name}
-    for b in batches:
-        stale_number = b.isdigit() and int(b) <= upto
-        if b in absorbed or stale_number or (full and _LAYER.match(b) and b != name):
+    # what the new layer covers, and what an earlier one left over
+    for b in list_batches(spark, base, committed_only=False):
+        minor, number = _MINOR.match(b), b.isdigit() and int(b) <= upto
+        older = (_FULL.match(b) and int(b[1:]) < upto) or (minor and int(minor.group(2)) <= upto)
+        if b != name and (number or (full and older)):
             delete_path(spark, os.path.join(base, f"batch_id={b}"))
     return out
 
 
+def compact_all(spark: SparkSession, root: str, specs: list[MeterSpec], full: bool = False, parallel: int = 8) -> list[str]:
+    """M12 for a whole registry, as a job of its own beside the stream: every
+    meter's compaction, ``parallel`` at a time, then ``prune_epochs``."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        done = list(pool.map(lambda s: compact(spark, root, s, full), specs))
+    prune_epochs(spark, root, specs)
+    return [d for d in done if d]
+
+
+def prune_epochs(spark: SparkSession, root: str, specs: list[MeterSpec]) -> list[str]:
+    """Delete the epochs that a layer of every meter in ``specs`` covers. The
+    list must name all meters of the root: an epoch holds all their rows."""
+    if not specs:
+        return []
+    upto = min(covered(list_batches(spark, meter_root(root, s))) for s in specs)
+    gone = [b for b in list_batches(spark, epochs_root(root)) if b.isdigit() and int(b) <= upto]
+    for b in gone:
+        delete_path(spark, os.path.join(epochs_root(root), f"batch_id={b}"))
+    return gone
+
+
 def drop_rollup(spark: SparkSession, root: str, spec: MeterSpec) -> bool:
-    """Drop the meter's rollup if it exists."""
-    return delete_path(spark, meter_root(root, spec))
+    """Drop the meter's rollup if it exists, its part of each epoch too."""
+    found = delete_path(spark, meter_root(root, spec))
+    for b in list_batches(spark, epochs_root(root), committed_only=False):
+        found |= delete_path(spark, os.path.join(
+            epochs_root(root), f"batch_id={b}", f"tenant_slug={spec.tenant_slug}", f"meter={spec.slug}"))
+    return found
 
 
 def backfill(events: DataFrame, root: str, spec: MeterSpec) -> str | None:
@@ -164,30 +262,28 @@ def write_many(spark: SparkSession, events: DataFrame, root: str, specs: list[Me
     The long table of all meters' partials is either written to
     ``long_path`` (large inputs: a table on shared storage, partitioned by
     meter, that the per-meter writes read back with pruning and that survives
-    executor loss) or cached (micro-batches). Per-meter writes then run
-    ``parallel`` at a time. HLL meters are built on their own.
+    executor loss) or cached (small inputs). Per-meter writes then run
+    ``parallel`` at a time. A stream's epochs use ``write_epoch_of_all``.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     from meterkit.operators.multi import long_partials, meter_partials
 
-    plain = [s for s in specs if not (s.aggregation == "unique_count" and s.unique_mode == "hll")]
-    sketched = [s for s in specs if s not in plain]
-    long = None
-    if plain:
-        long = long_partials(events, plain)
-        if long_path is not None:
-            long.write.mode("overwrite").partitionBy("tenant_slug", "meter").parquet(long_path)
-            long = spark.read.parquet(long_path)
-        else:
-            long = long.persist()
+    if not specs:
+        return []
+    long = long_partials(events, specs)
+    if long_path is not None:
+        # clustered by meter and day, so a task does not hold a file for every meter
+        (long.withColumn("day", F.to_date("windowstart")).hint("rebalance", "tenant_slug", "meter", "day").drop("day")
+         .write.mode("overwrite").partitionBy("tenant_slug", "meter").parquet(long_path))
+        long = spark.read.parquet(long_path)
+    else:
+        long = long.persist()
     try:
         with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-            jobs = [pool.submit(write_batch, meter_partials(long, s), root, s, batch_id) for s in plain]
-            jobs += [pool.submit(write_batch, minute_partials(events, s), root, s, batch_id) for s in sketched]
-            return [j.result() for j in jobs]
+            return list(pool.map(lambda s: write_batch(meter_partials(long, s), root, s, batch_id), specs))
     finally:
-        if long is not None and long_path is None:
+        if long_path is None:
             long.unpersist()
 
 
@@ -210,21 +306,23 @@ def backfill_from_events_table(spark: SparkSession, events_path: str, root: str,
     up to the highest one, ``N``, and writes every meter's rollup as layer
     ``f{N}``. Readers then take stream batches above ``N`` only, so an epoch
     that is in the backfill and is later replayed by the stream is never
-    counted twice, and a meter can be added while ingest keeps running.
+    counted twice, and a meter can be added while ingest keeps running. A
+    compaction that meanwhile covered batches on both sides of ``N`` makes the
+    backfill of that meter run again with a later ``N``.
     """
-    from pyspark.sql import functions as F
-
     from meterkit.sources.events import read_events
 
-    numbered = [int(b) for b in list_batches(spark, events_path) if b.isdigit()]
     todo = [s for s in specs if s.populate]
-    if not numbered or not todo:
-        return None
-    upto = max(numbered)
-    events = read_events(spark, events_path).where(
-        F.col("batch_id").isin(*[str(b) for b in numbered if b <= upto]))
-    write_many(spark, events, root, todo, f"f{upto}", long_path=scratch)
-    return f"f{upto}"
+    name = None
+    for _ in range(10):
+        numbered = [int(b) for b in list_batches(spark, events_path) if b.isdigit()]
+        if not numbered or not todo:
+            return name
+        upto = max(numbered)
+        name = f"f{upto}"
+        write_many(spark, read_events(spark, events_path, batches=numbered), root, todo, name, long_path=f"{scratch}-{upto}")
+        todo = [s for s in todo if straddled(upto, list_batches(spark, meter_root(root, s)))]
+    raise RuntimeError(f"compactions kept overtaking the backfill of {[s.slug for s in todo]}")
 
 
 def write_epoch(partials: DataFrame, root: str, spec: MeterSpec, epoch_id: int) -> str:

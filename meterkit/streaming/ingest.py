@@ -6,8 +6,12 @@ operators on every micro-batch:
 
 1. validate against the meter registry (broadcast after a size check),
 2. append accepted events to the events table (S2) and rejects (S8),
-3. reduce accepted events to minute partials per meter and write them as
-   that epoch's batch of each rollup (M14).
+3. reduce accepted events to minute partials of all meters and write them as
+   that epoch's batch, in one job whatever the number of meters (M14).
+
+The meter registry is read anew for each micro-batch, so a meter registered
+while the stream runs is maintained from the next one on. Compaction is a job
+of its own (``rollup_store.compact_all``).
 
 Every write replaces the epoch's own directory, so a micro-batch replayed
 after a failure (same epoch id, same offsets) overwrites instead of adding:
@@ -20,7 +24,7 @@ merged on read.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +33,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from meterkit.operators import ingest
 from meterkit.plans.spec import MeterSpec
-from meterkit.sources.rollup_store import compact, write_many
+from meterkit.sources.rollup_store import write_epoch_of_all
 
 # Queue form, every field a string (properties as JSON text).
 RAW_EVENT_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in ingest.RAW_FIELDS])
@@ -50,15 +54,30 @@ def parse_event_lines(lines: DataFrame, column: str = "value") -> DataFrame:
                             for n in ingest.RAW_FIELDS])
 
 
-def kafka_event_source(spark: SparkSession, bootstrap_servers: str, topic: str,
-                       starting_offsets: str = "latest") -> DataFrame:
-    """The event topic (needs the spark-sql-kafka package on the classpath)."""
+#: Fixed value: the queue's own timestamp form, UTC seconds without a zone.
+QUEUE_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$"
+
+
+def from_queue(raw: DataFrame) -> DataFrame:
+    """Raw events as the topic carries them, in the API's form: producers strip
+    the zone before publishing, so a zone-less timestamp is UTC. (API forms pass
+    unchanged.)"""
+    ts = F.col("timestamp")
+    return raw.withColumn("timestamp", F.when(ts.rlike(QUEUE_TIMESTAMP), F.concat(F.translate(ts, " ", "T"), F.lit("Z"))).otherwise(ts))
+
+
+def kafka_event_source(spark: SparkSession, bootstrap_servers: str, topic: str, starting_offsets: str) -> DataFrame:
+    """The event topic (needs the spark-sql-kafka package on the classpath).
+
+    ``starting_offsets`` has no default: "earliest" meters everything still in
+    the topic at the first start, "latest" skips it. Later starts go on from
+    the checkpoint."""
     lines = (spark.readStream.format("kafka")
              .option("kafka.bootstrap.servers", bootstrap_servers)
              .option("subscribe", topic)
              .option("startingOffsets", starting_offsets)
              .load())
-    return parse_event_lines(lines)
+    return from_queue(parse_event_lines(lines))
 
 
 def file_event_source(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -66,15 +85,19 @@ def file_event_source(spark: SparkSession, path: str, max_files_per_trigger: int
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return parse_event_lines(reader.load(path))
+    return from_queue(parse_event_lines(reader.load(path)))
 
 
 def kafka_records(valid: DataFrame) -> DataFrame:
     """Accepted events as Kafka records keyed ``{organization}-{user}``
-    (the key spreads partitions by org-user as the reference's producer does)."""
+    (the key spreads partitions by org-user as the reference's producer does),
+    with the timestamp in the queue's form."""
+    ts = "timestamp"
+    columns = [F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss").alias(ts) if c == ts and dict(valid.dtypes)[ts] == "timestamp" else F.col(c)
+               for c in valid.columns]
     return valid.select(
         F.concat_ws("-", "organization", "user").alias("key"),
-        F.to_json(F.struct(*valid.columns)).alias("value"),
+        F.to_json(F.struct(*columns)).alias("value"),
         F.array(F.struct(F.lit("content-type").alias("key"),
                          F.lit("application/json").cast("binary").alias("value"))).alias("headers"),
     )
@@ -83,27 +106,45 @@ def kafka_records(valid: DataFrame) -> DataFrame:
 def publish_to_kafka(valid: DataFrame, bootstrap_servers: str, topic: str) -> None:
     """Write accepted events to the event topic (needs the spark-sql-kafka
     package). Records are keyed ``{organization}-{user}``, so the broker's key
-    partitioner keeps one organization-user pair on one partition."""
+    partitioner keeps one organization-user pair on one partition. Kafka sinks
+    are at-least-once: a replayed epoch sends its records again, with the same
+    ids, by which consumers can drop them."""
     (kafka_records(valid).write.format("kafka")
      .option("kafka.bootstrap.servers", bootstrap_servers).option("topic", topic).save())
 
 
-def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Sequence[MeterSpec],
-                  events_path: str, rejects_path: str, rollup_root: str, tenant: str | None = None,
-                  parallel_meters: int = 8, kafka_sink: tuple[str, str] | None = None,
-                  compact_every: int | None = None) -> dict[str, int]:
+#: Meters of one tenant that a registry may hold (they are brought to the driver
+#: to plan the aggregation, about 200 bytes each).
+MAX_METERS = 100_000
+
+
+def meter_specs(meters: DataFrame, tenant: str) -> list[MeterSpec]:
+    """The tenant's registry rows as specs; a registry beyond MAX_METERS is an error."""
+    names = ("slug", "event_type", "aggregation", "value_property", "properties")
+    if not set(names) <= set(meters.columns):
+        raise ValueError(f"a meter registry needs the columns {', '.join(names)}")
+    rows = meters.where(F.col("tenant_slug") == tenant).select(*names).limit(MAX_METERS + 1).collect()
+    if len(rows) > MAX_METERS:
+        raise ValueError(f"more than {MAX_METERS} meters for tenant {tenant!r}")
+    return [MeterSpec(r.slug, r.event_type, r.aggregation, r.value_property, tuple(r.properties or ()), tenant_slug=tenant) for r in rows]
+
+
+def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Sequence[MeterSpec] | None,
+                  events_path: str, rejects_path: str, rollup_root: str, tenant: str,
+                  kafka_sink: tuple[str, str] | None = None, strict_ids: bool = False) -> dict[str, int]:
     """The body of one micro-batch (also usable as a plain batch job).
 
     The validated batch is cached once; all meters' partials come from one
-    aggregation over it (``operators.multi``), then each meter's batch is
-    written, up to ``parallel_meters`` at once. Every ``compact_every``
-    epochs each meter's new batches are folded into one layer (a minor
-    compaction, M12), which bounds the number of batch directories a reader
-    lists. Returns the batch's counts (V9), observed while the batch is
-    first computed (no extra job).
+    aggregation over it and are written in one job. ``specs`` left out are read
+    from the registry. Returns the batch's counts (V9), observed while the
+    batch is first computed (no extra job).
     """
+    if not tenant:
+        raise ValueError("ingest needs the tenant whose meters apply")
+    if specs is None:
+        specs = meter_specs(meters, tenant)
     counts = Observation(f"ingest_{epoch_id}")
-    validated = ingest.validate(batch, meters, tenant=tenant).observe(
+    validated = ingest.validate(batch, meters, tenant=tenant, strict_ids=strict_ids).observe(
         counts, F.count(F.lit(1)).alias("events"),
         F.count(F.when(F.col("reason").isNull(), F.lit(1))).alias("accepted")).persist()
     try:
@@ -122,11 +163,7 @@ def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Seq
         if kafka_sink is not None:
             publish_to_kafka(stored, *kafka_sink)
         if specs:
-            write_many(batch.sparkSession, stored, rollup_root, list(specs), epoch_id + 1,
-                       parallel=parallel_meters)
-            if compact_every and (epoch_id + 1) % compact_every == 0:
-                for spec in specs:
-                    compact(batch.sparkSession, rollup_root, spec)
+            write_epoch_of_all(stored, rollup_root, list(specs), epoch_id)
         seen = counts.get
         return {"events": seen["events"], "accepted": seen["accepted"],
                 "rejected": seen["events"] - seen["accepted"]}
@@ -134,14 +171,22 @@ def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Seq
         validated.unpersist()
 
 
-def start_ingest(source: DataFrame, meters: DataFrame, specs: Sequence[MeterSpec], events_path: str,
-                 rejects_path: str, rollup_root: str, checkpoint_location: str,
-                 tenant: str | None = None, available_now: bool = False,
-                 processing_time: str | None = None, compact_every: int | None = None) -> StreamingQuery:
-    """Start the continuous ingest query."""
+def start_ingest(source: DataFrame, meters: DataFrame | Callable[[], DataFrame], specs: Sequence[MeterSpec] | None,
+                 events_path: str, rejects_path: str, rollup_root: str, checkpoint_location: str, tenant: str,
+                 available_now: bool = False, processing_time: str | None = None,
+                 kafka_sink: tuple[str, str] | None = None, strict_ids: bool = False) -> StreamingQuery:
+    """Start the continuous ingest query of a tenant.
+
+    ``meters`` is the registry, or a function that reads it, called for each
+    micro-batch. ``specs`` left out follow the registry; given, they are fixed.
+    """
+    if not tenant:
+        raise ValueError("ingest needs the tenant whose meters apply")
+
     def run(batch: DataFrame, epoch_id: int) -> None:
-        process_batch(batch, epoch_id, meters, specs, events_path, rejects_path, rollup_root, tenant,
-                      compact_every=compact_every)
+        registry = meters() if callable(meters) else meters
+        process_batch(batch, epoch_id, registry, specs, events_path, rejects_path, rollup_root, tenant,
+                      kafka_sink=kafka_sink, strict_ids=strict_ids)
 
     writer = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
     if available_now:
