@@ -24,27 +24,25 @@ from pyspark.sql import functions as F
 from meterkit.operators.joins import bounded_broadcast
 from meterkit.sources.catalog import LIMIT_ACTIONS, RESET_PERIODS
 
-# Paging defaults and bounds of the reference's API.
+# Paging defaults of the reference's API.
 DEFAULT_PAGE = 1
 DEFAULT_LIMIT = 20
-MAX_LIMIT = 100
 
 
 @dataclass(frozen=True)
 class Page:
-    """C4: page >= 1 (default 1), 1 <= limit <= 100 (default 20)."""
+    """C4: ``page`` from 1, ``limit`` rows each. Any limit is honoured here; the
+    API's bounds and defaults belong to requests (``requests.page_from_request``)."""
     page: int = DEFAULT_PAGE
     limit: int = DEFAULT_LIMIT
 
-    def normalised(self) -> "Page":
-        page = self.page if isinstance(self.page, int) and self.page >= 1 else DEFAULT_PAGE
-        limit = self.limit if isinstance(self.limit, int) and 1 <= self.limit <= MAX_LIMIT else DEFAULT_LIMIT
-        return Page(page, limit)
+    def __post_init__(self):
+        if self.page < 1 or self.limit < 1:
+            raise ValueError("page and limit start at 1")
 
     @property
     def offset(self) -> int:
-        p = self.normalised()
-        return (p.page - 1) * p.limit
+        return (self.page - 1) * self.limit
 
 
 def _given(df: DataFrame, **conds) -> DataFrame:
@@ -59,22 +57,26 @@ def paged(df: DataFrame, partition: list[str], order: list[Column], page: Page,
           position: str = "position") -> DataFrame:
     """C4 for every partition key at once: rows ``offset+1 .. offset+limit``
     of each partition in ``order``, numbered from 1 in ``position``."""
-    p = page.normalised()
     w = Window.partitionBy(*partition).orderBy(*order)
     ranked = df.withColumn(position, F.row_number().over(w).cast("long"))
-    return ranked.where((F.col(position) > p.offset) & (F.col(position) <= p.offset + p.limit))
+    return ranked.where((F.col(position) > page.offset) & (F.col(position) <= page.offset + page.limit))
 
 
 def page_of(df: DataFrame, order: list[Column], page: Page) -> DataFrame:
     """C4 for one partition (a tenant already filtered): ordered top-k with offset."""
-    p = page.normalised()
-    return df.orderBy(*order).offset(p.offset).limit(p.limit)
+    return df.orderBy(*order).offset(page.offset).limit(page.limit)
 
 
 def totals(df: DataFrame, partition: list[str], name: str = "total") -> DataFrame:
     return df.groupBy(*partition).agg(F.count(F.lit(1)).alias(name))
 
 
+def paged_with_total(df: DataFrame, partition: list[str], order: list[Column], page: Page) -> DataFrame:
+    """``paged`` with each partition's ``total``. A partition whose page is
+    empty keeps one row with its total, ``position`` and the rest null."""
+    return totals(df, partition).join(paged(df, partition, order, page), partition, "left")
+
+
 def newest_first() -> list[Column]:
     """``created_at desc`` with ``id`` as tie-break, so pages are deterministic."""
     return [F.col("created_at").desc(), F.col("id").desc()]
@@ -106,8 +108,8 @@ def event_properties(meters: DataFrame, tenant: str | None = None, event_type: s
 
 
 def meters_page(meters: DataFrame, page: Page = Page(), tenant: str | None = None) -> DataFrame:
-    """C4: newest meters first, one page per tenant."""
-    return paged(_given(meters, tenant_slug=tenant), ["tenant_slug"], newest_first(), page)
+    """C4: newest meters first, one page per tenant, with the total."""
+    return paged_with_total(_given(meters, tenant_slug=tenant), ["tenant_slug"], newest_first(), page)
 
 
 # ------------------------------------------------------- plans / features
@@ -120,16 +122,14 @@ def plans_page(plans: DataFrame, page: Page = Page(), tenant: str | None = None,
     df = _given(plans, tenant_slug=tenant, type=plan_type)
     if archived is not None:
         df = df.where(F.col("archived_at").isNotNull() == F.lit(archived))
-    rows = paged(df, ["tenant_slug"], newest_first(), page)
-    return rows.join(totals(df, ["tenant_slug"]), "tenant_slug")
+    return paged_with_total(df, ["tenant_slug"], newest_first(), page)
 
 
 def features_page(features: DataFrame, page: Page = Page(), tenant: str | None = None,
                   feature_type: str | None = None) -> DataFrame:
     """Features of a tenant, optional type, with the total."""
     df = _given(features, tenant_slug=tenant, type=feature_type)
-    rows = paged(df, ["tenant_slug"], newest_first(), page)
-    return rows.join(totals(df, ["tenant_slug"]), "tenant_slug")
+    return paged_with_total(df, ["tenant_slug"], newest_first(), page)
 
 
 def plan_features_listing(plan_features: DataFrame, features: DataFrame, plans: DataFrame,
@@ -147,6 +147,8 @@ def plan_features_listing(plan_features: DataFrame, features: DataFrame, plans:
            .join(bounded_broadcast(p), pf["plan_id"] == p["__pid"])
            .select(F.col("id").alias("plan_feature_id"), "plan_id", "feature_id", "config", "created_at",
                    "feature_name", "feature_slug", "feature_type", "feature_config", "tenant_slug"))
+    # the config text read as JSON; text that is none gives null
+    out = out.withColumn("config_json", F.try_parse_json("config"))
     return out.orderBy(F.col("created_at").desc(), F.col("plan_feature_id").desc())
 
 
@@ -252,8 +254,7 @@ def assignments_page(assignments: DataFrame, plans: DataFrame, page: Page = Page
     if valid_until_lte is not None:
         df = df.where(_upper_bound_le("valid_until", valid_until_lte))
     df = _with_tenant(df, plans, tenant)
-    rows = paged(df, ["tenant_slug"], newest_first(), page)
-    return rows.join(totals(df, ["tenant_slug"]), "tenant_slug")
+    return paged_with_total(df, ["tenant_slug"], newest_first(), page)
 
 
 def assignments_of(assignments: DataFrame, plans: DataFrame, tenant: str | None = None,
@@ -269,8 +270,7 @@ def active_assignments_page(assignments: DataFrame, plans: DataFrame, page: Page
     """Assignments of the tenant's non-archived plans, newest first."""
     live = plans.where(F.col("archived_at").isNull())
     df = _with_tenant(assignments, live, tenant)
-    rows = paged(df, ["tenant_slug"], newest_first(), page)
-    return rows.join(totals(df, ["tenant_slug"]), "tenant_slug")
+    return paged_with_total(df, ["tenant_slug"], newest_first(), page)
 
 
 def history_page(history: DataFrame, plans: DataFrame, page: Page = Page(), tenant: str | None = None,
@@ -290,8 +290,7 @@ def history_page(history: DataFrame, plans: DataFrame, page: Page = Page(), tena
     if valid_until_after is not None:
         df = df.where(F.col("valid_until") >= F.lit(valid_until_after))
     df = _with_tenant(df, plans, tenant)
-    rows = paged(df, ["tenant_slug"], oldest_first(), page)
-    return rows.join(totals(df, ["tenant_slug"]), "tenant_slug")
+    return paged_with_total(df, ["tenant_slug"], oldest_first(), page)
 
 
 def archived_plan_rejects(requests: DataFrame, plans: DataFrame) -> DataFrame:
@@ -339,25 +338,32 @@ def cascade_delete(plans: DataFrame, features: DataFrame, plan_features: DataFra
     plan -> plan_feature -> quota; feature -> plan_feature -> quota;
     plan -> assignment. Every step is a left-anti / left-semi join.
     """
-    live_plans = plans.select(F.col("id").alias("__id"))
-    live_features = features.select(F.col("id").alias("__id"))
-    if deleted_plans is not None:
-        live_plans = live_plans.join(deleted_plans.select(F.col("id").alias("__id")), "__id", "left_anti")
-    if deleted_features is not None:
-        live_features = live_features.join(deleted_features.select(F.col("id").alias("__id")), "__id", "left_anti")
-    pf_keep = (plan_features
-               .join(live_plans, plan_features["plan_id"] == live_plans["__id"], "left_semi")
-               .join(live_features, plan_features["feature_id"] == live_features["__id"], "left_semi"))
-    pf_gone = plan_features.join(pf_keep.select(F.col("id").alias("__k")),
-                                 plan_features["id"] == F.col("__k"), "left_anti")
-    q_gone = quotas.join(pf_keep.select(F.col("id").alias("__k")),
-                         quotas["plan_feature_id"] == F.col("__k"), "left_anti")
-    a_gone = assignments.join(live_plans, assignments["plan_id"] == live_plans["__id"], "left_anti")
+    def gone_ids(deleted: DataFrame | None) -> DataFrame | None:
+        return None if deleted is None else deleted.select(F.col("id").alias("__gone")).distinct()
+
+    def lost(df: DataFrame, key: str, owners: DataFrame, removed: DataFrame | None) -> DataFrame:
+        """``df`` with ``__has_{key}``: true if the row's owner is there and stays, else null."""
+        here = owners.select(F.col("id").alias(f"__{key}"), F.lit(True).alias(f"__has_{key}"))
+        if removed is not None:
+            here = here.join(removed, here[f"__{key}"] == removed["__gone"], "left_anti")
+        return df.join(bounded_broadcast(here), df[key] == here[f"__{key}"], "left")
+
+    gone_plans, gone_features = gone_ids(deleted_plans), gone_ids(deleted_features)
+    pf = lost(plan_features.select("id", "plan_id", "feature_id"), "plan_id", plans, gone_plans)
+    pf = lost(pf, "feature_id", features, gone_features)
+    # one table of plan-features with whether they stay; quotas follow it
+    pf = pf.select("id", (F.col("__has_plan_id").isNotNull() & F.col("__has_feature_id").isNotNull()).alias("stays"))
+    pf_gone = pf.where("not stays")
+    kept = pf.where("stays").select(F.col("id").alias("__k"))
+    q_gone = quotas.join(kept, quotas["plan_feature_id"] == kept["__k"], "left_anti")
+    a_gone = lost(assignments.select("id", "plan_id"), "plan_id", plans, gone_plans).where("__has_plan_id is null")
+
+    def named(df: DataFrame, removed: DataFrame | None) -> DataFrame:
+        return df.limit(0) if removed is None else df.join(removed, df["id"] == removed["__gone"], "left_semi")
+
     parts = [
-        plans.join(live_plans, plans["id"] == live_plans["__id"], "left_anti")
-        .select(F.lit("plan").alias("entity"), "id"),
-        features.join(live_features, features["id"] == live_features["__id"], "left_anti")
-        .select(F.lit("feature").alias("entity"), "id"),
+        named(plans, gone_plans).select(F.lit("plan").alias("entity"), "id"),
+        named(features, gone_features).select(F.lit("feature").alias("entity"), "id"),
         pf_gone.select(F.lit("plan_feature").alias("entity"), "id"),
         q_gone.select(F.lit("quota").alias("entity"), "id"),
         a_gone.select(F.lit("assignment").alias("entity"), "id"),

@@ -66,21 +66,21 @@ def meters_for_types(meters: DataFrame, event_types: DataFrame | None = None,
     return meters
 
 
-def required_properties(meters: DataFrame) -> DataFrame:
-    """L3: per event type, the union of every meter's properties and value
-    property, empty names dropped, sorted.
+def required_properties(meters: DataFrame, by: tuple[str, ...] = ("event_type",)) -> DataFrame:
+    """L3: per event type (and tenant, with ``by``), the union of every meter's
+    properties and value property, empty names dropped, sorted.
 
     A type whose meters require nothing keeps a row with an empty array, so
-    its events pass rather than being reported as having no meter.
+    its events pass rather than being reported as having no meter. Names are
+    collected as sets, so tasks send each name of a type once.
     """
     names = F.concat(
         F.coalesce(F.col("properties"), F.array().cast("array<string>")),
         F.array(F.coalesce(F.col("value_property"), F.lit(""))),
     )
-    return (meters.groupBy("event_type")
-            .agg(F.flatten(F.collect_list(names)).alias("names"))
-            .select("event_type",
-                    F.array_sort(F.array_distinct(F.filter("names", lambda n: n != ""))).alias("required")))
+    return (meters.select(*by, F.explode(names).alias("name"))
+            .groupBy(*by).agg(F.collect_set(F.when(F.col("name") != "", F.col("name"))).alias("names"))
+            .select(*by, F.array_sort("names").alias("required")))
 
 
 def _nil_event(raw: DataFrame) -> Column:
@@ -105,11 +105,22 @@ def validate(raw: DataFrame, meters: DataFrame, tenant: str | None = None,
     ``raw`` has the API fields as strings (``properties`` JSON text). The
     required-property table is one row per event type of the registry: it is
     broadcast after a row-count check and joined without shuffling the events.
+
+    Only a tenant's own meters apply: name the ``tenant``, or carry it in a
+    column ``tenant_slug`` of ``raw``. Without either, the registry must not
+    have tenants.
     """
-    req = required_properties(meters_for_types(meters, tenant=tenant)) \
-        .withColumnRenamed("event_type", "__req_type")
+    if tenant is None and "tenant_slug" in meters.columns:
+        if "tenant_slug" not in raw.columns:
+            raise ValueError("the registry has tenants: name one, or give the events a tenant_slug")
+        req = required_properties(meters, ("tenant_slug", "event_type")).withColumnsRenamed(
+            {"event_type": "__req_type", "tenant_slug": "__req_tenant"})
+        mine = raw["tenant_slug"] == F.col("__req_tenant")
+    else:
+        req = required_properties(meters_for_types(meters, tenant=tenant)).withColumnRenamed("event_type", "__req_type")
+        mine = F.lit(True)
     req = bounded_broadcast(req, max_broadcast_rows) if max_broadcast_rows else bounded_broadcast(req)
-    df = raw.join(req, raw["type"] == req["__req_type"], "left")
+    df = raw.join(req, (raw["type"] == req["__req_type"]) & mine, "left")
 
     props = F.col("properties")
     if "properties" in raw.columns and dict(raw.dtypes)["properties"] != "string":
@@ -198,16 +209,23 @@ def publish(raw: DataFrame, meters: DataFrame, tenant: str | None = None,
     * strict mode (``allow_partial_success=False``) fails on the first reject;
     * partial mode fails only when no event is accepted.
 
-    Returns ``(accepted, rejected)``. The checks are ``limit(1)`` probes, so
-    no data is brought to the driver.
+    Returns ``(accepted, rejected)``, persisted so that both and the decision
+    see one evaluation (default ids and times are decided once); unpersist them
+    when done. The decision comes from one row of counts.
     """
-    if not raw.limit(1).collect():
-        raise BatchError("cannot process empty event batch")
-    if not distinct_event_types(raw).limit(1).collect():
-        raise BatchError("no valid event types found in the batch")
-    validated = validate(raw, meters, tenant=tenant, strict_ids=strict_ids)
+    validated = validate(raw, meters, tenant=tenant, strict_ids=strict_ids).persist()
+    events, typed, accepted = validated.agg(
+        F.count(F.lit(1)), F.count(F.when(F.col("type") != "", 1)), F.count(F.when(F.col("reason").isNull(), 1))).first()
+    error = None
+    if not events:
+        error = BatchError("the batch holds no events")
+    elif not typed:
+        error = BatchError("no event of the batch names a type")
+    elif allow_partial_success and not accepted:
+        error = BatchError("every event of the batch was rejected")
+    if error:
+        validated.unpersist()
+        raise error
     if not allow_partial_success:
         ensure_all_valid(validated)
-    elif not validated.where(F.col("reason").isNull()).limit(1).collect():
-        raise BatchError("all events failed validation")
     return split(validated)

@@ -13,6 +13,7 @@ import datetime as dt
 from collections.abc import Mapping
 from typing import Any
 
+from meterkit.operators.catalog import DEFAULT_LIMIT, DEFAULT_PAGE, Page
 from meterkit.plans.spec import AGGREGATIONS, WINDOW_SIZES, MeterQuery, MeterQueryError, MeterSpec, MeterSpecError
 
 
@@ -64,3 +65,14 @@ def meter_query_from_request(body: Mapping[str, Any]) -> tuple[str, MeterQuery]:
         window_time_zone=body.get("window_time_zone"),
     )
     return body["meter_slug"], query
+
+
+# Fixed value: the API's largest page.
+MAX_LIMIT = 100
+
+
+def page_from_request(page: int | None = None, limit: int | None = None) -> Page:
+    """The API's paging rule: a page below 1 is the first; a limit outside
+    1 to 100 is the default. Operators take any page."""
+    return Page(page if isinstance(page, int) and page >= 1 else DEFAULT_PAGE,
+                limit if isinstance(limit, int) and 1 <= limit <= MAX_LIMIT else DEFAULT_LIMIT)
