@@ -213,7 +213,7 @@ changes_t as (
 # Sequential application of the changes, one step per change rank, all keys
 # in parallel (recursive CTE): the independent twin of the Spark fold.
 CHANGE_WALK = """checked_k as (
-  select c.*, concat_ws('|', c.plan_id, coalesce(c.organization_id, ''), coalesce(c.user_id, '')) as key,
+  select c.*, cast(json_array(c.plan_id, c.organization_id, c.user_id) as varchar) as key,
          case when c.action = 'CREATE' and c.valid_from is null then 'missing_valid_from'
               when c.action = 'CREATE' and c.valid_until is not null and c.valid_from > c.valid_until
                 then 'valid_from_after_valid_until'
@@ -225,7 +225,7 @@ CHANGE_WALK = """checked_k as (
 checked as (
   select *, row_number() over (partition by key order by requested_at, seq) as rn from checked_k),
 a_keyed as (
-  select *, concat_ws('|', plan_id, coalesce(organization_id, ''), coalesce(user_id, '')) as key
+  select *, cast(json_array(plan_id, organization_id, user_id) as varchar) as key
   from assignments_t),
 all_keys as (select key from checked union select key from a_keyed),
 walk as (
@@ -291,3 +291,37 @@ walk as (
                   then 'valid_until_after_current'
            end as r
     from walk w join checked c on c.key = w.key and c.rn = w.rn + 1) step)"""
+
+
+# Keys that differ only in where a separator stands: customers 2j and 2j + 1
+# hold (p, org k|j) and (p|k, org j).
+def with_separators(view: str, number: str) -> str:
+    return f"""{view} as (
+  select * replace (
+    case when {number} % 2 = 0 then 'p' else 'p|k' end as plan_id,
+    concat(case when {number} % 2 = 0 then 'k|' else '' end, cast({number} // 2 as varchar)) as organization_id,
+    cast(null as varchar) as user_id)
+  from {view}_plain)"""
+
+
+SEPARATOR_VIEWS = (
+    """plans_t as (
+  select unnest(['p', 'p|k']) as id, cast(null as timestamp) as archived_at)""",
+    ASSIGNMENTS.replace("assignments_t as", "assignments_t_plain as", 1),
+    with_separators("assignments_t", "cast(id[5:] as bigint)"),
+    CHANGES.replace("changes_t as", "changes_t_plain as", 1),
+    with_separators("changes_t", "cast(coalesce(organization_id, user_id)[5:] as bigint)"))
+
+# Every tenth assignment has a younger double under the same key.
+DOUBLED_VIEWS = (
+    ASSIGNMENTS.replace("assignments_t as", "assignments_plain as", 1),
+    """older as (select * from assignments_plain where cast(id[5:] as bigint) % 10 = 0)""",
+    """assignments_t as (
+  select * from assignments_plain where cast(id[5:] as bigint) % 10 <> 0
+  union all
+  select * replace (concat('dup_', id[5:]) as id, created_at + interval 1 second as created_at) from older)""",
+    CHANGES)
+
+# Texts a numeric meter meets, by event_id % 12, and what they measure.
+VALUE_TEXTS = {0: ("12d", None), 1: ("1f", None), 2: ("0x1p3", None), 3: (" 7 ", None), 4: ("NaN", None),
+               5: ("Infinity", None), 6: ("", None), 7: ("1e2", 100.0), 8: ("-3.5", -3.5), 9: ("+4", 4.0), 10: (".5", 0.5)}

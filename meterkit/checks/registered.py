@@ -2,21 +2,23 @@
 
 Every entry reads the whole driver tables under ``sf_dir`` (through the
 fixture views) and has, where SQL can state it, a DuckDB twin written from
-the reference's semantics rather than from the Spark code. Floating sums are
-rounded to 6 decimals on both sides (summation order differs by engine).
+the reference's semantics rather than from the Spark code. Sums and averages
+are rounded on both sides, for summation order differs by engine.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterkit.checks.oracle import (
-    ASSIGNMENTS, CHANGE_WALK, CHANGES, DIRTY_ACCEPTED, DIRTY_MISSING, DIRTY_REASON, FEATURES, HISTORY, LINKS,
-    METERED, METERS, PLAN_FEATURES, PLANS, QUOTAS, TENANTS, USAGE_EVENTS, with_views)
+    ASSIGNMENTS, CHANGE_WALK, CHANGES, DIRTY_ACCEPTED, DIRTY_MISSING, DIRTY_REASON, DOUBLED_VIEWS, FEATURES, HISTORY,
+    LINKS, METERED, METERS, PLAN_FEATURES, PLANS, QUOTAS, SEPARATOR_VIEWS, TENANTS, USAGE_EVENTS, VALUE_TEXTS,
+    with_views)
 from meterkit.operators import catalog as cat
 from meterkit.operators import changes as chg
 from meterkit.operators import ingest
@@ -24,8 +26,12 @@ from meterkit.operators.multi import long_partials
 from meterkit.operators.query import query_events, query_rollup, result_range, shape_rows
 from meterkit.operators.rollup import compact_partials, minute_partials, rollup_rejects
 from meterkit.plans.spec import MeterQuery, MeterSpec
+from meterkit.session import scratch_path
 from meterkit.sources import catalog as fx
+from meterkit.sources import rollup_store as store
+from meterkit.sources.events import read_events
 from meterkit.sources.fixtures import dirty_meters, dirty_raw_events, usage_events
+from meterkit.streaming.ingest import from_queue, kafka_records, parse_event_lines
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -38,18 +44,17 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-# Decimal-valued inputs make exact rounding midpoints common (an average of
-# cent amounts over 32 events ends in ...5 at the 7th decimal), and each
-# engine's summation noise then breaks the tie its own way. Both sides scale
-# by this factor before rounding to 6 decimals, which moves exact midpoints
-# off the tie identically and leaves other values' rounding unchanged.
-TIE_NUDGE = 0.999999999999
-TIE_NUDGE_SQL = "cast('0.999999999999' as double)"
+# Measured values have two decimals. A sum of them lies on that grid, so
+# rounding to two decimals removes the engines' summation noise and never meets
+# a tie; averages (a sum over a small count) are rounded to nine decimals.
+# Minima and maxima are values as they came and are not rounded.
+SUM_DIGITS = 2
+AVG_DIGITS = 9
 
 
-def rounded(df: DataFrame, *cols: str) -> DataFrame:
+def rounded(df: DataFrame, *cols: str, digits: int = SUM_DIGITS) -> DataFrame:
     for c in cols:
-        df = df.withColumn(c, F.round(F.col(c) * F.lit(TIE_NUDGE), 6))
+        df = df.withColumn(c, F.round(c, digits))
     return df
 
 
@@ -85,16 +90,22 @@ Q_HOUR_UNALIGNED = MeterQuery("hour", dt.datetime(2024, 1, 5, 10, 20, 15), dt.da
                               group_by=("organization", "page"))
 
 
-def _from_rollup(spec: MeterSpec, q: MeterQuery, *round_cols: str) -> QueryFn:
+def _shown(result: DataFrame, spec: MeterSpec) -> DataFrame:
+    """Query results as they are compared (see the digits above)."""
+    digits = {"sum": SUM_DIGITS, "avg": AVG_DIGITS}.get(spec.aggregation)
+    return result if digits is None else rounded(result, "value", digits=digits)
+
+
+def _from_rollup(spec: MeterSpec, q: MeterQuery) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         partials = minute_partials(usage_events(spark, sf_dir), spec)
-        return rounded(query_rollup(partials, spec, q), *round_cols)
+        return _shown(query_rollup(partials, spec, q), spec)
     return run
 
 
-def _from_events(spec: MeterSpec, q: MeterQuery, *round_cols: str) -> QueryFn:
+def _from_events(spec: MeterSpec, q: MeterQuery) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(query_events(usage_events(spark, sf_dir), spec, q), *round_cols)
+        return _shown(query_events(usage_events(spark, sf_dir), spec, q), spec)
     return run
 
 
@@ -110,7 +121,7 @@ group by ws, we""")
 
 SQL_SUM_HOUR_ORG = _sql("""
 select date_trunc('hour', ws) as windowstart, date_trunc('hour', ws) + interval 1 hour as windowend,
-       round(sum(amount) * cast('0.999999999999' as double), 6) as value, organization
+       round(sum(amount), 2) as value, organization
 from metered
 where type = 'app.purchase' and amount is not null
   and ws >= timestamp '2024-01-01 00:00:00' and we <= timestamp '2024-01-31 00:00:00'
@@ -118,7 +129,7 @@ group by 1, 2, organization""")
 
 SQL_SUM_DAY_ORG = _sql("""
 select date_trunc('day', ws) as windowstart, date_trunc('day', ws) + interval 1 day as windowend,
-       round(sum(amount) * cast('0.999999999999' as double), 6) as value, organization
+       round(sum(amount), 2) as value, organization
 from metered
 where type = 'app.purchase' and amount is not null
   and ws >= timestamp '2024-01-03 00:00:00' and we <= timestamp '2024-01-21 00:00:00'
@@ -126,7 +137,7 @@ group by 1, 2, organization""")
 
 SQL_AVG_DAY_PAGE = _sql("""
 select date_trunc('day', ws) as windowstart, date_trunc('day', ws) + interval 1 day as windowend,
-       round(avg(amount) * cast('0.999999999999' as double), 6) as value, page
+       round(avg(amount), 9) as value, page
 from metered
 where type = 'app.view' and amount is not null
   and ws >= timestamp '2024-01-01 00:00:00' and we <= timestamp '2024-01-31 00:00:00'
@@ -134,7 +145,7 @@ group by 1, 2, page""")
 
 SQL_MIN_HOUR_PAGE = _sql("""
 select date_trunc('hour', ws) as windowstart, date_trunc('hour', ws) + interval 1 hour as windowend,
-       round(min(amount) * cast('0.999999999999' as double), 6) as value, page
+       min(amount) as value, page
 from metered
 where type = 'app.signup' and amount is not null
   and ws >= timestamp '2024-01-01 00:00:00' and we <= timestamp '2024-01-31 00:00:00'
@@ -142,7 +153,7 @@ group by 1, 2, page""")
 
 SQL_MAX_DAY_IN = _sql("""
 select date_trunc('day', ws) as windowstart, date_trunc('day', ws) + interval 1 day as windowend,
-       round(max(amount) * cast('0.999999999999' as double), 6) as value, organization
+       max(amount) as value, organization
 from metered
 where type = 'app.error' and amount is not null and page in ('p1', 'p2', 'p3')
   and ws >= timestamp '2024-01-01 00:00:00' and we <= timestamp '2024-01-31 00:00:00'
@@ -164,7 +175,7 @@ where type = 'app.click'
 group by page""")
 
 SQL_SUM_MINUTE_USER = _sql("""
-select ws as windowstart, we as windowend, round(sum(amount) * cast('0.999999999999' as double), 6) as value, page
+select ws as windowstart, we as windowend, round(sum(amount), 2) as value, page
 from metered
 where type = 'app.purchase' and amount is not null and "user" = 'usr_7'
   and ws >= timestamp '2024-01-01 00:00:00' and we <= timestamp '2024-01-31 00:00:00'
@@ -179,7 +190,7 @@ where type = 'app.click' and organization in ('org_1', 'org_2') and page = 'p3'
 group by 1, 2, "user" """)
 
 SQL_AVG_TOTAL = _sql("""
-select min(ws) as windowstart, max(we) as windowend, round(avg(amount) * cast('0.999999999999' as double), 6) as value
+select min(ws) as windowstart, max(we) as windowend, round(avg(amount), 9) as value
 from metered
 where type = 'app.view' and amount is not null""")
 
@@ -193,7 +204,7 @@ group by 1, 2, organization, page""")
 
 SQL_PARTIALS_SUM = _sql("""
 select ws as windowstart, we as windowend, organization, "user", page,
-       round(sum(amount) * cast('0.999999999999' as double), 6) as sum_v, cast(ws as date) as window_date
+       round(sum(amount), 2) as sum_v, cast(ws as date) as window_date
 from metered
 where type = 'app.purchase' and amount is not null
 group by ws, we, organization, "user", page""")
@@ -213,7 +224,7 @@ where type = 'app.purchase' and amount is not null
 
 SQL_SHAPED_HOUR_ORG = _sql("""
 select date_trunc('hour', ws) as windowstart, date_trunc('hour', ws) + interval 1 hour as windowend,
-       round(sum(amount) * cast('0.999999999999' as double), 6) as value,
+       round(sum(amount), 2) as value,
        cast(to_json(map(['organization'], [organization])) as varchar) as group_by
 from metered
 where type = 'app.purchase' and amount is not null
@@ -221,22 +232,22 @@ where type = 'app.purchase' and amount is not null
 group by 1, 2, organization""")
 
 register("q01_count_minute", SQL_COUNT_MINUTE)(_from_rollup(COUNT_CLICKS, Q_COUNT_MINUTE))
-register("q02_sum_hour_by_org", SQL_SUM_HOUR_ORG)(_from_rollup(SUM_PURCHASE, Q_SUM_HOUR_ORG, "value"))
-register("q03_sum_day_by_org", SQL_SUM_DAY_ORG)(_from_rollup(SUM_PURCHASE, Q_SUM_DAY_ORG, "value"))
-register("q04_avg_day_by_page", SQL_AVG_DAY_PAGE)(_from_rollup(AVG_VIEW, Q_DAY_PAGE, "value"))
-register("q05_min_hour_by_page", SQL_MIN_HOUR_PAGE)(_from_rollup(MIN_SIGNUP, Q_HOUR_PAGE, "value"))
-register("q06_max_day_in_filter", SQL_MAX_DAY_IN)(_from_rollup(MAX_ERROR, Q_MAX_DAY_IN, "value"))
+register("q02_sum_hour_by_org", SQL_SUM_HOUR_ORG)(_from_rollup(SUM_PURCHASE, Q_SUM_HOUR_ORG))
+register("q03_sum_day_by_org", SQL_SUM_DAY_ORG)(_from_rollup(SUM_PURCHASE, Q_SUM_DAY_ORG))
+register("q04_avg_day_by_page", SQL_AVG_DAY_PAGE)(_from_rollup(AVG_VIEW, Q_DAY_PAGE))
+register("q05_min_hour_by_page", SQL_MIN_HOUR_PAGE)(_from_rollup(MIN_SIGNUP, Q_HOUR_PAGE))
+register("q06_max_day_in_filter", SQL_MAX_DAY_IN)(_from_rollup(MAX_ERROR, Q_MAX_DAY_IN))
 register("q07_unique_day_by_org", SQL_UNIQUE_DAY_ORG)(_from_rollup(UNIQUE_CLICK_K, Q_DAY_ORG))
 register("q08_count_range_by_page", SQL_COUNT_RANGE_PAGE)(_from_rollup(COUNT_CLICKS, Q_RANGE_PAGE))
-register("q09_sum_minute_user_eq", SQL_SUM_MINUTE_USER)(_from_rollup(SUM_PURCHASE, Q_MINUTE_USER_EQ, "value"))
+register("q09_sum_minute_user_eq", SQL_SUM_MINUTE_USER)(_from_rollup(SUM_PURCHASE, Q_MINUTE_USER_EQ))
 register("q10_unique_hour_filters", SQL_UNIQUE_HOUR_FILTERS)(
     _from_rollup(UNIQUE_CLICK_K, Q_HOUR_FILTERS))
-register("q11_avg_total", SQL_AVG_TOTAL)(_from_rollup(AVG_VIEW, Q_TOTAL, "value"))
+register("q11_avg_total", SQL_AVG_TOTAL)(_from_rollup(AVG_VIEW, Q_TOTAL))
 register("q14_count_hour_unaligned", SQL_COUNT_HOUR_UNALIGNED)(_from_rollup(COUNT_CLICKS, Q_HOUR_UNALIGNED))
-register("q15_events_sum_day_by_org", SQL_SUM_DAY_ORG)(_from_events(SUM_PURCHASE, Q_SUM_DAY_ORG, "value"))
+register("q15_events_sum_day_by_org", SQL_SUM_DAY_ORG)(_from_events(SUM_PURCHASE, Q_SUM_DAY_ORG))
 register("q16_events_unique_day_by_org", SQL_UNIQUE_DAY_ORG)(_from_events(UNIQUE_CLICK_K, Q_DAY_ORG))
 register("q17_events_count_range_by_page", SQL_COUNT_RANGE_PAGE)(_from_events(COUNT_CLICKS, Q_RANGE_PAGE))
-register("q19_events_avg_total", SQL_AVG_TOTAL)(_from_events(AVG_VIEW, Q_TOTAL, "value"))
+register("q19_events_avg_total", SQL_AVG_TOTAL)(_from_events(AVG_VIEW, Q_TOTAL))
 
 
 @register("m01_partials_sum", SQL_PARTIALS_SUM)
@@ -261,11 +272,106 @@ def m03_compacted_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compact_partials(halves[0].unionByName(halves[1]), SUM_PURCHASE), "sum_v")
 
 
-@register("m04_unique_hll_day")
+def _by_text(index: str, pick: Callable[[tuple], str], other: str) -> str:
+    whens = " ".join(f"when {i} then {pick(pair)}" for i, pair in VALUE_TEXTS.items())
+    return f"case {index} {whens} else {other} end"
+
+
+@register("m03_value_texts", _sql(f"""
+select ws as windowstart, we as windowend, organization, "user", page,
+       round(sum(v), 2) as sum_v, cast(ws as date) as window_date
+from (select *, {_by_text("cast(id[5:] as bigint) % 12", lambda p: "null" if p[1] is None else str(p[1]), "amount")} as v from metered)
+where type = 'app.purchase' and v is not null
+group by ws, we, organization, "user", page"""))
+def m03_value_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: only texts that write out a decimal number are measured."""
+    events = usage_events(spark, sf_dir)
+    text = F.expr(_by_text("cast(substring(id, 5) as bigint) % 12", lambda p: f"'{p[0]}'", "props['amount']"))
+    swapped = (events.withColumn("props", F.from_json("properties", "map<string,string>"))
+               .withColumn("properties", F.to_json(F.map_concat(
+                   F.map_filter("props", lambda k, _: k != "amount"), F.create_map(F.lit("amount"), text)))).drop("props"))
+    return rounded(minute_partials(swapped, SUM_PURCHASE), "sum_v")
+
+
+@register("m04_unique_hll_day", SQL_UNIQUE_DAY_ORG.replace("cast(count(distinct k) as double) as value", "true as close"))
 def m04_unique_hll_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M11/Q9 approximate: HLL sketches per minute, unioned per day."""
-    partials = minute_partials(usage_events(spark, sf_dir), HLL_CLICK_K)
-    return query_rollup(partials, HLL_CLICK_K, Q_DAY_ORG)
+    """M11/Q9 approximate: HLL sketches per minute, unioned per day, are within
+    5 % (and one) of the exact counts in every window."""
+    events = usage_events(spark, sf_dir)
+    sketched = query_rollup(minute_partials(events, HLL_CLICK_K), HLL_CLICK_K, Q_DAY_ORG)
+    exact = query_events(events, UNIQUE_CLICK_K, Q_DAY_ORG).withColumnRenamed("value", "exact")
+    return (sketched.join(exact, ["windowstart", "windowend", "organization"], "full")
+            .withColumn("close", F.coalesce(F.abs(F.col("value") - F.col("exact")) <= 0.05 * F.col("exact") + 1, F.lit(False)))
+            .select("windowstart", "windowend", "close", "organization"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@register("q20_day_from_stored_rollup", SQL_SUM_DAY_ORG)
+def q20_day_from_stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two epochs of all meters written to storage, one meter
+    compacted, a third epoch replayed; the query reads the stored rollup."""
+    events, root = usage_events(spark, sf_dir), _scratch(spark, "q20")
+    specs = [SUM_PURCHASE, COUNT_CLICKS, UNIQUE_CLICK_K, HLL_CLICK_K]
+    thirds = [events.where(F.pmod(F.xxhash64("id"), F.lit(3)) == i) for i in range(3)]
+    for epoch in (0, 1):
+        store.write_epoch_of_all(thirds[epoch], root, specs, epoch)
+    store.compact(spark, root, SUM_PURCHASE)
+    for _ in range(2):
+        store.write_epoch_of_all(thirds[2], root, specs, 2)
+    return _shown(query_rollup(store.read_rollup(spark, root, SUM_PURCHASE), SUM_PURCHASE, Q_SUM_DAY_ORG), SUM_PURCHASE)
+
+
+@register("m13_backfill_during_compaction", SQL_SUM_DAY_ORG)
+def m13_backfill_during_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backfill that saw batches 1 and 2 lands after a compaction folded 1
+    to 3. The layer that straddles it wins; nothing is counted twice."""
+    events, root = usage_events(spark, sf_dir), _scratch(spark, "m13")
+    thirds = [events.where(F.pmod(F.xxhash64("id"), F.lit(3)) == i) for i in range(3)]
+    for epoch, part in enumerate(thirds):
+        store.write_epoch(minute_partials(part, SUM_PURCHASE), root, SUM_PURCHASE, epoch)
+    store.compact(spark, root, SUM_PURCHASE)
+    store.write_batch(minute_partials(thirds[0].unionByName(thirds[1]), SUM_PURCHASE), root, SUM_PURCHASE, "f2")
+    return _shown(query_rollup(store.read_rollup(spark, root, SUM_PURCHASE), SUM_PURCHASE, Q_SUM_DAY_ORG), SUM_PURCHASE)
+
+
+@register("s03_events_scan", with_views("""
+select id, type, source, organization, "user", "timestamp", properties from usage_events
+where type = 'app.purchase' and "timestamp" >= timestamp '2024-01-03' and "timestamp" < timestamp '2024-01-09'""", USAGE_EVENTS))
+def s03_events_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as the ingest job does, read back by date and type."""
+    path, events = _scratch(spark, "s03"), usage_events(spark, sf_dir)
+    for batch in (0, 1):
+        (events.where(F.pmod(F.xxhash64("id"), F.lit(2)) == batch).withColumn("event_date", F.to_date("timestamp"))
+         .write.partitionBy("event_date").parquet(f"{path}/batch_id={batch + 1}"))
+    found = read_events(spark, path, dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 9), "app.purchase")
+    return found.select("id", "type", "source", "organization", "user", "timestamp", "properties")
+
+
+def _queue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kafka_records(usage_events(spark, sf_dir))
+
+
+@register("s01_queue_lines", with_views("""
+select id, type, source, organization, "user", "timestamp", properties from usage_events""", USAGE_EVENTS))
+def s01_queue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as the topic carries them, parsed, validated and stored."""
+    raw = from_queue(parse_event_lines(_queue_lines(spark, sf_dir)))
+    return ingest.typed_events(ingest.validate(raw, dirty_meters(spark, sf_dir), tenant=DIRTY_TENANT))
+
+
+@register("s07_kafka_records", with_views("""
+select concat(organization, '-', "user") as key, id, strftime("timestamp", '%Y-%m-%dT%H:%M:%S') as ts, properties,
+       'content-type: application/json' as header from usage_events""", USAGE_EVENTS))
+def s07_kafka_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of accepted events: key, value fields, header."""
+    value = F.from_json("value", "id string, timestamp string, properties string")
+    header = F.concat("headers.key", F.array(F.lit(": ")), F.transform("headers.value", lambda v: v.cast("string")))
+    return _queue_lines(spark, sf_dir).select(
+        "key", value.alias("v"), F.array_join(header, "").alias("header")).select(
+        "key", "v.id", F.col("v.timestamp").alias("ts"), "v.properties", "header")
 
 
 @register("q12_result_range", SQL_RESULT_RANGE)
@@ -278,7 +384,7 @@ def q12_result_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("q13_rows_shaped", SQL_SHAPED_HOUR_ORG)
 def q13_rows_shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q18: dimensions packed into a map (shown as JSON text)."""
-    result = _from_rollup(SUM_PURCHASE, Q_SUM_HOUR_ORG, "value")(spark, sf_dir)
+    result = _from_rollup(SUM_PURCHASE, Q_SUM_HOUR_ORG)(spark, sf_dir)
     shaped = shape_rows(result, Q_SUM_HOUR_ORG)
     return shaped.withColumn("group_by", F.to_json("group_by"))
 
@@ -311,6 +417,56 @@ def l03_required_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return req.select("event_type", F.array_join("required", ",").alias("required"))
 
 
+@register("l03_two_tenants", """
+select distinct concat('app.', event_type) as event_type, t.tenant_slug,
+       case t.tenant_slug when 'acme' then 'amount,k,page' else 'only_other' end as required
+from events, (select unnest(['acme', 'other']) as tenant_slug) t""")
+def l03_two_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: another tenant's meters add nothing to a tenant's required properties."""
+    own = dirty_meters(spark, sf_dir)
+    other = own.withColumns({"tenant_slug": F.lit("other"), "properties": F.array(F.lit("only_other")),
+                             "value_property": F.lit(None).cast("string")})
+    req = ingest.required_properties(own.unionByName(other), ("tenant_slug", "event_type"))
+    return req.select("event_type", "tenant_slug", F.array_join("required", ",").alias("required"))
+
+
+@register("i02_default_id_and_time", """
+select concat('evt_', cast(event_id as varchar)) as source, event_id % 3 = 0 as own_id, event_id % 5 = 0 as own_time
+from events""")
+def i02_default_id_and_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty id becomes a uuid, an empty timestamp the present second."""
+    n = _number(F.col("id"))
+    raw = usage_events(spark, sf_dir).select(
+        F.when(n % 3 != 0, F.col("id")).otherwise("").alias("id"), "type", F.col("id").alias("source"), "organization", "user",
+        F.when(n % 5 != 0, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("").alias("timestamp"), "properties")
+    out = ingest.typed_events(ingest.validate(raw, dirty_meters(spark, sf_dir), tenant=DIRTY_TENANT))
+    age = F.unix_seconds(F.current_timestamp()) - F.unix_seconds("timestamp")
+    return out.select("source", F.col("id").rlike(ingest.UUID_PATTERN).alias("own_id"), F.abs(age).between(0, 86400).alias("own_time"))
+
+
+@register("v08_strict_batch", """
+select source, count(*) as events, bool_or(event_id % 50 in (7, 11, 13, 15, 17, 19, 23, 29, 31, 33, 37, 39, 43, 47)) as rejected
+from (select *, case when event_id % 2 = 0 then 'even' else 'odd' end as source from events) group by source""")
+def v08_strict_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8 strict: which of two batches (even and odd events) would be refused."""
+    checked = _validated(spark, sf_dir).withColumn("source", F.when(_number(F.col("id")) % 2 == 0, "even").otherwise("odd"))
+    return checked.groupBy("source").agg(F.count(F.lit(1)).alias("events"),
+                                         F.max(F.col("reason").isNotNull()).alias("rejected"))
+
+
+@register("m10_count_values", with_views("""
+select date_trunc('day', "timestamp") as windowstart, date_trunc('day', "timestamp") + interval 1 day as windowend,
+       cast(count(*) as double) as value, organization
+from accepted where type = 'app.purchase' and event_id % 50 <> 41
+  and "timestamp" >= timestamp '2024-01-01' and "timestamp" < timestamp '2024-01-31'
+group by 1, 2, organization""", DIRTY_ACCEPTED))
+def m10_count_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A count meter with a value counts the events whose value is a number."""
+    spec = MeterSpec("priced", "app.purchase", "count", "amount", ("page",), count_values=True)
+    valid, _ = ingest.split(_validated(spark, sf_dir))
+    return query_rollup(minute_partials(valid, spec), spec, Q_DAY_ORG)
+
+
 @register("v01_validation_reasons", f"""
 select concat('evt_', cast(event_id as varchar)) as id, {DIRTY_REASON} as reason from events""")
 def v01_validation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,7 +502,7 @@ def v04_missing_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("v05_ingested_sum_day_by_org", with_views("""
 select date_trunc('day', "timestamp") as windowstart,
        date_trunc('day', "timestamp") + interval 1 day as windowend,
-       round(sum(case when event_id % 100 = 45 then 0 else value end) * cast('0.999999999999' as double), 6) as value, organization
+       round(sum(case when event_id % 100 = 45 then 0 else value end), 2) as value, organization
 from accepted
 where type = 'app.purchase' and event_id % 50 <> 41
 group by 1, 2, organization""", DIRTY_ACCEPTED))
@@ -403,35 +559,42 @@ def c03_event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("c04_meters_page", _cat_sql("""
-select id, slug, tenant_slug, created_at, position from (
+select m.id, m.slug, t.tenant_slug, m.created_at, m.position, t.total
+from (select tenant_slug, count(*) as total from meters_t group by tenant_slug) t left join (
   select *, row_number() over (partition by tenant_slug order by created_at desc, id desc) as position
-  from meters_t) where position between 21 and 40""", METERS))
+  from meters_t) m on m.tenant_slug = t.tenant_slug and m.position between 21 and 40""", METERS))
 def c04_meters_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C4: page 2 (limit 20) of every tenant's meters, newest first."""
+    """C4: page 2 (limit 20) of every tenant's meters, newest first, with the total."""
     page = cat.meters_page(fx.meters(spark, sf_dir), cat.Page(2, 20))
-    return page.select("id", "slug", "tenant_slug", "created_at", "position")
+    return page.select("id", "slug", "tenant_slug", "created_at", "position", "total")
 
 
 @register("c06_plans_page", _cat_sql("""
-select p.id, p.tenant_slug, p.type, p.created_at, p.position, t.total from (
+select p.id, t.tenant_slug, p.type, p.created_at, p.position, t.total
+from (select tenant_slug, count(*) as total from plans_t where archived_at is null group by tenant_slug) t
+left join (
   select *, row_number() over (partition by tenant_slug order by created_at desc, id desc) as position
-  from plans_t where archived_at is null) p
-join (select tenant_slug, count(*) as total from plans_t where archived_at is null group by tenant_slug) t
-  on p.tenant_slug = t.tenant_slug
-where p.position <= 3""", PLANS))
+  from plans_t where archived_at is null) p on p.tenant_slug = t.tenant_slug and p.position <= 3""", PLANS))
 def c06_plans_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First 3 non-archived plans per tenant, with the total."""
     page = cat.plans_page(fx.plans(spark, sf_dir), cat.Page(1, 3), archived=False)
     return page.select("id", "tenant_slug", "type", "created_at", "position", "total")
 
 
+@register("c06_page_past_end", _cat_sql("""
+select cast(null as varchar) as id, tenant_slug, cast(null as bigint) as position, count(*) as total
+from plans_t group by tenant_slug""", PLANS))
+def c06_page_past_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page past the end has no plans, but still the total."""
+    return cat.plans_page(fx.plans(spark, sf_dir), cat.Page(9, 20)).select("id", "tenant_slug", "position", "total")
+
+
 @register("c07_features_page", _cat_sql("""
-select f.id, f.tenant_slug, f.type, f.created_at, f.position, t.total from (
+select f.id, t.tenant_slug, f.type, f.created_at, f.position, t.total
+from (select tenant_slug, count(*) as total from features_t where type = 'metered' group by tenant_slug) t
+left join (
   select *, row_number() over (partition by tenant_slug order by created_at desc, id desc) as position
-  from features_t where type = 'metered') f
-join (select tenant_slug, count(*) as total from features_t where type = 'metered' group by tenant_slug) t
-  on f.tenant_slug = t.tenant_slug
-where f.position between 11 and 20""", FEATURES))
+  from features_t where type = 'metered') f on f.tenant_slug = t.tenant_slug and f.position between 11 and 20""", FEATURES))
 def c07_features_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page 2 (limit 10) of metered features per tenant, with the total."""
     page = cat.features_page(fx.features(spark, sf_dir), cat.Page(2, 10), feature_type="metered")
@@ -516,17 +679,16 @@ def c13_quota_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("c14_assignments_page", _cat_sql("""
 select a.id, a.plan_id, a.organization_id, a.user_id, a.valid_from, a.valid_until, a.created_at,
-       a.tenant_slug, a.position, t.total from (
+       t.tenant_slug, a.position, t.total from (
   select x.*, p.tenant_slug,
          row_number() over (partition by p.tenant_slug order by x.created_at desc, x.id desc) as position
   from assignments_t x join plans_t p on x.plan_id = p.id
   where x.valid_from >= timestamp '2024-03-01' and (x.valid_until is null or x.valid_until <= timestamp '2024-09-01')
-) a join (
+) a right join (
   select p.tenant_slug, count(*) as total
   from assignments_t x join plans_t p on x.plan_id = p.id
   where x.valid_from >= timestamp '2024-03-01' and (x.valid_until is null or x.valid_until <= timestamp '2024-09-01')
-  group by p.tenant_slug) t on a.tenant_slug = t.tenant_slug
-where a.position <= 50""", PLANS, ASSIGNMENTS))
+  group by p.tenant_slug) t on a.tenant_slug = t.tenant_slug and a.position <= 50""", PLANS, ASSIGNMENTS))
 def c14_assignments_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14: assignments by validity bounds (open end counts as below any
     upper bound), first 50 per tenant, newest first, with total."""
@@ -546,13 +708,13 @@ def c14_assignments_with_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("c15_active_assignments_page", _cat_sql("""
-select a.id, a.plan_id, a.created_at, a.tenant_slug, a.position, t.total from (
+select a.id, a.plan_id, a.created_at, t.tenant_slug, a.position, t.total from (
   select x.*, p.tenant_slug,
          row_number() over (partition by p.tenant_slug order by x.created_at desc, x.id desc) as position
   from assignments_t x join plans_t p on x.plan_id = p.id where p.archived_at is null) a
-join (select p.tenant_slug, count(*) as total from assignments_t x join plans_t p on x.plan_id = p.id
-      where p.archived_at is null group by p.tenant_slug) t on a.tenant_slug = t.tenant_slug
-where a.position between 51 and 75""", PLANS, ASSIGNMENTS))
+right join (select p.tenant_slug, count(*) as total from assignments_t x join plans_t p on x.plan_id = p.id
+      where p.archived_at is null group by p.tenant_slug) t
+  on a.tenant_slug = t.tenant_slug and a.position between 51 and 75""", PLANS, ASSIGNMENTS))
 def c15_active_assignments_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page 3 (limit 25) of assignments to non-archived plans per tenant."""
     page = cat.active_assignments_page(fx.assignments(spark, sf_dir), fx.plans(spark, sf_dir), cat.Page(3, 25))
@@ -560,17 +722,16 @@ def c15_active_assignments_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("c16_history_page", _cat_sql("""
-select h.id, h.action, h.plan_id, h.valid_from, h.valid_until, h.created_at, h.tenant_slug, h.position, t.total
+select h.id, h.action, h.plan_id, h.valid_from, h.valid_until, h.created_at, t.tenant_slug, h.position, t.total
 from (select x.*, p.tenant_slug,
              row_number() over (partition by p.tenant_slug order by x.created_at asc, x.id asc) as position
       from history_t x join plans_t p on x.plan_id = p.id
       where x.action = 'UPDATE' and x.valid_from >= timestamp '1996-01-01' and x.valid_from < timestamp '2000-01-01'
         and (x.valid_until is null or x.valid_until < timestamp '1999-06-01')) h
-join (select p.tenant_slug, count(*) as total from history_t x join plans_t p on x.plan_id = p.id
+right join (select p.tenant_slug, count(*) as total from history_t x join plans_t p on x.plan_id = p.id
       where x.action = 'UPDATE' and x.valid_from >= timestamp '1996-01-01' and x.valid_from < timestamp '2000-01-01'
         and (x.valid_until is null or x.valid_until < timestamp '1999-06-01')
-      group by p.tenant_slug) t on h.tenant_slug = t.tenant_slug
-where h.position between 101 and 200""", PLANS, HISTORY))
+      group by p.tenant_slug) t on h.tenant_slug = t.tenant_slug and h.position between 101 and 200""", PLANS, HISTORY))
 def c16_history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page 2 (limit 100) of UPDATE history rows in a validity window,
     oldest first, per tenant, with total."""
@@ -599,6 +760,36 @@ def c22_cascade_archived_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
                               deleted_plans=plans.where(F.col("archived_at").isNotNull()))
 
 
+@register("c22_deleted_features", _cat_sql("""
+select 'feature' as entity, id from features_t where type = 'static'
+union all
+select 'plan_feature', pf.id from plan_features_t pf left join features_t f on pf.feature_id = f.id
+  where f.id is null or f.type = 'static' or pf.plan_id = 'plan_3'
+union all
+select 'quota', q.id from quotas_t q left join plan_features_t pf on q.plan_feature_id = pf.id
+  left join features_t f on pf.feature_id = f.id where f.id is null or f.type = 'static' or pf.plan_id = 'plan_3'
+union all
+select 'assignment', a.id from assignments_t a where a.plan_id = 'plan_3'""",
+                                                  PLANS, FEATURES, LINKS, PLAN_FEATURES, QUOTAS, ASSIGNMENTS))
+def c22_deleted_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows a delete of every static feature would cascade to, with the
+    orphans of a plan that is already gone."""
+    plans, features = fx.plans(spark, sf_dir).where("id <> 'plan_3'"), fx.features(spark, sf_dir)
+    return cat.cascade_delete(plans, features, fx.plan_features(spark, sf_dir), fx.quotas(spark, sf_dir),
+                              fx.assignments(spark, sf_dir), deleted_features=features.where("type = 'static'"))
+
+
+@register("c08_config_json", _cat_sql("""
+select pf.id as plan_feature_id, case when pf.config is null then null else true end as visible
+from plan_features_t pf join features_t f on pf.feature_id = f.id join plans_t p on pf.plan_id = p.id""",
+                                        PLANS, FEATURES, LINKS, PLAN_FEATURES))
+def c08_config_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The config text read as JSON, null where there is none."""
+    pf = fx.plan_features(spark, sf_dir)
+    listing = cat.plan_features_listing(pf, fx.features(spark, sf_dir), fx.plans(spark, sf_dir))
+    return listing.select("plan_feature_id", F.try_variant_get("config_json", "$.visible", "boolean").alias("visible"))
+
+
 # ----------------------------------------------------- assignment changes ---
 
 
@@ -630,6 +821,54 @@ def c18_assignments_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame
     return chg.final_assignments(_folded(spark, sf_dir))
 
 
+def _number(c: F.Column) -> F.Column:
+    return F.regexp_extract(c, r"(\d+)$", 1).cast("long")
+
+
+def _with_separators(df: DataFrame, n: F.Column) -> DataFrame:
+    even = n % 2 == 0
+    return df.withColumns({
+        "plan_id": F.when(even, "p").otherwise("p|k"),
+        "organization_id": F.concat(F.when(even, "k|").otherwise(""), F.floor(n / 2).cast("string")),
+        "user_id": F.lit(None).cast("string")})
+
+
+_FINAL_WALK = """
+select aid as id, pid as plan_id, oid as organization_id, uid as user_id, vf as valid_from, vu as valid_until,
+       ca as created_at, ua as updated_at
+from walk w
+where ex and rn = (select max(rn) from walk w2 where w2.key = w.key)"""
+
+
+@register("c18_keys_with_separators", "with recursive " + with_views(
+    _FINAL_WALK, *SEPARATOR_VIEWS, CHANGE_WALK)[len("with "):])
+def c18_keys_with_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that only differ in where a separator stands stay apart."""
+    current = fx.assignments(spark, sf_dir)
+    current = _with_separators(current, _number(F.col("id")))
+    changes = fx.assignment_changes(spark, sf_dir)
+    changes = _with_separators(changes, _number(F.coalesce("organization_id", "user_id")))
+    plans = fx.plans(spark, sf_dir).limit(0).select("id", "archived_at").unionByName(
+        spark.sql("select explode(array('p', 'p|k')) as id, cast(null as timestamp) as archived_at"))
+    return chg.final_assignments(chg.apply_changes(current, changes, plans))
+
+
+@register("c18_duplicate_state", "with recursive " + with_views(
+    _FINAL_WALK + """
+union all
+select id, plan_id, organization_id, user_id, valid_from, valid_until, created_at, created_at from older""",
+    TENANTS, PLANS, *DOUBLED_VIEWS, CHANGE_WALK)[len("with "):])
+def c18_duplicate_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two current rows with one key, changes apply to the newer; the
+    older one passes through."""
+    current = fx.assignments(spark, sf_dir)
+    n = _number(F.col("id"))
+    doubles = current.where(n % 10 == 0).withColumns({
+        "id": F.concat(F.lit("dup_"), n.cast("string")), "created_at": F.col("created_at") + F.expr("interval 1 second")})
+    return chg.final_assignments(chg.apply_changes(
+        current.unionByName(doubles), fx.assignment_changes(spark, sf_dir), fx.plans(spark, sf_dir)))
+
+
 @register("c19_change_outcomes", _walk_sql("""
 select change_id, action, outcome, reason from walk where rn > 0"""))
 def c19_change_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -675,7 +914,7 @@ def c21_assignment_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LONG_SQL_PART = """
 select 'default' as tenant_slug, '{meter}' as meter, ws as windowstart, we as windowend, organization, "user",
        page as dims, {uniq} as uniq_v,
-       round(sum({num}) * cast('0.999999999999' as double), 6) as sum_v, count({num}) as cnt_num,
+       round(sum({num}), 2) as sum_v, count({num}) as cnt_num,
        count(*) as cnt_all, min({num}) as min_v, max({num}) as max_v
 from metered where type = '{type}'
 group by ws, we, organization, "user", page{extra}"""
@@ -692,7 +931,7 @@ group by ws, we, organization, "user", page{extra}"""
 def m05_registry_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1-M11 for a registry: three meters' partials from one pass over events."""
     long = long_partials(usage_events(spark, sf_dir), [SUM_PURCHASE, COUNT_CLICKS, UNIQUE_CLICK_K])
-    return rounded(long.withColumn("dims", F.array_join("dims", "|")), "sum_v")
+    return rounded(long.withColumn("dims", F.array_join("dims", "|")), "sum_v").drop("uniq_hll")
 
 
 @register("l01_event_types", """

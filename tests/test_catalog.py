@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from meterkit.operators import catalog as cat
+from meterkit.plans.requests import page_from_request
 
 
 def ts(d):
@@ -45,12 +46,25 @@ def quotas(spark):
 
 @pytest.mark.parametrize("page,limit,offset,norm", [
     (1, 20, 0, (1, 20)), (0, 20, 0, (1, 20)), (3, 10, 20, (3, 10)), (2, 0, 20, (2, 20)), (2, 101, 20, (2, 20)),
-    (2, 100, 100, (2, 100)), (-4, 5, 0, (1, 5)),
+    (2, 100, 100, (2, 100)), (-4, 5, 0, (1, 5)), (None, None, 0, (1, 20)),
 ])
-def test_page_normalisation(page, limit, offset, norm):
-    p = cat.Page(page, limit)
+def test_page_rule_of_requests(page, limit, offset, norm):
+    p = page_from_request(page, limit)
     assert p.offset == offset
-    assert (p.normalised().page, p.normalised().limit) == norm
+    assert (p.page, p.limit) == norm
+
+
+def test_operators_honour_any_page_or_raise(spark):
+    df = spark.range(400).selectExpr("cast(id as string) as id", "'t' as tenant_slug", "timestamp '2024-01-01' as created_at")
+    assert cat.paged(df, ["tenant_slug"], cat.newest_first(), cat.Page(1, 250)).count() == 250
+    for bad in ((0, 5), (1, 0)):
+        with pytest.raises(ValueError):
+            cat.Page(*bad)
+
+
+def test_total_of_an_empty_page(spark, plans):
+    out = cat.plans_page(plans, cat.Page(5, 10)).collect()
+    assert sorted((r.tenant_slug, r.total, r.id) for r in out) == [("t1", 2, None), ("t2", 1, None)]
 
 
 def test_paging_beyond_end_and_ties(spark):

@@ -81,7 +81,12 @@ def test_jobs_ingest_available_now(spark, scratch_dir):
     total = dirty_raw_events(spark, SF_SMALL).count()
     stored, rejected = spark.read.parquet(paths["events"]).count(), spark.read.parquet(paths["rejects"]).count()
     assert stored + rejected == total and rejected > 0
+    jobs.run(["compact", "--rollup-root", paths["rollups"], "--tenant", "acme", "--meters", registry], spark)
     assert os.path.isdir(os.path.join(paths["rollups"], "tenant=acme", "meter=purchase_sum"))
+    for bad in (["--source", inbox], ["--kafka", "h:1", "--topic", "t", "--tenant", "acme"], ["--tenant", "acme"]):
+        with pytest.raises(SystemExit):
+            jobs.run(["ingest", *bad, "--meters", registry, "--events-path", "e", "--rejects-path", "r", "--rollup-root", "o",
+                      "--checkpoint", "c"], spark)
 
 
 def test_jobs_changes(spark, scratch_dir):
@@ -104,3 +109,12 @@ def test_jobs_changes(spark, scratch_dir):
     before = fx.assignments(spark, SF_SMALL).count()
     after = st.read_state(spark, scratch_dir + "/state").count()
     assert after - before == (out["x2"][0] == "applied") - (out["x1"][0] == "applied")
+    # only the buckets of changed keys are written, and a replay changes nothing
+    written = [b for b in os.listdir(scratch_dir + "/state/version=1") if b.startswith("bucket=")]
+    assert len(written) <= 1
+    once = sorted(map(str, st.read_state(spark, scratch_dir + "/state").collect()))
+    jobs.run(["changes", "--changes", changes, "--plans", scratch_dir + "/plans", "--state", scratch_dir + "/state",
+              "--history", scratch_dir + "/history", "--outcomes", scratch_dir + "/outcomes", "--batch-id", "1"], spark)
+    assert sorted(map(str, st.read_state(spark, scratch_dir + "/state").collect())) == once
+    st.prune_versions(spark, scratch_dir + "/state", 1)
+    assert sorted(map(str, st.read_state(spark, scratch_dir + "/state").collect())) == once

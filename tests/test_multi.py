@@ -29,8 +29,8 @@ def rows(df):
 
 def test_long_partials_match_per_meter(spark):
     events = usage_events(spark, SF_SMALL)
-    long = long_partials(events, SPECS[:-1]).cache()
-    for spec in SPECS[:-1]:
+    long = long_partials(events, SPECS).cache()
+    for spec in SPECS[:-1]:  # sketches are no values to compare; see below
         one = minute_partials(events, spec)
         many = meter_partials(long, spec)
         assert many.columns == one.columns

@@ -30,9 +30,10 @@ def test_hot_pair_is_exact_and_pre_aggregated(spark):
         got = {(r.organization, r.user): round(r.value, 6) for r in merged.collect()}
         exp = {(r.organization, r.user): round(r.value, 6) for r in direct.collect()}
         assert got == exp and ("org_hot", "usr_hot") in got
-        plan = merged._jdf.queryExecution().executedPlan().toString()
+        lines = merged._jdf.queryExecution().executedPlan().toString().splitlines()
+        fed = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
         # every exchange is fed by a partial aggregate, so a hot group ships one row per task
-        assert "partial_" in plan or "HashAggregate" in plan
+        assert fed and all("HashAggregate(" in line for line in fed)
     uniq = MeterSpec("u", "app.click", "unique_count", "k", ("page",))
     day = MeterQuery("day", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31), group_by=("organization",))
     out = query_rollup(minute_partials(events, uniq), uniq, day).where("organization = 'org_hot'").collect()
@@ -47,3 +48,25 @@ def test_hot_assignment_key_streams_through_fold(spark):
     assert outcomes.count() == changes.count()
     live = chg.final_assignments(folded).where("organization_id = 'org_hot'").count()
     assert live <= 1
+
+
+def test_hot_assignment_key_is_folded_by_several_tasks(spark):
+    """A DELETE leaves the key empty, so it cuts the key's changes into
+    segments that different tasks fold."""
+    changes = fx.assignment_changes(spark, SF_CHECK).withColumn("plan_id", F.lit("plan_1")) \
+        .withColumn("organization_id", F.lit("org_hot")).withColumn("user_id", F.lit(None).cast("string"))
+    folded = chg.apply_changes(fx.assignments(spark, SF_CHECK), changes, fx.plans(spark, SF_CHECK), num_partitions=8)
+    tasks = folded.where("organization_id = 'org_hot' and kind = 'outcome'").select(F.spark_partition_id()).distinct()
+    assert tasks.count() > 1
+
+
+def test_untouched_state_bypasses_python(spark):
+    """Assignments that no change names are not shuffled to the fold."""
+    current, plans = fx.assignments(spark, SF_CHECK), fx.plans(spark, SF_CHECK)
+    few = fx.assignment_changes(spark, SF_CHECK).limit(3).cache()
+    folded = chg.apply_changes(current, few, plans)
+    assert chg.change_outcomes(folded).count() == few.count()
+    assert abs(chg.final_assignments(folded).count() - current.count()) <= 3
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    python = plan[plan.index("MapInPandas"):]
+    assert "LeftSemi" in python and "LeftAnti" in plan

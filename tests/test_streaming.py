@@ -49,7 +49,7 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, scratch_dir):
                          paths["ckpt"], tenant="acme", available_now=True)
     query.awaitTermination(600)
     assert query.exception() is None
-    assert sorted(store.list_batches(spark, store.meter_root(paths["rollups"], SUM))) == ["1", "2", "3", "4"]
+    assert sorted(store.list_batches(spark, store.epochs_root(paths["rollups"]))) == ["1", "2", "3", "4"]
 
     for spec in (SUM, UNIQ):
         rollup = store.read_rollup(spark, paths["rollups"], spec)
@@ -75,8 +75,14 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, scratch_dir):
 
     # Compaction keeps results and leaves one batch behind.
     store.compact(spark, paths["rollups"], SUM)
-    assert store.list_batches(spark, store.meter_root(paths["rollups"], SUM)) == ["c4"]
+    assert store.list_batches(spark, store.meter_root(paths["rollups"], SUM)) == ["c1-4"]
     assert rows(query_rollup(store.read_rollup(spark, paths["rollups"], SUM), SUM, Q)) == before
+    # epochs stay until every meter's layers cover them
+    assert store.prune_epochs(spark, paths["rollups"], [SUM, UNIQ]) == []
+    expected = rows(query_rollup(store.read_rollup(spark, paths["rollups"], UNIQ), UNIQ, Q))
+    assert len(store.compact_all(spark, paths["rollups"], [SUM, UNIQ])) == 1
+    assert store.list_batches(spark, store.epochs_root(paths["rollups"])) == []
+    assert rows(query_rollup(store.read_rollup(spark, paths["rollups"], UNIQ), UNIQ, Q)) == expected
 
     assert store.drop_rollup(spark, paths["rollups"], SUM)
     assert store.read_rollup(spark, paths["rollups"], SUM).count() == 0
@@ -103,8 +109,8 @@ def test_crash_between_compaction_steps_does_not_double_count(spark, scratch_dir
     expected = rows(query_rollup(store.read_rollup(spark, scratch_dir, SUM), SUM, Q))
     # compaction output written, absorbed batches not yet removed
     merged = compact_partials(store.read_rollup(spark, scratch_dir, SUM).drop("batch_id"), SUM)
-    store.write_batch(merged, scratch_dir, SUM, "c2")
-    assert sorted(store.list_batches(spark, store.meter_root(scratch_dir, SUM))) == ["1", "2", "c2"]
+    store.write_batch(merged, scratch_dir, SUM, "c1-2")
+    assert sorted(store.list_batches(spark, store.meter_root(scratch_dir, SUM))) == ["1", "2", "c1-2"]
     assert rows(query_rollup(store.read_rollup(spark, scratch_dir, SUM), SUM, Q)) == expected
 
 
@@ -132,12 +138,12 @@ def test_layered_compaction_and_uncommitted_batches(spark, scratch_dir):
 
     for i in (0, 1):
         store.write_epoch(minute_partials(quarters[i], SUM), scratch_dir, SUM, i)
-    assert store.compact(spark, scratch_dir, SUM).endswith("batch_id=c2")
+    assert store.compact(spark, scratch_dir, SUM).endswith("batch_id=c1-2")
     for i in (2, 3):
         store.write_epoch(minute_partials(quarters[i], SUM), scratch_dir, SUM, i)
     store.compact(spark, scratch_dir, SUM)          # minor: only batches 3 and 4
-    assert sorted(store.list_batches(spark, base)) == ["c2", "c4"]
-    assert store.read_rollup(spark, scratch_dir, SUM).where("batch_id = 'c4'").count() < \
+    assert sorted(store.list_batches(spark, base)) == ["c1-2", "c3-4"]
+    assert store.read_rollup(spark, scratch_dir, SUM).where("batch_id = 'c3-4'").count() < \
         minute_partials(events, SUM).count()
     assert read() == expected
 
@@ -208,22 +214,101 @@ def test_backfill_while_ingest_runs_never_double_counts(spark, scratch_dir):
     assert got == rows(query_events(events, SUM, Q))
 
 
-def test_stream_compacts_every_k_epochs(spark, scratch_dir):
-    from meterkit.sources.fixtures import dirty_meters
-    from meterkit.streaming.ingest import parse_event_lines
-    events = usage_events(spark, SF_SMALL)
-    lines = events.select(F.to_json(F.struct(
+def _parts(spark, n):
+    from meterkit.streaming.ingest import from_queue, parse_event_lines
+    lines = usage_events(spark, SF_SMALL).select(F.to_json(F.struct(
         "id", "type", "source", "organization", "user",
-        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "properties")).alias("value"))
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "properties")).alias("value"))
+    return [from_queue(parse_event_lines(lines.where(F.abs(F.hash("value")) % n == i))) for i in range(n)]
+
+
+def test_compaction_beside_the_stream(spark, scratch_dir):
     meters = dirty_meters(spark, SF_SMALL)
     paths = [os.path.join(scratch_dir, k) for k in ("events", "rejects", "rollups")]
-    for epoch in range(5):
-        part = parse_event_lines(lines.where(F.abs(F.hash("value")) % 5 == epoch))
-        process_batch(part, epoch, meters, [SUM], *paths, tenant="acme", compact_every=2)
-    base = store.meter_root(paths[2], SUM)
-    assert sorted(store.list_batches(spark, base)) == ["5", "c2", "c4"]
-    got = rows(query_rollup(store.read_rollup(spark, paths[2], SUM), SUM, Q))
-    assert got == rows(query_events(events, SUM, Q))
+    for epoch, part in enumerate(_parts(spark, 5)):
+        process_batch(part, epoch, meters, [SUM, UNIQ], *paths, tenant="acme")
+        if epoch % 2:
+            store.compact_all(spark, paths[2], [SUM, UNIQ])
+    for spec in (SUM, UNIQ):
+        assert sorted(store.list_batches(spark, store.meter_root(paths[2], spec))) == ["c1-2", "c3-4"]
+        got = rows(query_rollup(store.read_rollup(spark, paths[2], spec), spec, Q))
+        assert got == rows(query_events(usage_events(spark, SF_SMALL), spec, Q))
+    assert store.list_batches(spark, store.epochs_root(paths[2])) == ["5"]
+    store.compact_all(spark, paths[2], [SUM], full=True)
+    assert store.list_batches(spark, store.meter_root(paths[2], SUM)) == ["f5"]
+
+
+def test_jobs_per_epoch_do_not_grow_with_meters(spark, scratch_dir):
+    many = [MeterSpec(f"m{i}", "app.purchase", "sum", "amount", ("page",), tenant_slug="acme") for i in range(12)]
+    many.append(MeterSpec("h", "app.click", "unique_count", "k", ("page",), unique_mode="hll", tenant_slug="acme"))
+    [part] = _parts(spark, 1)
+    meters, jobs = dirty_meters(spark, SF_SMALL), []
+    for n, specs in enumerate((many[:1], many)):
+        paths = [os.path.join(scratch_dir, str(n), k) for k in ("events", "rejects", "rollups")]
+        spark.sparkContext.setJobGroup(f"epoch{n}", "one epoch")
+        process_batch(part, 0, meters, specs, *paths, tenant="acme")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"epoch{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+    exact = {(r.windowstart, r.organization): r.value for r in query_events(usage_events(spark, SF_SMALL), UNIQ, Q).collect()}
+    sketched = query_rollup(store.read_rollup(spark, paths[2], many[-1]), many[-1], Q).collect()
+    assert {(r.windowstart, r.organization) for r in sketched} == set(exact)
+    assert all(abs(r.value - exact[r.windowstart, r.organization]) <= 0.05 * r.value + 1 for r in sketched)
+
+
+def test_a_meter_registered_while_the_stream_runs(spark, scratch_dir):
+    parts = _parts(spark, 2)
+    paths = [os.path.join(scratch_dir, k) for k in ("events", "rejects", "rollups")]
+    columns = "slug string, event_type string, aggregation string, value_property string, properties array<string>, tenant_slug string"
+    first = ("clicks", "app.click", "count", None, ["page"], "acme")
+    second = ("purchase_amount", "app.purchase", "sum", "amount", ["page"], "acme")
+    process_batch(parts[0], 0, spark.createDataFrame([first], columns), None, *paths, tenant="acme")
+    process_batch(parts[1], 1, spark.createDataFrame([first, second], columns), None, *paths, tenant="acme")
+    clicks = MeterSpec("clicks", "app.click", "count", None, ("page",), tenant_slug="acme")
+    assert rows(query_rollup(store.read_rollup(spark, paths[2], clicks), clicks, Q)) == rows(
+        query_events(usage_events(spark, SF_SMALL), clicks, Q))
+    assert store.read_rollup(spark, paths[2], SUM).count() > 0
+    import pytest
+    with pytest.raises(ValueError, match="tenant"):
+        process_batch(parts[1], 2, spark.createDataFrame([first], columns), None, *paths, tenant="")
+
+
+def test_straddled_backfill_is_not_counted_twice(spark, scratch_dir):
+    """Batches 1 to 3, folded into c1-3; then a backfill that only saw 1 and 2."""
+    from meterkit.operators.rollup import minute_partials
+    spec = MeterSpec("s", "t", "sum", "v", ("p",))
+    one = spark.createDataFrame([("t", "o", "u", dt.datetime(2024, 1, 1), '{"v":"1","p":"x"}')],
+                                "type string, organization string, user string, timestamp timestamp, properties string")
+    for epoch in range(3):
+        store.write_epoch(minute_partials(one, spec), scratch_dir, spec, epoch)
+    store.compact(spark, scratch_dir, spec)
+    store.write_batch(minute_partials(one.unionAll(one), spec), scratch_dir, spec, "f2")
+    total = query_rollup(store.read_rollup(spark, scratch_dir, spec), spec, MeterQuery(None)).first().value
+    assert total == 3.0
+
+
+def test_uncommitted_events_are_not_read(spark, scratch_dir):
+    from meterkit.sources.events import read_events
+    base = os.path.join(scratch_dir, "events")
+    events = usage_events(spark, SF_SMALL).withColumn("event_date", F.to_date("timestamp"))
+    for b in (1, 2):
+        events.write.partitionBy("event_date").parquet(os.path.join(base, f"batch_id={b}"))
+    assert read_events(spark, base).count() == 2 * events.count()
+    os.remove(os.path.join(base, "batch_id=2", "_SUCCESS"))
+    assert read_events(spark, base).count() == events.count()
+    assert read_events(spark, base, batches=[2]).count() == 0
+
+
+def test_queue_form_round_trip(spark):
+    """Accepted events sent to the topic are accepted when read from it."""
+    from meterkit.operators import ingest
+    from meterkit.streaming.ingest import from_queue, kafka_records, parse_event_lines
+    meters = dirty_meters(spark, SF_SMALL)
+    valid = usage_events(spark, SF_SMALL)
+    again = from_queue(parse_event_lines(kafka_records(valid)))
+    stored = ingest.typed_events(ingest.validate(again, meters, tenant="acme"))
+    assert stored.exceptAll(valid.select(*stored.columns)).count() == 0
+    assert stored.count() == valid.count()
 
 
 def test_empty_micro_batch(spark, scratch_dir):
