@@ -7,13 +7,16 @@
    less than r, so the walk stops early.
 2. Documents with equal sets are one class from here on (exact, by digest).
 3. Signatures are cut into bands; classes with an equal band share a bucket.
-4. In each bucket, members are compared with one leader (the member with the
-   most bucket company) instead of with each other. Links are confirmed on
-   the full sets and united by union-find. A leader has then met everyone and
-   leaves the bucket, buckets whose members are all connected are done, and
-   the rest goes on with twice as many leaders, until no bucket is left. So
-   each pair of a bucket that is not connected through other links is
-   compared, but a large group of near copies costs a few comparisons a member.
+4. Each bucket has a leader, the member with the most bucket company. Members
+   are compared with their leaders on the full sets, one pair a member, and
+   links are united by union-find.
+5. What a bucket's leader did not connect, its rest, is compared with the
+   bucket in blocks of bounded size: tasks multiply the incidence matrices of a
+   rest block and a member block and hand on only links that unite something.
+   Jaccard distance is a metric, so members whose distances to the leader
+   differ by more than the linking distance are never linked; buckets are cut
+   by that first. So a large group of near copies costs one comparison a member
+   for most, and no link between two members of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +36,11 @@ from meterkit.llm.unionfind import components
 
 SHINGLE = 5
 THRESHOLD = 80
+#: Set elements of a member block and of a rest block on average (8 bytes each),
+#: and rows of the matrices that are multiplied at once.
+BLOCK = 400_000
+REST_BLOCK = 30_000
+ROWS = 128
 #: Class ids up to which the filter for their texts is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -133,43 +141,119 @@ def sets_of(df: DataFrame, k: int) -> DataFrame:
     return df.select("text").mapInArrow(run, "digest binary, elements array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (u, v) whose sets' Jaccard similarity is at least ``threshold``
-    per cent."""
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) with the sizes of their sets' intersection and union."""
     joined = (pairs.join(sets.select(F.col("node").alias("v"), F.col("elements").alias("b")), "v")
               .join(sets.select(F.col("node").alias("u"), F.col("elements").alias("a")), "u"))
     joined = joined.withColumn("both", F.size(F.array_intersect("a", "b")))
-    return joined.where(100 * F.col("both") >= threshold * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
+    return joined.select("u", "v", "both", (F.size("a") + F.size("b") - F.col("both")).alias("either"))
+
+
+def block_links(rows: DataFrame, threshold: int) -> DataFrame:
+    """Links (u, v) between components within blocks: ``rows`` (block, is_rest,
+    node, comp, elements) are dealt and sorted by block, and a block's rest is
+    compared with all of its members. Only links that unite two trees of the
+    block are handed on."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def links(nodes: np.ndarray, comps: np.ndarray, rest: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        mine, others = np.flatnonzero(rest), np.flatnonzero(~rest)
+        if not len(mine) or not len(others):
+            return []
+        out = []
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        for lo in range(0, len(mine), ROWS):
+            some = mine[lo:lo + ROWS]
+            universe = np.unique(np.concatenate([sets[i] for i in some]))
+            left = _incidence([sets[i] for i in some], universe)
+            for at in range(0, len(others), ROWS):
+                part = others[at:at + ROWS]
+                both = (left @ _incidence([sets[i] for i in part], universe).T).astype(np.int64)
+                either = sizes[some][:, None] + sizes[part][None, :] - both
+                for x, y in zip(*np.nonzero((100 * both >= threshold * either) & (comps[some][:, None] != comps[part][None, :])), strict=True):
+                    a, b = root(int(comps[some[x]])), root(int(comps[part[y]]))
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        out.append((a, b))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in W.whole_groups(batches, "block", 2000):
+            block = whole.column("block").to_numpy()
+            comps, nodes = whole.column("comp").to_numpy(), whole.column("node").to_numpy()
+            rest = whole.column("is_rest").to_numpy()
+            elements = whole.column("elements").combine_chunks()
+            flat, ends = elements.flatten().to_numpy(), np.concatenate(([0], np.cumsum(elements.value_lengths().to_numpy())))
+            edges = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                found = links(nodes[a:b], comps[a:b], rest[a:b], [flat[ends[i]:ends[i + 1]] for i in range(a, b)])
+                if found:
+                    yield pa.RecordBatch.from_pydict({"u": [u for u, _ in found], "v": [v for _, v in found]}, schema=schema)
+
+    return rows.select("block", "is_rest", "node", "comp", "elements").mapInArrow(run, "u long, v long")
+
+
+def _incidence(sets: list[np.ndarray], universe: np.ndarray) -> np.ndarray:
+    """Which element of ``universe`` is in which set, as 0 and 1."""
+    out = np.zeros((len(sets), len(universe)), dtype=np.float32)
+    flat = np.concatenate(sets)
+    at = np.searchsorted(universe, flat)
+    at[at == len(universe)] = 0
+    there = universe[at] == flat
+    out[np.repeat(np.arange(len(sets)), [len(x) for x in sets])[there], at[there]] = 1
+    return out
+
+
+def united(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, comp) after uniting the components that links (u, v) name."""
+    merged = components(links).toDF("comp", "new")
+    return write_scratch(label.join(merged, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "labels")
 
 
 def link_classes(sets: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
-    """(node, comp) of the nodes in ``members`` (bucket, node, n, company): the
-    rounds of step 4."""
-    label = write_scratch(members.select("node", F.col("node").alias("comp")).distinct(), "labels")
-    salts = 1
-    while True:
-        rows = members.join(label, "node")
-        # buckets that still hold two components, with the leaders of this round
-        open_buckets = (rows.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("z"))
-                        .where("a <> z").select("bucket"))
-        rows = write_scratch(rows.join(open_buckets, "bucket", "left_semi"), "open")
-        if rows.isEmpty():
-            return label
-        leaders = (rows.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt"))
-                   .agg(F.max(F.struct("company", "node", "n", "comp")).alias("l"))
-                   .select("bucket", "l.*").select("bucket", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("comp").alias("c_u")))
-        leaders = write_scratch(leaders, "leaders")
-        pairs = (rows.join(leaders, "bucket").where("comp <> c_u")
-                 .where(100 * F.least("n", "n_u") >= threshold * F.greatest("n", "n_u"))
-                 .select(F.greatest("u", "node").alias("u"), F.least("u", "node").alias("v")).distinct())
-        links = confirmed(pairs, sets, threshold)
-        names = label.withColumnRenamed("comp", "c")
-        over = (links.join(names.withColumnRenamed("node", "u"), "u").select(F.col("c").alias("u"), "v")
-                .join(names.withColumnRenamed("node", "v"), "v").select("u", F.col("c").alias("v")))
-        merged = components(write_scratch(over, "confirmed")).toDF("comp", "new")
-        label = write_scratch(label.join(merged, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "labels")
-        members = rows.drop("comp").join(leaders.select("bucket", F.col("u").alias("node")), ["bucket", "node"], "left_anti")
-        salts *= 2
+    """(node, comp) of the nodes in ``members`` (bucket, node, n, company):
+    steps 4 and 5."""
+    leaders = members.groupBy("bucket").agg(F.max(F.struct("company", "node", "n")).alias("l"))
+    led = write_scratch(members.join(leaders, "bucket").where("node <> l.node").select(
+        "bucket", "node", "n", F.col("l.node").alias("leader"), F.col("l.n").alias("n_leader")), "led")
+    pairs = led.select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    known = write_scratch(similar(pairs, sets), "known")
+    links = known.where(F.col("both") * 100 >= threshold * F.col("either")).select("u", "v")
+    nodes = members.select("node").distinct().withColumn("comp", F.col("node"))
+    label = united(nodes, links)
+
+    # the rest: members that their bucket's leader did not connect
+    of_leader = label.select(F.col("node").alias("leader"), F.col("comp").alias("c_leader"))
+    rows = (led.join(known.withColumnsRenamed({"u": "leader", "v": "node"}), ["leader", "node"])
+            .join(label, "node").join(of_leader, "leader")
+            .withColumn("is_rest", F.col("comp") != F.col("c_leader")))
+    # cells as wide as the linking distance (and a little, for rounding), each member in its own and the next
+    width = 100 - threshold
+    cell = F.floor((F.col("either") - F.col("both")) * 100 / (F.col("either") * max(width, 1) * 1.001)).cast("int")
+    rows = rows.withColumn("cell", F.explode(F.array(cell, cell + 1)))
+    rows = write_scratch(rows.select("bucket", "cell", "node", "comp", "n", "is_rest"), "cells")
+    sizes = rows.groupBy("bucket", "cell").agg(
+        F.min("comp").alias("a"), F.max("comp").alias("z"), F.sum("n").alias("every"),
+        F.sum(F.when(F.col("is_rest"), F.col("n")).otherwise(0)).alias("some")).where("a <> z")
+    sizes = sizes.select("bucket", "cell", F.ceil(F.col("every") / BLOCK).cast("int").alias("parts"),
+                         F.ceil(F.col("some") / REST_BLOCK).cast("int").alias("rests"))
+    rows = rows.join(sizes, ["bucket", "cell"])
+    spot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    block = lambda r, s: F.xxhash64("bucket", "cell", r, s)
+    all_side = rows.select(F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("r"), spot("parts", 1).alias("s"), "*").select(
+        block("r", "s").alias("block"), F.lit(False).alias("is_rest"), "node", "comp")
+    rest_side = rows.where("is_rest").select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"), spot("rests", 2).alias("r"), "*").select(
+        block("r", "s").alias("block"), F.lit(True).alias("is_rest"), "node", "comp")
+    placed = all_side.unionByName(rest_side).join(sets, "node").repartition("block").sortWithinPartitions("block")
+    return united(label, write_scratch(block_links(placed, threshold), "links"))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text: Column | None = None, shingle: int = SHINGLE,
