@@ -146,30 +146,6 @@ def levels(key: np.ndarray, count: np.ndarray, depth: int, down_to: int) -> dict
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], group: str, limit: int) -> Iterator[pa.Table]:
-    """Batches sorted by ``group`` gathered into tables of some ``limit`` rows
-    that hold whole groups."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.num_rows
-        if size >= limit:
-            whole = pa.Table.from_batches(held)
-            g = whole.column(group).to_numpy()
-            cut = int(np.searchsorted(g, g[-1]))
-            if cut:
-                yield whole.slice(0, cut)
-                held = whole.slice(cut).combine_chunks().to_batches()
-                size -= cut
-            else:
-                limit = 2 * size
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def count_all(docs: DataFrame, depth: int) -> DataFrame:
     """(kind, key, train, every): how often each gram and token occurs in
     training texts, and in all, of (text, train)."""
@@ -214,7 +190,7 @@ def _tops(counted: DataFrame, depth: int) -> DataFrame:
     """Nodes of SPLIT context bytes: (at, b, zeros, ones, pw); ``at`` is the
     context, then the bits before decision ``b``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _chunks(batches, "part", HELD // 4):
+        for whole in W.whole_groups(batches, "part", HELD // 4):
             tree = levels(whole.column("key").to_numpy().view(W.U64), whole.column("train").to_numpy(), depth, SPLIT)
             for b in range(8):
                 n = tree[SPLIT, b]
@@ -273,7 +249,7 @@ def gram_scores(counted: DataFrame, above: DataFrame, depth: int) -> DataFrame:
                      F.expr("shiftright(at, b)").alias("part")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _chunks(batches, "part", HELD // 4):
+        for whole in W.whole_groups(batches, "part", HELD // 4):
             which = whole.column("b").to_numpy()
             number, train = whole.column("key").to_numpy().view(W.U64), whole.column("train").to_numpy()
             key = number[which < 0]

@@ -119,3 +119,28 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
 def owner(first: np.ndarray) -> np.ndarray:
     """For each word, the index of its text, from ``spans``' third result."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], group: str, limit: int) -> Iterator[pa.Table]:
+    """Batches sorted by ``group``, gathered into tables of some ``limit`` rows
+    that hold whole groups."""
+    held: list[pa.RecordBatch] = []
+    size, aim = 0, limit
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= aim:
+            whole = pa.Table.from_batches(held)
+            g = whole.column(group).to_numpy()
+            # the last group may go on
+            cut = int(np.flatnonzero(g != g[-1])[-1] + 1) if g[0] != g[-1] else 0
+            if cut:
+                yield whole.slice(0, cut)
+                held = whole.slice(cut).combine_chunks().to_batches()
+                size, aim = size - cut, limit
+            else:
+                aim = 2 * size
+    if held:
+        yield pa.Table.from_batches(held)
