@@ -43,9 +43,11 @@ DEPTH = 5
 SPLIT = 3
 #: Entries of one kind that are broadcast at most (16 bytes each).
 HOT = 1 << 20
-#: Grams and words that a counting task holds before it merges or hands on.
-HELD = 2_000_000
-SLICE = 1 << 21
+#: Grams or words that a counting task holds before it merges or hands on.
+HELD = 1_200_000
+#: Rows of one table of whole trees.
+TREES = 400_000
+SLICE = 1 << 19
 WORD, GRAM = 0, 1
 END = 0x0A
 #: Stands for the end of a text among word hashes.
@@ -176,7 +178,7 @@ def count_all(docs: DataFrame, depth: int) -> DataFrame:
                         mine.append(np.unique(keys, return_counts=True))
                         if sum(len(k) for k, _ in mine) > HELD:
                             mine[:] = [merged(mine)]
-                            if len(mine[0][0]) > HELD // 2:
+                            if len(mine[0][0]) > 0.7 * HELD:
                                 yield from rows(kind, *mine.pop(), train)
         for (kind, train), mine in held.items():
             if mine:
@@ -190,7 +192,7 @@ def _tops(counted: DataFrame, depth: int) -> DataFrame:
     """Nodes of SPLIT context bytes: (at, b, zeros, ones, pw); ``at`` is the
     context, then the bits before decision ``b``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in W.whole_groups(batches, "part", HELD // 4):
+        for whole in W.whole_groups(batches, "part", TREES):
             tree = levels(whole.column("key").to_numpy().view(W.U64), whole.column("train").to_numpy(), depth, SPLIT)
             for b in range(8):
                 n = tree[SPLIT, b]
@@ -249,7 +251,7 @@ def gram_scores(counted: DataFrame, above: DataFrame, depth: int) -> DataFrame:
                      F.expr("shiftright(at, b)").alias("part")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in W.whole_groups(batches, "part", HELD // 4):
+        for whole in W.whole_groups(batches, "part", TREES):
             which = whole.column("b").to_numpy()
             number, train = whole.column("key").to_numpy().view(W.U64), whole.column("train").to_numpy()
             key = number[which < 0]
@@ -283,11 +285,11 @@ class Table:
     """Numbers by 64-bit key, looked up for whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys)).bit_length() + 1)
+        self.bits = max(4, len(keys).bit_length())
         h = self._slot(keys)
         order = np.argsort(h, kind="stable")
         self.keys, self.values = keys[order], values[order]
-        self.first = np.searchsorted(h[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(h, minlength=1 << self.bits)))).astype(np.int32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * W.U64(0x9E3779B97F4A7C15)) >> W.U64(64 - self.bits)).astype(np.int64)
@@ -330,22 +332,18 @@ def read_texts(docs: DataFrame, tables, known_from: float, depth: int) -> DataFr
     how often it occurs there."""
     head = docs.select("rid", "id", "train").schema
     names = [*head.names, "kind", "key", "n", "n_known", "base_score", "score"]
-    ready: dict[str, list[Table]] = {}
-
     def sums(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         # every text has at least its end
         return np.add.reduceat(x, offsets[:-1]) if len(x) else np.zeros(0, x.dtype)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not ready:
-            ready["t"] = [Table(k, v) for k, v in tables.value]
         for batch in batches:
             for part in W.slices(batch, "text", SLICE):
                 rid = part.column("rid").to_numpy()
                 stream, offsets, tokens, at = normalise(part, "text")
                 result, rest = [], []
                 for kind, keys, begin in ((WORD, tokens, at), (GRAM, grams(stream, offsets, depth), offsets)):
-                    value, found = ready["t"][kind].find(keys)
+                    value, found = tables.value[kind].find(keys)
                     result.append(sums(value, begin))
                     if kind == WORD:
                         known = sums((found & (value > known_from)).astype(np.int64), begin)
@@ -404,7 +402,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     tables = []
     for kind in (WORD, GRAM):
         rows = values.where((F.col("kind") == kind) & (F.col("every") >= bounds[kind])).select("key", "value").toArrow()
-        tables.append((rows.column("key").to_numpy().view(W.U64), rows.column("value").to_numpy()))
+        tables.append(Table(rows.column("key").to_numpy().view(W.U64), rows.column("value").to_numpy()))
     # a token without training occurrence has half a count, a known one at least 1.5
     known_from = math.log10(1 / whole)
     numbered = docs.withColumn("rid", F.monotonically_increasing_id())
