@@ -1,4 +1,4 @@
-"""meterkit: usage metering on Spark DataFrames.
+"""meterkit: usage rollups on Spark DataFrames.
 
 Validated event ingest, one-minute partial-aggregate rollups merged on read,
 meter queries, and batch operators over a plan catalog.

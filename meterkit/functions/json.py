@@ -2,7 +2,7 @@
 
 Two readings of an event's ``properties`` text are needed:
 
-* the *metering* reading (F9): every key read as text, absent or JSON-null
+* the *measuring* reading (F9): every key read as text, absent or JSON-null
   keys as ``''``, non-string scalars as their text, broken JSON as all-empty.
   The text is parsed once into ``map<string,string>`` and indexed per key.
 * the *validation* reading (V4-V6): the object parsed to
@@ -21,7 +21,7 @@ EMPTY_JSON_TEXTS = ("null", '""', "[]", "{}")
 
 
 def text_map(properties: Column) -> Column:
-    """Parse once for metering: ``map<string,string>``; bad JSON gives null."""
+    """Parse once for measuring: ``map<string,string>``; bad JSON gives null."""
     return F.from_json(properties, "map<string,string>")
 
 

@@ -1,4 +1,4 @@
-"""Spark session defaults for metering jobs.
+"""Spark session defaults of all jobs.
 
 Everything here is plain session configuration: UTC wall clock (the reference
 only accepts UTC windows), adaptive execution for runtime re-planning and
@@ -12,7 +12,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings every metering job relies on.
+# Settings every job relies on.
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -24,13 +24,18 @@ SESSION_DEFAULTS = {
     # per-tenant pages use a partial group limit before the shuffle when
     # offset + limit stays under this bound (default 1000): 100 pages of 100
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    # Python workers get whole texts in batches of bounded size
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
+# Of these, the ones set when an application starts.
+AT_START = ("spark.ui.enabled", "spark.ui.showConsoleProgress")
+
 
 def build_session(master: str | None = None, app_name: str = "meterkit",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
-    """Create (or reuse) a session with the metering defaults applied."""
+    """Create (or reuse) a session with the defaults applied."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -47,8 +52,9 @@ def build_session(master: str | None = None, app_name: str = "meterkit",
 
 def apply_defaults(spark: SparkSession) -> None:
     """Pin the SQL settings the operators depend on on an existing session."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for key, value in SESSION_DEFAULTS.items():
+        if key not in AT_START:
+            spark.conf.set(key, value)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

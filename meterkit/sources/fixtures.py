@@ -1,7 +1,7 @@
 """Views over the driver's test tables shaped like the reference's inputs.
 
 Each function reads the whole parquet tables under ``sf_dir`` and derives the
-metering or catalog table with DataFrame expressions, so the work grows with
+usage or catalog table with DataFrame expressions, so the work grows with
 the data. The same derivations, written in DuckDB SQL, are the oracle's
 inputs (``meterkit.checks.oracle``).
 """
