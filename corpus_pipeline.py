@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from meterkit.llm import bpe, decontaminate, exact_dedup, near_dedup, quality
 from meterkit.llm.queries import GOOD, quality_model, table, tokenizer_file
-from meterkit.llm.scratch import write_scratch
+from meterkit.llm.scratch import free_name, write_scratch
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier, fitted on ``docs`` and the usable labels: documents
     that score under the threshold go."""
     model = quality_model(spark, docs.select("doc_id", "text"), sf_dir)
-    return quality.score(docs, model, out="__score").where(F.col("__score") >= GOOD).drop("__score")
+    name = free_name(docs.columns, "__score")
+    return quality.score(docs, model, out=name).where(F.col(name) >= GOOD).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,10 +22,13 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from meterkit.llm import pretokens
 from meterkit.llm import words as W
+from meterkit.llm.scratch import free_name
 
 #: Pieces whose ids a Python worker remembers (some 250 bytes each): those of
 #: the last REMEMBERED new ones, and of the REMEMBERED before.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
+#: Above every token id.
+IDS = 1 << 32
 NEVER = 1 << 60
 
 
@@ -64,7 +67,8 @@ class Encoder(dict):
         self.made_of = {made: (rank, pair) for pair, (rank, made) in tables.merges.items()}
         if len(self.made_of) < len(tables.merges):
             raise ValueError("several merges make the same token")
-        self.pair: dict[tuple[int, int], bool] = {}
+        self.pair: dict[int, bool] = {}  # by left * IDS + right
+        self.said = {i: str(i) for i in self.token}
         self.spines: tuple[dict, dict] = ({}, {})
         self.older: dict[str, str] = {}
 
@@ -94,11 +98,11 @@ class Encoder(dict):
         some time the pair at the border merges before that; of equal ranks,
         the merge further left comes first.
         """
-        known = self.pair.get((left, right))
+        known = self.pair.get(left * IDS + right)
         if known is None:
-            if len(self.pair) >= REMEMBERED:
+            if len(self.pair) >= 2 * REMEMBERED:
                 self.pair.clear()
-            known = self.pair[left, right] = self._alone(right) if left < 0 else self._side_by_side(left, right)
+            known = self.pair[left * IDS + right] = self._alone(right) if left < 0 else self._side_by_side(left, right)
         return known
 
     def _alone(self, token: int) -> bool:
@@ -119,11 +123,15 @@ class Encoder(dict):
     def encode_bytes(self, data: bytes) -> list[int]:
         """The ids of one piece."""
         last, length = [-1] * (len(data) + 1), [0] * (len(data) + 1)
+        known, test = self.pair.get, self.compatible
         for end, (size, token) in self.automaton.iter(data.decode("latin-1")):
             end += 1
             # suffixes come longest first; one of them fits
-            if not length[end] and self.compatible(last[end - size], token):
-                last[end], length[end] = token, size
+            if not length[end]:
+                left = last[end - size]
+                fits = known(left * IDS + token)
+                if fits or fits is None and test(left, token):
+                    last[end], length[end] = token, size
         ids, at = [], len(data)
         while at:
             ids.append(last[at])
@@ -135,7 +143,7 @@ class Encoder(dict):
             return self.special[piece]
         ids = self.older.get(piece)
         if ids is None:
-            ids = ",".join(map(str, self.encode_bytes(piece.encode())))
+            ids = ",".join(map(self.said.__getitem__, self.encode_bytes(piece.encode())))
         if len(piece) <= 64:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -169,19 +177,14 @@ def _broadcast(df: DataFrame, tokenizer_path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _refuse(df: DataFrame, names: list[str]) -> None:
-    clash = {c.lower() for c in df.columns} & set(names)
-    if clash:
-        raise ValueError(f"rename these columns first: {sorted(clash)}")
-
-
 def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """``df`` with ``ids`` (array of int), the tokens of each whole text.
 
-    A null or empty text has none. Other columns pass through; one named
-    ``ids`` is refused (ValueError). Rows are independent of each other.
+    A null or empty text has none. Other columns pass through; where one is
+    named ``ids`` already, the new one is ``ids_1``. Rows are independent of
+    each other.
     """
-    _refuse(df, ["ids"])
+    name = free_name(df.columns, "ids")
     content = _broadcast(df, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,24 +192,25 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFr
         for batch in batches:
             for part in W.slices(batch, text_col):
                 ids = [list(map(int, s.split(","))) if (s := own.encode(t or "")) else [] for t in part.column(text_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, name])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields]).add("ids", ArrayType(IntegerType())))
+    return df.mapInArrow(run, StructType([*df.schema.fields]).add(name, ArrayType(IntegerType())))
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
     """``df`` with ``decoded``, the text of each list of ids, special tokens
-    included (a null list gives the empty text; an unknown id is an error)."""
-    _refuse(df, ["decoded"])
+    included (a null list gives the empty text; an unknown id is an error).
+    Where ``decoded`` is taken, the new column is ``decoded_1``."""
+    name = free_name(df.columns, "decoded")
     content = _broadcast(df, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(content.value)
         for batch in batches:
             texts = [own.decode(",".join(map(str, ids or ()))) for ids in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields]).add("decoded", StringType()))
+    return df.mapInArrow(run, StructType([*df.schema.fields]).add(name, StringType()))
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -214,10 +218,11 @@ def round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep_
     and ``decoded_sha256`` (of the text decoded from them): encode and decode in
     one pass. With ``keep_ids`` also ``ids``, and the text stays; else the text
     is dropped, and digests only move. Nulls and clashes as in ``encode``."""
-    added = StructType().add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
+    own = lambda wanted: free_name(df.columns, wanted)
+    added = (StructType().add(own("n_tokens"), LongType()).add(own("ids_sha256"), StringType())
+             .add(own("decoded_sha256"), StringType()))
     if keep_ids:
-        added = added.add("ids", ArrayType(IntegerType()))
-    _refuse(df, added.names)
+        added = added.add(own("ids"), ArrayType(IntegerType()))
     content = _broadcast(df, tokenizer_path)
     rest = [f for f in df.schema.fields if keep_ids or f.name != text_col]
 

@@ -125,31 +125,37 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int)
     rows = benchmark.where(F.col(text_col).isNotNull()).select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).distinct()
     for row in rows.toLocalIterator():
-        if block and size + len(row.t) > limit:
+        if block and size + len(row.t.encode()) > limit:
             yield block
             block, size = [], 0
         block.append((row.i, row.t))
-        size += len(row.t)
+        size += len(row.t.encode())
     yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
-                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
+RESULTS = ("n_words", "n_hit", "hit_spans", "items")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``hit_spans`` (runs of hit words,
     as first and last word index) and ``items`` (ids of items found, as sorted
-    strings).
+    strings). ``settings`` are those of ``find``.
 
     Words are runs of letters and digits after lower-casing A-Z; a window is
     ``window`` consecutive words of an item. Nulls: a null text has no words, a
     null item id counts as the empty string. Rows that repeat an id are judged
-    separately. An empty benchmark hits nothing. Columns of ``docs`` that
-    carry a result's name are refused.
+    separately. An empty benchmark hits nothing. Where a result's name is
+    taken, the new column has ``_1`` appended.
     """
-    taken = {c.lower() for c in docs.columns} & {"n_words", "n_hit", "hit_spans", "items"}
-    if taken:
-        raise ValueError(f"rename these columns first: {sorted(taken)}")
-    # text lengths are characters here, so a block is bounded by 4 times the limit in bytes
+    plain = _renamed(docs)
+    found = find(plain, benchmark, **settings)
+    return found.select(*(F.col(f"`{a}`").alias(b) for a, b in zip(plain.columns, docs.columns, strict=True)),
+                        *(F.col(r).alias(free_name(docs.columns, r)) for r in RESULTS))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+         item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The results for ``docs`` whose columns do not clash with them."""
     blocks = item_blocks(benchmark, item_col, item_text, block_bytes)
     out = scan(docs, text_col, next(blocks), window)
     for block in blocks:
@@ -176,7 +182,7 @@ def contaminated(found: DataFrame, per_cent: int = 5):
 def drop_documents(docs: DataFrame, benchmark: DataFrame, per_cent: int = 5, text_col: str = "text", **names) -> DataFrame:
     """``docs`` without contaminated documents."""
     plain = _renamed(docs)
-    found = find_contamination(plain, benchmark, text_col=text_col, **names)
+    found = find(plain, benchmark, text_col=text_col, **names)
     return found.where(~contaminated(found, per_cent)).select(*plain.columns).toDF(*docs.columns)
 
 
@@ -184,7 +190,7 @@ def drop_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **
     """``docs`` with each hit word cut from its text, the rest untouched (a
     null text stays null)."""
     plain = _renamed(docs)
-    found = find_contamination(plain, benchmark, text_col=text_col, **names)
+    found = find(plain, benchmark, text_col=text_col, **names)
     name = free_name(found.columns, "__clean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,12 +210,11 @@ def drop_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **
                 clean = pa.array([t if v else None for t, v in zip(texts, valid, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, clean], names=[*part.schema.names, name])
 
-    cleaned = found.mapInArrow(run, StructType(found.schema.fields).add(name, StringType()))
+    cleaned = found.mapInArrow(run, StructType([*found.schema.fields]).add(name, StringType()))
     return cleaned.select(*(F.col(name if c == text_col else c).alias(c) for c in plain.columns)).toDF(*docs.columns)
 
 
 def _renamed(docs: DataFrame) -> DataFrame:
     """``docs`` with columns that carry a result's name renamed for a while."""
-    results = {"n_words", "n_hit", "hit_spans", "items"}
-    return docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c.lower() in results})
+    return docs.withColumnsRenamed({c: free_name(docs.columns, f"__own_{c}") for c in docs.columns if c.lower() in RESULTS})
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StructType
 
 from meterkit.llm import words as W
+from meterkit.llm.scratch import free_name
 
 #: Rows of the two samples the model is fitted on, at most. They are the rows
 #: with the smallest hashes of their ids, over the whole tables.
@@ -40,6 +41,8 @@ PLAIN = 22
 #: Bytes added to a text's length in trigram shares: few trigrams say little.
 SHRINK = 500
 STEPS = 300
+#: Texts whose features are worked out at once (some 50 KB each).
+ROWS = 256
 RATE = 0.05
 DECAY = 1e-4
 
@@ -164,7 +167,7 @@ def sample_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str)
     """Feature rows of the documents with ``ids`` (a bounded sample), in id order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", rows=ROWS):
                 x = features(part, "text")
                 raw = [r.tobytes() for r in x]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(raw, pa.binary())], names=["id", "x"])
@@ -190,16 +193,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     """``docs`` with ``out``, from 0 to 1: how likely each whole text is good.
 
     A null text counts as empty and gets the empty text's score. Rows are
-    scored one by one: repeats, ties and null columns play no part. A column
-    already named ``out`` is refused (ValueError).
+    scored one by one: repeats, ties and null columns play no part. Where ``out``
+    is taken, the new column is ``out`` with ``_1`` appended.
     """
-    if out.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {out} exists already")
+    out = free_name(docs.columns, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, text_col):
+            for part in W.slices(batch, text_col, rows=ROWS):
                 y = shared.value.score(features(part, text_col))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(y, pa.float64())], names=[*part.schema.names, out])
 

@@ -116,7 +116,7 @@ def stretches(part: pa.RecordBatch, window: int, anchor: int) -> list[pa.RecordB
 def parse_blocks(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text", BLOCK_BYTES):
+            for part in W.slices(batch, "text", BLOCK_BYTES, 1 << 30):
                 yield from stretches(part, window, anchor)
 
     return docs.mapInArrow(run, "anchor long, id long, check long, start int, length int, numbers binary")

@@ -23,7 +23,7 @@ from pyspark.sql.types import LongType, StructType
 
 from meterkit.llm import pretokens
 from meterkit.llm import words as W
-from meterkit.llm.scratch import write_scratch
+from meterkit.llm.scratch import free_name, write_scratch
 
 #: Characters of a chunk and of the overlap at first.
 CHUNK = 1 << 15
@@ -128,8 +128,8 @@ def splice(encoded: DataFrame) -> DataFrame:
     joined = encoded.join(right, ["rid", "part"], "left")
     at = F.array_min(F.array_intersect(F.col("tail.p"), F.col("next.p")))
     joined = joined.withColumn("at", at)
-    n_left = F.expr("if(last, total, element_at(filter(tail, x -> x.p = at), 1).n)")
-    n_right = F.expr("if(last, 0L, element_at(filter(next, x -> x.p = at), 1).n)")
+    n_left = F.expr("if(last, total, try_element_at(filter(tail, x -> x.p = at), 1).n)")
+    n_right = F.expr("if(last, 0L, try_element_at(filter(next, x -> x.p = at), 1).n)")
     return (joined.withColumn("n", n_left - n_right).groupBy("rid")
             .agg(F.sum("n").alias("n"), F.count("n").alias("known"), F.count(F.lit(1)).alias("parts"))
             .select("rid", F.when(F.col("known") == F.col("parts"), F.col("n")).alias("n_tokens")))
@@ -142,10 +142,10 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text_col: str = "text", out
     texts read as special tokens.
 
     A null or empty text has none. Rows are independent: repeated ids, ties
-    and null columns pass through. Names may not clash with ``out`` (ValueError).
+    and null columns pass through. Where ``out`` is taken, the new column is
+    ``out`` with ``_1`` appended.
     """
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"column {out} exists already")
+    out = free_name(df.columns, out)
     spark = df.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())

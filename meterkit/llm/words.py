@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Text bytes handled at once; a longer single text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: And texts, for what is kept per text.
+SLICE_ROWS = 4096
 
 #: Bytes of words that are runs without white space (0x20, 0x09 to 0x0D).
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -66,16 +68,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The rows of ``batch`` in order, cut so that texts stay under ``limit``
-    bytes together (a longer text comes alone)."""
+    bytes together (a longer text comes alone) and are ``rows`` at most."""
     if batch.num_rows == 0:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     total = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
+        to = min(max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1), at + rows)
         yield batch.slice(at, to - at)
         at = to
 

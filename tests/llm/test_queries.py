@@ -67,3 +67,17 @@ def test_pipeline_stages_follow_their_operators(spark):
             assert after == {d for d, _ in before}
         docs = out.select(*columns)
     assert corpus_pipeline.run(spark, SMALL).select(F.count("ids")).first()[0] == len(after)
+
+
+def test_stages_take_awkward_rows_and_clashing_columns(spark):
+    from . import cases
+
+    extra = [*cases.CLASHING, "__score", "ids", "n_tokens", "items", "__near_id", "__copy_key"]
+    rows = cases.texts()
+    docs = cases.documents(spark, rows).select("*", *(F.lit(c).alias(c) for c in extra))
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert out.columns[:len(docs.columns)] == docs.columns
+        assert len({c.lower() for c in out.columns}) == len(out.columns)
+        assert out.select("doc_id").collect() is not None
+        assert stage(spark, docs.limit(0), SMALL).collect() == []
