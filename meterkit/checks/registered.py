@@ -609,8 +609,9 @@ from plan_features_t pf join features_t f on pf.feature_id = f.id join plans_t p
                                         PLANS, FEATURES, LINKS, PLAN_FEATURES))
 def c08_plan_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plan-features with feature and plan columns."""
-    return cat.plan_features_listing(fx.plan_features(spark, sf_dir), fx.features(spark, sf_dir),
-                                     fx.plans(spark, sf_dir))
+    listing = cat.plan_features_listing(fx.plan_features(spark, sf_dir), fx.features(spark, sf_dir),
+                                        fx.plans(spark, sf_dir))
+    return listing.drop("config_json")  # compared in c08_config_json
 
 
 @register("c09_link_check", _cat_sql("""
