@@ -8,6 +8,7 @@ are rounded on both sides, for summation order differs by engine.
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 import uuid
 from collections.abc import Callable
@@ -29,6 +30,7 @@ from meterkit.plans.spec import MeterQuery, MeterSpec
 from meterkit.session import scratch_path
 from meterkit.sources import catalog as fx
 from meterkit.sources import rollup_store as store
+from meterkit.sources.catalog_io import read_catalog
 from meterkit.sources.events import read_events
 from meterkit.sources.fixtures import dirty_meters, dirty_raw_events, usage_events
 from meterkit.streaming.ingest import from_queue, kafka_records, parse_event_lines
@@ -354,6 +356,37 @@ def _queue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kafka_records(usage_events(spark, sf_dir))
 
 
+@register("s06_drop_keeps_other_meters", SQL_SUM_DAY_ORG)
+def s06_drop_keeps_other_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two meters written in one epoch one is dropped; its rows are gone
+    (they would add to the result) and the other meter answers as before."""
+    root, other = _scratch(spark, "s06"), dataclasses.replace(SUM_PURCHASE, slug="dropped")
+    store.write_epoch_of_all(usage_events(spark, sf_dir), root, [SUM_PURCHASE, other], 0)
+    store.drop_rollup(spark, root, other)
+    gone = query_rollup(store.read_rollup(spark, root, other), other, Q_SUM_DAY_ORG)
+    kept = query_rollup(store.read_rollup(spark, root, SUM_PURCHASE), SUM_PURCHASE, Q_SUM_DAY_ORG)
+    return _shown(kept.unionByName(gone), SUM_PURCHASE)
+
+
+@register("s09_catalog_scan", with_views("select id, slug, name, type, tenant_slug, created_at, archived_at from plans_t", TENANTS, PLANS))
+def s09_catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog table read from storage."""
+    path = _scratch(spark, "s09")
+    fx.plans(spark, sf_dir).write.parquet(path)
+    return read_catalog(spark, "plan", path).select("id", "slug", "name", "type", "tenant_slug", "created_at", "archived_at")
+
+
+@register("v00_nil_events", """
+select case when event_id % 10 < 2 then 'nil_event' end as reason, count(*) as events from events group by 1""")
+def v00_nil_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: lines that are no JSON object are nil events."""
+    n = _number(F.get_json_object("value", "$.id"))
+    broken = F.when(n % 10 == 0, F.substring("value", 2, 1 << 20)).when(n % 10 == 1, F.concat(F.lit("["), "value", F.lit("]")))
+    lines = _queue_lines(spark, sf_dir).withColumn("value", F.coalesce(broken, "value"))
+    raw = from_queue(parse_event_lines(lines))
+    return ingest.reason_counts(ingest.validate(raw, dirty_meters(spark, sf_dir), tenant=DIRTY_TENANT))
+
+
 @register("s01_queue_lines", with_views("""
 select id, type, source, organization, "user", "timestamp", properties from usage_events""", USAGE_EVENTS))
 def s01_queue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def meter_spec_from_request(body: Mapping[str, Any], tenant_slug: str) -> MeterS
     _required(body, "name", "slug", "event_type", "properties", "aggregation")
     aggregation = body["aggregation"]
     if aggregation not in AGGREGATIONS:
-        raise MeterSpecError(f"invalid aggregation type: {aggregation}")
+        raise MeterSpecError(f"unknown aggregation {aggregation!r}")
     value_property = body.get("value_property") or None
     if aggregation == "count":
         value_property = None
@@ -55,7 +55,7 @@ def meter_query_from_request(body: Mapping[str, Any]) -> tuple[str, MeterQuery]:
     _required(body, "meter_slug", error=MeterQueryError)
     window = body.get("window_size")
     if window is not None and window not in WINDOW_SIZES:
-        raise MeterQueryError("invalid window_size")
+        raise MeterQueryError("window_size must be one of minute, hour, day")
     query = MeterQuery(
         window_size=window,
         from_ts=parse_rfc3339(body.get("from")),

@@ -76,7 +76,7 @@ class MeterSpec:
 
     def validate(self, require_properties: bool = True) -> "MeterSpec":
         if self.aggregation not in AGGREGATIONS:
-            raise MeterSpecError(f"invalid aggregation type: {self.aggregation}")
+            raise MeterSpecError(f"unknown aggregation {self.aggregation!r}")
         if not self.slug or not self.event_type:
             raise MeterSpecError("slug and event_type are required")
         if (self.aggregation != "count" or self.count_values) and not self.value_property:
@@ -124,13 +124,13 @@ class MeterQuery:
 
     def validate(self, spec: MeterSpec) -> "MeterQuery":
         if self.window_time_zone is not None and self.window_time_zone != SUPPORTED_TIME_ZONE:
-            raise MeterQueryError("Currently, only UTC is supported for WindowTimeZone")
+            raise MeterQueryError("window_time_zone must be UTC")
         if self.window_size is not None and self.window_size not in WINDOW_SIZES:
-            raise MeterQueryError("unsupported window size")
+            raise MeterQueryError("window_size must be one of minute, hour, day")
         if self.window_size is not None and (self.from_ts is None or self.to_ts is None):
-            raise MeterQueryError("From/To must be provided when WindowSize is set")
+            raise MeterQueryError("a window_size needs from and to")
         if spec.aggregation not in AGGREGATIONS:
-            raise MeterQueryError(f"invalid aggregation type: {spec.aggregation}")
+            raise MeterQueryError(f"meter {spec.slug} has the unknown aggregation {spec.aggregation!r}")
         known = set(FIXED_DIMENSIONS) | set(spec.dimensions)
         # An empty filter list is skipped before its column is looked at (Q14).
         for name in list(self.group_by) + [k for k, v in self.filters.items() if v]:
