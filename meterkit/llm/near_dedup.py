@@ -37,10 +37,11 @@ from meterkit.llm.unionfind import components
 SHINGLE = 5
 THRESHOLD = 80
 #: Set elements of a member block and of a rest block on average (8 bytes each),
-#: and rows of the matrices that are multiplied at once.
+#: and elements and cells (4 bytes each) of the matrices multiplied at once.
 BLOCK = 400_000
 REST_BLOCK = 30_000
-ROWS = 128
+ELEMENTS = 15_000
+CELLS = 4_000_000
 #: Class ids up to which the filter for their texts is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -170,12 +171,12 @@ def block_links(rows: DataFrame, threshold: int) -> DataFrame:
             return []
         out = []
         sizes = np.array([len(x) for x in sets], dtype=np.int64)
-        for lo in range(0, len(mine), ROWS):
-            some = mine[lo:lo + ROWS]
+        for some in np.split(mine, _cuts(sizes[mine])):
             universe = np.unique(np.concatenate([sets[i] for i in some]))
             left = _incidence([sets[i] for i in some], universe)
-            for at in range(0, len(others), ROWS):
-                part = others[at:at + ROWS]
+            rows = max(1, CELLS // len(universe))
+            for at in range(0, len(others), rows):
+                part = others[at:at + rows]
                 both = (left @ _incidence([sets[i] for i in part], universe).T).astype(np.int64)
                 either = sizes[some][:, None] + sizes[part][None, :] - both
                 for x, y in zip(*np.nonzero((100 * both >= threshold * either) & (comps[some][:, None] != comps[part][None, :])), strict=True):
@@ -201,6 +202,13 @@ def block_links(rows: DataFrame, threshold: int) -> DataFrame:
     return rows.select("block", "is_rest", "node", "comp", "elements").mapInArrow(run, "u long, v long")
 
 
+def _cuts(sizes: np.ndarray) -> np.ndarray:
+    """Where to cut rows so that a part has about ELEMENTS elements (a longer
+    set is a part of its own) and few enough rows for CELLS cells."""
+    part, row = np.cumsum(sizes) // ELEMENTS, np.arange(len(sizes)) // (CELLS // ELEMENTS)
+    return np.flatnonzero((part[1:] != part[:-1]) | (row[1:] != row[:-1])) + 1
+
+
 def _incidence(sets: list[np.ndarray], universe: np.ndarray) -> np.ndarray:
     """Which element of ``universe`` is in which set, as 0 and 1."""
     out = np.zeros((len(sets), len(universe)), dtype=np.float32)
