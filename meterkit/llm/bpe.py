@@ -26,7 +26,7 @@ from meterkit.llm.scratch import free_name
 
 #: Pieces whose ids a Python worker remembers (some 250 bytes each): those of
 #: the last REMEMBERED new ones, and of the REMEMBERED before.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Above every token id.
 IDS = 1 << 32
 NEVER = 1 << 60
@@ -100,7 +100,7 @@ class Encoder(dict):
         """
         known = self.pair.get(left * IDS + right)
         if known is None:
-            if len(self.pair) >= 2 * REMEMBERED:
+            if len(self.pair) >= 3 * REMEMBERED:
                 self.pair.clear()
             known = self.pair[left * IDS + right] = self._alone(right) if left < 0 else self._side_by_side(left, right)
         return known
