@@ -65,7 +65,7 @@ def main() -> None:
          "duplicates from a partial count per plan-feature joined back, not a window over the key."),
         ("Assignment change fold",
          chg.apply_changes(fx.assignments(spark, sf), fx.assignment_changes(spark, sf), fx.plans(spark, sf)),
-         "one hash exchange on the key, a sort within partitions, then MapInPandas streaming the sorted rows."),
+         "state of changed keys only (broadcast semi join), windows on the key, MapInPandas for keys with several changes; the rest by expressions or untouched (anti join)."),
     ]
     out = ["# Physical plans of the headline operators", "",
            f"Generated by `tools/plans_report.py` on `{os.path.basename(sf)}` (local[8], AQE on; initial plans).", ""]
