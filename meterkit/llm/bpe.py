@@ -11,6 +11,7 @@ over each piece that the tokenizer's first split makes.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Iterator
 
@@ -151,6 +152,11 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
+    def release(self) -> None:
+        """Let go of all tables."""
+        self.clear()
+        self.__dict__.clear()
+
     def encode(self, text: str) -> str:
         """The ids of a text, joined by commas."""
         return ",".join(map(self.__getitem__, self.tables.pieces(text)))
@@ -161,15 +167,15 @@ class Encoder(dict):
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(content: str) -> Encoder:
-    """This worker's encoder for a tokenizer file."""
-    if content not in _encoders:
-        _encoders.clear()
-        _encoders[content] = Encoder(content)
-    return _encoders[content]
+@contextlib.contextmanager
+def encoder(content: str) -> Iterator[Encoder]:
+    """A task's encoder for a tokenizer file. It goes with the task: a worker
+    that waits for other work would hold some 300 MB of tables and pieces."""
+    own = Encoder(content)
+    try:
+        yield own
+    finally:
+        own.release()
 
 
 def _broadcast(df: DataFrame, tokenizer_path: str):
@@ -188,9 +194,8 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFr
     content = _broadcast(df, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(content.value)
-        for batch in batches:
-            for part in W.slices(batch, text_col):
+        with encoder(content.value) as own:
+            for part in (p for batch in batches for p in W.slices(batch, text_col)):
                 ids = [list(map(int, s.split(","))) if (s := own.encode(t or "")) else [] for t in part.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, name])
 
@@ -205,10 +210,10 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFram
     content = _broadcast(df, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(content.value)
-        for batch in batches:
-            texts = [own.decode(",".join(map(str, ids or ()))) for ids in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
+        with encoder(content.value) as own:
+            for batch in batches:
+                texts = [own.decode(",".join(map(str, ids or ()))) for ids in batch.column(ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, StructType([*df.schema.fields]).add(name, StringType()))
 
@@ -227,9 +232,8 @@ def round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep_
     rest = [f for f in df.schema.fields if keep_ids or f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(content.value)
-        for batch in batches:
-            for part in W.slices(batch, text_col):
+        with encoder(content.value) as own:
+            for part in (p for batch in batches for p in W.slices(batch, text_col)):
                 n, ids_hash, text_hash, ids_of = [], [], [], []
                 for text in part.column(text_col).to_pylist():
                     ids = own.encode(text or "")
