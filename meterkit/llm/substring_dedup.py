@@ -16,6 +16,10 @@ one window become duplicate spans; the words in them are removed.
   windows moves as one row: anchor, place and one number per window. The task
   that holds an anchor's rows, in document order, extends or ends factors at
   the borders of these stretches.
+* A frequent short phrase with ever new words around it gives its anchor new
+  windows without end. So windows are counted by anchor first, and windows of
+  the most frequent anchors move one by one, keyed by anchor and number: equal
+  ones still meet, and the anchor is spread over all tasks.
 * Duplicate stretches go back to their documents by id, where they are joined
   into factors and cut out.
 
@@ -42,6 +46,14 @@ ANCHOR = 6
 BLOCK_BYTES = 4 << 20
 #: Bytes of a window's number in a row.
 NUMBER = 6
+#: An anchor with fewer windows stays whole in one task.
+LEAST = 4096
+#: Anchors that are spread, at most; the others hold under a share of 1 in so
+#: many of all windows each.
+SPREAD = 1 << 18
+#: An anchor with fewer windows in a block is counted in one block of so many,
+#: at that weight.
+RARE = 16
 
 
 #: A stretch of windows of one document.
@@ -70,10 +82,48 @@ def runs(flags: np.ndarray, broken: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first, np.bincount(number, minlength=len(first) + 1)[1:]
 
 
-def stretches(part: pa.RecordBatch, window: int, anchor: int) -> list[pa.RecordBatch]:
+def anchor_counts(part: pa.RecordBatch, window: int, anchor: int) -> pa.RecordBatch | None:
+    """(anchor, n): windows of one block by anchor. Counts only say which
+    anchors are spread, so those of rare anchors are drawn."""
+    data, offsets = W.text_bytes(part.column("text"))
+    starts, ends, first = W.spans(data, offsets, W.NOT_SPACE)
+    n = len(starts) - window + 1
+    if n <= 0:
+        return None
+    hashed = W.word_hashes(data, starts, ends)
+    doc = W.owner(first)
+    anchors = sliding_min(W.window_hashes(hashed, anchor), window - anchor + 1)[doc[:n] == doc[window - 1:]]
+    if not len(anchors):
+        return None
+    begin = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
+    found, which = np.unique(anchors[begin], return_inverse=True)
+    count = np.bincount(which, weights=np.diff(np.append(begin, len(anchors)))).astype(np.int64)
+    rare = count < RARE
+    drawn = W.mix64(found + W.mix64(hashed.sum(keepdims=True))) % np.uint64(RARE) == 0
+    count[rare] *= RARE
+    keep = ~rare | drawn
+    return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(count[keep])], names=["anchor", "n"])
+
+
+def frequent_anchors(docs: DataFrame, window: int, anchor: int) -> np.ndarray:
+    """The anchors to spread, sorted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "text", BLOCK_BYTES, 1 << 30):
+                counted = anchor_counts(part, window, anchor)
+                if counted is not None:
+                    yield counted
+
+    counts = docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    most = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "anchor").limit(SPREAD).select("anchor").toArrow()
+    return np.sort(most.column("anchor").to_numpy().view(W.U64))
+
+
+def stretches(part: pa.RecordBatch, window: int, anchor: int, spread: np.ndarray) -> list[pa.RecordBatch]:
     """Rows of one block (id, check, text): windows seen first in the block,
     cut where the anchor changes, with their numbers; and stretches of windows
-    settled in the block (no numbers)."""
+    settled in the block (no numbers). Windows of the anchors in ``spread`` are
+    rows of their own, whose key stands for anchor and number."""
     part = part.take(pa.array(np.lexsort((part.column("check").to_numpy(), part.column("id").to_numpy()))))
     data, offsets = W.text_bytes(part.column("text"))
     starts, ends, first = W.spans(data, offsets, W.NOT_SPACE)
@@ -97,6 +147,10 @@ def stretches(part: pa.RecordBatch, window: int, anchor: int) -> list[pa.RecordB
     new_doc[1:] = (owner[1:] != owner[:-1])
     new_anchor = new_doc.copy()
     new_anchor[1:] |= anchors[1:] != anchors[:-1]
+    if len(spread):
+        alone = spread[np.minimum(np.searchsorted(spread, anchors), len(spread) - 1)] == anchors
+        new_anchor |= alone
+        anchors = np.where(alone, W.mix64(numbers + W.mix64(anchors)), anchors)
     out = []
     for flags, broken in ((~settled, new_anchor), (settled, new_doc)):
         begin, length = runs(flags, broken)
@@ -113,11 +167,11 @@ def stretches(part: pa.RecordBatch, window: int, anchor: int) -> list[pa.RecordB
     return pa.Table.from_batches(out).combine_chunks().to_batches()
 
 
-def parse_blocks(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+def parse_blocks(docs: DataFrame, window: int, anchor: int, spread: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text", BLOCK_BYTES, 1 << 30):
-                yield from stretches(part, window, anchor)
+                yield from stretches(part, window, anchor, spread)
 
     return docs.mapInArrow(run, "anchor long, id long, check long, start int, length int, numbers binary")
 
@@ -125,7 +179,8 @@ def parse_blocks(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 def settle(rows: DataFrame) -> DataFrame:
     """(id, check, start, length): stretches of windows that start earlier
     elsewhere. ``rows`` are dealt by anchor and sorted by anchor and place; a
-    batch's last anchor is carried into the next batch with the numbers seen."""
+    batch's last anchor is carried into the next batch with the numbers seen: one
+    for a window that moved alone, else those of an anchor that is not frequent."""
     schema = pa.schema([("id", pa.int64()), ("check", pa.int64()), ("start", pa.int32()), ("length", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +290,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"window must be over {ANCHOR} words")
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"),
                      F.crc32(F.coalesce(text_col, F.lit("")).cast("binary")).alias("check"), F.col(text_col).alias("text"))
-    rows = parse_blocks(docs, window, ANCHOR).repartition("anchor").sortWithinPartitions("anchor", "id", "check", "start")
+    spread = frequent_anchors(docs, window, ANCHOR)
+    rows = parse_blocks(docs, window, ANCHOR, spread).repartition("anchor").sortWithinPartitions("anchor", "id", "check", "start")
     found = settle(rows).groupBy("id", "check").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
     joined = docs.join(found.hint("shuffle_hash"), ["id", "check"], "left")
     out = cut_out(joined.drop("check"), "text", window)

@@ -167,6 +167,22 @@ def test_settling_carries_an_anchor_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_frequent_phrase_is_spread(spark, monkeypatch):
+    """A short phrase with new words around it each time: its anchor's windows
+    do not all go to one task."""
+    monkeypatch.setattr(substring_dedup, "LEAST", 200, raising=False)
+    dealt, settle = [], substring_dedup.settle
+    monkeypatch.setattr(substring_dedup, "settle", lambda rows: dealt.append(rows) or settle(rows))
+    phrase, twice = " ".join(cases.words(8, 70)), " ".join(cases.words(15, 71, 9999))
+    rows = [(i, f"{' '.join(cases.words(14, 1000 + i, 9999))} {phrase} {' '.join(cases.words(14, 2000 + i, 9999))}") for i in range(300)]
+    rows += [(500 + i, f"own{i} {phrase} {twice} end{i}") for i in range(40)]
+    out = substring_dedup.remove_repeats(cases.documents(spark, rows, 4)).collect()
+    assert Counter((r.id, r.n_words, r.n_removed, r.kept_text) for r in out) == brute_repeats(rows)
+    held = dealt[0].where("numbers is not null").groupBy("anchor").agg({"length": "sum"}).collect()
+    assert sum(n for _, n in held) > 300 * 15
+    assert max(n for _, n in held) < 200
+
+
 def test_word_spans_match_a_plain_split():
     import pyarrow as pa
 
