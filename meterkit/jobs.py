@@ -76,7 +76,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     p.add_argument("--tenant", required=True)
     which = p.add_mutually_exclusive_group(required=True)
     which.add_argument("--meter")
-    which.add_argument("--meters", help="the whole registry; covered epochs are deleted")
+    which.add_argument("--meters", help="the whole registry; covered epochs of the tenant are deleted")
     p.add_argument("--full", action="store_true")
     p = sub.add_parser("query")
     meter_args(p)

@@ -5,9 +5,10 @@ Partials of one micro-batch (or backfill) are written with overwrite of their
 own ``batch_id`` directory, so replaying a batch replaces rather than adds.
 Readers merge states on read, so batches need not be disjoint.
 
-A stream writes each epoch once, for all meters, as one long table:
-``{root}/epochs/batch_id={id}/tenant_slug=/meter=/window_date=``. A reader
-projects its meter from it, so the jobs per epoch do not grow with meters.
+A stream writes each epoch once, for all meters of its tenant, as one long
+table: ``{root}/epochs/tenant={tenant}/batch_id={id}/tenant_slug=/meter=/window_date=``.
+A reader projects its meter from it, so the jobs per epoch do not grow with
+meters. Each tenant's stream counts its own epochs, so tenants may share a root.
 
 Compaction works in layers, so its cost follows the new data, not the
 meter's history. A layer's name states the batches it covers:
@@ -66,9 +67,13 @@ def rollup_schema(spec: MeterSpec) -> T.StructType:
 
 
 def list_batches(spark: SparkSession, root: str, committed_only: bool = True) -> list[str]:
-    """Names of the ``batch_id=...`` directories under a meter root
-    (only those whose write committed, unless ``committed_only`` is off)."""
-    return list_subdirs(spark, root, "batch_id=", committed_only)
+    """Names of the ``batch_id=...`` directories under a meter root, or under
+    any tenant's folder of the epochs' root (only those whose write committed,
+    unless ``committed_only`` is off)."""
+    found = list_subdirs(spark, root, "batch_id=", committed_only)
+    for tenant in list_subdirs(spark, root, "tenant=", False):
+        found += list_subdirs(spark, os.path.join(root, f"tenant={tenant}"), "batch_id=", committed_only)
+    return list(dict.fromkeys(found))
 
 
 def _layers(batches: list[str]) -> tuple[int, list[tuple[int, int]], list[int]]:
@@ -120,22 +125,34 @@ def write_batch(partials: DataFrame, root: str, spec: MeterSpec, batch_id: int |
     return path
 
 
-def epochs_root(root: str) -> str:
-    return os.path.join(root, EPOCHS)
+def epochs_root(root: str, tenant: str | None = None) -> str:
+    """The folder of a tenant's epochs, or that of all tenants."""
+    base = os.path.join(root, EPOCHS)
+    return base if tenant is None else os.path.join(base, f"tenant={tenant}")
 
 
-def write_epoch_of_all(events: DataFrame, root: str, specs: list[MeterSpec], epoch_id: int) -> str:
-    """The partials of every meter for one epoch, in one write (replaying
-    an epoch replaces it). Rows are clustered by meter and day, so few tasks
-    hold a meter and files stay few; AQE splits a large meter."""
+def write_epoch_of_all(events: DataFrame, root: str, specs: list[MeterSpec], epoch_id: int) -> list[str]:
+    """The partials of every meter for one epoch, in one write per tenant
+    (replaying an epoch replaces that tenant's). Rows are clustered by meter and
+    day, so few tasks hold a meter and files stay few; AQE splits a large meter."""
     from meterkit.operators.multi import long_partials
 
-    path = os.path.join(epochs_root(root), f"batch_id={epoch_id + 1}")
-    long = long_partials(events, specs).withColumn("window_date", F.to_date("windowstart"))
-    parts = ("tenant_slug", "meter", "window_date")
-    (long.hint("rebalance", *parts).sortWithinPartitions(*parts, "windowstart", "organization", "user")
-     .write.mode("overwrite").partitionBy(*parts).parquet(path))
-    return path
+    paths = []
+    for tenant, own in _by_tenant(specs).items():
+        path = os.path.join(epochs_root(root, tenant), f"batch_id={epoch_id + 1}")
+        long = long_partials(events, own).withColumn("window_date", F.to_date("windowstart"))
+        parts = ("tenant_slug", "meter", "window_date")
+        (long.hint("rebalance", *parts).sortWithinPartitions(*parts, "windowstart", "organization", "user")
+         .write.mode("overwrite").partitionBy(*parts).parquet(path))
+        paths.append(path)
+    return paths
+
+
+def _by_tenant(specs: list[MeterSpec]) -> dict[str, list[MeterSpec]]:
+    found: dict[str, list[MeterSpec]] = {}
+    for spec in specs:
+        found.setdefault(spec.tenant_slug, []).append(spec)
+    return found
 
 
 def _epoch_schema() -> T.StructType:
@@ -149,7 +166,7 @@ def _epoch_schema() -> T.StructType:
 
 def _read(spark: SparkSession, root: str, spec: MeterSpec, wanted: list[str], own: list[str]) -> DataFrame:
     """The meter's rows of the ``wanted`` batches: from its own folders, else
-    from the epochs of all meters."""
+    from the tenant's epochs."""
     from meterkit.operators.multi import meter_partials
 
     base, schema = meter_root(root, spec), rollup_schema(spec)
@@ -160,7 +177,7 @@ def _read(spark: SparkSession, root: str, spec: MeterSpec, wanted: list[str], ow
         paths = [os.path.join(base, f"batch_id={b}") for b in mine]
         out = spark.read.schema(schema).option("basePath", base).parquet(*paths)
     if shared:
-        base = epochs_root(root)
+        base = epochs_root(root, spec.tenant_slug)
         paths = [os.path.join(base, f"batch_id={b}") for b in shared]
         long = spark.read.schema(_epoch_schema()).option("basePath", base).parquet(*paths)
         projected = meter_partials(long, spec, keep=("batch_id", "window_date")).select(*(column(f.name) for f in schema))
@@ -169,9 +186,14 @@ def _read(spark: SparkSession, root: str, spec: MeterSpec, wanted: list[str], ow
 
 
 def _listed(spark: SparkSession, root: str, spec: MeterSpec) -> tuple[list[str], list[str]]:
-    """(committed batches of the meter's own folders, those and the epochs')."""
+    """(committed batches of the meter's own folders, those and the tenant's
+    epochs). Epochs without a tenant in their path, as an earlier version wrote
+    them, are an error: their rows would be missing."""
+    if list_subdirs(spark, epochs_root(root), "batch_id="):
+        raise ValueError(f"{epochs_root(root)} holds epochs of the layout without tenants; "
+                         "compact them with the version that wrote them, or move each to its tenant's folder")
     own = list_batches(spark, meter_root(root, spec))
-    shared = [b for b in list_batches(spark, epochs_root(root)) if b.isdigit()]
+    shared = [b for b in list_batches(spark, epochs_root(root, spec.tenant_slug)) if b.isdigit()]
     return own, sorted({*own, *shared})
 
 
@@ -185,8 +207,8 @@ def compact(spark: SparkSession, root: str, spec: MeterSpec, full: bool = False)
     """Fold batches into one layer, then drop what it absorbed.
 
     Minor (default): only the numbered batches that no layer covers, so the
-    cost follows the data written since. Full: every live layer. Epochs of all
-    meters stay until ``prune_epochs``.
+    cost follows the data written since. Full: every live layer. Epochs stay
+    until ``prune_epochs``.
     """
     base = meter_root(root, spec)
     own, every = _listed(spark, root, spec)
@@ -215,8 +237,8 @@ def compact(spark: SparkSession, root: str, spec: MeterSpec, full: bool = False)
 
 
 def compact_all(spark: SparkSession, root: str, specs: list[MeterSpec], full: bool = False, parallel: int = 8) -> list[str]:
-    """M12 for a whole registry, as a job of its own beside the stream: every
-    meter's compaction, ``parallel`` at a time, then ``prune_epochs``."""
+    """M12 for all meters of a tenant (or several), as a job of its own beside the
+    stream: every meter's compaction, ``parallel`` at a time, then ``prune_epochs``."""
     from concurrent.futures import ThreadPoolExecutor
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
@@ -226,23 +248,27 @@ def compact_all(spark: SparkSession, root: str, specs: list[MeterSpec], full: bo
 
 
 def prune_epochs(spark: SparkSession, root: str, specs: list[MeterSpec]) -> list[str]:
-    """Delete the epochs that a layer of every meter in ``specs`` covers. The
-    list must name all meters of the root: an epoch holds all their rows."""
-    if not specs:
-        return []
-    upto = min(covered(list_batches(spark, meter_root(root, s))) for s in specs)
-    gone = [b for b in list_batches(spark, epochs_root(root)) if b.isdigit() and int(b) <= upto]
-    for b in gone:
-        delete_path(spark, os.path.join(epochs_root(root), f"batch_id={b}"))
+    """Delete the epochs that a layer of every meter of their tenant in ``specs``
+    covers. Of each tenant in it the list must name all meters: an epoch holds
+    all their rows. Epochs of other tenants stay."""
+    gone = []
+    for tenant, own in _by_tenant(specs).items():
+        base = epochs_root(root, tenant)
+        upto = min(covered(list_batches(spark, meter_root(root, s))) for s in own)
+        covers = [b for b in list_batches(spark, base) if b.isdigit() and int(b) <= upto]
+        for b in covers:
+            delete_path(spark, os.path.join(base, f"batch_id={b}"))
+        gone += covers
     return gone
 
 
 def drop_rollup(spark: SparkSession, root: str, spec: MeterSpec) -> bool:
     """Drop the meter's rollup if it exists, its part of each epoch too."""
     found = delete_path(spark, meter_root(root, spec))
-    for b in list_batches(spark, epochs_root(root), committed_only=False):
+    base = epochs_root(root, spec.tenant_slug)
+    for b in list_batches(spark, base, committed_only=False):
         found |= delete_path(spark, os.path.join(
-            epochs_root(root), f"batch_id={b}", f"tenant_slug={spec.tenant_slug}", f"meter={spec.slug}"))
+            base, f"batch_id={b}", f"tenant_slug={spec.tenant_slug}", f"meter={spec.slug}"))
     return found
 
 

@@ -1,5 +1,6 @@
 """Streaming ingest with late files, replay and compaction."""
 
+import dataclasses
 import datetime as dt
 import os
 
@@ -320,3 +321,21 @@ def test_empty_micro_batch(spark, scratch_dir):
     assert counts == {"events": 0, "accepted": 0, "rejected": 0}
     assert store.read_rollup(spark, paths[2], SUM).count() == 0
     assert query_rollup(store.read_rollup(spark, paths[2], UNIQ), UNIQ, Q).count() == 0
+
+
+def test_tenants_with_equal_epochs_share_a_root(spark, scratch_dir):
+    """Neither a write nor a compaction of one tenant touches another's epochs."""
+    events, other = usage_events(spark, SF_SMALL), dataclasses.replace(SUM, tenant_slug="other")
+    halves = [events.where(F.abs(F.hash("id")) % 2 == i) for i in range(2)]
+    want = [rows(query_events(part, SUM, Q)) for part in halves]
+    store.write_epoch_of_all(halves[0], scratch_dir, [SUM], 0)
+    store.write_epoch_of_all(halves[1], scratch_dir, [other], 0)
+
+    def stored(spec):
+        return rows(query_rollup(store.read_rollup(spark, scratch_dir, spec), spec, Q))
+
+    assert [stored(SUM), stored(other)] == want
+    store.compact_all(spark, scratch_dir, [SUM])
+    assert [stored(SUM), stored(other)] == want
+    store.drop_rollup(spark, scratch_dir, SUM)
+    assert stored(SUM) == [] and stored(other) == want[1]
