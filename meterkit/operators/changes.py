@@ -67,14 +67,16 @@ IMAGE = ("assignment_id", *KEY, "valid_from", "valid_until", "created_at", "upda
 
 
 def precheck(changes: DataFrame, plans: DataFrame) -> DataFrame:
-    """C20/C21, entity and unknown-plan rules: reasons that do not depend on state."""
+    """C20/C21, entity and unknown-plan rules: reasons that do not depend on state.
+    A change without an id is rejected: it could not be named in the history."""
     p = plans.select(F.col("id").alias("__pid"), F.col("archived_at").alias("__archived"))
     df = changes.join(bounded_broadcast(p), changes["plan_id"] == p["__pid"], "left")
     create = F.col("action") == "CREATE"
     one_entity = F.col("organization_id").isNotNull() != F.col("user_id").isNotNull()
     # the API's order: dates of a create, then exactly one of organization /
     # user (every action), then the plan lookup
-    reason = (F.when(~F.col("action").isin(*ACTIONS), F.lit("unknown_action"))
+    reason = (F.when(F.col("change_id").isNull(), F.lit("missing_change_id"))
+              .when(~F.col("action").isin(*ACTIONS), F.lit("unknown_action"))
               .when(create & F.col("valid_from").isNull(), F.lit("missing_valid_from"))
               .when(create & F.col("valid_until").isNotNull() & (F.col("valid_from") > F.col("valid_until")),
                     F.lit("valid_from_after_valid_until"))
@@ -243,7 +245,7 @@ def apply_changes(current: DataFrame, changes: DataFrame, plans: DataFrame,
     before = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     empties = ((F.col("action") == "DELETE") & F.col("pre_reason").isNull()).cast("int")
     image = F.struct("assignment_id", *KEY, "valid_from", "valid_until", "created_at", F.col("created_at").alias("updated_at"))
-    placed = (both.withColumn("n", F.count("change_id").over(whole))
+    placed = (both.withColumn("n", F.count_if(F.col("kind") == "change").over(whole))
               .withColumn("seg", F.coalesce(F.sum(F.coalesce(empties, F.lit(0))).over(before), F.lit(0)))
               .withColumn("s", F.last(F.when(F.col("kind") == "state", image), ignorenulls=True).over(before)))
     single = _resolved(placed.where("n = 1 and kind = 'change'"))

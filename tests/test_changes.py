@@ -52,6 +52,24 @@ def test_rejections(spark, plans, change, reason):
     assert set(final) == {"a1", "a2"} and history == []
 
 
+def test_changes_without_an_id_are_rejected_and_lose_no_assignment(spark, plans):
+    cur = spark.createDataFrame(CURRENT, CUR_SCHEMA)
+    ch = spark.createDataFrame([
+        (None, 0, "DELETE", "p1", "o1", None, None, None, False, ts(2)),          # the key's only change
+        (None, 1, "UPDATE", "p1", None, "u1", ts(12), None, False, ts(3)),        # beside one with an id
+        ("c2", 2, "UPDATE", "p1", None, "u1", ts(15), None, False, ts(4)),
+        (None, 3, "CREATE", "p1", "o7", None, ts(5), None, False, ts(5)),
+    ], CHG_SCHEMA)
+    folded = chg.apply_changes(cur, ch, plans, num_partitions=4).cache()
+    outcomes = [(r.change_id, r.action, r.outcome, r.reason) for r in chg.change_outcomes(folded).collect()]
+    assert sorted(outcomes, key=str) == sorted([
+        (None, "DELETE", "rejected", "missing_change_id"), (None, "UPDATE", "rejected", "missing_change_id"),
+        (None, "CREATE", "rejected", "missing_change_id"), ("c2", "UPDATE", "applied", None)], key=str)
+    final = [(r.id, r.valid_from) for r in chg.final_assignments(folded).collect()]
+    assert sorted(final) == [("a1", ts(10)), ("a2", ts(15))]
+    assert [h.id for h in chg.history_rows(folded).collect()] == ["h_c2"]
+
+
 def test_sequence_applies_in_order(spark, plans):
     outcomes, final, history = run(spark, plans, [
         ("UPDATE", "p1", "o1", None, ts(12), ts(18), False),   # narrows a1
