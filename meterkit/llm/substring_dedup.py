@@ -1,4 +1,4 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by windows, in place of relative Lempel-Ziv parsing.
 
 Documents are parsed against reference blocks: a factor is a maximal stretch
 of words whose every window of ``window`` words also starts earlier (in a
@@ -23,8 +23,10 @@ one window become duplicate spans; the words in them are removed.
 * Duplicate stretches go back to their documents by id, where they are joined
   into factors and cut out.
 
-Windows count as equal by a 64-bit hash within a block, and across blocks by
-112 bits (anchor and window).
+A factor is thus a stretch of flagged windows, which may come from several
+places; it is not extended along one source, and words are not compared again.
+Windows count as equal by a 64-bit hash, within a block and across blocks (the
+windows compared there share their anchor, which tells no more of them apart).
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ ANCHOR = 6
 #: Text bytes of a reference block.
 BLOCK_BYTES = 4 << 20
 #: Bytes of a window's number in a row.
-NUMBER = 6
+NUMBER = 8
 #: An anchor with fewer windows stays whole in one task.
 LEAST = 4096
 #: Anchors that are spread, at most; the others hold under a share of 1 in so

@@ -183,6 +183,19 @@ def test_a_frequent_phrase_is_spread(spark, monkeypatch):
     assert max(n for _, n in held) < 200
 
 
+def test_numbers_that_differ_in_their_last_bytes_stay_different(monkeypatch):
+    import pyarrow as pa
+
+    hashes = W.window_hashes
+    monkeypatch.setattr(W, "window_hashes", lambda h, n: hashes(h, n) << np.uint64(48) if n == 20 else hashes(h, n) * np.uint64(0))
+    found = set()
+    for i in (1, 2):
+        block = pa.RecordBatch.from_pydict({"id": [i], "check": [0], "text": [" ".join(cases.words(20, i))]})
+        rows = pa.Table.from_batches(substring_dedup.stretches(block, 20, 6, np.zeros(0, dtype=np.uint64))).to_pylist()
+        found |= {(r["anchor"], r["numbers"]) for r in rows}
+    assert len({a for a, _ in found}) == 1 and len(found) == 2
+
+
 def test_word_spans_match_a_plain_split():
     import pyarrow as pa
 
