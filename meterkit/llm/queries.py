@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.llm import bpe, ctw, decontaminate, exact_dedup, near_dedup, preferences, quality, shard, substring_dedup, token_counts
+from meterkit.llm import bpe, ctw, decontaminate, exact_dedup, importance, near_dedup, preferences, quality, shard, substring_dedup, token_counts
 
 SHARDS = 16
 TOKEN_LIMIT = 512
@@ -226,6 +226,49 @@ from done
 """
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+
+
+OP11_SQL = r"""
+with word as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents),
+aim as (
+    select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as x
+    from benchmark),
+crc_of_byte as (
+    select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+               lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as of),
+bucket as (
+    select x, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(length(h) // 2),
+                                  lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+                  lambda c, b: xor(c >> 8, of[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as b
+    from (select x, hex(encode(x)) as h from (select unnest(w) as x from word union select x from aim)), crc_of_byte),
+used as (select doc_id, unnest(w) as x from word),
+s as (select b, count(*) as s from used join bucket using (x) group by 1),
+t as (select b, count(*) as t from aim join bucket using (x) group by 1),
+gain as (
+    select b, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from used) + 10000)::double
+                              / ((s + 1)::double * ((select count(*) from aim) + 10000)::double)))::bigint as g
+    from s left join t using (b)),
+mean as (select doc_id, floor(sum(g) / count(*))::bigint as weight from used join bucket using (x) join gain using (b) group by 1),
+scored as (
+    select doc_id, len(w)::bigint as n_features, coalesce(weight, 0) as weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double)
+                                                      / 4294967296::double)))::bigint as score
+    from word left join mean using (doc_id)),
+placed as (
+    select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n
+    from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end as rank
+from scored left join placed using (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ctw_scoring": op1_ctw_scoring,
@@ -238,8 +281,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_decontamination": op9_decontamination,
         "op10_preferences": op10_preferences,
+        "op11_importance": op11_importance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_near_dedup": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_preferences": OP10_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_near_dedup": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_preferences": OP10_SQL,
+            "op11_importance": OP11_SQL}
