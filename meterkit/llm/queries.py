@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.llm import bpe, ctw, decontaminate, exact_dedup, importance, near_dedup, preferences, quality, shard, substring_dedup, token_counts
+from meterkit.llm import bpe, collocations, credentials, ctw, decontaminate, exact_dedup, importance, near_dedup, preferences, quality, shard, substring_dedup, token_counts
 
 SHARDS = 16
 TOKEN_LIMIT = 512
@@ -269,6 +269,58 @@ from scored left join placed using (doc_id)
 """
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # by start, then by kind as listed: spans carry the kind's number in front of its name
+    kinds = [*credentials.KINDS, *(f"like_{k}" for k in credentials.KINDS)]
+    listed = F.transform(F.concat(F.col("base"), F.transform("found", lambda x: F.struct(x.kind, x.start, x.end))), lambda x: F.struct(
+        x.start.alias("start"), F.array_position(F.array(*map(F.lit, kinds)), x.kind).alias("nth"), x.kind.alias("kind"), x.end.alias("end")))
+
+    def text(spans):
+        return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    plain = F.filter(listed, lambda x: x.nth <= len(credentials.KINDS))
+    return found.select("doc_id", *map(count, credentials.KINDS),
+                        F.sha2(text(plain).cast("binary"), 256).alias("base_sha256"), text(listed).alias("spans"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = r"""
+with piece as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p
+    from documents),
+run as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from piece),
+gram as (
+    select lang, k, array_to_string(w[i:i + k - 1], ' ') as g, count(*) as f
+    from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from run, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k)
+    group by all),
+total as (select lang, sum(f)::bigint as n from gram where k = 1 group by 1),
+candidate as (select *, string_split(g, ' ') as w from gram where k > 1 and f >= 30),
+cut as (
+    select lang, c, k, g, f, array_to_string(w[:c], ' ') as g1, array_to_string(w[c + 1:], ' ') as g2
+    from (select *, unnest(range(1, k)) as c from candidate)),
+scored as (
+    select cut.lang, cut.k, cut.g, cut.f as a, arg_min({'l': x.f, 'r': y.f}, [(2000000::hugeint * cut.f) // (x.f + y.f), c]) as lr,
+           min((2000000::hugeint * cut.f) // (x.f + y.f)) as score
+    from cut join gram x on x.lang = cut.lang and x.g = g1 join gram y on y.lang = cut.lang and y.g = g2 group by all),
+around as (
+    select lang, array_to_string(w[i:i + m - 1], ' ') as g, max(f) as most
+    from (select *, unnest(range(1, k - m + 2)) as i from candidate, (select unnest([2, 3]) as m) where m < k) group by all),
+placed as (
+    select scored.*, row_number() over (partition by lang order by score desc, a desc, g) as rank
+    from scored left join around using (lang, g) where most is null or 100 * most < 80 * a)
+select lang, rank, g as phrase, a, lr.l as l, lr.r as r, n, score::bigint as score
+from placed join total using (lang) where rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ctw_scoring": op1_ctw_scoring,
@@ -282,9 +334,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": op9_decontamination,
         "op10_preferences": op10_preferences,
         "op11_importance": op11_importance,
+        "op12_secrets": op12_secrets,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_near_dedup": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_preferences": OP10_SQL,
-            "op11_importance": OP11_SQL}
+            "op11_importance": OP11_SQL, "op13_collocations": OP13_SQL}
