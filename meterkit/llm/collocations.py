@@ -46,10 +46,10 @@ SCALE = 2_000_000
 REACH = 3
 #: Bits per entry of a bit set, and the bits of the largest (16 MB).
 SPARSE, MOST_BITS = 16, 1 << 27
-#: Text bytes and texts of one slice (a language and a word of it are one number under 2^31).
-SLICE, ROWS = 1 << 21, 1 << 10
+#: Text bytes and texts of one slice (a language and a word are one number under 2^31).
+SLICE, ROWS = 1 << 19, 1 << 10
 #: Counted phrases that a task holds before it hands them on.
-HELD = 400_000
+HELD = 150_000
 
 #: Bytes that end a piece, and bytes of words.
 _BREAK = np.zeros(256, dtype=bool)
@@ -206,18 +206,21 @@ def count_phrases(docs: DataFrame, n: int, wanted: Wanted = Wanted()) -> DataFra
             for part in W.slices(batch, "text", SLICE, ROWS):
                 read = Reader(part)
                 held.append(read.counts(n, read.places(n, wanted)))
+                rows += len(held[-1])
                 if n == 1:
                     held.append(read.totals())
-                rows += len(held[-1])
                 if rows > HELD:
                     yield from merged(held)
-                    held, rows = [], 0
+                    rows = 0
         yield from merged(held)
 
     def merged(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         if held:
             sums = pa.concat_tables(held).group_by(KEY).aggregate([("f", "sum")])
-            yield from sums.rename_columns({"f_sum": "f"}).select(COUNTED.names).to_batches(max_chunksize=1 << 16)
+            held.clear()
+            yield from sums.rename_columns({"f_sum": "f"}).select(COUNTED.names).to_batches(max_chunksize=1 << 14)
+            del sums
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, COUNTED).groupBy(*KEY).agg(F.sum("f").alias("f"))
 
