@@ -8,11 +8,12 @@ endings are statistically compatible (Hoeffding bounds, all the way down). What
 is left is a probabilistic automaton of the kind's format. Every other run of
 credential characters in the corpus is a candidate; its score is the mean
 number of bits per symbol by which the best automaton explains it better than
-a Markov model of all candidates. Candidates that score like held-out labelled
-credentials become spans too.
+a Markov model of all runs, however short, in all texts. Candidates that score
+like held-out labelled credentials become spans too.
 
 Texts are read once; a written table keeps the spans found, the labelled
-values and the candidates of each document.
+values and the candidates of each document, and a tally of neighbouring
+symbols per slice of texts.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructType
 
 from meterkit.llm import words as W
 from meterkit.llm.scratch import free_name, write_scratch
@@ -52,8 +53,8 @@ LEAST = 16
 FITTED, FEWEST, LONGEST = 2_000, 20, 200
 #: Chance at which two states with one format are taken for different ones.
 ALPHA = 0.05
-#: Of held-out labelled credentials, this share may score under the threshold.
-MISSED = 0.01
+#: A candidate has to reach this share of the median score of held-out labelled credentials.
+SHARE = 0.5
 
 _HEX = np.zeros(256, dtype=bool)
 _HEX[[*b"0123456789abcdef"]] = True
@@ -62,6 +63,10 @@ _RUN[[*b"+/_.-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]]
 #: Symbols of candidates and values, and for smoothing their number with the end.
 SYMBOLS = "+/_.=-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 END = ""
+#: Number of each byte's symbol; 0 for whatever is outside a run.
+_CODE = np.zeros(256, dtype=np.int64)
+_CODE[[*SYMBOLS.encode()]] = np.arange(1, len(SYMBOLS) + 1)
+_CODES = len(SYMBOLS) + 1
 SPAN = StructType().add("kind", StringType()).add("start", LongType()).add("end", LongType())
 SCORED = StructType([*SPAN.fields]).add("score", DoubleType())
 
@@ -184,23 +189,19 @@ class Format:
 
 @dataclass
 class Background:
-    """log2 of how likely a symbol (or the end) follows another (or the start)."""
+    """log2 of how likely a symbol (or the end) follows another (or the start), by number."""
 
-    table: dict[tuple[str, str], float]
-    other: dict[str, float]
+    table: np.ndarray
 
     @classmethod
-    def of(cls, counts: dict[tuple[str, str], int]) -> Background:
-        whole: Counter = Counter()
-        for (a, _), n in counts.items():
-            whole[a] += n
-        size = len(SYMBOLS) + 1
-        return cls({k: math.log2((n + 1) / (whole[k[0]] + size)) for k, n in counts.items()},
-                   {a: -math.log2(whole[a] + size) for a in (END, *SYMBOLS)})
+    def of(cls, counts: np.ndarray) -> Background:
+        counts = counts.copy()
+        counts[0, 0] = 0  # outside of runs
+        return cls(np.log2((counts + 1) / (counts.sum(axis=1, keepdims=True) + _CODES)))
 
     def bits(self, value: str) -> float:
-        table, other = self.table, self.other
-        return sum(table.get(pair, other.get(pair[0], 0.0)) for pair in zip((END, *value), (*value, END), strict=True))
+        codes = _CODE[np.frombuffer(b" %b " % value.encode(), dtype=np.uint8)]
+        return float(self.table[codes[:-1], codes[1:]].sum())
 
 
 @dataclass
@@ -220,15 +221,15 @@ class Scorer:
 
 def fit(labelled: dict[str, list[str]], background: Background, alpha: float = ALPHA) -> Scorer:
     """The automata of ``labelled`` (values per kind, in a fixed order). Every
-    fourth value is held out; its scores set the kind's threshold, never under
-    0. Kinds with fewer than FEWEST values teach nothing."""
+    fourth value is held out; the median of their scores, if over 0, sets the
+    kind's threshold. Kinds with fewer than FEWEST values teach nothing."""
     scorer = Scorer({}, background)
     for kind, values in labelled.items():
         if len(values) < FEWEST:
             continue
         scorer.formats[kind] = Format.of(infer([v for i, v in enumerate(values) if i % 4], alpha))
         held = sorted(scorer.score(v, kind) for v in values[::4])
-        scorer.formats[kind].threshold = max(held[int(MISSED * len(held))], 0.0)
+        scorer.formats[kind].threshold = max(SHARE * held[len(held) // 2], 0.0)
     return scorer
 
 
@@ -252,8 +253,9 @@ def _runs(data: np.ndarray, offsets: np.ndarray, of: np.ndarray, least: int) ->
     return W.owner(first)[long_ones], starts[long_ones], ends[long_ones]
 
 
-def read_slice(part: pa.RecordBatch, text_col: str, least: int) -> tuple[list, list, list]:
-    """Per text of ``part``: spans, labelled values and candidates."""
+def read_slice(part: pa.RecordBatch, text_col: str, least: int) -> tuple[list, list, list, list]:
+    """Per text of ``part``: spans, labelled values and candidates; and, in the
+    first place, how often each symbol stands before each other one."""
     data, offsets = W.text_bytes(part.column(text_col))
     column = part.column(text_col)
     # characters before each byte, and before each text
@@ -286,19 +288,26 @@ def read_slice(part: pa.RecordBatch, text_col: str, least: int) -> tuple[list, l
         earlier = bisect_left(starts[d], end)  # spans that begin before the candidate ends
         if end - start >= least and not (earlier and reach[d][earlier - 1] > start):
             candidates[d].append({"start": start, "end": end, "value": data[a:b].tobytes().decode()})
-    return spans, values, candidates
+    code = _CODE[data]
+    ahead = np.concatenate(([0], code))
+    ahead[offsets[:-1]] = 0  # a text's first symbol follows nothing of the text before
+    pairs = np.bincount(ahead[:-1] * _CODES + code, minlength=_CODES ** 2)
+    # runs that end with their text
+    last = code[offsets[1:][np.diff(offsets) > 0] - 1]
+    pairs[:_CODES ** 2:_CODES] += np.bincount(last, minlength=_CODES)
+    return spans, values, candidates, [pairs.tobytes(), *[None] * (part.num_rows - 1)]
 
 
 def read_texts(docs: DataFrame, text_col: str, least: int) -> DataFrame:
-    """``docs`` without texts and with ``base``, ``labelled`` and ``candidates``."""
+    """``docs`` without texts and with ``base``, ``labelled``, ``candidates`` and ``pairs``."""
     kept = [f for f in docs.schema.fields if f.name != text_col]
     labelled = StructType().add("kind", StringType()).add("value", StringType())
     candidate = StructType().add("start", LongType()).add("end", LongType()).add("value", StringType())
-    out = StructType([*kept]).add("base", ArrayType(SPAN)).add("labelled", ArrayType(labelled)).add("candidates", ArrayType(candidate))
+    out = StructType([*kept]).add("base", ArrayType(SPAN)).add("labelled", ArrayType(labelled)).add("candidates", ArrayType(candidate)).add("pairs", BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, at, value = ("kind", pa.string()), [("start", pa.int64()), ("end", pa.int64())], ("value", pa.string())
-        types = [pa.list_(pa.struct(t)) for t in ([kind, *at], [kind, value], [*at, value])]
+        types = [*(pa.list_(pa.struct(t)) for t in ([kind, *at], [kind, value], [*at, value])), pa.binary()]
         for batch in batches:
             for part in W.slices(batch, text_col):
                 found = read_slice(part, text_col, least)
@@ -319,24 +328,26 @@ def labelled_sample(read: DataFrame, n: int) -> dict[str, list[str]]:
 
 
 def background(read: DataFrame) -> Background:
-    """From all candidates of the corpus; a row per pair of symbols comes back."""
+    """From all texts of the corpus; a row per pair of symbols comes back."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts = np.zeros(_CODES ** 2, dtype=np.int64)
         for batch in batches:
-            for value in batch.column("value").to_pylist():
-                counts.update(zip((END, *value), (*value, END), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in counts], pa.string()), pa.array([b for _, b in counts], pa.string()),
-                                          pa.array(list(counts.values()), pa.int64())], names=["a", "b", "n"])
+            for raw in batch.column(0).to_pylist():
+                counts += np.frombuffer(raw, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_CODES ** 2)), pa.array(counts)], names=["pair", "n"])
 
-    pairs = read.select(F.explode("candidates.value").alias("value")).mapInArrow(run, "a string, b string, n long")
-    return Background.of({(r.a, r.b): r.n for r in pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()})
+    counts = np.zeros(_CODES ** 2, dtype=np.int64)
+    rows = read.select("pairs").where("pairs is not null").mapInArrow(run, "pair long, n long")
+    for r in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r.pair] = r.n
+    return Background.of(counts.reshape(_CODES, _CODES))
 
 
 def judge_candidates(read: DataFrame, scorer: Scorer) -> DataFrame:
     """``read`` with ``found``, the spans of candidates that pass, in place of
-    labelled values and candidates."""
+    labelled values, candidates and tallies."""
     shared = read.sparkSession.sparkContext.broadcast(scorer)
-    kept = [f for f in read.schema.fields if f.name not in ("labelled", "candidates")]
+    kept = [f for f in read.schema.fields if f.name not in ("labelled", "candidates", "pairs")]
     out = StructType([*kept]).add("found", ArrayType(SCORED))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
