@@ -33,7 +33,7 @@ from meterkit.sources import rollup_store as store
 from meterkit.sources.catalog_io import read_catalog
 from meterkit.sources.events import read_events
 from meterkit.sources.fixtures import dirty_meters, dirty_raw_events, usage_events
-from meterkit.streaming.ingest import from_queue, kafka_records, parse_event_lines
+from meterkit.streaming.ingest import from_queue, kafka_records, parse_event_lines, process_batch
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -311,6 +311,12 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
+def _raw(events: DataFrame) -> DataFrame:
+    """Typed events in the API's form."""
+    return events.select("id", "type", "source", "organization", "user",
+                         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "properties")
+
+
 @register("q20_day_from_stored_rollup", SQL_SUM_DAY_ORG)
 def q20_day_from_stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two epochs of all meters written to storage, one meter
@@ -339,6 +345,84 @@ def m13_backfill_during_compaction(spark: SparkSession, sf_dir: str) -> DataFram
     return _shown(query_rollup(store.read_rollup(spark, root, SUM_PURCHASE), SUM_PURCHASE, Q_SUM_DAY_ORG), SUM_PURCHASE)
 
 
+@register("m12_late_batch_below_layer", SQL_SUM_DAY_ORG)
+def m12_late_batch_below_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches 4 and 5 are folded; 2, 7 and, of another run, 4 arrive and are
+    folded too: the layers cover exactly these. A reader planned before sees no change."""
+    events, root = usage_events(spark, sf_dir), _scratch(spark, "m12")
+    parts = [events.where(F.pmod(F.xxhash64("id"), F.lit(5)) == i) for i in range(5)]
+
+    def write(part: int, number: int, run: str = "") -> None:
+        store.write_epoch(minute_partials(parts[part], SUM_PURCHASE), root, SUM_PURCHASE, number - 1, run)
+
+    write(0, 4)
+    write(1, 5)
+    store.compact(spark, root, SUM_PURCHASE)
+    write(2, 2)
+    write(3, 7)
+    write(4, 4, "other")
+    before = store.read_rollup(spark, root, SUM_PURCHASE)
+    store.compact(spark, root, SUM_PURCHASE)
+    write(2, 2)  # a replay of what is folded
+    store.compact(spark, root, SUM_PURCHASE, full=True)
+    now = store.read_rollup(spark, root, SUM_PURCHASE)
+    same = query_rollup(before, SUM_PURCHASE, Q_SUM_DAY_ORG).join(
+        query_rollup(now, SUM_PURCHASE, Q_SUM_DAY_ORG).withColumnRenamed("value", "now"), ["windowstart", "windowend", "organization"], "full")
+    agree = F.abs(F.col("value") - F.col("now")) <= 1e-6 * F.abs(F.col("now"))
+    return _shown(same.withColumn("value", F.when(agree, F.col("now"))).drop("now"), SUM_PURCHASE)
+
+
+@register("m13_resumed_backfill", SQL_SUM_DAY_ORG)
+def m13_resumed_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A meter added to a running ingest. Its backfill stops after the first
+    of three chunks, an epoch is replayed, and the backfill goes on."""
+    root, raw, meters = _scratch(spark, "m13r"), _raw(usage_events(spark, sf_dir)), dirty_meters(spark, sf_dir)
+    paths = [f"{root}/{k}" for k in ("events", "rejects", "rollups")]
+    parts = [raw.where(F.pmod(F.xxhash64("id"), F.lit(3)) == i) for i in range(3)]
+    for epoch, part in enumerate(parts):
+        process_batch(part, epoch, meters, [], *paths, tenant=DIRTY_TENANT)
+    spec = dataclasses.replace(SUM_PURCHASE, tenant_slug=DIRTY_TENANT)
+    store.backfill_from_events_table(spark, paths[0], paths[2], [spec], f"{root}/long", per_chunk=1, max_chunks=1)
+    process_batch(parts[0], 0, meters, [spec], *paths, tenant=DIRTY_TENANT)
+    store.backfill_from_events_table(spark, paths[0], paths[2], [spec], f"{root}/longer", per_chunk=1)
+    return _shown(query_rollup(store.read_rollup(spark, paths[2], spec), spec, Q_SUM_DAY_ORG), spec)
+
+
+@register("m14_restarted_checkpoint", SQL_SUM_DAY_ORG)
+def m14_restarted_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream started anew numbers its epochs from 0 again. What the
+    first one wrote, folded or not, stays, and both count."""
+    root, raw, meters = _scratch(spark, "m14"), _raw(usage_events(spark, sf_dir)), dirty_meters(spark, sf_dir)
+    paths = [f"{root}/{k}" for k in ("events", "rejects", "rollups")]
+    spec = dataclasses.replace(SUM_PURCHASE, tenant_slug=DIRTY_TENANT)
+    parts = [raw.where(F.pmod(F.xxhash64("id"), F.lit(4)) == i) for i in range(4)]
+    for part, (epoch, run) in enumerate(((0, "first"), (1, "first"), (0, "second"), (1, "second"))):
+        process_batch(parts[part], epoch, meters, [spec], *paths, tenant=DIRTY_TENANT, run=run)
+        if part == 1:
+            store.compact_all(spark, paths[2], [spec])
+    stored = query_events(read_events(spark, paths[0]), spec, Q_SUM_DAY_ORG).withColumnRenamed("value", "of_events")
+    rolled = query_rollup(store.read_rollup(spark, paths[2], spec), spec, Q_SUM_DAY_ORG)
+    agree = F.abs(F.col("value") - F.col("of_events")) <= 1e-6 * F.abs(F.col("of_events"))
+    both = rolled.join(stored, ["windowstart", "windowend", "organization"], "full")
+    return _shown(both.withColumn("value", F.when(agree, F.col("value"))).drop("of_events"), spec)
+
+
+@register("s02_two_tenants_one_events_path", with_views("""
+select tenant, type, count(*) as events, count(distinct id) as ids from (
+  select *, case when cast(id[5:] as bigint) % 2 = 0 then 'acme' else 'other' end as tenant from usage_events)
+group by tenant, type""", USAGE_EVENTS))
+def s02_two_tenants_one_events_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tenants' jobs with equal epochs share one events path."""
+    root, raw, out = _scratch(spark, "s02"), _raw(usage_events(spark, sf_dir)), None
+    for i, tenant in enumerate(("acme", "other")):
+        meters = dirty_meters(spark, sf_dir).withColumn("tenant_slug", F.lit(tenant))
+        process_batch(raw.where(_number(F.col("id")) % 2 == i), 0, meters, [], *(f"{root}/{k}" for k in ("events", "rejects", "rollups")), tenant=tenant)
+    for tenant in ("acme", "other"):
+        own = read_events(spark, f"{root}/events", tenant=tenant).withColumn("tenant", F.lit(tenant))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("tenant", "type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("id").alias("ids"))
+
+
 @register("s03_events_scan", with_views("""
 select id, type, source, organization, "user", "timestamp", properties from usage_events
 where type = 'app.purchase' and "timestamp" >= timestamp '2024-01-03' and "timestamp" < timestamp '2024-01-09'""", USAGE_EVENTS))
@@ -477,14 +561,77 @@ def i02_default_id_and_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", F.col("id").rlike(ingest.UUID_PATTERN).alias("own_id"), F.abs(age).between(0, 86400).alias("own_time"))
 
 
-@register("v08_strict_batch", """
-select source, count(*) as events, bool_or(event_id % 50 in (7, 11, 13, 15, 17, 19, 23, 29, 31, 33, 37, 39, 43, 47)) as rejected
-from (select *, case when event_id % 2 = 0 then 'even' else 'odd' end as source from events) group by source""")
+@register("i02_stable_ids", with_views("""
+select md5(concat('acme/0|=', type, '|=', source, '|=', organization, '|=', "user", '|=', strftime("timestamp", '%Y-%m-%dT%H:%M:%SZ'),
+                  '|=', properties, '|', cast(row_number() over (
+                    partition by type, source, organization, "user", "timestamp", properties) as varchar))) as id_digits,
+       type, "user", "timestamp", true as same_again
+from usage_events""", USAGE_EVENTS))
+def i02_stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without ids, some of them equal, ingested and replayed:
+    the replay gives every event the id it had."""
+    root, meters = _scratch(spark, "i02"), dirty_meters(spark, sf_dir)
+    raw = usage_events(spark, sf_dir).select(
+        F.lit("").alias("id"), "type", "source", "organization", "user",
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "properties")
+    seen = []
+    for attempt in range(2):
+        process_batch(raw.repartition(3 + attempt), 0, meters, [], f"{root}/events", f"{root}/rejects", f"{root}/rollups",
+                      tenant=DIRTY_TENANT, run=DIRTY_TENANT)
+        seen.append(read_events(spark, f"{root}/events").select("id", "type", "user", "timestamp"))
+    again = seen[1].select("id", F.lit(True).alias("found"))
+    return seen[0].join(again, "id", "left").select(
+        F.replace(F.col("id"), F.lit("-"), F.lit("")).alias("id_digits"), "type", "user", "timestamp",
+        F.coalesce("found", F.lit(False)).alias("same_again"))
+
+
+# Properties with repeated keys by event_id % 6, and what V4 to V6 say of them.
+REPEATED = (('{"k":"","k":"a","page":"p","amount":1}', None),
+            ('{"k":"a","page":"p","amount":1,"k":""}', "missing_properties"),
+            ('{"k":"a","page":"p","amount":1,"page":[]}', "missing_properties"),
+            ('{"k":"a","page":{"x":1,"x":2},"amount":[],"amount":0}', None),
+            ('{"k":"a","k":null,"page":{"x":{},"x":2},"amount":1}', "missing_properties"),
+            ('{"k":"a","page":"p","amount":1} {"k":"a"}', "invalid_properties"))
+
+
+@register("v04_repeated_keys", f"""
+select concat('evt_', cast(event_id as varchar)) as id,
+       case event_id % 6 {" ".join(f"when {i} then {'null' if r is None else repr(r)}" for i, (_, r) in enumerate(REPEATED))} end as reason
+from events""")
+def v04_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4, V6: of a repeated key the last value counts, at any depth; text after the object is an error."""
+    texts = F.array(*(F.lit(text) for text, _ in REPEATED))
+    raw = usage_events(spark, sf_dir).select(
+        "id", "type", "source", "organization", "user", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        F.element_at(texts, (_number(F.col("id")) % 6 + 1).cast("int")).alias("properties"))
+    return ingest.validate(raw, dirty_meters(spark, sf_dir), tenant=DIRTY_TENANT).select("id", "reason")
+
+
+# Batches of the dirty fixture by event_id % 50, and strict mode's answer.
+STRICT_BATCHES = (("clean", (1, 2, 3, 4, 5, 45), None), ("one defect", (1, 2, 17), "missing_properties"),
+                  ("bad time", (3, 43), "invalid_timestamp"), ("unknown type", (4, 11), "missing_meter"),
+                  ("no type", (7,), "no event of the batch names a type"), ("nothing", (), "the batch holds no events"))
+
+
+@register("v08_strict_batch", " union all ".join(
+    f"select '{name}' as batch, {'count(*)' if error is None else '0 * count(*)'} as accepted, {'null' if error is None else repr(error)} as error"
+    f" from events where event_id % 50 in ({', '.join(map(str, rows or (-1,)))})" for name, rows, error in STRICT_BATCHES))
 def v08_strict_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V8 strict: which of two batches (even and odd events) would be refused."""
-    checked = _validated(spark, sf_dir).withColumn("source", F.when(_number(F.col("id")) % 2 == 0, "even").otherwise("odd"))
-    return checked.groupBy("source").agg(F.count(F.lit(1)).alias("events"),
-                                         F.max(F.col("reason").isNotNull()).alias("rejected"))
+    """V8 strict, L1: batches handed to the publish call, and what it accepts or answers."""
+    raw, meters = dirty_raw_events(spark, sf_dir), dirty_meters(spark, sf_dir)
+    out = None
+    for name, rows, _ in STRICT_BATCHES:
+        batch, error, accepted = raw.where((F.col("seq") % 50).isin(*rows)), None, None
+        try:
+            accepted, _ = ingest.publish(batch, meters, tenant=DIRTY_TENANT, allow_partial_success=False)
+        except ingest.BatchRejected as e:
+            error = str(e).removeprefix("batch rejected: ")
+        except ingest.BatchError as e:
+            error = str(e)
+        counted = (accepted if accepted is not None else batch.limit(0)).agg(F.count(F.lit(1)).alias("accepted"))
+        row = counted.select(F.lit(name).alias("batch"), "accepted", F.lit(error).cast("string").alias("error"))
+        out = row if out is None else out.unionAll(row)
+    return out
 
 
 @register("m10_count_values", with_views("""

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterkit.functions.json import is_empty_json, variant_map
+from meterkit.functions.json import is_empty_key, json_entries
 from meterkit.functions.time import second_precision
 from meterkit.operators.joins import bounded_broadcast
 
@@ -128,9 +128,9 @@ def validate(raw: DataFrame, meters: DataFrame, tenant: str | None = None,
     # Parse once into its own column: lambdas (the per-key emptiness test)
     # are outside subexpression elimination, so referencing the parse
     # expression inside them would re-parse the JSON for every key.
-    df = df.select("*", variant_map(props).alias("__parsed"),
+    df = df.select("*", json_entries(props).alias("__parsed"),
                    _parsed_timestamp(F.col("timestamp")).alias("__timestamp"))
-    df = df.withColumn("__missing", F.filter("required", lambda k: is_empty_json(F.col("__parsed")[k])))
+    df = df.withColumn("__missing", F.filter("required", lambda k: is_empty_key(F.col("__parsed"), k)))
     id_ok = F.lit(True) if not strict_ids else \
         (F.coalesce(F.col("id"), F.lit("")) == "") | F.col("id").rlike(UUID_PATTERN)
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
@@ -145,8 +145,8 @@ def validate(raw: DataFrame, meters: DataFrame, tenant: str | None = None,
         .when(F.size("__missing") > 0, F.lit("missing_properties"))
     )
     # The stored id, decided once here so every output of the batch (events
-    # table, topic) carries the same one; uuid() is seeded per partition, so a
-    # recomputed partition reproduces it.
+    # table, topic) carries the same one. The stream's batches come with ids
+    # already (``streaming.ingest.with_stable_ids``); others get random ones.
     stored_id = F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.expr("uuid()")).otherwise(F.col("id"))
     return df.select(
         *[F.col(c) for c in raw.columns],

@@ -1,9 +1,11 @@
 """Events table (S2, S3): typed events on shared storage.
 
-Written by the ingest job as ``{path}/batch_id={n}/event_date={d}/``;
-read back with partition pruning on ``event_date`` and a pushed-down
-``timestamp`` range, so a backfill or a direct meter query over a time
-window lists and reads only the days it needs.
+Written by the ingest job as ``{path}/tenant={t}/batch_id={label}/attempt={id}/event_date={d}/``,
+with a log per tenant that names the live folders (``sources.batch_log``); read
+back with partition pruning on ``event_date`` and a pushed-down ``timestamp``
+range, so a backfill or a direct meter query over a time window lists and reads
+only the days it needs. Plain folders ``{path}/batch_id={n}/event_date={d}/``
+without a log are read by their ``_SUCCESS`` markers.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterkit.sources.batch_log import BatchLog, plain_folders
 from meterkit.sources.storage import list_subdirs
 
 EVENTS_SCHEMA = T.StructType([
@@ -31,20 +34,47 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
+def tenant_root(path: str, tenant: str) -> str:
+    return os.path.join(path, f"tenant={tenant}")
+
+
+def _folders(spark: SparkSession, path: str, tenant: str | None) -> list[tuple[str, list[tuple[str, str, int]]]]:
+    """Per table base (a tenant's, or ``path`` itself if it has no tenants) its
+    live folders with run and number."""
+    tenants = list_subdirs(spark, path, "tenant=", committed_only=False)
+    bases = [tenant_root(path, t) for t in sorted(tenants) if tenant in (None, t)] if tenants else [path]
+    out = []
+    for base in bases:
+        now = BatchLog(spark, base).snapshot()
+        live = [(e.folder, run, n) for e in now.entries for run, ranges in e.covers.ranges.items() for n, _ in ranges]
+        if now.version < 0:
+            live = [(f, "", int(f.split("=")[1])) for f in plain_folders(spark, base) if f.split("=")[1].isdigit()]
+        out.append((base, live))
+    return out
+
+
+def event_batches(spark: SparkSession, path: str, tenant: str | None = None) -> list[tuple[str, int]]:
+    """(run, number) of the committed batches of a tenant's events (of all)."""
+    return sorted({(run, n) for _, live in _folders(spark, path, tenant) for _, run, n in live})
+
+
 def read_events(spark: SparkSession, path: str, start: dt.datetime | None = None,
                 end: dt.datetime | None = None, event_type: str | None = None,
-                batches: list[int] | None = None) -> DataFrame:
-    """S3: typed events, optionally limited to ``[start, end)``, one type and
-    some batches. Of the ingest job's table, committed batches only; a folder
-    without batches is read as it is."""
-    found = list_subdirs(spark, path, "batch_id=", committed_only=False)
-    if found:
-        done = set(list_subdirs(spark, path, "batch_id="))
-        wanted = sorted(done if batches is None else done & {str(b) for b in batches})
-        if not wanted:
+                batches: list[int | tuple[str, int]] | None = None, tenant: str | None = None) -> DataFrame:
+    """S3: typed events, optionally limited to ``[start, end)``, one type, one
+    tenant and some batches (a number alone is one without a run). Of the ingest
+    job's table, committed batches only; a folder without batches is read as it is."""
+    wanted = None if batches is None else {b if isinstance(b, tuple) else ("", b) for b in batches}
+    columns = [f.name for f in EVENTS_SCHEMA]
+    df = None
+    if list_subdirs(spark, path, "tenant=", committed_only=False) or list_subdirs(spark, path, "batch_id=", committed_only=False):
+        for base, live in _folders(spark, path, tenant):
+            paths = [os.path.join(base, f) for f, run, n in live if wanted is None or (run, n) in wanted]
+            if paths:
+                own = spark.read.schema(EVENTS_SCHEMA).option("basePath", base).parquet(*paths).select(*columns)
+                df = own if df is None else df.unionByName(own)
+        if df is None:
             return spark.createDataFrame([], EVENTS_SCHEMA)
-        df = (spark.read.schema(EVENTS_SCHEMA).option("basePath", path)
-              .parquet(*[os.path.join(path, f"batch_id={b}") for b in wanted]))
     else:
         df = spark.read.schema(EVENTS_SCHEMA).parquet(path)
     if start is not None:

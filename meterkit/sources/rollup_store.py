@@ -1,30 +1,27 @@
 """Rollup tables on shared storage.
 
-Layout per meter: ``{root}/tenant={tenant}/meter={slug}/batch_id={id}/window_date={d}/``.
-Partials of one micro-batch (or backfill) are written with overwrite of their
-own ``batch_id`` directory, so replaying a batch replaces rather than adds.
-Readers merge states on read, so batches need not be disjoint.
+Layout per meter: ``{root}/tenant={tenant}/meter={slug}/batch_id={label}/attempt={id}/window_date={d}/``.
+Every write goes to a folder of its own and becomes visible by a commit in the
+meter's log (``sources.batch_log``), which names the live folders and exactly
+which batches each covers. Replaying a batch replaces its earlier attempt.
+Readers merge states on read, so batches need not be disjoint in time.
 
 A stream writes each epoch once, for all meters of its tenant, as one long
-table: ``{root}/epochs/tenant={tenant}/batch_id={id}/tenant_slug=/meter=/window_date=``.
-A reader projects its meter from it, so the jobs per epoch do not grow with
-meters. Each tenant's stream counts its own epochs, so tenants may share a root.
-
-Compaction works in layers, so its cost follows the new data, not the
-meter's history. A layer's name states the batches it covers:
-
-* a *minor* compaction folds the numbered batches written since the last
-  compaction into ``c{lo}-{hi}``;
-* a *full* compaction, or a backfill, is ``f{N}``: everything up to ``N``.
-
-Readers merge the newest ``f{N}`` that no minor layer straddles, the minor
-layers after it, and the numbered batches that no layer covers. (A straddled
-``f{N}``, from a backfill that raced with a compaction, would count the shared
-batches twice; the backfill notices and runs again.) A compaction writes its
-output before removing what it absorbed, and a batch directory only counts once
-its ``_SUCCESS`` marker is committed, so neither a crash between the two steps
-nor a half-written batch changes what readers see. A backfill without a stream
-is written as ``f0`` and stream epoch ``e`` as batch ``e + 1``.
+table: ``{root}/epochs/tenant={tenant}/batch_id={label}/attempt={id}/tenant_slug=/meter=/window_date=``,
+with a log per tenant. A reader projects its meter from the epochs that the
+meter's own folders do not cover, so the jobs per epoch do not grow with
+meters. Epoch ``e`` of a stream is batch ``e + 1`` of its run (its checkpoint);
+tenants and streams started anew may share a root.
+
+Compaction works in layers, so its cost follows the new data, not the meter's
+history: a *minor* compaction folds the batches since the last one into a layer
+``c{lo}-{hi}``, a *full* one folds everything into ``f{hi}``, and a backfill
+writes layers ``f{hi}`` too. These names are for people; what a layer covers is
+in the log. A layer that shares some batches with another one but does not hold
+them all is refused (a backfill that raced with a compaction then does the rest
+again). Folders that a commit drops are deleted after a grace period, so neither
+a crash nor a compaction changes what readers see, planned before or after it.
+A backfill without a stream is written as ``f0``.
 """
 
 from __future__ import annotations
@@ -37,12 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterkit.functions import column
-from meterkit.sources.storage import delete_path, list_subdirs
+from meterkit.sources.batch_log import BatchLog, Cover, Entry, Overlap, Snapshot, label_of, plain_folders
+from meterkit.sources.storage import delete_path, list_subdirs, match_paths
 from meterkit.operators.rollup import HLL_STATE, compact_partials, minute_partials, state_columns
 from meterkit.plans.spec import MeterSpec
 
 _FULL, _MINOR = re.compile(r"^f(\d+)$"), re.compile(r"^c(\d+)-(\d+)$")
 EPOCHS = "epochs"
+#: Event batches that one layer of a backfill covers at most.
+PER_CHUNK = 64
 
 
 def meter_root(root: str, spec: MeterSpec) -> str:
@@ -66,51 +66,42 @@ def rollup_schema(spec: MeterSpec) -> T.StructType:
     return T.StructType(fields)
 
 
-def list_batches(spark: SparkSession, root: str, committed_only: bool = True) -> list[str]:
-    """Names of the ``batch_id=...`` directories under a meter root, or under
-    any tenant's folder of the epochs' root (only those whose write committed,
-    unless ``committed_only`` is off)."""
-    found = list_subdirs(spark, root, "batch_id=", committed_only)
-    for tenant in list_subdirs(spark, root, "tenant=", False):
-        found += list_subdirs(spark, os.path.join(root, f"tenant={tenant}"), "batch_id=", committed_only)
-    return list(dict.fromkeys(found))
-
-
-def _layers(batches: list[str]) -> tuple[int, list[tuple[int, int]], list[int]]:
-    """(full layer in force or -1, minor layers after it, all numbered batches)."""
-    fulls = sorted((int(m.group(1)) for b in batches if (m := _FULL.match(b))), reverse=True)
-    minors = sorted((int(m.group(1)), int(m.group(2))) for b in batches if (m := _MINOR.match(b)))
-    full = next((n for n in fulls if not straddled(n, batches)), -1)
-    # a layer within another one is left over from a crash
-    live = [(lo, hi) for lo, hi in minors if lo > full and not any(
-        (a, z) != (lo, hi) and a <= lo and hi <= z for a, z in minors)]
-    return full, live, [int(b) for b in batches if b.isdigit()]
+def _snapshot(spark: SparkSession, base: str) -> Snapshot:
+    """The live folders of the table in ``base``. Folders that an earlier
+    version wrote without a log are an error: their rows would be missing."""
+    now = BatchLog(spark, base).snapshot()
+    if now.version < 0 and plain_folders(spark, base):
+        raise ValueError(f"{base} holds batches of the layout without a log; rebuild it with a backfill")
+    return now
 
 
-def straddled(n: int, batches: list[str]) -> bool:
-    """Whether a minor layer covers batches on both sides of ``f{n}``'s end."""
-    return any(int(m.group(1)) <= n < int(m.group(2)) for b in batches if (m := _MINOR.match(b)))
+def list_batches(spark: SparkSession, root: str) -> list[str]:
+    """Names of the live batches and layers under a meter root, a tenant's
+    epochs, or the epochs of all tenants."""
+    found = [e.label for e in BatchLog(spark, root).snapshot().entries]
+    for tenant in list_subdirs(spark, root, "tenant=", False):
+        found += [e.label for e in BatchLog(spark, os.path.join(root, f"tenant={tenant}")).snapshot().entries]
+    return list(dict.fromkeys(found))
 
 
-def live_batches(batches: list[str]) -> list[str]:
-    """Batches a reader must merge: the full layer in force, the minor layers
-    after it, and the numbered batches that no layer covers."""
-    full, minors, numbered = _layers(batches)
-    live = [str(b) for b in sorted(numbered) if b > full and not any(lo <= b <= hi for lo, hi in minors)]
-    live += [f"c{lo}-{hi}" for lo, hi in minors]
-    if full >= 0:
-        live.append(f"f{full}")
-    return live
+def _is_layer(label: str) -> bool:
+    return bool(_FULL.match(label) or _MINOR.match(label))
 
 
-def covered(batches: list[str]) -> int:
-    """The last batch that the layers in force cover (-1: none)."""
-    full, minors, _ = _layers(batches)
-    return max([full, *(hi for _, hi in minors)])
+def cover_of(label: str) -> Cover:
+    """The batches that a name without a run stands for: its own, ``c{lo}-{hi}``
+    those from ``lo`` to ``hi``, ``f{n}`` all up to ``n``."""
+    if m := _MINOR.match(label):
+        return Cover({"": [[int(m.group(1)), int(m.group(2))]]})
+    if m := _FULL.match(label):
+        return Cover({"": [[0, int(m.group(1))]]})
+    return Cover({"": [[int(label), int(label)]]})
 
 
-def write_batch(partials: DataFrame, root: str, spec: MeterSpec, batch_id: int | str) -> str:
-    """Write one batch of partials, replacing that batch if present.
+def write_batch(partials: DataFrame, root: str, spec: MeterSpec, batch_id: int | str, covers: Cover | None = None) -> str | None:
+    """Write one batch (or layer) of partials and make it live; a batch
+    or layer that covers the same is replaced. None if what it covers is, in
+    part or whole, in other layers already.
 
     The ``rebalance`` hint hash-distributes rows by ``window_date`` and lets
     AQE size the write tasks: a busy day is split over several tasks, small
@@ -118,11 +109,17 @@ def write_batch(partials: DataFrame, root: str, spec: MeterSpec, batch_id: int |
     are sorted within each file by the rollup's sort key, so Parquet min/max
     statistics on ``windowstart`` and the dimensions skip row groups.
     """
-    path = os.path.join(meter_root(root, spec), f"batch_id={batch_id}")
+    label = str(batch_id)
+    log = BatchLog(partials.sparkSession, meter_root(root, spec))
+    folder = log.attempt(label)
     keys = [column(c) for c in ("window_date", "windowstart", "organization", "user", *spec.dimensions)]
     (partials.hint("rebalance", "window_date").sortWithinPartitions(*keys)
-     .write.mode("overwrite").partitionBy("window_date").parquet(path))
-    return path
+     .write.partitionBy("window_date").parquet(os.path.join(log.base, folder)))
+    try:
+        added = log.add(Entry(label, folder, covers or cover_of(label)))
+    except Overlap:
+        return None
+    return os.path.join(log.base, folder) if added else None
 
 
 def epochs_root(root: str, tenant: str | None = None) -> str:
@@ -131,20 +128,23 @@ def epochs_root(root: str, tenant: str | None = None) -> str:
     return base if tenant is None else os.path.join(base, f"tenant={tenant}")
 
 
-def write_epoch_of_all(events: DataFrame, root: str, specs: list[MeterSpec], epoch_id: int) -> list[str]:
-    """The partials of every meter for one epoch, in one write per tenant
-    (replaying an epoch replaces that tenant's). Rows are clustered by meter and
-    day, so few tasks hold a meter and files stay few; AQE splits a large meter."""
+def write_epoch_of_all(events: DataFrame, root: str, specs: list[MeterSpec], epoch_id: int, run: str = "") -> list[str]:
+    """The partials of every meter for one epoch of a run, in one write per
+    tenant (replaying an epoch replaces that tenant's). Rows are clustered by
+    meter and day, so few tasks hold a meter and files stay few; AQE splits a
+    large meter."""
     from meterkit.operators.multi import long_partials
 
     paths = []
     for tenant, own in _by_tenant(specs).items():
-        path = os.path.join(epochs_root(root, tenant), f"batch_id={epoch_id + 1}")
+        log, label = BatchLog(events.sparkSession, epochs_root(root, tenant)), label_of(run, epoch_id + 1)
+        folder = log.attempt(label)
         long = long_partials(events, own).withColumn("window_date", F.to_date("windowstart"))
         parts = ("tenant_slug", "meter", "window_date")
         (long.hint("rebalance", *parts).sortWithinPartitions(*parts, "windowstart", "organization", "user")
-         .write.mode("overwrite").partitionBy(*parts).parquet(path))
-        paths.append(path)
+         .write.partitionBy(*parts).parquet(os.path.join(log.base, folder)))
+        log.add(Entry(label, folder, Cover.of([(run, epoch_id + 1)])))
+        paths.append(os.path.join(log.base, folder))
     return paths
 
 
@@ -164,75 +164,62 @@ def _epoch_schema() -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in types.items()])
 
 
-def _read(spark: SparkSession, root: str, spec: MeterSpec, wanted: list[str], own: list[str]) -> DataFrame:
-    """The meter's rows of the ``wanted`` batches: from its own folders, else
-    from the tenant's epochs."""
+def _read(spark: SparkSession, root: str, spec: MeterSpec, own: list[Entry], shared: list[Entry]) -> DataFrame:
+    """The meter's rows of its ``own`` folders and of the tenant's ``shared`` epochs."""
     from meterkit.operators.multi import meter_partials
 
-    base, schema = meter_root(root, spec), rollup_schema(spec)
-    mine = [b for b in wanted if b in own]
-    shared = [b for b in wanted if b not in own]
+    schema = rollup_schema(spec)
+    columns = [column(f.name) for f in schema]
     out = spark.createDataFrame([], schema)
-    if mine:
-        paths = [os.path.join(base, f"batch_id={b}") for b in mine]
-        out = spark.read.schema(schema).option("basePath", base).parquet(*paths)
+    if own:
+        base = meter_root(root, spec)
+        paths = [os.path.join(base, e.folder) for e in own]
+        out = spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*columns)
     if shared:
         base = epochs_root(root, spec.tenant_slug)
-        paths = [os.path.join(base, f"batch_id={b}") for b in shared]
+        paths = [os.path.join(base, e.folder) for e in shared]
         long = spark.read.schema(_epoch_schema()).option("basePath", base).parquet(*paths)
-        projected = meter_partials(long, spec, keep=("batch_id", "window_date")).select(*(column(f.name) for f in schema))
-        out = out.unionByName(projected) if mine else projected
+        projected = meter_partials(long, spec, keep=("batch_id", "window_date")).select(*columns)
+        out = out.unionByName(projected) if own else projected
     return out
 
 
-def _listed(spark: SparkSession, root: str, spec: MeterSpec) -> tuple[list[str], list[str]]:
-    """(committed batches of the meter's own folders, those and the tenant's
-    epochs). Epochs without a tenant in their path, as an earlier version wrote
-    them, are an error: their rows would be missing."""
-    if list_subdirs(spark, epochs_root(root), "batch_id="):
-        raise ValueError(f"{epochs_root(root)} holds epochs of the layout without tenants; "
-                         "compact them with the version that wrote them, or move each to its tenant's folder")
-    own = list_batches(spark, meter_root(root, spec))
-    shared = [b for b in list_batches(spark, epochs_root(root, spec.tenant_slug)) if b.isdigit()]
-    return own, sorted({*own, *shared})
+def _live(spark: SparkSession, root: str, spec: MeterSpec) -> tuple[list[Entry], list[Entry]]:
+    """(the meter's own live folders, the tenant's epochs that they do not
+    cover). Epochs are looked up first: one that a compaction folds and prunes
+    meanwhile is then in both, and counts once; the other way round it might be
+    in neither."""
+    epochs_of_all = epochs_root(root)
+    if list_subdirs(spark, epochs_of_all, "batch_id="):
+        raise ValueError(f"{epochs_of_all} holds epochs of the layout without tenants; rebuild it with a backfill")
+    epochs = _snapshot(spark, epochs_root(root, spec.tenant_slug)).entries
+    own = _snapshot(spark, meter_root(root, spec))
+    covered = own.covers()
+    return own.entries, [e for e in epochs if not covered.holds(e.covers)]
 
 
 def read_rollup(spark: SparkSession, root: str, spec: MeterSpec) -> DataFrame:
-    """The meter's rollup (live batches only), ``window_date`` prunable."""
-    own, every = _listed(spark, root, spec)
-    return _read(spark, root, spec, live_batches(every), own)
+    """The meter's rollup (live batches only), ``window_date`` prunable. The
+    folders are settled now: later compactions and replays do not change them."""
+    return _read(spark, root, spec, *_live(spark, root, spec))
 
 
 def compact(spark: SparkSession, root: str, spec: MeterSpec, full: bool = False) -> str | None:
-    """Fold batches into one layer, then drop what it absorbed.
+    """Fold batches into one layer that covers exactly these.
 
-    Minor (default): only the numbered batches that no layer covers, so the
-    cost follows the data written since. Full: every live layer. Epochs stay
-    until ``prune_epochs``.
+    Minor (default): only batches that are in no layer, so the cost follows the
+    data written since. Full: layers too. Epochs stay until ``prune_epochs``,
+    replaced folders until ``vacuum`` finds them old enough.
     """
-    base = meter_root(root, spec)
-    own, every = _listed(spark, root, spec)
-    live = live_batches(every)
-    new = [int(b) for b in live if b.isdigit()]
-    if not new and not full:
-        return None
-    if full:
-        if len(live) == 1 and live[0].startswith("f") or not live:
-            return None  # nothing to fold
-        upto = max([covered(every), *new])
-        sources, name = live, f"f{upto}"
-    else:
-        lo, upto = max(covered(every) + 1, 0), max(new)
-        lo = min([b for b in new if b >= lo] or new)
-        sources, name = [str(b) for b in new], f"c{lo}-{upto}"
-    merged = compact_partials(_read(spark, root, spec, sources, own).drop("batch_id"), spec)
-    out = write_batch(merged, root, spec, name)
-    # what the new layer covers, and what an earlier one left over
-    for b in list_batches(spark, base, committed_only=False):
-        minor, number = _MINOR.match(b), b.isdigit() and int(b) <= upto
-        older = (_FULL.match(b) and int(b[1:]) < upto) or (minor and int(minor.group(2)) <= upto)
-        if b != name and (number or (full and older)):
-            delete_path(spark, os.path.join(base, f"batch_id={b}"))
+    own, shared = _live(spark, root, spec)
+    mine = own if full else [e for e in own if not _is_layer(e.label)]
+    if not mine and not shared or full and not shared and len(own) == 1 and _FULL.match(own[0].label):
+        return None  # nothing to fold
+    covers = Snapshot(entries=[*mine, *shared]).covers()
+    numbers = [n for ranges in covers.ranges.values() for r in ranges for n in r]
+    merged = compact_partials(_read(spark, root, spec, mine, shared).drop("batch_id"), spec)
+    out = write_batch(merged, root, spec, f"f{max(numbers)}" if full else f"c{min(numbers)}-{max(numbers)}", covers)
+    BatchLog(spark, meter_root(root, spec)).vacuum()
     return out
 
 
@@ -248,27 +235,24 @@ def compact_all(spark: SparkSession, root: str, specs: list[MeterSpec], full: bo
 
 
 def prune_epochs(spark: SparkSession, root: str, specs: list[MeterSpec]) -> list[str]:
-    """Delete the epochs that a layer of every meter of their tenant in ``specs``
-    covers. Of each tenant in it the list must name all meters: an epoch holds
-    all their rows. Epochs of other tenants stay."""
+    """Take out the epochs that layers of every meter of their tenant in
+    ``specs`` cover. Of each tenant in it the list must name all meters: an
+    epoch holds all their rows. Epochs of other tenants stay."""
     gone = []
     for tenant, own in _by_tenant(specs).items():
-        base = epochs_root(root, tenant)
-        upto = min(covered(list_batches(spark, meter_root(root, s))) for s in own)
-        covers = [b for b in list_batches(spark, base) if b.isdigit() and int(b) <= upto]
-        for b in covers:
-            delete_path(spark, os.path.join(base, f"batch_id={b}"))
-        gone += covers
+        covers = [_snapshot(spark, meter_root(root, s)).covers() for s in own]
+        log = BatchLog(spark, epochs_root(root, tenant))
+        gone += [e.label for e in log.remove(lambda e, covers=covers: all(c.holds(e.covers) for c in covers))]
+        log.vacuum()
     return gone
 
 
 def drop_rollup(spark: SparkSession, root: str, spec: MeterSpec) -> bool:
     """Drop the meter's rollup if it exists, its part of each epoch too."""
     found = delete_path(spark, meter_root(root, spec))
-    base = epochs_root(root, spec.tenant_slug)
-    for b in list_batches(spark, base, committed_only=False):
-        found |= delete_path(spark, os.path.join(
-            base, f"batch_id={b}", f"tenant_slug={spec.tenant_slug}", f"meter={spec.slug}"))
+    parts = os.path.join(epochs_root(root, spec.tenant_slug), "batch_id=*", "attempt=*", f"tenant_slug={spec.tenant_slug}", f"meter={spec.slug}")
+    for path, _ in match_paths(spark, parts):
+        found |= delete_path(spark, path)
     return found
 
 
@@ -281,9 +265,10 @@ def backfill(events: DataFrame, root: str, spec: MeterSpec) -> str | None:
 
 
 def write_many(spark: SparkSession, events: DataFrame, root: str, specs: list[MeterSpec],
-               batch_id: int | str, long_path: str | None = None, parallel: int = 8) -> list[str]:
+               batch_id: int | str, long_path: str | None = None, parallel: int = 8,
+               covers: Cover | None = None) -> list[str | None]:
     """Write one batch of every meter in ``specs`` from a single pass over
-    ``events`` (see ``operators.multi``).
+    ``events`` (see ``operators.multi``); ``covers`` as in ``write_batch``.
 
     The long table of all meters' partials is either written to
     ``long_path`` (large inputs: a table on shared storage, partitioned by
@@ -307,14 +292,14 @@ def write_many(spark: SparkSession, events: DataFrame, root: str, specs: list[Me
         long = long.persist()
     try:
         with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-            return list(pool.map(lambda s: write_batch(meter_partials(long, s), root, s, batch_id), specs))
+            return list(pool.map(lambda s: write_batch(meter_partials(long, s), root, s, batch_id, covers), specs))
     finally:
         if long_path is None:
             long.unpersist()
 
 
 def backfill_many(spark: SparkSession, events: DataFrame, root: str, specs: list[MeterSpec],
-                  scratch: str) -> list[str]:
+                  scratch: str) -> list[str | None]:
     """M13 for a whole registry: every ``populate`` meter's ``f0`` layer
     from one scan of the events table."""
     todo = [s for s in specs if s.populate]
@@ -323,34 +308,48 @@ def backfill_many(spark: SparkSession, events: DataFrame, root: str, specs: list
     return write_many(spark, events, root, todo, "f0", long_path=scratch)
 
 
-def backfill_from_events_table(spark: SparkSession, events_path: str, root: str,
-                               specs: list[MeterSpec], scratch: str) -> str | None:
-    """M13 against the ingest job's events table, race-free.
+def backfill_from_events_table(spark: SparkSession, events_path: str, root: str, specs: list[MeterSpec], scratch: str,
+                               per_chunk: int = PER_CHUNK, max_chunks: int | None = None) -> str | None:
+    """M13 against the ingest job's events table, race-free and resumable.
 
-    The events table and the rollups share batch numbers (epoch ``e`` is
-    batch ``e + 1`` in both). The backfill reads the committed event batches
-    up to the highest one, ``N``, and writes every meter's rollup as layer
-    ``f{N}``. Readers then take stream batches above ``N`` only, so an epoch
-    that is in the backfill and is later replayed by the stream is never
-    counted twice, and a meter can be added while ingest keeps running. A
-    compaction that meanwhile covered batches on both sides of ``N`` makes the
-    backfill of that meter run again with a later ``N``.
-    """
-    from meterkit.sources.events import read_events
+    The events table and the rollups share batch numbers (epoch ``e`` is batch
+    ``e + 1`` of its run in both). Committed event batches that a meter's layers
+    do not cover yet are done in chunks; each chunk is a layer that covers
+    exactly its batches. So an epoch that is in the backfill and is later
+    replayed by the stream is never counted twice, a meter can be added while
+    ingest keeps running, and a backfill that was stopped (or told to stop after
+    ``max_chunks``) goes on where it was. A chunk that a compaction overtook is
+    refused, and what is then left of it is done again.
 
-    todo = [s for s in specs if s.populate]
-    name = None
-    for _ in range(10):
-        numbered = [int(b) for b in list_batches(spark, events_path) if b.isdigit()]
-        if not numbered or not todo:
-            return name
-        upto = max(numbered)
-        name = f"f{upto}"
-        write_many(spark, read_events(spark, events_path, batches=numbered), root, todo, name, long_path=f"{scratch}-{upto}")
-        todo = [s for s in todo if straddled(upto, list_batches(spark, meter_root(root, s)))]
-    raise RuntimeError(f"compactions kept overtaking the backfill of {[s.slug for s in todo]}")
-
-
-def write_epoch(partials: DataFrame, root: str, spec: MeterSpec, epoch_id: int) -> str:
-    """The partials of stream epoch ``epoch_id`` (idempotent on replay)."""
-    return write_batch(partials, root, spec, epoch_id + 1)
+    Returns the name of the last layer.
+    """
+    from meterkit.sources.events import event_batches, read_events
+
+    name, refused, chunks = None, 0, 0
+    for tenant, own in _by_tenant([s for s in specs if s.populate]).items():
+        while True:
+            todo: dict[Cover, list[MeterSpec]] = {}
+            batches = event_batches(spark, events_path, tenant)
+            for spec in own:
+                covered = _snapshot(spark, meter_root(root, spec)).covers()
+                left = [b for b in batches if not covered.has(*b)]
+                if left:
+                    todo.setdefault(Cover.of(left[:per_chunk]), []).append(spec)
+            if not todo:
+                break
+            for covers, meters in todo.items():
+                if max_chunks is not None and chunks >= max_chunks:
+                    return name
+                wanted = [b for b in batches if covers.has(*b)]
+                name = f"f{max(n for _, n in wanted)}"
+                events = read_events(spark, events_path, batches=wanted, tenant=tenant)
+                done = write_many(spark, events, root, meters, name, long_path=f"{scratch}-{chunks}-{refused}", covers=covers)
+                chunks, refused = chunks + 1, refused + done.count(None)
+                if refused > 10 * len(specs):
+                    raise RuntimeError(f"compactions kept overtaking the backfill of {[s.slug for s in meters]}")
+    return name
+
+
+def write_epoch(partials: DataFrame, root: str, spec: MeterSpec, epoch_id: int, run: str = "") -> str | None:
+    """The partials of epoch ``epoch_id`` of a run (idempotent on replay)."""
+    return write_batch(partials, root, spec, label_of(run, epoch_id + 1), Cover.of([(run, epoch_id + 1)]))

@@ -4,6 +4,9 @@ disks). Used for batch/version bookkeeping only; data goes through Spark."""
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -33,3 +36,49 @@ def list_subdirs(spark: SparkSession, root: str, prefix: str, committed_only: bo
 def delete_path(spark: SparkSession, path: str) -> bool:
     fs, hpath, _ = _fs(spark, path)
     return bool(fs.delete(hpath, True))
+
+
+def list_files(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files in ``folder`` (none if it does not exist)."""
+    fs, hpath, jvm = _fs(spark, folder)
+    if not fs.exists(hpath):
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(hpath) if s.isFile()]
+
+
+def match_paths(spark: SparkSession, pattern: str) -> list[tuple[str, float]]:
+    """Paths that match a glob, with when they last changed (epoch seconds)."""
+    fs, hpath, _ = _fs(spark, pattern)
+    found = fs.globStatus(hpath)
+    return [(s.getPath().toString(), s.getModificationTime() / 1000) for s in found] if found else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, hpath, jvm = _fs(spark, path)
+    stream = fs.open(hpath)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a file under its name at once: False if there is one already."""
+    folder, name = path.rsplit("/", 1)
+    fs, hpath, jvm = _fs(spark, path)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{folder}/.{name}.{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(draft), fs.makeQualified(hpath), options)
+        return True
+    except Py4JJavaError as e:
+        fs.delete(draft, False)
+        if fs.exists(hpath):
+            return False
+        raise e

@@ -13,34 +13,47 @@ The meter registry is read anew for each micro-batch, so a meter registered
 while the stream runs is maintained from the next one on. Compaction is a job
 of its own (``rollup_store.compact_all``).
 
-Every write replaces the epoch's own directory, so a micro-batch replayed
-after a failure (same epoch id, same offsets) overwrites instead of adding:
-results are exactly-once although the sinks are plain Parquet. State lives
-in the rollup tables, not in the state store, so there is no watermark and
-no late event is dropped (F14): a late event lands in its minute and is
-merged on read.
+Every write goes to a folder of its own and replaces the epoch's earlier
+attempt when it commits (``sources.batch_log``), so a micro-batch replayed
+after a failure (same epoch id, same offsets) does not add: results are
+exactly-once although the sinks are plain Parquet. Epochs are those of a run:
+the checkpoint's query id is part of every batch, so a stream started with a
+new checkpoint, or another tenant's, adds to the tables and replaces nothing.
+Events without an id get one from the run, the epoch and their place or
+content, the same again when the epoch is replayed. State lives in the rollup
+tables, not in the state store, so there is no watermark and no late event is
+dropped (F14): a late event lands in its minute and is merged on read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from meterkit.functions.json import is_json_object
 from meterkit.operators import ingest
 from meterkit.plans.spec import MeterSpec
+from meterkit.sources.batch_log import BatchLog, Cover, Entry, label_of
+from meterkit.sources.events import tenant_root
 from meterkit.sources.rollup_store import write_epoch_of_all
+from meterkit.sources.storage import create_if_absent, list_files, read_text
 
 # Queue form, every field a string (properties as JSON text).
 RAW_EVENT_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in ingest.RAW_FIELDS])
 
 
-def parse_event_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """JSON line -> the seven raw fields.
+#: A column of a raw event that says where in its source it stands.
+PLACE = "place"
+
+
+def parse_event_lines(lines: DataFrame, column: str = "value", place: Column | None = None) -> DataFrame:
+    """JSON line -> the seven raw fields (and ``place``, where it is known).
 
     A line that is not a JSON object gives all nulls (``nil_event``); in a
     line that is one, absent fields are ``''`` as Go's decoder leaves them
@@ -48,10 +61,36 @@ def parse_event_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     object is kept as its JSON text.
     """
     text = F.col(column).cast("string")
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
-    decoded = lines.select(F.from_json(text, RAW_EVENT_SCHEMA).alias("__e"), is_object.alias("__ok"))
+    placed = [] if place is None else [place.alias(PLACE)]
+    decoded = lines.select(F.from_json(text, RAW_EVENT_SCHEMA).alias("__e"), is_json_object(text).alias("__ok"), *placed)
     return decoded.select(*[F.when(F.col("__ok"), F.coalesce(F.col(f"__e.{n}"), F.lit(""))).alias(n)
-                            for n in ingest.RAW_FIELDS])
+                            for n in ingest.RAW_FIELDS], *([PLACE] if placed else []))
+
+
+def with_stable_ids(raw: DataFrame, seed: str) -> DataFrame:
+    """Events without an id get one that a replay of the same batch gives
+    them again: a uuid-shaped md5 of ``seed`` and the event's place in its
+    source. Where the source has no places it is the event's content, and equal
+    events are numbered: they are counted (map-side first) and spread again, so
+    a replay gives the same set of ids however its rows are dealt.
+    """
+    fields = [c for c in ingest.RAW_FIELDS if c != "id" and c in raw.columns]
+    bare = (F.coalesce(F.col("id"), F.lit("")) == "") & F.coalesce(
+        *[F.when(F.col(c).isNotNull(), True) for c in ("id", *fields)], F.lit(False))
+
+    def named(*parts: Column) -> Column:
+        h = F.md5(F.concat_ws("|", F.lit(seed), *parts).cast("binary"))
+        cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+        return F.concat_ws("-", *(F.substring(h, at, n) for at, n in cuts))
+
+    if PLACE in raw.columns:
+        return raw.withColumn("id", F.when(bare, named(F.col(PLACE))).otherwise(F.col("id"))).drop(PLACE)
+    content = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in fields]
+    columns = raw.columns
+    counted = (raw.where(bare).groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+               .withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__n")))))
+    spread = counted.withColumn("id", named(*content, F.col("__nth").cast("string"))).select(*columns)
+    return raw.where(~bare).unionByName(spread)
 
 
 #: Fixed value: the queue's own timestamp form, UTC seconds without a zone.
@@ -77,7 +116,7 @@ def kafka_event_source(spark: SparkSession, bootstrap_servers: str, topic: str,
              .option("subscribe", topic)
              .option("startingOffsets", starting_offsets)
              .load())
-    return from_queue(parse_event_lines(lines))
+    return from_queue(parse_event_lines(lines, place=F.concat_ws("/", "topic", "partition", "offset")))
 
 
 def file_event_source(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -107,8 +146,8 @@ def publish_to_kafka(valid: DataFrame, bootstrap_servers: str, topic: str) -> No
     """Write accepted events to the event topic (needs the spark-sql-kafka
     package). Records are keyed ``{organization}-{user}``, so the broker's key
     partitioner keeps one organization-user pair on one partition. Kafka sinks
-    are at-least-once: a replayed epoch sends its records again, with the same
-    ids, by which consumers can drop them."""
+    are at-least-once: an epoch that failed before it was marked as published
+    sends its records again, with the same ids, by which consumers can drop them."""
     (kafka_records(valid).write.format("kafka")
      .option("kafka.bootstrap.servers", bootstrap_servers).option("topic", topic).save())
 
@@ -129,41 +168,63 @@ def meter_specs(meters: DataFrame, tenant: str) -> list[MeterSpec]:
     return [MeterSpec(r.slug, r.event_type, r.aggregation, r.value_property, tuple(r.properties or ()), tenant_slug=tenant) for r in rows]
 
 
+def run_of(spark: SparkSession, checkpoint_location: str) -> str:
+    """The run of a checkpoint: part of its query's id, which Spark keeps there."""
+    query = json.loads(read_text(spark, os.path.join(checkpoint_location, "metadata")))["id"]
+    return f"r{query.replace('-', '')[:12]}"
+
+
+def _append(df: DataFrame, path: str, tenant: str, run: str, number: int, by: str | None = None) -> None:
+    """Write one batch of a tenant's table and make it live. Written from the
+    input partitions (no shuffle of the raw stream); the writer sorts each
+    task's rows by the partition column locally."""
+    log, label = BatchLog(df.sparkSession, tenant_root(path, tenant)), label_of(run, number)
+    folder, writer = log.attempt(label), df.write
+    (writer.partitionBy(by) if by else writer).parquet(os.path.join(log.base, folder))
+    log.add(Entry(label, folder, Cover.of([(run, number)])))
+
+
+def read_rejects(spark: SparkSession, path: str, tenant: str) -> DataFrame:
+    """The rejected events of a tenant's committed batches."""
+    base = tenant_root(path, tenant)
+    folders = [os.path.join(base, e.folder) for e in BatchLog(spark, base).snapshot().entries]
+    if not folders:
+        raise ValueError(f"no batch of rejects under {base}")
+    return spark.read.option("basePath", base).parquet(*folders).drop("attempt")
+
+
 def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Sequence[MeterSpec] | None,
                   events_path: str, rejects_path: str, rollup_root: str, tenant: str,
-                  kafka_sink: tuple[str, str] | None = None, strict_ids: bool = False) -> dict[str, int]:
+                  kafka_sink: tuple[str, str] | None = None, strict_ids: bool = False, run: str = "") -> dict[str, int]:
     """The body of one micro-batch (also usable as a plain batch job).
 
     The validated batch is cached once; all meters' partials come from one
     aggregation over it and are written in one job. ``specs`` left out are read
-    from the registry. Returns the batch's counts (V9), observed while the
-    batch is first computed (no extra job).
+    from the registry. ``run`` tells streams apart that write the same tables.
+    Returns the batch's counts (V9), observed while the batch is first computed
+    (no extra job).
     """
     if not tenant:
         raise ValueError("ingest needs the tenant whose meters apply")
     if specs is None:
         specs = meter_specs(meters, tenant)
     counts = Observation(f"ingest_{epoch_id}")
-    validated = ingest.validate(batch, meters, tenant=tenant, strict_ids=strict_ids).observe(
+    named = with_stable_ids(batch, f"{run}/{epoch_id}")
+    validated = ingest.validate(named, meters, tenant=tenant, strict_ids=strict_ids).observe(
         counts, F.count(F.lit(1)).alias("events"),
         F.count(F.when(F.col("reason").isNull(), F.lit(1))).alias("accepted")).persist()
     try:
-        batch_dir = f"batch_id={epoch_id + 1}"
         valid = (ingest.typed_events(validated)
                  .withColumn("ingested_at", F.current_timestamp())
                  .withColumn("event_date", F.to_date("timestamp")))
-        # Written from the input partitions (no second shuffle of the raw
-        # stream); the writer sorts each task's rows by event_date locally.
-        (valid.write.mode("overwrite").partitionBy("event_date")
-         .parquet(os.path.join(events_path, batch_dir)))
-        (ingest.rejected_events(validated)
-         .withColumn("missing", F.array_join("missing", ","))
-         .write.mode("overwrite").parquet(os.path.join(rejects_path, batch_dir)))
+        _append(valid, events_path, tenant, run, epoch_id + 1, by="event_date")
+        _append(ingest.rejected_events(validated).withColumn("missing", F.array_join("missing", ",")),
+                rejects_path, tenant, run, epoch_id + 1)
         stored = valid.drop("ingested_at", "event_date")
         if kafka_sink is not None:
-            publish_to_kafka(stored, *kafka_sink)
+            publish_once(stored, kafka_sink, os.path.join(tenant_root(events_path, tenant), "_published"), label_of(run, epoch_id + 1))
         if specs:
-            write_epoch_of_all(stored, rollup_root, list(specs), epoch_id)
+            write_epoch_of_all(stored, rollup_root, list(specs), epoch_id, run)
         seen = counts.get
         return {"events": seen["events"], "accepted": seen["accepted"],
                 "rejected": seen["events"] - seen["accepted"]}
@@ -171,6 +232,14 @@ def process_batch(batch: DataFrame, epoch_id: int, meters: DataFrame, specs: Seq
         validated.unpersist()
 
 
+def publish_once(valid: DataFrame, sink: tuple[str, str], marks: str, label: str, send: Callable = publish_to_kafka) -> bool:
+    """Sends an epoch's events and marks it as published; a marked epoch is not sent again."""
+    if label in list_files(valid.sparkSession, marks):
+        return False
+    send(valid, *sink)
+    return create_if_absent(valid.sparkSession, f"{marks}/{label}", "")
+
+
 def start_ingest(source: DataFrame, meters: DataFrame | Callable[[], DataFrame], specs: Sequence[MeterSpec] | None,
                  events_path: str, rejects_path: str, rollup_root: str, checkpoint_location: str, tenant: str,
                  available_now: bool = False, processing_time: str | None = None,
@@ -185,8 +254,8 @@ def start_ingest(source: DataFrame, meters: DataFrame | Callable[[], DataFrame],
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         registry = meters() if callable(meters) else meters
-        process_batch(batch, epoch_id, registry, specs, events_path, rejects_path, rollup_root, tenant,
-                      kafka_sink=kafka_sink, strict_ids=strict_ids)
+        process_batch(batch, epoch_id, registry, specs, events_path, rejects_path, rollup_root, tenant, kafka_sink=kafka_sink,
+                      strict_ids=strict_ids, run=run_of(batch.sparkSession, checkpoint_location))
 
     writer = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
     if available_now:

@@ -10,7 +10,7 @@ from meterkit.operators.query import query_events, query_rollup
 from meterkit.plans.spec import MeterQuery, MeterSpec
 from meterkit.sources import rollup_store as store
 from meterkit.sources.fixtures import dirty_meters, usage_events
-from meterkit.streaming.ingest import file_event_source, process_batch, start_ingest
+from meterkit.streaming.ingest import file_event_source, process_batch, read_rejects, run_of, start_ingest
 
 from conftest import SF_SMALL
 
@@ -50,7 +50,8 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, scratch_dir):
                          paths["ckpt"], tenant="acme", available_now=True)
     query.awaitTermination(600)
     assert query.exception() is None
-    assert sorted(store.list_batches(spark, store.epochs_root(paths["rollups"]))) == ["1", "2", "3", "4"]
+    run = run_of(spark, paths["ckpt"])
+    assert sorted(store.list_batches(spark, store.epochs_root(paths["rollups"]))) == [f"{run}-{n}" for n in range(1, 5)]
 
     for spec in (SUM, UNIQ):
         rollup = store.read_rollup(spark, paths["rollups"], spec)
@@ -63,14 +64,14 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, scratch_dir):
     expected = events.where("type = 'app.purchase' and timestamp >= '2024-01-03' and timestamp < '2024-01-05'")
     assert window.count() == expected.count() > 0
     assert "PartitionFilters: [isnotnull(event_date" in window._jdf.queryExecution().executedPlan().toString()
-    assert spark.read.parquet(paths["rejects"]).count() == 0
+    assert read_rejects(spark, paths["rejects"], "acme").count() == 0
 
     # Replaying epoch 1 with the same input rewrites batch 2 instead of adding to it.
     before = rows(query_rollup(store.read_rollup(spark, paths["rollups"], SUM), SUM, Q))
     replay = spark.read.text(os.path.join(inbox, "events_1.json"))
     from meterkit.streaming.ingest import parse_event_lines
     counts = process_batch(parse_event_lines(replay), 1, meters, [SUM], paths["events"], paths["rejects"],
-                           paths["rollups"], tenant="acme")
+                           paths["rollups"], tenant="acme", run=run)
     assert counts["events"] == replay.count() and counts["rejected"] == 0
     assert rows(query_rollup(store.read_rollup(spark, paths["rollups"], SUM), SUM, Q)) == before
 
@@ -108,10 +109,17 @@ def test_crash_between_compaction_steps_does_not_double_count(spark, scratch_dir
     for i, h in enumerate(halves):
         store.write_epoch(minute_partials(h, SUM), scratch_dir, SUM, i)
     expected = rows(query_rollup(store.read_rollup(spark, scratch_dir, SUM), SUM, Q))
-    # compaction output written, absorbed batches not yet removed
+    # compaction output written, but not committed
+    base = store.meter_root(scratch_dir, SUM)
     merged = compact_partials(store.read_rollup(spark, scratch_dir, SUM).drop("batch_id"), SUM)
+    merged.write.partitionBy("window_date").parquet(os.path.join(base, "batch_id=c1-2", "attempt=lost"))
+    assert sorted(store.list_batches(spark, base)) == ["1", "2"]
+    assert rows(query_rollup(store.read_rollup(spark, scratch_dir, SUM), SUM, Q)) == expected
+    # and the other way: committed, with what it replaced still on disk
     store.write_batch(merged, scratch_dir, SUM, "c1-2")
-    assert sorted(store.list_batches(spark, store.meter_root(scratch_dir, SUM))) == ["1", "2", "c1-2"]
+    assert store.list_batches(spark, base) == ["c1-2"] and os.path.isdir(os.path.join(base, "batch_id=1"))
+    assert rows(query_rollup(store.read_rollup(spark, scratch_dir, SUM), SUM, Q)) == expected
+    assert store.write_epoch(minute_partials(halves[0], SUM), scratch_dir, SUM, 0) is None  # a replay of what is folded
     assert rows(query_rollup(store.read_rollup(spark, scratch_dir, SUM), SUM, Q)) == expected
 
 
@@ -139,7 +147,7 @@ def test_layered_compaction_and_uncommitted_batches(spark, scratch_dir):
 
     for i in (0, 1):
         store.write_epoch(minute_partials(quarters[i], SUM), scratch_dir, SUM, i)
-    assert store.compact(spark, scratch_dir, SUM).endswith("batch_id=c1-2")
+    assert "batch_id=c1-2" in store.compact(spark, scratch_dir, SUM)
     for i in (2, 3):
         store.write_epoch(minute_partials(quarters[i], SUM), scratch_dir, SUM, i)
     store.compact(spark, scratch_dir, SUM)          # minor: only batches 3 and 4
@@ -149,16 +157,15 @@ def test_layered_compaction_and_uncommitted_batches(spark, scratch_dir):
     assert read() == expected
 
     # a batch whose write never committed is invisible
-    stray = os.path.join(base, "batch_id=5")
+    stray = os.path.join(base, "batch_id=5", "attempt=lost")
     minute_partials(quarters[0], SUM).write.parquet(stray)
-    os.remove(os.path.join(stray, "_SUCCESS"))
     assert read() == expected
 
     store.compact(spark, scratch_dir, SUM, full=True)
     assert store.compact(spark, scratch_dir, SUM, full=True) is None   # already one layer: no self-overwrite
     assert store.compact(spark, scratch_dir, SUM) is None
-    # the uncommitted batch above the compaction may still be in flight: kept, still unread
-    assert sorted(store.list_batches(spark, base, committed_only=False)) == ["5", "f4"]
+    # the uncommitted batch may still be in flight: kept, still unread
+    assert store.list_batches(spark, base) == ["f4"] and os.path.isdir(stray)
     assert read() == expected
 
 
@@ -339,3 +346,70 @@ def test_tenants_with_equal_epochs_share_a_root(spark, scratch_dir):
     assert [stored(SUM), stored(other)] == want
     store.drop_rollup(spark, scratch_dir, SUM)
     assert stored(SUM) == [] and stored(other) == want[1]
+
+
+def _ingest(spark, inbox, paths, ckpt, meters, specs):
+    query = start_ingest(file_event_source(spark, inbox), meters, specs, *paths, ckpt, tenant="acme", available_now=True)
+    query.awaitTermination(600)
+    assert query.exception() is None
+
+
+def test_new_checkpoint_adds_and_loses_nothing(spark, scratch_dir):
+    """A stream started with a new checkpoint on the same tables, before and
+    after a compaction; then the first one goes on where it was."""
+    from meterkit.sources.events import event_batches, read_events
+    meters = dirty_meters(spark, SF_SMALL)
+    paths = [os.path.join(scratch_dir, k) for k in ("events", "rejects", "rollups")]
+    inboxes = [os.path.join(scratch_dir, f"in{i}") for i in range(2)]
+    staging = _write_event_files(usage_events(spark, SF_SMALL), scratch_dir)
+
+    def put(part, inbox):
+        os.makedirs(inboxes[inbox], exist_ok=True)
+        src = [f for f in os.listdir(staging[part]) if f.endswith(".txt")][0]
+        os.link(os.path.join(staging[part], src), os.path.join(inboxes[inbox], f"e{part}.json"))
+
+    for part, inbox in ((0, 0), (1, 1), (2, 0)):
+        put(part, inbox)
+        _ingest(spark, inboxes[inbox], paths, os.path.join(scratch_dir, f"ckpt{inbox}"), meters, [SUM])
+        if part == 0:
+            store.compact_all(spark, paths[2], [SUM])
+    stored = read_events(spark, paths[0], tenant="acme")
+    assert stored.count() == sum(spark.read.text(s).count() for s in staging[:3]) == stored.select("id").distinct().count()
+    assert len({run for run, _ in event_batches(spark, paths[0], "acme")}) == 2
+    assert rows(query_rollup(store.read_rollup(spark, paths[2], SUM), SUM, Q)) == rows(query_events(stored, SUM, Q))
+
+
+def test_readers_keep_their_snapshot(spark, scratch_dir):
+    """A reader planned before a replay, a compaction and a vacuum with grace
+    answers as before; without grace its folders are gone."""
+    from meterkit.operators.rollup import minute_partials
+    from meterkit.sources.batch_log import BatchLog
+    events = usage_events(spark, SF_SMALL)
+    halves = [events.where(F.abs(F.hash("id")) % 2 == i) for i in range(2)]
+    for i, half in enumerate(halves):
+        store.write_epoch(minute_partials(half, SUM), scratch_dir, SUM, i)
+    planned = query_rollup(store.read_rollup(spark, scratch_dir, SUM), SUM, Q)
+    store.write_epoch(minute_partials(halves[1], SUM), scratch_dir, SUM, 1)
+    store.compact(spark, scratch_dir, SUM)
+    log = BatchLog(spark, store.meter_root(scratch_dir, SUM))
+    assert log.vacuum() == [] and len(log.snapshot().dropped) == 3
+    assert rows(planned) == rows(query_events(events, SUM, Q))
+    assert len(log.vacuum(grace=0)) == 3 and log.snapshot().dropped == []
+    assert os.listdir(os.path.join(log.base, "batch_id=1")) == []
+    assert rows(query_rollup(store.read_rollup(spark, scratch_dir, SUM), SUM, Q)) == rows(query_events(events, SUM, Q))
+
+
+def test_stable_ids_by_place_and_content(spark, scratch_dir):
+    from meterkit.streaming.ingest import parse_event_lines, publish_once, with_stable_ids
+    lines = [f'{{"id":"{i}","type":"t","organization":"o","user":"u","timestamp":"","properties":"p"}}' for i in ("", "", "own")] + ["{}", "broken"]
+    placed = spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "value string, at int").repartition(2)
+    raw = parse_event_lines(placed, place=F.col("at").cast("string"))
+    first, again, other = (sorted(r.id or "" for r in with_stable_ids(raw, s).collect()) for s in ("a/0", "a/0", "a/1"))
+    assert first == again != other and len(set(first)) == 5 and {"", "own"} <= set(first)
+    plain = raw.drop("place")
+    first, again = (sorted(str(tuple(r)) for r in with_stable_ids(p, "a/0").collect()) for p in (plain.repartition(4), plain.coalesce(1)))
+    assert first == again and len(set(first)) == 5
+    sent = []
+    for _ in range(2):
+        publish_once(raw, ("h", "t"), os.path.join(scratch_dir, "_published"), "r1-1", send=lambda df, *sink: sent.append(sink))
+    assert sent == [("h", "t")]
