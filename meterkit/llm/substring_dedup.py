@@ -1,53 +1,61 @@
-"""Substring deduplication by windows, in place of relative Lempel-Ziv parsing.
+"""Substring deduplication by relative Lempel-Ziv parsing.
 
-Documents are parsed against reference blocks: a factor is a maximal stretch
-of words whose every window of ``window`` words also starts earlier (in a
-document with a smaller id, or earlier in the same one). Factors of at least
-one window become duplicate spans; the words in them are removed.
+Documents are parsed against reference blocks. A factor is the longest stretch
+of words, greedily taken, that also stands earlier (in a document with a smaller
+id, or earlier in the same one); factors of at least ``window`` words become
+duplicate spans, and the words in them are removed.
 
-* A map task takes its documents in blocks of bounded size, indexes a block's
-  windows, and parses the block against itself: windows seen earlier in the
-  block are settled there. So a passage that a third of all documents share
+* A map task takes its documents in blocks of bounded size and parses a block
+  against itself: an index of hashed windows proposes factors, which count once
+  their words, from border to border, are the same as the source's. What is
+  settled there does not move: a passage that a third of all documents share
   leaves a block once, however often the block holds it.
 * To parse a block against every other block, without comparing all blocks
-  with each other, the index is spread over the cluster. The key of a window is
-  its anchor: the smallest hash among its short word runs. Equal windows have
-  equal anchors, and neighbouring windows mostly share theirs, so a stretch of
-  windows moves as one row: anchor, place and one number per window. The task
-  that holds an anchor's rows, in document order, extends or ends factors at
-  the borders of these stretches.
+  with each other, the reference is spread over the cluster by content. The key of
+  a window is its anchor: the smallest hash among its short word runs. Equal
+  windows have equal anchors, and neighbouring windows mostly share theirs, so a
+  stretch of words moves as one row under its anchor. A stretch whose anchor
+  occurs once in the corpus has no factor elsewhere and does not move (a
+  broadcast bit set, of bounded size, tells; a false bit only moves a row).
+* The task that holds an anchor's rows, in document order, keeps them as its
+  reference: an index of their windows' words. A row is parsed greedily: the
+  longest source found at a word is followed word by word to the factor's border,
+  and parsing goes on behind it; windows that start no factor join the index.
 * A frequent short phrase with ever new words around it gives its anchor new
   windows without end. So windows are counted by anchor first, and windows of
-  the most frequent anchors move one by one, keyed by anchor and number: equal
+  the most frequent anchors move one by one, keyed by anchor and window: equal
   ones still meet, and the anchor is spread over all tasks.
-* Duplicate stretches go back to their documents by id, where they are joined
-  into factors and cut out.
+* Factors go back to their documents by id and are cut out. Documents without a
+  factor are not moved (a bit set again).
 
-A factor is thus a stretch of flagged windows, which may come from several
-places; it is not extended along one source, and words are not compared again.
-Windows count as equal by a 64-bit hash, within a block and across blocks (the
-windows compared there share their anchor, which tells no more of them apart).
+Hashes only route rows and propose sources: whether words are the same is
+always decided by the words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from meterkit.llm import words as W
+from meterkit.llm.collocations import MOST_BITS, SPARSE, BitSet
+from meterkit.llm.scratch import write_scratch
 
 WINDOW = 20
 #: Words of the runs that anchors are taken from.
 ANCHOR = 6
 #: Text bytes of a reference block.
 BLOCK_BYTES = 4 << 20
-#: Bytes of a window's number in a row.
-NUMBER = 8
+#: Parts into which the anchors are dealt to be counted.
+PARTS = 64
 #: An anchor with fewer windows stays whole in one task.
 LEAST = 4096
 #: Anchors that are spread, at most; the others hold under a share of 1 in so
@@ -58,9 +66,10 @@ SPREAD = 1 << 18
 RARE = 16
 
 
-#: A stretch of windows of one document.
+#: A stretch of ``length`` windows of one document, with its words joined by
+#: spaces, or, without words, one that is settled as a factor.
 ROWS = pa.schema([
-    ("anchor", pa.int64()), ("id", pa.int64()), ("check", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("numbers", pa.binary())])
+    ("anchor", pa.int64()), ("id", pa.int64()), ("check", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("words", pa.binary())])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -121,11 +130,88 @@ def frequent_anchors(docs: DataFrame, window: int, anchor: int) -> np.ndarray:
     return np.sort(most.column("anchor").to_numpy().view(W.U64))
 
 
-def stretches(part: pa.RecordBatch, window: int, anchor: int, spread: np.ndarray) -> list[pa.RecordBatch]:
-    """Rows of one block (id, check, text): windows seen first in the block,
-    cut where the anchor changes, with their numbers; and stretches of windows
-    settled in the block (no numbers). Windows of the anchors in ``spread`` are
-    rows of their own, whose key stands for anchor and number."""
+def block_anchors(part: pa.RecordBatch, window: int, anchor: int) -> np.ndarray:
+    """The high halves of the anchors of a block, sorted: twice if the anchor
+    has two stretches or more."""
+    data, offsets = W.text_bytes(part.column("text"))
+    starts, ends, first = W.spans(data, offsets, W.NOT_SPACE)
+    n = len(starts) - window + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint32)
+    doc = W.owner(first)
+    at = np.flatnonzero(doc[:n] == doc[window - 1:])
+    anchors = sliding_min(W.window_hashes(W.word_hashes(data, starts, ends), anchor), window - anchor + 1)[at]
+    begin = np.ones(len(at), dtype=bool)
+    begin[1:] = (anchors[1:] != anchors[:-1]) | (doc[at[1:]] != doc[at[:-1]])
+    found, times = np.unique((anchors[begin] >> W.U64(32)).astype(np.uint32), return_counts=True)
+    return np.repeat(found, np.minimum(times, 2))
+
+
+def repeated_anchors(docs: DataFrame, window: int, anchor: int) -> Broadcast:
+    """The bit set of anchors (their high halves) with two stretches or more.
+    Blocks send four bytes an anchor, dealt by value; every part is counted in
+    one task, and at most MOST_BITS / 8 bytes reach the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "text", BLOCK_BYTES, 1 << 30):
+                found = block_anchors(part, window, anchor)
+                cuts = np.searchsorted(found, np.arange(PARTS + 1, dtype=np.uint64) * ((1 << 32) // PARTS))
+                raw = [found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(raw, pa.binary())], names=["part", "found"])
+
+    size = MOST_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by part; of a part a bit per value seen is kept."""
+        width = (1 << 32) // PARTS
+        open_part, once = -1, np.zeros(0, dtype=np.uint8)
+        twice: list[np.ndarray] = []
+
+        def cells() -> pa.RecordBatch:
+            at = np.unique(np.concatenate(twice)) if twice else np.zeros(0, np.int64)
+            bits = np.unique(at & (size - 1))
+            cell, begin = np.unique(bits >> 6, return_index=True)
+            masks = W.U64(1) << (bits & 63).astype(W.U64)
+            whole = np.bitwise_or.reduceat(masks, begin) if len(begin) else masks
+            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(whole.view(np.int64))], names=["cell", "bits"])
+
+        for batch in batches:
+            for part, raw in zip(batch.column("part").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                if part != open_part:
+                    if twice:
+                        yield cells()
+                    open_part, once, twice = part, np.zeros(width // 8, dtype=np.uint8), []
+                values = np.frombuffer(raw, dtype=np.uint32)
+                if not len(values):
+                    continue
+                own = (values - np.uint32(part * width)).astype(np.int64)
+                again = np.zeros(len(own), dtype=bool)
+                again[1:] = own[1:] == own[:-1]
+                again |= (once[own >> 3] >> (own & 7).astype(np.uint8)) & 1 == 1
+                twice.append(values[again].astype(np.int64))
+                np.bitwise_or.at(once, own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+                if len(twice) > 256:
+                    twice = [np.unique(np.concatenate(twice))]
+        if twice:
+            yield cells()
+
+    sent = docs.select("text").mapInArrow(run, "part int, found binary").repartition(PARTS, "part").sortWithinPartitions("part")
+    return _bit_set(sent.mapInArrow(count, "cell long, bits long"), size)
+
+
+def _bit_set(cells: DataFrame, size: int) -> Broadcast:
+    """The broadcast BitSet of (cell, bits) rows, 64 bits each."""
+    rows = cells.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    whole = np.zeros(size // 64, dtype=W.U64)
+    whole[rows.column("cell").to_numpy()] = rows.column("bits").to_numpy().view(W.U64)
+    return cells.sparkSession.sparkContext.broadcast(BitSet(whole.view(np.uint8)))
+
+
+def stretches(part: pa.RecordBatch, window: int, anchor: int, spread: np.ndarray, moves: BitSet | None = None) -> list[pa.RecordBatch]:
+    """Rows of one block (id, check, text): stretches of windows seen first in
+    the block, cut where the anchor changes, with their words, if the anchor
+    ``moves``; and factors settled in the block. Windows of the anchors in
+    ``spread`` are rows of their own, whose key stands for anchor and window."""
     part = part.take(pa.array(np.lexsort((part.column("check").to_numpy(), part.column("id").to_numpy()))))
     data, offsets = W.text_bytes(part.column("text"))
     starts, ends, first = W.spans(data, offsets, W.NOT_SPACE)
@@ -133,6 +219,14 @@ def stretches(part: pa.RecordBatch, window: int, anchor: int, spread: np.ndarray
     if n <= 0:
         return []
     hashed = W.word_hashes(data, starts, ends)
+    # all words, each with a space behind it
+    sizes = ends - starts + 1
+    to = np.concatenate(([0], np.cumsum(sizes)))
+    joined = np.full(to[-1], 0x20, dtype=np.uint8)
+    inside = np.ones(to[-1], dtype=bool)
+    inside[to[1:] - 1] = False
+    joined[inside] = data[W.NOT_SPACE[data]]
+    said = joined.tobytes()
     doc = W.owner(first)
     at = np.flatnonzero(doc[:n] == doc[window - 1:])  # windows within one document
     numbers = W.window_hashes(hashed, window)[at]
@@ -147,92 +241,113 @@ def stretches(part: pa.RecordBatch, window: int, anchor: int, spread: np.ndarray
     settled = ~same
     new_doc = np.ones(len(at), dtype=bool)
     new_doc[1:] = (owner[1:] != owner[:-1])
+    # a proposed factor goes on while its source does; then its words are compared
+    new_source = new_doc.copy()
+    new_source[1:] |= at[earliest[1:]] != at[earliest[:-1]] + 1
+    begin, length = runs(settled, new_source)
+    for b, k in zip(begin.tolist(), length.tolist(), strict=True):
+        a, source = int(at[b]), int(at[earliest[b]])
+        if said[to[a]:to[a + k + window - 1]] != said[to[source]:to[source + k + window - 1]]:
+            settled[b:b + k] = False  # equal hashes of different words: the words decide elsewhere
     new_anchor = new_doc.copy()
     new_anchor[1:] |= anchors[1:] != anchors[:-1]
+    goes = ~settled if moves is None else ~settled & moves.has(anchors >> W.U64(32))
     if len(spread):
         alone = spread[np.minimum(np.searchsorted(spread, anchors), len(spread) - 1)] == anchors
         new_anchor |= alone
         anchors = np.where(alone, W.mix64(numbers + W.mix64(anchors)), anchors)
     out = []
-    for flags, broken in ((~settled, new_anchor), (settled, new_doc)):
+    for flags, broken in ((goes, new_anchor), (settled, new_doc)):
         begin, length = runs(flags, broken)
         if flags is settled:
             # spread by place; they only pass through
-            key, raw = W.mix64(ids[owner[begin]].view(W.U64) + place[begin].astype(W.U64)), None
+            key, words = W.mix64(ids[owner[begin]].view(W.U64) + place[begin].astype(W.U64)), pa.nulls(len(begin), pa.binary())
         else:
-            key, raw = anchors[begin], numbers[flags].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NUMBER].tobytes()
-        ends_at = np.concatenate(([0], np.cumsum(length * NUMBER))).astype(np.int32)
-        said = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends_at.tobytes()), pa.py_buffer(raw)]) if raw is not None else pa.nulls(len(begin), pa.binary())
+            key = anchors[begin]
+            words = pa.array([said[x:y - 1] for x, y in zip(to[at[begin]].tolist(), to[at[begin] + length + window - 1].tolist(), strict=True)], pa.binary())
         out.append(pa.RecordBatch.from_arrays(
             [pa.array(key.view(np.int64)), pa.array(ids[owner[begin]]), pa.array(checks[owner[begin]]),
-             pa.array(place[begin].astype(np.int32)), pa.array(length.astype(np.int32)), said], schema=ROWS))
+             pa.array(place[begin].astype(np.int32)), pa.array(length.astype(np.int32)), words], schema=ROWS))
     return pa.Table.from_batches(out).combine_chunks().to_batches()
 
 
-def parse_blocks(docs: DataFrame, window: int, anchor: int, spread: np.ndarray) -> DataFrame:
+def parse_blocks(docs: DataFrame, window: int, anchor: int, spread: np.ndarray, moves: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text", BLOCK_BYTES, 1 << 30):
-                yield from stretches(part, window, anchor, spread)
-
-    return docs.mapInArrow(run, "anchor long, id long, check long, start int, length int, numbers binary")
-
-
-def settle(rows: DataFrame) -> DataFrame:
-    """(id, check, start, length): stretches of windows that start earlier
-    elsewhere. ``rows`` are dealt by anchor and sorted by anchor and place; a
-    batch's last anchor is carried into the next batch with the numbers seen: one
-    for a window that moved alone, else those of an anchor that is not frequent."""
+                yield from stretches(part, window, anchor, spread, moves.value)
+
+    return docs.mapInArrow(run, "anchor long, id long, check long, start int, length int, words binary")
+
+
+class Reference:
+    """The stretches of one anchor so far, indexed by the words of windows that
+    started no factor."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.index: dict[bytes, tuple[list[bytes], int, tuple[int, int, int]]] = {}
+
+    def parse(self, place: tuple[int, int, int], said: bytes) -> list[tuple[int, int]]:
+        """Greedy factors of a stretch that stands at ``place`` (id, check,
+        word): number of the first window, and windows. The rest is indexed."""
+        k, words = self.window, said.split(b" ")
+        ident, check, begin = place
+        to = [0, *accumulate(len(w) + 1 for w in words)]
+        found, i, n = [], 0, len(words) - k + 1
+        while i < n:
+            key = said[to[i]:to[i + k] - 1]
+            source = self.index.get(key)
+            if source is None:
+                self.index[key] = (words, i, (ident, check, begin + i))
+                i += 1
+            elif source[2] == (ident, check, begin + i):
+                i += 1  # the same document, in a row that repeats it
+            else:
+                # from the window on, word by word to the factor's border
+                of, at, _ = source
+                size, most = k, min(len(words) - i, len(of) - at)
+                while size < most and words[i + size] == of[at + size]:
+                    size += 1
+                found.append((i, size - k + 1))
+                i += size - k + 1
+        return found
+
+
+def settle(rows: DataFrame, window: int) -> DataFrame:
+    """(id, check, start, length): factors, as stretches of windows. ``rows``
+    are dealt by anchor and sorted by anchor and place; an anchor's reference
+    lasts until the next anchor."""
     schema = pa.schema([("id", pa.int64()), ("check", pa.int64()), ("start", pa.int32()), ("length", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_anchor, seen, seen_place = None, np.zeros(0, dtype=W.U64), np.zeros((0, 3), dtype=np.int64)
+        open_anchor, reference = None, Reference(window)
         for batch in batches:
-            done = batch.filter(batch.column("numbers").is_null())
+            done = batch.filter(batch.column("words").is_null())
             if done.num_rows:
                 yield done.select(["id", "check", "start", "length"])
-            batch = batch.filter(batch.column("numbers").is_valid())
-            if not batch.num_rows:
-                continue
-            anchors = batch.column("anchor").to_numpy()
-            length = batch.column("length").to_numpy().astype(np.int64)
-            raw, _ = W.text_bytes(batch.column("numbers"))
-            wide = np.zeros((len(raw) // NUMBER, 8), dtype=np.uint8)
-            wide[:, :NUMBER] = raw.reshape(-1, NUMBER)
-            row = np.repeat(np.arange(batch.num_rows), length)
-            begin = np.cumsum(length) - length
-            offset = np.arange(len(row)) - begin[row]
-            keys = W.mix64(wide.view("<u8").ravel().astype(W.U64) + W.mix64(anchors.view(W.U64))[row])
-            place = np.stack([batch.column("id").to_numpy()[row], batch.column("check").to_numpy()[row],
-                              batch.column("start").to_numpy()[row] + offset], axis=1)
-            _, earliest, which = np.unique(keys, return_index=True, return_inverse=True)
-            earliest = earliest[which]
-            found = (place != place[earliest]).any(axis=1)
-            if open_anchor is not None and anchors[0] == open_anchor:
-                mine = np.flatnonzero(anchors[row] == open_anchor)
-                hit = np.searchsorted(seen, keys[mine])
-                hit[hit == len(seen)] = 0
-                old = seen[hit] == keys[mine]
-                found[mine] |= old & (place[mine] != seen_place[hit]).any(axis=1)
-            else:
-                seen, seen_place = seen[:0], seen_place[:0]
-            # carry the first place of each number of the last anchor
-            last = anchors[-1]
-            if last != open_anchor:
-                seen, seen_place = seen[:0], seen_place[:0]
-            mine = np.flatnonzero((anchors[row] == last) & (earliest == np.arange(len(row))))
-            both, places = np.concatenate((seen, keys[mine])), np.concatenate((seen_place, place[mine]))
-            seen, pick = np.unique(both, return_index=True)
-            seen_place, open_anchor = places[pick], last
-            start_of_row = np.zeros(len(row), dtype=bool)
-            start_of_row[begin[length > 0]] = True
-            first, size = runs(found, start_of_row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(place[first, 0]), pa.array(place[first, 1]), pa.array(place[first, 2].astype(np.int32)), pa.array(size.astype(np.int32))], schema=schema)
+            batch = batch.filter(batch.column("words").is_valid())
+            found = []
+            columns = (batch.column(c).to_pylist() for c in ("anchor", "id", "check", "start", "words"))
+            for anchor, ident, check, start, said in zip(*columns, strict=True):
+                if anchor != open_anchor:
+                    open_anchor, reference = anchor, Reference(window)
+                found += [(ident, check, start + i, n) for i, n in reference.parse((ident, check, start), said)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(run, "id long, check long, start int, length int")
 
 
+def touched(found: DataFrame) -> Broadcast:
+    """The bit set of documents (id, check) that have a row in ``found``."""
+    size = 1 << 16
+    while size < min(SPARSE * found.count(), MOST_BITS):
+        size *= 2
+    at = F.xxhash64("id", "check").bitwiseAND(size - 1)
+    return _bit_set(found.select(F.shiftright(at, 6).alias("cell"), F.expr("shiftleft(1L, cast(xxhash64(id, check) & 63 as int))").alias("bits")), size)
+
+
 def cut_out(docs: DataFrame, text_col: str, window: int) -> DataFrame:
     """Joined documents (``text_col``, ``spans``) with ``n_words``,
     ``n_removed`` and ``kept_text``, without ``text_col`` and ``spans``."""
@@ -293,8 +408,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"),
                      F.crc32(F.coalesce(text_col, F.lit("")).cast("binary")).alias("check"), F.col(text_col).alias("text"))
     spread = frequent_anchors(docs, window, ANCHOR)
-    rows = parse_blocks(docs, window, ANCHOR, spread).repartition("anchor").sortWithinPartitions("anchor", "id", "check", "start")
-    found = settle(rows).groupBy("id", "check").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
-    joined = docs.join(found.hint("shuffle_hash"), ["id", "check"], "left")
-    out = cut_out(joined.drop("check"), "text", window)
+    moves = repeated_anchors(docs, window, ANCHOR)
+    rows = parse_blocks(docs, window, ANCHOR, spread, moves).repartition("anchor").sortWithinPartitions("anchor", "id", "check", "start")
+    found = write_scratch(settle(rows, window).groupBy("id", "check").agg(F.collect_set(F.struct("start", "length")).alias("spans")), "factors")
+    some = touched(found)
+
+    @F.pandas_udf("boolean")
+    def has_factor(hashes: pd.Series) -> pd.Series:
+        return pd.Series(some.value.has(hashes.to_numpy().view(W.U64)))
+
+    marked = docs.withColumn("some", has_factor(F.xxhash64("id", "check")))
+    joined = marked.where("some").drop("some").join(found.hint("shuffle_hash"), ["id", "check"], "left")
+    whole = marked.where("not some").drop("some").withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType))
+    out = cut_out(joined.unionByName(whole).drop("check"), "text", window)
     return out.withColumn("id", F.when(F.col("id") != -(1 << 63), F.col("id")))
