@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from meterkit.llm import pretokens
 from meterkit.llm import words as W
-from meterkit.llm.scratch import free_name
+from meterkit.llm.scratch import free_name, numbered
 
 #: Pieces whose ids a Python worker remembers (some 250 bytes each): those of
 #: the last REMEMBERED new ones, and of the REMEMBERED before.
@@ -65,6 +65,8 @@ class Encoder(dict):
         for t, i in tables.vocab.items():
             self.automaton.add_word(t.decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
+        # bytes that no token stands for: the library leaves them out before it merges
+        self.unknown = bytes(b for b in range(256) if bytes([b]) not in tables.vocab)
         self.made_of = {made: (rank, pair) for pair, (rank, made) in tables.merges.items()}
         if len(self.made_of) < len(tables.merges):
             raise ValueError("several merges make the same token")
@@ -123,6 +125,8 @@ class Encoder(dict):
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """The ids of one piece."""
+        if self.unknown:
+            data = data.translate(None, self.unknown)
         last, length = [-1] * (len(data) + 1), [0] * (len(data) + 1)
         known, test = self.pair.get, self.compatible
         for end, (size, token) in self.automaton.iter(data.decode("latin-1")):
@@ -186,20 +190,22 @@ def _broadcast(df: DataFrame, tokenizer_path: str):
 def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """``df`` with ``ids`` (array of int), the tokens of each whole text.
 
-    A null or empty text has none. Other columns pass through; where one is
-    named ``ids`` already, the new one is ``ids_1``. Rows are independent of
-    each other.
+    A null or empty text has none, nor have bytes that the vocabulary lacks.
+    Other columns pass through; where one is named ``ids`` already, the new one
+    is ``ids_1``. Rows are independent of each other; an empty table gives an
+    empty result.
     """
     name = free_name(df.columns, "ids")
     content = _broadcast(df, tokenizer_path)
+    plain, text = numbered(df, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with encoder(content.value) as own:
-            for part in (p for batch in batches for p in W.slices(batch, text_col)):
-                ids = [list(map(int, s.split(","))) if (s := own.encode(t or "")) else [] for t in part.column(text_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, name])
+            for part in (p for batch in batches for p in W.slices(batch, text)):
+                ids = [list(map(int, s.split(","))) if (s := own.encode(t or "")) else [] for t in part.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields]).add(name, ArrayType(IntegerType())))
+    return plain.mapInArrow(run, StructType([*plain.schema.fields]).add("ids", ArrayType(IntegerType()))).toDF(*df.columns, name)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
@@ -208,34 +214,35 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFram
     Where ``decoded`` is taken, the new column is ``decoded_1``."""
     name = free_name(df.columns, "decoded")
     content = _broadcast(df, tokenizer_path)
+    plain, ids_of = numbered(df, ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with encoder(content.value) as own:
             for batch in batches:
-                texts = [own.decode(",".join(map(str, ids or ()))) for ids in batch.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
+                texts = [own.decode(",".join(map(str, ids or ()))) for ids in batch.column(ids_of).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields]).add(name, StringType()))
+    return plain.mapInArrow(run, StructType([*plain.schema.fields]).add("decoded", StringType())).toDF(*df.columns, name)
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """``df`` with ``n_tokens``, ``ids_sha256`` (of the ids joined by commas)
     and ``decoded_sha256`` (of the text decoded from them): encode and decode in
     one pass. With ``keep_ids`` also ``ids``, and the text stays; else the text
-    is dropped, and digests only move. Nulls and clashes as in ``encode``."""
-    own = lambda wanted: free_name(df.columns, wanted)
-    added = (StructType().add(own("n_tokens"), LongType()).add(own("ids_sha256"), StringType())
-             .add(own("decoded_sha256"), StringType()))
+    is dropped, and digests only move. Nulls, clashes and empty tables as in ``encode``."""
+    added = StructType().add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
     if keep_ids:
-        added = added.add(own("ids"), ArrayType(IntegerType()))
+        added = added.add("ids", ArrayType(IntegerType()))
     content = _broadcast(df, tokenizer_path)
-    rest = [f for f in df.schema.fields if keep_ids or f.name != text_col]
+    plain, text_of = numbered(df, text_col)
+    rest = [f for f in plain.schema.fields if keep_ids or f.name != text_of]
+    names = [c for c in df.columns if keep_ids or c != text_col] + [free_name(df.columns, f.name) for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with encoder(content.value) as own:
-            for part in (p for batch in batches for p in W.slices(batch, text_col)):
+            for part in (p for batch in batches for p in W.slices(batch, text_of)):
                 n, ids_hash, text_hash, ids_of = [], [], [], []
-                for text in part.column(text_col).to_pylist():
+                for text in part.column(text_of).to_pylist():
                     ids = own.encode(text or "")
                     n.append(ids.count(",") + 1 if ids else 0)
                     ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
@@ -247,4 +254,4 @@ def round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep_
                     columns.append(pa.array(ids_of, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in rest), *added.names])
 
-    return df.mapInArrow(run, StructType([*rest, *added.fields]))
+    return plain.mapInArrow(run, StructType([*rest, *added.fields])).toDF(*names)

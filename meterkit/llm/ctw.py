@@ -328,8 +328,8 @@ def hot_bounds(values: DataFrame, limit: int) -> dict[int, int]:
 
 def read_texts(docs: DataFrame, tables, known_from: float, depth: int) -> DataFrame:
     """Rows of (rid, id, train, text): one with kind -1 per text (``n`` tokens,
-    sums over broadcast entries), and one for each other entry of a text, with
-    how often it occurs there."""
+    its bytes as key, sums over broadcast entries), and one for each other entry
+    of a text, with how often it occurs there."""
     head = docs.select("rid", "id", "train").schema
     names = [*head.names, "kind", "key", "n", "n_known", "base_score", "score"]
     def sums(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -357,7 +357,7 @@ def read_texts(docs: DataFrame, tables, known_from: float, depth: int) -> DataFr
                 size = part.num_rows
                 own = [part.column("rid"), part.column("id"), part.column("train")]
                 yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(np.full(size, -1)), pa.nulls(size, pa.int64()), pa.array(np.diff(at)), pa.array(known),
+                    [*own, pa.array(np.full(size, -1)), pa.array(np.diff(offsets)), pa.array(np.diff(at)), pa.array(known),
                      pa.array(result[WORD]), pa.array(result[GRAM])], names=names)
                 for kind, r, k, n in rest:
                     none = pa.nulls(len(r), pa.float64())
@@ -375,8 +375,9 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
                 depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """One row per input row: ``id``, ``trained`` (whether ``train`` holds),
     ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (word unigrams
-    with half a count added) and ``score``: log10 of the probability of the
-    text by context-tree weighting, learnt from the rows where ``train`` holds.
+    with half a count added), ``score``: log10 of the probability of the text by
+    context-tree weighting, learnt from the rows where ``train`` holds, and
+    ``bits_per_byte``: the code length that this means, per byte of the text.
 
     The text scored is its tokens: words (runs without white space, A-Z
     lower-cased) parted by one space, then one end byte. Null and empty texts
@@ -413,8 +414,9 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
                                 F.sum(F.when(F.col("kind") == GRAM, F.col("n") * F.col("value"))).alias("score_more"),
                                 F.sum(F.when((F.col("kind") == WORD) & (F.col("value") > known_from), F.col("n"))).alias("known_more")))
     zero = F.lit(0)
+    score = F.col("score") + F.coalesce("score_more", zero)
     return read.where("kind = -1").join(more, "rid", "left").select(
         "id", F.col("train").alias("trained"), F.col("n").alias("n_tokens"),
         (F.col("n_known") + F.coalesce("known_more", zero)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("base_more", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("score_more", zero)).alias("score"))
+        score.alias("score"), (-score * math.log2(10) / F.col("key")).alias("bits_per_byte"))

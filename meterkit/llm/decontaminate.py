@@ -136,7 +136,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int)
 RESULTS = ("n_words", "n_hit", "hit_spans", "items")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **settings) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``hit_spans`` (runs of hit words,
     as first and last word index) and ``items`` (ids of items found, as sorted
     strings). ``settings`` are those of ``find``.
@@ -147,9 +147,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, **settings) -> Dat
     separately. An empty benchmark hits nothing. Where a result's name is
     taken, the new column has ``_1`` appended.
     """
-    plain = _renamed(docs)
-    found = find(plain, benchmark, **settings)
-    return found.select(*(F.col(f"`{a}`").alias(b) for a, b in zip(plain.columns, docs.columns, strict=True)),
+    plain, text = _numbered(docs, text_col)
+    found = find(plain, benchmark, text, **settings)
+    return found.select(*(F.col(a).alias(b) for a, b in zip(plain.columns, docs.columns, strict=True)),
                         *(F.col(r).alias(free_name(docs.columns, r)) for r in RESULTS))
 
 
@@ -181,22 +181,22 @@ def contaminated(found: DataFrame, per_cent: int = 5):
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, per_cent: int = 5, text_col: str = "text", **names) -> DataFrame:
     """``docs`` without contaminated documents."""
-    plain = _renamed(docs)
-    found = find(plain, benchmark, text_col=text_col, **names)
+    plain, text = _numbered(docs, text_col)
+    found = find(plain, benchmark, text, **names)
     return found.where(~contaminated(found, per_cent)).select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **names) -> DataFrame:
     """``docs`` with each hit word cut from its text, the rest untouched (a
     null text stays null)."""
-    plain = _renamed(docs)
-    found = find(plain, benchmark, text_col=text_col, **names)
-    name = free_name(found.columns, "__clean")
+    plain, text = _numbered(docs, text_col)
+    found = find(plain, benchmark, text, **names)
+    name = "clean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, text_col):
-                data, offsets = W.text_bytes(part.column(text_col))
+            for part in W.slices(batch, text):
+                data, offsets = W.text_bytes(part.column(text))
                 starts, ends, first = W.spans(W.LOWER[data], offsets, W.ALNUM)
                 gone = np.zeros(len(data) + 1, dtype=np.int64)
                 for d, runs in enumerate(part.column("hit_spans").to_pylist()):
@@ -206,15 +206,15 @@ def drop_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **
                             gone[ends[w]] -= 1
                 stays = np.cumsum(gone[:-1]) <= 0
                 texts = [data[a:b][stays[a:b]].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                valid = part.column(text_col).is_valid().to_pylist()
+                valid = part.column(text).is_valid().to_pylist()
                 clean = pa.array([t if v else None for t, v in zip(texts, valid, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, clean], names=[*part.schema.names, name])
 
     cleaned = found.mapInArrow(run, StructType([*found.schema.fields]).add(name, StringType()))
-    return cleaned.select(*(F.col(name if c == text_col else c).alias(c) for c in plain.columns)).toDF(*docs.columns)
-
+    return cleaned.select(*(F.col(name if c == text else c).alias(c) for c in plain.columns)).toDF(*docs.columns)
 
-def _renamed(docs: DataFrame) -> DataFrame:
-    """``docs`` with columns that carry a result's name renamed for a while."""
-    return docs.withColumnsRenamed({c: free_name(docs.columns, f"__own_{c}") for c in docs.columns if c.lower() in RESULTS})
 
+def _numbered(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with columns named by number, so that no name can clash, and the text's."""
+    names = [f"own{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index(text_col)]

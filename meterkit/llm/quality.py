@@ -13,8 +13,9 @@ class prior is estimated from the data: no set of documents can hold a larger
 share of positives than of unlabelled text divided by the prior, so the prior
 is the smallest such ratio over the score's upper tails.
 
-The model is fitted on bounded samples (documented below); every document is
-scored, whole.
+Means and scales of the features, and the score tails that the prior comes
+from, are Spark aggregations over all usable documents; the weights are fitted
+on bounded samples (documented below); every document is scored, whole.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StructType
 
 from meterkit.llm import words as W
-from meterkit.llm.scratch import free_name
+from meterkit.llm.scratch import free_name, numbered
 
-#: Rows of the two samples the model is fitted on, at most. They are the rows
+#: Rows of the two samples the weights are fitted on, at most. They are the rows
 #: with the smallest hashes of their ids, over the whole tables.
 POSITIVES = 5_000
 UNLABELLED = 10_000
@@ -41,6 +42,8 @@ PLAIN = 22
 #: Bytes added to a text's length in trigram shares: few trigrams say little.
 SHRINK = 500
 STEPS = 300
+#: Bins of the histogram of scores that the prior is read from, over -BOUND to BOUND.
+BINS, BOUND = 4096, 32.0
 #: Texts whose features are worked out at once (some 50 KB each).
 ROWS = 256
 RATE = 0.05
@@ -130,34 +133,88 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int, non_negativ
     return theta[:-1], theta[-1]
 
 
+def bin_of(z: np.ndarray) -> np.ndarray:
+    return np.clip(((z + BOUND) * (BINS / (2 * BOUND))).astype(np.int64), 0, BINS - 1)
+
+
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives in unlabelled text, from scores of both: the
-    smallest ratio of the two samples' shares above a threshold, over
-    thresholds that leave enough of both, with a margin for chance."""
-    cuts = np.quantile(positive, np.linspace(0.0, 0.7, 71))
-    p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
-    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
-    error = np.sqrt(0.25 / len(positive)) + np.sqrt(0.25 / len(unlabelled))
-    return float(np.clip(((u + error) / p).min(), 0.05, 0.99))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
-    """The model of two feature samples. Without positives there is nothing to
-    learn from: every document then gets the prior's score."""
-    width = PLAIN + TRIGRAMS
-    if not len(positive) or not len(unlabelled):
-        known = 0.5 if prior is None else prior
-        return Model(np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width), float(np.log(known / (1 - known))), known)
-    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
-    p, u = ((positive - mean) / scale).clip(-8, 8), ((unlabelled - mean) / scale).clip(-8, 8)
-    if prior is None:
-        # scores of the half that a first model hasn't seen
-        w, b = _descend(p[::2], u[::2], 0.5, STEPS // 2, non_negative=False)
-        prior = estimate_prior(p[1::2] @ w + b, u[1::2] @ w + b) if len(p) > 1 and len(u) > 1 else 0.5
-    w, b = _descend(p, u, prior, STEPS, non_negative=True)
+    """The share of positives in unlabelled text, from histograms of scores of
+    both: the smallest ratio of the shares at or above a bin, over bins that leave
+    enough of both, with a margin for chance."""
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    p, u = positive[::-1].cumsum()[::-1] / n_p, unlabelled[::-1].cumsum()[::-1] / n_u
+    error = np.sqrt(0.25 / n_p) + np.sqrt(0.25 / n_u)
+    enough = p >= 0.3
+    return float(np.clip(((u[enough] + error) / p[enough]).min(), 0.05, 0.99))
+
+
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return ((x - mean) / scale).clip(-8, 8)
+
+
+def first_model(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights that tell positives from unlabelled text, of every other row."""
+    return _descend(_standard(positive[::2], mean, scale), _standard(unlabelled[::2], mean, scale), 0.5, STEPS // 2, non_negative=False)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarray, scale: np.ndarray, prior: float) -> Model:
+    """The model of two feature samples and the corpus's means and scales."""
+    w, b = _descend(_standard(positive, mean, scale), _standard(unlabelled, mean, scale), prior, STEPS, non_negative=True)
     return Model(mean, scale, w, b, prior)
 
 
+def unfitted(prior: float | None) -> Model:
+    """Without positives, or without unlabelled text, there is nothing to learn
+    from: every document gets the prior's score."""
+    width, known = PLAIN + TRIGRAMS, 0.5 if prior is None else prior
+    return Model(np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width), float(np.log(known / (1 - known))), known)
+
+
+def moments(docs: DataFrame, text_col: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and scales of the features of all ``docs``: a partial sum per
+    task, three numbers per feature in the end."""
+    width = PLAIN + TRIGRAMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, total, square = 0, np.zeros(width), np.zeros(width)
+        for batch in batches:
+            for part in W.slices(batch, "text", rows=ROWS):
+                x = features(part, "text").astype(np.float64)
+                rows, total, square = rows + len(x), total + x.sum(axis=0), square + (x * x).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(np.full(width, rows)), pa.array(total), pa.array(square)],
+                                         names=["i", "n", "s", "q"])
+
+    sums = (docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "i long, n long, s double, q double")
+            .groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).orderBy("i").toArrow())
+    n, s, q = (sums.column(c).to_numpy() for c in ("n", "s", "q"))
+    if not len(n) or not n[0]:
+        return 0, np.zeros(width, np.float32), np.ones(width, np.float32)
+    mean = s / n
+    # rounded well above what the order of adding changes
+    scale = np.sqrt(np.maximum(q / n - mean * mean, 0)) + 1e-3
+    return int(n[0]), np.round(mean, 7).astype(np.float32), np.round(scale, 7).astype(np.float32)
+
+
+def histogram(docs: DataFrame, text_col: str, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """How the scores of all ``docs`` are spread over BINS bins."""
+    shared = docs.sparkSession.sparkContext.broadcast((mean, scale, w, b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, scale, w, b = shared.value
+        count = np.zeros(BINS, dtype=np.int64)
+        for batch in batches:
+            for part in W.slices(batch, "text", rows=ROWS):
+                count += np.bincount(bin_of(_standard(features(part, "text"), mean, scale) @ w + b), minlength=BINS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(count)), pa.array(count[count > 0])], names=["bin", "n"])
+
+    rows = (docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "bin long, n long")
+            .groupBy("bin").agg(F.sum("n").alias("n")).collect())
+    out = np.zeros(BINS, dtype=np.int64)
+    for row in rows:
+        out[row.bin] = row.n
+    return out
+
+
 def sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
     """The ids of the ``n`` rows with the smallest hashes of their ids."""
     return df.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col, F.lit(7)), id_col).limit(n)
@@ -183,26 +240,40 @@ def sample_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str)
 def train(docs: DataFrame, positive_ids: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text",
           positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> Model:
     """The model of ``docs``: ``positive_ids`` are the trusted good documents,
-    ``usable`` says of a document whether training may read it as unlabelled."""
+    ``usable`` says of a document whether training may read it as unlabelled.
+    An empty table, or one without positives, gives the prior to every text."""
     good = sample(positive_ids, id_col, positives)
-    web = sample(docs.where(usable), id_col, unlabelled)
-    return fit(sample_features(docs, good, id_col, text_col), sample_features(docs, web, id_col, text_col), prior)
+    usable_docs = docs.where(usable)
+    web = sample(usable_docs, id_col, unlabelled)
+    p, u = (sample_features(docs, ids, id_col, text_col) for ids in (good, web))
+    if not len(p) or not len(u):
+        return unfitted(prior)
+    _, mean, scale = moments(usable_docs, text_col)
+    if prior is None:
+        w, b = first_model(p, u, mean, scale)
+        # positives that the first model hasn't seen, against all usable documents
+        held = p[1::2] if len(p) > 1 else p
+        prior = estimate_prior(np.bincount(bin_of(_standard(held, mean, scale) @ w + b), minlength=BINS),
+                               histogram(usable_docs, text_col, mean, scale, w, b))
+    return fit(p, u, mean, scale, prior)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with ``out``, from 0 to 1: how likely each whole text is good.
 
     A null text counts as empty and gets the empty text's score. Rows are
-    scored one by one: repeats, ties and null columns play no part. Where ``out``
-    is taken, the new column is ``out`` with ``_1`` appended.
+    scored one by one: repeats, ties and null columns play no part; an empty
+    table gives an empty result. Where ``out`` is taken, the new column is
+    ``out`` with ``_1`` appended.
     """
     out = free_name(docs.columns, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    plain, text = numbered(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, text_col, rows=ROWS):
-                y = shared.value.score(features(part, text_col))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(y, pa.float64())], names=[*part.schema.names, out])
+            for part in W.slices(batch, text, rows=ROWS):
+                y = shared.value.score(features(part, text))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(y, pa.float64())], names=[*part.schema.names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(out, DoubleType()))
+    return plain.mapInArrow(run, StructType([*plain.schema.fields]).add("score", DoubleType())).toDF(*docs.columns, out)

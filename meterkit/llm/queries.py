@@ -31,7 +31,7 @@ def op1_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
     out = ctw.score_texts(table(spark, sf_dir, "documents"), train)
     return out.select(F.col("id").alias("doc_id"), (~F.col("trained")).alias("held_out"), "n_tokens", "n_known",
-                      "train_tokens", "base_score", "score")
+                      "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,3 +28,10 @@ def free_name(taken: list[str], wanted: str) -> str:
         n += 1
         name = f"{wanted}_{n}"
     return name
+
+
+def numbered(df: DataFrame, *columns: str) -> tuple[DataFrame, *tuple[str, ...]]:
+    """``df`` with its columns named by number, and the new names of
+    ``columns``: Spark's Arrow maps take no names with dots."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), *(names[df.columns.index(c)] for c in columns)

@@ -123,27 +123,27 @@ def uniform_shards(df: DataFrame, shards: int, seed: int = 0, bucket_rows: int =
         raise ValueError("shards must be at least 1")
     chosen = columns or {c: F.col(f"`{c}`") for c in df.columns}
     names = list(chosen)
-    own = {x: free_name(names, x) for x in ("shard", "slot", "__place", "__r", "__p", "__b", "__k", "__starts", "__begin")}
-    place, r, p, b, k, starts, begin = (own[x] for x in ("__place", "__r", "__p", "__b", "__k", "__starts", "__begin"))
+    own = {x: free_name(names, x) for x in ("shard", "slot", "__place", "__r", "__p", "__b", "__k", "__starts", "__begin", "__raw")}
+    place, r, b, k, starts, begin, raw = (own[x] for x in ("__place", "__r", "__b", "__k", "__starts", "__begin", "__raw"))
     # first local permutation: a sort within each partition, then places in order
     rows = df.select(*(c.alias(n) for n, c in chosen.items())).withColumn(place, F.monotonically_increasing_id())
     rows = rows.sortWithinPartitions(F.xxhash64(F.lit(seed), F.lit("first"), F.col(place)), place)
     rows = rows.withColumn(place, F.monotonically_increasing_id())
-    rows = write_scratch(rows.withColumn(r, F.col(place).bitwiseAND((1 << 33) - 1)).withColumn("__raw", F.shiftright(place, 33)), "permuted")
-    counts = rows.groupBy("__raw").agg(F.count(F.lit(1)).alias("n"))
+    rows = write_scratch(rows.withColumn(r, F.col(place).bitwiseAND((1 << 33) - 1)).withColumn(raw, F.shiftright(place, 33)), "permuted")
+    counts = rows.groupBy(raw).agg(F.count(F.lit(1)).alias("n"))
     # partitions numbered without gaps; there is one row per partition here
-    sizes = write_scratch(counts.withColumn("p", F.row_number().over(Window.orderBy("__raw")).cast("bigint") - 1), "sizes")
+    sizes = write_scratch(counts.withColumn("p", F.row_number().over(Window.orderBy(raw)).cast("bigint") - 1), "sizes")
     total, partitions = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    plan = matrix(sizes.select("p", "n"), total, partitions, shards, seed).join(sizes.select("p", "__raw"), "p")
-    plan = write_scratch(plan.select("__raw", F.col("starts").alias(starts)), "starts")
+    plan = matrix(sizes.select("p", "n"), total, partitions, shards, seed).join(sizes.select("p", raw), "p")
+    plan = write_scratch(plan.select(raw, F.col("starts").alias(starts)), "starts")
     if partitions <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
     # the shard is the number of stretches that begin at or before the row, less one
     buckets = max(1, total // shards // bucket_rows)
-    dealt = (rows.join(plan, "__raw")
+    dealt = (rows.join(plan, raw)
              .withColumn(own["shard"], F.expr(f"size(filter(slice(`{starts}`, 2, {shards}), x -> x <= `{r}`))"))
              .withColumn(k, F.xxhash64(F.lit(seed), F.lit("second"), F.col(place)))
-             .withColumn(b, F.pmod(k, F.lit(buckets))).drop(starts, r, "__raw"))
+             .withColumn(b, F.pmod(k, F.lit(buckets))).drop(starts, r, raw))
     inside = Window.partitionBy(own["shard"], b).orderBy(k, place)
     # where each bucket begins in its shard: counts are map-side combined
     begins = (dealt.groupBy(own["shard"], b).agg(F.count(F.lit(1)).alias("n"))

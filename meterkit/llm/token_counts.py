@@ -142,10 +142,19 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text_col: str = "text", out
     texts read as special tokens.
 
     A null or empty text has none. Rows are independent: repeated ids, ties
-    and null columns pass through. Where ``out`` is taken, the new column is
-    ``out`` with ``_1`` appended.
+    and null columns pass through; an empty table gives an empty result. Where
+    ``out`` is taken, the new column is ``out`` with ``_1`` appended.
     """
-    out = free_name(df.columns, out)
+    # columns travel under plain numbers: no name of the caller's can clash
+    own = {f"c{i}": c for i, c in enumerate(df.columns)}
+    text = next(k for k, c in own.items() if c == text_col)
+    counted = _count(df.toDF(*own), tokenizer_path, text, chunk, overlap)
+    return counted.select(*(F.col(k).alias(c) for k, c in own.items() if k != text), F.col("n_tokens").alias(free_name(df.columns, out)))
+
+
+def _count(df: DataFrame, tokenizer_path: str, text_col: str, chunk: int, overlap: int) -> DataFrame:
+    """The counts for columns whose names do not clash."""
+    out = "n_tokens"
     spark = df.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())
@@ -154,7 +163,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text_col: str = "text", out
     rest = [c for c in df.columns if c != text_col]
     # whole rows of huge texts are numbered once, in a written table
     huge = write_scratch(
-        df.where(long_text).select(F.struct(*rest, F.lit(0).alias("__none")).alias("row"), F.col(text_col).alias("text"))
+        df.where(long_text).select(F.struct(*rest, F.lit(0).alias("none")).alias("row"), F.col(text_col).alias("text"))
         .withColumn("rid", F.monotonically_increasing_id()), "huge")
     counted, left = None, huge
     while True:

@@ -7,7 +7,8 @@ import random
 from pyspark.sql import types as T
 
 #: Columns that clash with names the operators use inside or return.
-CLASHING = ["score", "n_words", "kept", "digest", "node", "shard", "bucket"]
+CLASHING = ["score", "n_words", "kept", "digest", "node", "shard", "bucket", "a.b", "__raw", "__place", "__none", "__words", "__spans",
+            "__items", "__clean", "hit_spans", "own0", "c0", "rid", "row", "none", "spans", "check", "id"]
 
 
 def words(n: int, seed: int, vocabulary: int = 60) -> list[str]:

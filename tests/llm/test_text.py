@@ -240,7 +240,8 @@ def test_prior_estimate():
     r = np.random.default_rng(0)
     for prior in (0.3, 0.6, 0.9):
         u = np.where(r.random(20_000) < prior, r.normal(2, 1, 20_000), r.normal(-2, 1, 20_000))
-        assert abs(quality.estimate_prior(r.normal(2, 1, 10_000), u) - prior) < 0.05
+        bins = (np.bincount(quality.bin_of(z), minlength=quality.BINS) for z in (r.normal(2, 1, 10_000), u))
+        assert abs(quality.estimate_prior(*bins) - prior) < 0.05
 
 
 # --- decontamination
@@ -380,3 +381,43 @@ def test_swapped_answers(spark):
     assert got[1, True] == {(0, "user", "r"), (1, "assistant", "a1"), (2, "user", "t")}
     assert got[2, False] == {(0, "user", "alone")} and got[4, True] == got[4, False]
     assert {p for p, _ in got} == {0, 1, 2, 4}
+
+
+def test_bytes_without_a_token_are_left_out(spark, tmp_path):
+    """A vocabulary that lacks most bytes: they go before merges, as in the library."""
+    import json
+    path = str(tmp_path / "small.json")
+    model = {"type": "BPE", "vocab": {"a": 0, "b": 1, "ab": 2, "aab": 3}, "merges": [["a", "b"], ["a", "ab"]]}
+    with open(path, "w") as f:
+        json.dump({"version": "1.0", "added_tokens": [], "normalizer": None, "model": model, "post_processor": None, "truncation": None,
+                   "padding": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+                   "decoder": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}, f)
+    own = tokenizers.Tokenizer.from_file(path)
+    texts = ["ac", "acb", "c", "", "aacb", "xaab b", "é", "ababab"]
+    df = cases.documents(spark, list(enumerate(texts)))
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(df, path).collect()}
+    assert got == {i: own.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    counted = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, path).collect()}
+    assert counted == {i: len(v) for i, v in got.items()}
+
+
+def test_quality_statistics_cover_all_rows(spark):
+    """Means and scales are those of all usable rows, whatever the samples."""
+    docs = cases.documents(spark, [(i, t) for i, (_, t) in enumerate(cases.texts())])
+    n, mean, scale = quality.moments(docs, "text")
+    part = pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in cases.texts()], pa.string())})
+    x = quality.features(part, "text").astype(np.float64)
+    assert n == len(x) and np.allclose(mean, x.mean(axis=0), atol=1e-5) and np.allclose(scale, x.std(axis=0) + 1e-3, atol=1e-4)
+    w = np.linspace(-1, 1, len(mean))
+    spread = quality.histogram(docs, "text", mean, scale, w, 0.5)
+    assert spread.sum() == n and (spread > 0).sum() > 3
+    few = quality.train(docs, docs.select("doc_id").where("doc_id < 8"), F.lit(True), positives=5, unlabelled=6)
+    assert np.allclose(few.mean, mean)
+
+
+def test_code_length_per_byte(spark):
+    rows = [(i, " ".join(cases.words(50, i))) for i in range(30)] + [(99, None), (98, "")]
+    for r in ctw.score_texts(cases.documents(spark, rows), F.col("doc_id") % 2 == 0).collect():
+        text = " ".join((dict(rows)[r.id] or "").lower().split())
+        size = len(text.encode()) + 1  # the end is a byte too
+        assert math.isclose(r.bits_per_byte, -r.score * math.log2(10) / (size if text else 1), rel_tol=1e-9) and r.bits_per_byte > 0
