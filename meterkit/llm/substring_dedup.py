@@ -53,7 +53,7 @@ WINDOW = 20
 #: Words of the runs that anchors are taken from.
 ANCHOR = 6
 #: Text bytes of a reference block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Parts into which the anchors are dealt to be counted.
 PARTS = 64
 #: An anchor with fewer windows stays whole in one task.
