@@ -13,11 +13,19 @@ Plan:
    plan) are columns computed in Spark.
 2. Assignments whose key no change names pass through; only those of changed
    keys are shuffled with the changes.
-3. A key with one change is resolved by column expressions.
-4. The others are folded by one ``mapInPandas`` pass over rows sorted by key and
-   order, carrying one state at a time. A DELETE that passes the checks leaves
-   its key empty whatever went before, so a running count of them cuts a key
-   into segments that are folded independently, over different tasks.
+3. These rows are range-partitioned by (key, order), so a key may span several
+   partitions ("blocks") whatever its size. Each block is folded on its own in one
+   pass, whose rows are written once. What a block cannot decide is its first stretch: the changes of its
+   first key, up to a DELETE that passes the checks, depend on the state in
+   which earlier blocks left that key.
+4. The states at the block borders are carried over from block to block (one
+   row per block, none per change). A block that lies wholly in such a stretch maps
+   its entry state to an exit state. That map is learnt in pieces: a probe folds
+   the block from one entry state and notes for which entry states every
+   decision is the same. All blocks are probed in parallel from guessed
+   entries; a block whose true entry no piece covers is probed again. Each
+   round settles at least one more block of every chain.
+5. The open stretches are folded in parallel from their true entry states.
 
 The result has one outcome row per change (with the history image when
 applied) and one final row per live assignment. Keys are compared column by
@@ -27,10 +35,12 @@ column, nulls included.
 from __future__ import annotations
 
 import sys
+import uuid
+from collections import namedtuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,77 +96,212 @@ def precheck(changes: DataFrame, plans: DataFrame) -> DataFrame:
     return df.select(*changes.columns, reason.alias("pre_reason"))
 
 
-def _walk(batches):
-    """Sequential fold over one partition's rows sorted by (key, segment, prio, order)."""
-    key, state = None, None
+# Rows of the fold. Times are microseconds (long), so Python compares integers.
+KEY_FIELDS = "plan_id string, organization_id string, user_id string"
+STATE_FIELDS = "assignment_id string, valid_from long, valid_until long, created_at long, updated_at long"
+CHANGE_FIELDS = ("kind string, change_id string, action string, pre_reason string, clear_valid_until boolean, "
+                 f"requested_at long, {KEY_FIELDS}, {STATE_FIELDS}")
+# ``kind``: outcome, final; open (a change of an undecided stretch), entry and exit (the borders of a block)
+BLOCK_SCHEMA = f"{CHANGE_FIELDS}, outcome string, reason string, block int, nth long"
+PROBE_SCHEMA = (f"block int, {STATE_FIELDS}, after long, upto long, least long, below long, moved_from boolean, "
+                "moved_until boolean, touched boolean")
+TIMES = ("valid_from", "valid_until", "created_at", "updated_at")
 
-    def final(st):
-        return {"kind": "final", "change_id": None, "action": None, "outcome": None, "reason": None, **st}
+State = namedtuple("State", "assignment_id valid_from valid_until created_at updated_at")
 
-    def na(v):
-        return v is None or (not isinstance(v, str) and pd.isna(v))
 
-    for pdf in batches:
+class Path:
+    """The entry states for which a stretch is decided as for the probed one:
+    start in ``(after, upto]`` and end in ``[least, below)`` (no end lies above
+    all, no start below all), and what the stretch moved."""
+
+    def __init__(self):
+        self.after = self.upto = self.least = self.below = None
+        self.moved_from = self.moved_until = self.touched = False
+
+    def starts_after(self, state, x):
+        later = state.valid_from is not None and x < state.valid_from
+        if not self.moved_from:
+            if later:
+                self.after = x if self.after is None else max(self.after, x)
+            else:
+                self.upto = x if self.upto is None else min(self.upto, x)
+        return later
+
+    def ends_before(self, state, x):
+        earlier = state.valid_until is not None and x > state.valid_until
+        if not self.moved_until:
+            if earlier:
+                self.below = x if self.below is None else min(self.below, x)
+            else:
+                self.least = x if self.least is None else max(self.least, x)
+        return earlier
+
+
+def _covers(piece, entry) -> bool:
+    """Whether a probed piece holds for the entry state (None: no assignment)."""
+    if entry is None or piece["entry"] is None:
+        return entry is piece["entry"]
+    start, end = entry.valid_from, entry.valid_until
+    return ((piece["after"] is None or (start is not None and start > piece["after"]))
+            and (piece["upto"] is None or start is None or start <= piece["upto"])
+            and (piece["below"] is None or (end is not None and end < piece["below"]))
+            and (piece["least"] is None or end is None or end >= piece["least"]))
+
+
+def _exit(piece, entry):
+    """The exit state of a covered entry state."""
+    if entry is None or not piece["touched"]:
+        return piece["exit"] if entry is None else entry
+    to = piece["exit"]
+    return entry._replace(valid_from=to.valid_from if piece["moved_from"] else entry.valid_from,
+                          valid_until=to.valid_until if piece["moved_until"] else entry.valid_until,
+                          updated_at=to.updated_at)
+
+
+def _guess(piece, entry):
+    """A likely exit state where no piece covers the entry (it is only probed)."""
+    if entry is None or piece["exit"] is None:
+        return piece["exit"] if entry is None else entry
+    to = _exit(piece, entry)
+    starts = [t for t in (to.valid_from, entry.valid_from) if t is not None]
+    return to._replace(valid_from=max(starts) if starts else None)
+
+
+def _step(state, r, path):
+    """One change: (state after it, reason of a refusal, image of what was applied)."""
+    if r["pre_reason"] is not None:
+        return state, r["pre_reason"], None
+    vf, vu, at = r["valid_from"], r["valid_until"], r["requested_at"]
+    if r["action"] == "CREATE":
+        if state is not None:
+            return state, REASON_ALREADY_ASSIGNED, None
+        made = State("asg_" + r["change_id"], vf, vu, at, at)
+        return made, None, made
+    if r["action"] == "DELETE":
+        return None, None, state and state._replace(updated_at=at)
+    if state is None:
+        return None, REASON_NOT_FOUND, None
+    if vf is not None and path.starts_after(state, vf):
+        return state, REASON_FROM_BEFORE, None
+    if vf is not None and path.ends_before(state, vf):
+        return state, REASON_FROM_AFTER_UNTIL, None
+    if vu is not None and path.ends_before(state, vu):
+        return state, REASON_UNTIL_AFTER, None
+    path.touched = True
+    path.moved_from |= vf is not None
+    if vu is not None or r["clear_valid_until"]:
+        path.moved_until = True
+        state = state._replace(valid_until=vu)
+    state = state._replace(valid_from=state.valid_from if vf is None else vf, updated_at=at)
+    return state, None, state
+
+
+def _empties(r) -> bool:
+    return r["action"] == "DELETE" and r["pre_reason"] is None
+
+
+def _said(r, reason, image):
+    """The outcome row of a change."""
+    what = "rejected" if reason is not None else "no_op" if image is None else "applied"
+    return {**r, **(image or State(*[None] * 5))._asdict(), "kind": "outcome", "outcome": what, "reason": reason}
+
+
+def _border(kind, key, state, block, action=None):
+    return {"kind": kind, "action": action, "block": block, **dict(zip(KEY, key)),
+            **(state or State(*[None] * 5))._asdict()}
+
+
+def _batch(rows, schema):
+    return pa.RecordBatch.from_pylist(rows, schema)
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    return pa.schema([(name, types[kind]) for name, kind in (part.split() for part in ddl.split(","))])
+
+
+def _fold_block(batches):
+    """One pass over a block's rows in (key, order). Decides all but the open
+    first stretch, and reports the borders."""
+    schema = _arrow(BLOCK_SCHEMA)
+    key = block = state = None
+    is_open = False
+    nth, path = 0, Path()
+    for batch in batches:
         out = []
-        for r in pdf.itertuples(index=False):
-            own = (r.plan_id, r.organization_id, r.user_id, r.seg)
-            if own != key:
-                if state is not None:
-                    out.append(final(state))
-                key, state = own, None
-            if r.kind == "state":
-                state = {"assignment_id": r.assignment_id, "plan_id": r.plan_id,
-                         "organization_id": r.organization_id, "user_id": r.user_id,
-                         "valid_from": r.valid_from, "valid_until": r.valid_until,
-                         "created_at": r.created_at, "updated_at": r.created_at}
-                continue
-            row = {"kind": "outcome", "change_id": r.change_id, "action": r.action,
-                   "plan_id": r.plan_id, "organization_id": r.organization_id, "user_id": r.user_id,
-                   "assignment_id": None, "valid_from": None, "valid_until": None,
-                   "created_at": None, "updated_at": None}
-            reason = None if na(r.pre_reason) else r.pre_reason
-            image = None
-            if reason is None and r.action == "CREATE":
-                if state is not None:
-                    reason = REASON_ALREADY_ASSIGNED
-                else:
-                    state = {"assignment_id": "asg_" + r.change_id, "plan_id": r.plan_id,
-                             "organization_id": r.organization_id, "user_id": r.user_id,
-                             "valid_from": r.valid_from, "valid_until": r.valid_until,
-                             "created_at": r.requested_at, "updated_at": r.requested_at}
-                    image = state
-            elif reason is None and r.action == "UPDATE":
-                if state is None:
-                    reason = REASON_NOT_FOUND
-                else:
-                    vf, vu = r.valid_from, r.valid_until
-                    cur_vf, cur_vu = state["valid_from"], state["valid_until"]
-                    if not na(vf) or not na(vu):
-                        if not na(vf) and vf < cur_vf:
-                            reason = REASON_FROM_BEFORE
-                        elif not na(vf) and not na(cur_vu) and vf > cur_vu:
-                            reason = REASON_FROM_AFTER_UNTIL
-                        elif not na(vu) and not na(cur_vu) and vu > cur_vu:
-                            reason = REASON_UNTIL_AFTER
-                    if reason is None:
-                        new_vu = vu if not na(vu) else (None if bool(r.clear_valid_until) else cur_vu)
-                        state = {**state, "valid_from": cur_vf if na(vf) else vf, "valid_until": new_vu,
-                                 "updated_at": r.requested_at}
-                        image = state
-            elif reason is None and r.action == "DELETE":
+        for r in batch.to_pylist():
+            own = (r["plan_id"], r["organization_id"], r["user_id"])
+            if block is None:
+                block, key = r["block"], own
+                is_open = r["kind"] == "change"
+                if is_open:
+                    out.append(_border("entry", key, None, block))
+            elif own != key:
                 if state is not None:
-                    image, state = {**state, "updated_at": r.requested_at}, None
-            if reason is not None:
-                row.update(outcome="rejected", reason=reason)
-            elif image is None:
-                row.update(outcome="no_op", reason=None)
+                    out.append(_border("final", key, state, block))
+                if is_open:  # the key ends here: its stretch says what stays
+                    out.append({**_border("open", key, None, block, "END"), "nth": nth})
+                key, state, is_open = own, None, False
+            if r["kind"] == "state":
+                if state is not None:  # an older assignment of the same key passes through
+                    out.append(_border("final", key, state, block))
+                state = State(*(r[f] for f in State._fields))
+            elif is_open:
+                out.append({**r, "kind": "open", "nth": nth})
+                nth += 1
+                is_open = not _empties(r)
             else:
-                row.update(outcome="applied", reason=None, **image)
-            out.append(row)
-        if out:
-            yield pd.DataFrame(out, columns=FOLD_SCHEMA.fieldNames())
-    if state is not None:
-        yield pd.DataFrame([final(state)], columns=FOLD_SCHEMA.fieldNames())
+                state, reason, image = _step(state, r, path)
+                out.append(_said(r, reason, image))
+        yield _batch(out, schema)
+    if block is not None:
+        yield _batch([_border("exit", key, state, block, "open" if is_open else "known")], schema)
+
+
+def _entry(r):
+    return None if r["e_assignment_id"] is None else State(*(r["e_" + f] for f in State._fields))
+
+
+def _probe(batches):
+    """Fold whole stretches from their candidate entry states: one piece each."""
+    block = state = path = None
+
+    def piece():
+        return {"block": block, **(state or State(*[None] * 5))._asdict(), **vars(path)}
+
+    schema = _arrow(PROBE_SCHEMA)
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if r["block"] != block:
+                if block is not None:
+                    out.append(piece())
+                block, state, path = r["block"], _entry(r), Path()
+            state, _, _ = _step(state, r, path)
+        yield _batch(out, schema)
+    if block is not None:
+        yield _batch([piece()], schema)
+
+
+def _fold_open(batches):
+    """Fold open stretches from their true entry states."""
+    schema = _arrow(BLOCK_SCHEMA)
+    block = state = None
+    path = Path()
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if r["block"] != block:
+                block, state = r["block"], _entry(r)
+            if r["action"] == "END":
+                if state is not None:
+                    out.append(_border("final", tuple(r[c] for c in KEY), state, block))
+                continue
+            r = {f: r.get(f) for f in schema.names}
+            state, reason, image = _step(state, r, path)
+            out.append(_said(r, reason, image))
+        yield _batch(out, schema)
 
 
 # The fold runs in Python workers; ship this module's code with the task so
@@ -164,38 +309,66 @@ def _walk(batches):
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _resolved(single: DataFrame) -> DataFrame:
-    """Rows of FOLD_SCHEMA for keys with one change: the change's outcome and
-    the assignment that is live after it (``s`` is the one before, or null)."""
-    has, act = F.col("s").isNotNull(), F.col("action")
-    vf, vu, cur_vf, cur_vu = F.col("valid_from"), F.col("valid_until"), F.col("s.valid_from"), F.col("s.valid_until")
-    update = act == "UPDATE"
-    reason = F.coalesce(
-        "pre_reason",
-        F.when((act == "CREATE") & has, REASON_ALREADY_ASSIGNED)
-        .when(update & ~has, REASON_NOT_FOUND)
-        .when(update & (vf < cur_vf), REASON_FROM_BEFORE)
-        .when(update & (vf > cur_vu), REASON_FROM_AFTER_UNTIL)
-        .when(update & (vu > cur_vu), REASON_UNTIL_AFTER))
-    made = F.struct(F.concat(F.lit("asg_"), "change_id").alias("assignment_id"), *KEY, "valid_from", "valid_until",
-                    F.col("requested_at").alias("created_at"), F.col("requested_at").alias("updated_at"))
-    new_until = F.when(vu.isNotNull(), vu).when(~F.col("clear_valid_until"), cur_vu)
-    moved = F.struct("s.assignment_id", *(f"s.{c}" for c in KEY), F.coalesce(vf, cur_vf).alias("valid_from"),
-                     new_until.alias("valid_until"), "s.created_at", F.col("requested_at").alias("updated_at"))
-    gone = F.struct("s.assignment_id", *(f"s.{c}" for c in KEY), "s.valid_from", "s.valid_until", "s.created_at",
-                    F.col("requested_at").alias("updated_at"))
-    done = single.withColumn("reason", reason)
-    done = done.withColumn("image", F.when(F.col("reason").isNull(), F.when(act == "CREATE", made).when(update, moved)
-                                           .when((act == "DELETE") & has, gone)))
-    done = done.withColumn("after", F.when((act == "DELETE") & F.col("reason").isNull(), F.lit(None))
-                           .otherwise(F.coalesce("image", "s")))
-    outcome = (F.when(F.col("reason").isNotNull(), "rejected").when(F.col("image").isNull(), "no_op").otherwise("applied"))
-    said = done.select(
-        F.lit("outcome").alias("kind"), "change_id", "action", outcome.alias("outcome"), "reason",
-        F.col("image.assignment_id").alias("assignment_id"), *(F.coalesce(f"image.{c}", c).alias(c) for c in KEY),
-        *(F.col(f"image.{c}").alias(c) for c in IMAGE[4:]))
-    live = done.where("after is not null").select("after.*")
-    return said.unionByName(_final(live))
+def _from_entries(stretches: DataFrame, entries: dict, parts: int) -> DataFrame:
+    """Open rows of the blocks in ``entries`` (block -> entry state or None), in
+    order, one block per task, each with its entry state (at most one row per
+    block is broadcast)."""
+    rows = [(block, *(state or State(*[None] * 5))) for block, state in entries.items()]
+    states = stretches.sparkSession.createDataFrame(
+        rows, "block int, " + ", ".join("e_" + f.strip() for f in STATE_FIELDS.split(",")))
+    return (stretches.join(F.broadcast(states), "block").repartition(parts, "block")
+            .sortWithinPartitions("block", "nth"))
+
+
+def _carry(borders: list, stretches: DataFrame, parts: int) -> tuple[dict, list]:
+    """Carry states over block borders. ``borders`` has one exit and at most one
+    entry row per block. Returns the entry state of every open stretch and the
+    (key, state) pairs that are live where a key ends at a border."""
+    exits = {r["block"]: r for r in borders if r["kind"] == "exit"}
+    opened = {r["block"]: tuple(r[c] for c in KEY) for r in borders if r["kind"] == "entry"}
+    pieces: dict = {}
+    while True:
+        entries, finals, wanted = {}, [], {}
+        key = state = None
+        sure = True
+        for block in sorted(exits):
+            end = exits[block]
+            follows = opened.get(block) == key and key is not None
+            if not follows and state is not None and sure:
+                finals.append((key, state))
+            if block in opened:
+                if not follows:
+                    state, sure = None, True
+                entries[block] = state
+            last = tuple(end[c] for c in KEY)
+            if end["action"] == "open":
+                known = pieces.get(block, [])
+                fits = next((p for p in known if _covers(p, state)), None)
+                if fits is None:
+                    wanted[block], sure = state, False
+                    state = _guess(known[-1], state) if known else state
+                else:
+                    state = _exit(fits, state)
+            else:
+                state = State(*(end[f] for f in State._fields)) if end["assignment_id"] is not None else None
+                sure = True
+            key = last
+        if not wanted:
+            if state is not None:
+                finals.append((key, state))
+            return entries, finals
+        probed = _from_entries(stretches, wanted, parts).mapInArrow(_probe, PROBE_SCHEMA)
+        for r in probed.collect():  # a row per block
+            found = r.asDict()
+            found["entry"] = wanted[r["block"]]
+            found["exit"] = State(*(r[f] for f in State._fields)) if r["assignment_id"] is not None else None
+            pieces.setdefault(r["block"], []).append(found)
+
+
+def _fold_rows(rows: DataFrame) -> DataFrame:
+    """Rows with times in microseconds as rows of FOLD_SCHEMA."""
+    return rows.select(*(F.timestamp_micros(f.name).alias(f.name) if f.name in TIMES else F.col(f.name)
+                         for f in FOLD_SCHEMA.fields))
 
 
 def _final(live: DataFrame) -> DataFrame:
@@ -209,6 +382,38 @@ def _on_key(left: DataFrame, right: DataFrame) -> F.Column:
     return same[0] & same[1] & same[2]
 
 
+def _ordered_rows(touched: DataFrame, checked: DataFrame) -> DataFrame:
+    """States and changes with one set of columns and their place in a key:
+    states first (the newest last), then changes by time, seq and id."""
+    micros = {c: F.unix_micros(c).alias(c) for c in TIMES}
+    nothing = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    states = touched.select(
+        F.lit("state").alias("kind"), *nothing("string", "change_id", "action", "pre_reason"),
+        F.lit(False).alias("clear_valid_until"), F.unix_micros("created_at").alias("requested_at"), *KEY, "assignment_id",
+        *micros.values(), F.lit(0).alias("prio"), F.lit(0).cast("long").alias("seq"))
+    changes = checked.select(
+        F.lit("change").alias("kind"), "change_id", "action", "pre_reason",
+        F.coalesce("clear_valid_until", F.lit(False)).alias("clear_valid_until"),
+        F.unix_micros("requested_at").alias("requested_at"), *KEY, *nothing("string", "assignment_id"),
+        micros["valid_from"], micros["valid_until"], *nothing("long", "created_at", "updated_at"),
+        F.lit(1).alias("prio"), F.col("seq").cast("long").alias("seq"))
+    return states.unionByName(changes).withColumn("tie", F.coalesce("change_id", "assignment_id"))
+
+
+def fold_blocks(current: DataFrame, changes: DataFrame, plans: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Steps 1 to 3: the rows of BLOCK_SCHEMA, written, and the untouched assignments."""
+    named = bounded_broadcast(changes.select(*(F.col(c).alias(f"__{c}") for c in KEY)).distinct())
+    state = current.select(F.col("id").alias("assignment_id"), *KEY, "valid_from", "valid_until", "created_at",
+                           F.col("created_at").alias("updated_at"))
+    untouched = state.join(named, _on_key(state, named), "left_anti")
+    touched = state.join(named, _on_key(state, named), "left_semi")
+    order = ("prio", "requested_at", "seq", "tie")  # a total order: a retried task folds the same rows
+    blocks = (_ordered_rows(touched, precheck(changes, plans)).repartitionByRange(parts, *KEY, *order)
+              .sortWithinPartitions(*KEY, *order).drop("prio", "seq", "tie")
+              .withColumn("block", F.spark_partition_id()))
+    return materialize(blocks.mapInArrow(_fold_block, BLOCK_SCHEMA), f"assignment_blocks_{uuid.uuid4().hex}"), untouched
+
+
 def apply_changes(current: DataFrame, changes: DataFrame, plans: DataFrame,
                   num_partitions: int | None = None) -> DataFrame:
     """Fold ``changes`` into ``current`` assignments.
@@ -217,43 +422,24 @@ def apply_changes(current: DataFrame, changes: DataFrame, plans: DataFrame,
     applied / no_op / rejected, reason, image) and ``kind='final'`` per live
     assignment after the batch. Where several current rows share a key (a plain
     table cannot forbid it), changes apply to the newest (by created_at, id) and
-    the others pass through.
+    the others pass through. ``num_partitions``: blocks (default: the session's
+    shuffle partitions). The driver sees two rows per block.
     """
-    checked = precheck(changes, plans)
-    named = bounded_broadcast(changes.select(*(F.col(c).alias(f"__{c}") for c in KEY)).distinct())
-    state = current.select(F.col("id").alias("assignment_id"), *KEY, "valid_from", "valid_until", "created_at",
-                           F.col("created_at").alias("updated_at"))
-    untouched = state.join(named, _on_key(state, named), "left_anti")
-    touched = state.join(named, _on_key(state, named), "left_semi")
-    newest = Window.partitionBy(*KEY).orderBy(F.col("created_at").desc(), F.col("assignment_id").desc())
-    touched = touched.withColumn("nth", F.row_number().over(newest))
-
-    state_rows = touched.where("nth = 1").select(
-        F.lit(0).alias("prio"), F.col("created_at").alias("requested_at"), F.lit(0).cast("long").alias("seq"),
-        F.lit("state").alias("kind"), F.lit(None).cast("string").alias("change_id"), F.lit(None).cast("string").alias("action"),
-        F.lit(None).cast("string").alias("pre_reason"), F.lit(False).alias("clear_valid_until"),
-        "assignment_id", *KEY, "valid_from", "valid_until", "created_at")
-    change_rows = checked.select(
-        F.lit(1).alias("prio"), "requested_at", F.col("seq").cast("long").alias("seq"), F.lit("change").alias("kind"),
-        "change_id", "action", "pre_reason", F.coalesce(F.col("clear_valid_until"), F.lit(False)).alias("clear_valid_until"),
-        F.lit(None).cast("string").alias("assignment_id"), *KEY, "valid_from", "valid_until",
-        F.lit(None).cast("timestamp").alias("created_at"))
-    # (key, prio, time, seq, id) is a total order: a retried task replays the same fold.
-    order = ("prio", "requested_at", "seq", "tie")
-    both = state_rows.unionByName(change_rows).withColumn("tie", F.coalesce("change_id", "assignment_id"))
-    whole = Window.partitionBy(*KEY)
-    before = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    empties = ((F.col("action") == "DELETE") & F.col("pre_reason").isNull()).cast("int")
-    image = F.struct("assignment_id", *KEY, "valid_from", "valid_until", "created_at", F.col("created_at").alias("updated_at"))
-    placed = (both.withColumn("n", F.count_if(F.col("kind") == "change").over(whole))
-              .withColumn("seg", F.coalesce(F.sum(F.coalesce(empties, F.lit(0))).over(before), F.lit(0)))
-              .withColumn("s", F.last(F.when(F.col("kind") == "state", image), ignorenulls=True).over(before)))
-    single = _resolved(placed.where("n = 1 and kind = 'change'"))
-    parts = [num_partitions] if num_partitions else []
-    folded = (placed.where("n > 1").drop("n", "s").repartition(*parts, *KEY, "seg")
-              .sortWithinPartitions(*KEY, "seg", *order).mapInPandas(_walk, FOLD_SCHEMA))
-    return (folded.unionByName(single).unionByName(_final(untouched))
-            .unionByName(_final(touched.where("nth > 1"))))
+    spark = changes.sparkSession
+    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, untouched = fold_blocks(current, changes, plans, parts)
+    borders = [r.asDict() for r in blocks.where("kind in ('entry', 'exit')")
+               .select("kind", "action", "block", *KEY, *State._fields).collect()]
+    stretches = blocks.where("kind = 'open'")
+    entries, finals = _carry(borders, stretches, parts)
+    told = blocks.where("kind in ('outcome', 'final')")
+    if entries:
+        told = told.unionByName(_from_entries(stretches, entries, parts).mapInArrow(_fold_open, BLOCK_SCHEMA))
+    if finals:
+        rows = [("final", *key, *state) for key, state in finals]  # at most one per block
+        ended = spark.createDataFrame(rows, f"kind string, {KEY_FIELDS}, {STATE_FIELDS}")
+        told = told.unionByName(ended, allowMissingColumns=True)
+    return _fold_rows(told).unionByName(_final(untouched))
 
 
 def apply_changes_materialized(current: DataFrame, changes: DataFrame, plans: DataFrame,

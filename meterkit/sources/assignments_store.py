@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterkit.operators import changes as chg
-from meterkit.sources.rollup_store import list_batches
 from meterkit.sources.storage import delete_path, list_subdirs
 
 #: Buckets of the state. A bucket is rewritten whole when a change names one of
@@ -56,10 +55,8 @@ def _newest(spark: SparkSession, state_path: str, before: int | None) -> dict[in
     versions = [v for v in _versions(spark, state_path) if before is None or v < before]
     if not versions:
         raise ValueError(f"no committed assignment state under {state_path}")
-    lists = [spark.read.parquet(os.path.join(state_path, f"touched={v}")).withColumn("version", F.lit(v)) for v in versions]
-    every = lists[0]
-    for other in lists[1:]:
-        every = every.unionByName(other)
+    lists = [os.path.join(state_path, f"touched={v}") for v in versions]
+    every = spark.read.option("basePath", state_path).parquet(*lists).withColumnRenamed("touched", "version")
     return {r.bucket: r.version for r in every.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
 
 
@@ -115,7 +112,7 @@ def apply_change_batch(spark: SparkSession, changes: DataFrame, plans: DataFrame
 
 def read_history(spark: SparkSession, history_path: str) -> DataFrame:
     """C16's input: every committed history batch."""
-    batches = [b for b in list_batches(spark, history_path) if b.isdigit()]
+    batches = [b for b in list_subdirs(spark, history_path, "batch_id=") if b.isdigit()]
     if not batches:
         raise ValueError(f"no committed history under {history_path}")
     return spark.read.option("basePath", history_path).parquet(

@@ -1,6 +1,7 @@
 """Assignment change rules (C17-C19) after the reference's plan-management tests."""
 
 import datetime as dt
+import random
 
 import pytest
 
@@ -118,3 +119,58 @@ def test_change_batches_persist_and_replay(spark, plans, scratch_dir):
     assert sorted((h.id, h.action) for h in history) == [("h_c0", "UPDATE"), ("h_c1", "DELETE"), ("h_c2", "CREATE")]
     outcomes = {r.change_id: r.reason for r in spark.read.parquet(scratch_dir + "/outcomes").collect()}
     assert outcomes["c3"] == "valid_from_before_current"
+
+
+def one_by_one(current, changes):
+    """Brute force: the rules applied to one change after the other."""
+    live, out = {}, {}
+    for aid, plan, org, usr, start, end, _ in current:
+        live[plan, org, usr] = [aid, start, end]
+    for cid, _, action, plan, org, usr, start, end, clear, _ in changes:
+        now, key = live.get((plan, org, usr)), (plan, org, usr)
+        if action == "CREATE":
+            out[cid] = "rejected" if now else "applied"
+            live.setdefault(key, ["asg_" + cid, start, end])
+        elif action == "DELETE":
+            out[cid] = "applied" if live.pop(key, None) else "no_op"
+        elif (now is None or (start and start < now[1]) or (start and now[2] and start > now[2])
+              or (end and now[2] and end > now[2])):
+            out[cid] = "rejected"
+        else:
+            out[cid] = "applied"
+            live[key] = [now[0], start or now[1], end or (None if clear else now[2])]
+    return out, {aid: (start, end) for aid, start, end in live.values()}
+
+
+@pytest.mark.parametrize("actions,keys", [
+    (("UPDATE",), 1),                                  # one key, nothing that empties it
+    (("CREATE", "UPDATE", "UPDATE"), 1),
+    (("CREATE", "UPDATE", "UPDATE", "UPDATE", "DELETE"), 1),
+    (("CREATE", "UPDATE", "DELETE"), 9),               # borders of blocks fall within and between keys
+])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_blocks_agree_with_one_change_after_the_other(spark, plans, actions, keys, seed):
+    rnd = random.Random(seed)
+    day = lambda chance: dt.datetime(2024, 1, 10) + dt.timedelta(hours=rnd.randrange(900)) if rnd.random() < chance else None
+    current = [("a0", "p1", "o0", None, ts(10), None, ts(1)), ("a9", "p1", "o99", None, ts(10), ts(20), ts(1))]
+    changes = []
+    for i in range(300):
+        action = rnd.choice(actions)
+        start = day(1.0 if action == "CREATE" else 0.6)
+        end = day(0.15)
+        if action == "CREATE" and end and end < start:
+            end = None
+        changes.append((f"c{i:03d}", i, action, "p1", f"o{rnd.randrange(keys)}", None, start, end,
+                        rnd.random() < 0.1, ts(2) + dt.timedelta(minutes=i // 3)))
+    expected, live = one_by_one(current, changes)
+    folded = chg.apply_changes(spark.createDataFrame(current, CUR_SCHEMA), spark.createDataFrame(changes, CHG_SCHEMA),
+                               plans, num_partitions=6).collect()
+    assert {r.change_id: r.outcome for r in folded if r.kind == "outcome"} == expected
+    assert len([r for r in folded if r.kind == "outcome"]) == len(changes)
+    finals = [r for r in folded if r.kind == "final"]
+    assert {r.assignment_id: (r.valid_from, r.valid_until) for r in finals} == live and len(finals) == len(live)
+
+
+def test_no_changes_leave_all_assignments(spark, plans):
+    folded = chg.apply_changes(spark.createDataFrame(CURRENT, CUR_SCHEMA), spark.createDataFrame([], CHG_SCHEMA), plans)
+    assert sorted((r.kind, r.assignment_id) for r in folded.collect()) == [("final", "a1"), ("final", "a2")]

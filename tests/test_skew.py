@@ -50,14 +50,20 @@ def test_hot_assignment_key_streams_through_fold(spark):
     assert live <= 1
 
 
-def test_hot_assignment_key_is_folded_by_several_tasks(spark):
-    """A DELETE leaves the key empty, so it cuts the key's changes into
-    segments that different tasks fold."""
-    changes = fx.assignment_changes(spark, SF_CHECK).withColumn("plan_id", F.lit("plan_1")) \
-        .withColumn("organization_id", F.lit("org_hot")).withColumn("user_id", F.lit(None).cast("string"))
-    folded = chg.apply_changes(fx.assignments(spark, SF_CHECK), changes, fx.plans(spark, SF_CHECK), num_partitions=8)
-    tasks = folded.where("organization_id = 'org_hot' and kind = 'outcome'").select(F.spark_partition_id()).distinct()
-    assert tasks.count() > 1
+def hot_key(changes):
+    return (changes.withColumn("plan_id", F.lit("plan_1")).withColumn("organization_id", F.lit("org_hot"))
+            .withColumn("user_id", F.lit(None).cast("string")))
+
+
+def test_hot_assignment_key_without_deletes_is_folded_by_several_tasks(spark):
+    """Nothing cuts the changes of this key: blocks are probed from guessed
+    entry states and folded from the true ones."""
+    changes = hot_key(fx.assignment_changes(spark, SF_CHECK).where("action <> 'DELETE'"))
+    n = changes.count()
+    blocks, _ = chg.fold_blocks(fx.assignments(spark, SF_CHECK), changes, fx.plans(spark, SF_CHECK), 8)
+    sizes = [r["count"] for r in blocks.where("kind in ('outcome', 'open') and action <> 'END'")
+             .groupBy("block").count().collect()]
+    assert sum(sizes) == n and len(sizes) > 4 and max(sizes) < n / 2
 
 
 def test_untouched_state_bypasses_python(spark):
@@ -67,6 +73,7 @@ def test_untouched_state_bypasses_python(spark):
     folded = chg.apply_changes(current, few, plans)
     assert chg.change_outcomes(folded).count() == few.count()
     assert abs(chg.final_assignments(folded).count() - current.count()) <= 3
-    plan = folded._jdf.queryExecution().executedPlan().toString()
-    python = plan[plan.index("MapInPandas"):]
-    assert "LeftSemi" in python and "LeftAnti" in plan
+    blocks, untouched = chg.fold_blocks(current, few, plans, 4)
+    assert blocks.count() <= 3 + 3 + 3 * 4  # changes, their states, borders
+    plan = untouched._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "InArrow" not in plan
