@@ -1115,6 +1115,27 @@ def m05_registry_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(long.withColumn("dims", F.array_join("dims", "|")), "sum_v").drop("uniq_hll")
 
 
+def _of_page(aggregation: str, value: str | None, slug: str, event_type: str = "app.purchase") -> MeterSpec:
+    return MeterSpec(slug, event_type, aggregation, value, ("page",))
+
+
+SIX = (_of_page("sum", "amount", "six_sum"), _of_page("avg", "amount", "six_avg"), _of_page("min", "amount", "six_min"),
+       _of_page("max", "amount", "six_max"), _of_page("count", None, "six_count"),
+       _of_page("unique_count", "k", "six_unique"))
+
+
+@register("m05_six_aggregations", _sql(" union all ".join(
+    _LONG_SQL_PART.format(meter=s.slug, type=s.event_type,
+                          uniq="k" if s.aggregation == "unique_count" else "cast(null as varchar)",
+                          num="amount" if s.value_property == "amount" else "cast(null as double)",
+                          extra=", k" if s.aggregation == "unique_count" else "") for s in SIX)))
+def m05_six_aggregations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meters of all six aggregations over one type and its dimensions,
+    from two sub-aggregates (numbers, distinct values)."""
+    long = long_partials(usage_events(spark, sf_dir), SIX)
+    return rounded(long.withColumn("dims", F.array_join("dims", "|")), "sum_v").drop("uniq_hll")
+
+
 @register("l01_event_types", """
 select distinct event_type from (
   select case event_id % 50 when 7 then '' when 11 then 'unknown.type' else concat('app.', event_type) end

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from meterkit.operators.multi import long_partials, meter_partials
+from meterkit.operators.multi import SLOTS, fan_out, long_partials, meter_partials, sub_aggregates
 from meterkit.operators.query import query_rollup
 from meterkit.operators.rollup import minute_partials
 from meterkit.plans.spec import MeterQuery, MeterSpec
@@ -45,3 +45,28 @@ def test_write_many_and_backfill_many(spark, scratch_dir):
         got = rows(query_rollup(store.read_rollup(spark, scratch_dir, spec), spec, q))
         exp = rows(query_rollup(minute_partials(events, spec), spec, q))
         assert got == exp and got, spec.slug
+
+
+def test_rows_after_the_join_do_not_grow_with_meters(spark):
+    """Meters of one type and dimensions share a sub-aggregate, across tenants."""
+    events = usage_events(spark, SF_SMALL)
+    few = [MeterSpec("s0", "app.purchase", "sum", "amount", ("page",))]
+    many = few + [MeterSpec(f"{agg}{i}", "app.purchase", agg, "amount", ("page",), tenant_slug=f"t{i}")
+                  for agg in ("sum", "avg", "min", "max") for i in range(5)]
+    many.append(MeterSpec("n", "app.purchase", "count", None, ("page",)))
+    assert fan_out(events, sub_aggregates(few)[0]).count() == fan_out(events, sub_aggregates(many)[0]).count() > 0
+    long = long_partials(events, many)
+    for spec in (many[0], many[7], many[-1]):
+        assert rows(meter_partials(long, spec)) == rows(minute_partials(events, spec)), spec.slug
+
+
+def test_more_value_properties_than_slots(spark):
+    events = usage_events(spark, SF_SMALL)
+    names = ["amount"] + [f"other{i}" for i in range(SLOTS)] + ["k"]
+    specs = [MeterSpec(f"m{i}", "app.purchase", "sum", name, ("page",)) for i, name in enumerate(names)]
+    specs.append(MeterSpec("again", "app.purchase", "max", names[-1], ("page",)))
+    parts, meters = sub_aggregates(specs)
+    assert [len(p[3]) for p in parts] == [SLOTS, 2] and meters[-1][0] == meters[-2][0]
+    long = long_partials(events, specs)
+    for spec in (specs[0], specs[1], specs[-1]):
+        assert rows(meter_partials(long, spec)) == rows(minute_partials(events, spec)), spec.slug
