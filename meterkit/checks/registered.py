@@ -923,6 +923,22 @@ def c16_history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "position", "total")
 
 
+@register("c16_deep_history_page", _cat_sql("""
+select h.id, h.action, h.plan_id, h.created_at, t.tenant_slug, h.position, t.total
+from (select x.*, p.tenant_slug,
+             row_number() over (partition by p.tenant_slug order by x.created_at asc, x.id asc) as position
+      from history_t x join plans_t p on x.plan_id = p.id) h
+right join (select p.tenant_slug, count(*) as total from history_t x join plans_t p on x.plan_id = p.id
+      group by p.tenant_slug) t on h.tenant_slug = t.tenant_slug and h.position between 581 and 600""", PLANS, HISTORY))
+def c16_deep_history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 30 (limit 20) of the whole history, oldest first, per
+    tenant, with total, by counts per sampled range."""
+    plans = fx.plans(spark, sf_dir).select(F.col("id").alias("plan_id"), "tenant_slug")
+    history = fx.assignment_history(spark, sf_dir).join(plans, "plan_id")
+    page = cat.deep_page_with_total(history, ["tenant_slug"], cat.oldest_first(), cat.Page(30, 20))
+    return page.select("id", "action", "plan_id", "created_at", "tenant_slug", "position", "total")
+
+
 @register("c22_cascade_archived_plans", _cat_sql("""
 select 'plan' as entity, id from plans_t where archived_at is not null
 union all

@@ -16,17 +16,22 @@ row-count check first, a shuffle join beyond the bound.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterkit.operators.joins import bounded_broadcast
+from meterkit.session import materialize
 from meterkit.sources.catalog import LIMIT_ACTIONS, RESET_PERIODS
 
 # Paging defaults of the reference's API.
 DEFAULT_PAGE = 1
 DEFAULT_LIMIT = 20
+#: Pages that end beyond this many rows are not ranked by one window: Spark's
+#: group limit before the shuffle is set to the same bound (``session``).
+DEEP = 10_000
 
 
 @dataclass(frozen=True)
@@ -73,10 +78,45 @@ def totals(df: DataFrame, partition: list[str], name: str = "total") -> DataFram
 
 def paged_with_total(df: DataFrame, partition: list[str], order: list[Column], page: Page) -> DataFrame:
     """``paged`` with each partition's ``total``. A partition whose page is
-    empty keeps one row with its total, ``position`` and the rest null."""
+    empty keeps one row with its total, ``position`` and the rest null. Pages
+    that end beyond ``DEEP`` rows are found by order statistics."""
+    if page.offset + page.limit > DEEP:
+        return deep_page_with_total(df, partition, order, page)
     return totals(df, partition).join(paged(df, partition, order, page), partition, "left")
 
 
+def deep_page_with_total(df: DataFrame, partition: list[str], order: list[Column], page: Page,
+                         ranges: int | None = None) -> DataFrame:
+    """``paged_with_total`` for pages far down a large partition, without sorting
+    a partition in one task. Rows are cut into ``ranges`` (default: the session's
+    shuffle partitions) by sampled bounds of (partition, order) and written once,
+    unsorted. The counts per partition and range say how many rows precede each
+    range; only ranges that overlap the page are read again and sorted, each
+    on its own. No partition has more than ``ranges`` counts."""
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialize(df.repartitionByRange(ranges, *partition, *order)
+                      .withColumn("__range", F.spark_partition_id()), f"page_ranges_{uuid.uuid4().hex}")
+    counts = cut.groupBy(*partition, "__range").agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy(*partition).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+    wanted = counts.where((F.col("__before") < page.offset + page.limit)
+                          & (F.col("__before") + F.col("__rows") > page.offset)).drop("__rows")
+    # null-safe on the partition: it may hold nulls, as a window's may
+    named = wanted.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(partition)),
+                          F.col("__range").alias("__at"), "__before")
+    match = F.col("__range") == F.col("__at")
+    for i, c in enumerate(partition):
+        match = match & F.col(c).eqNullSafe(F.col(f"__{i}"))
+    nth = F.row_number().over(Window.partitionBy(*partition, "__range").orderBy(*order))
+    rows = (cut.join(bounded_broadcast(named), match)
+            .withColumn("position", (F.col("__before") + nth).cast("long"))
+            .where((F.col("position") > page.offset) & (F.col("position") <= page.offset + page.limit))
+            .select(*df.columns, "position"))
+    total = counts.groupBy(*partition).agg(F.sum("__rows").alias("total"))
+    return total.join(rows, partition, "left")
+
+
 def newest_first() -> list[Column]:
     """``created_at desc`` with ``id`` as tie-break, so pages are deterministic."""
     return [F.col("created_at").desc(), F.col("id").desc()]

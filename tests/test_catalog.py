@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from meterkit.operators import catalog as cat
 from meterkit.plans.requests import page_from_request
@@ -153,3 +154,24 @@ def test_assignments_of_plan_and_entity(spark, plans):
     assert {r.id for r in cat.assignments_of(a, plans, plan_id="p1").collect()} == {"a1", "a2"}
     assert {r.id for r in cat.assignments_of(a, plans, user_id="u1").collect()} == {"a2", "a3"}
     assert {r.id for r in cat.assignments_of(a, plans, tenant="t2").collect()} == {"a3"}
+
+
+def test_deep_pages_sort_single_ranges(spark):
+    """One tenant holds two thirds of the rows, one is small, one has no name.
+    Pages beyond DEEP equal the plain window's, and no task sorts a tenant."""
+    n = 36_000
+    rows = spark.range(n).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 3 < 2, "hot").when(F.col("id") % 30 == 2, "small").alias("tenant_slug"),
+        F.timestamp_seconds(F.col("id") * 7919 % 5000).alias("created_at"))
+    for number in (120, 240, 400):  # within all but the small one; the hot one's last; past the end
+        page = cat.Page(number, 100)
+        assert page.offset + page.limit > cat.DEEP
+        deep = cat.paged_with_total(rows, ["tenant_slug"], cat.newest_first(), page)
+        plain = (cat.totals(rows, ["tenant_slug"])
+                 .join(cat.paged(rows, ["tenant_slug"], cat.newest_first(), page), ["tenant_slug"], "left"))
+        assert deep.columns == plain.columns
+        assert sorted(deep.collect(), key=repr) == sorted(plain.collect(), key=repr)
+    deep = cat.deep_page_with_total(rows, ["tenant_slug"], cat.newest_first(), cat.Page(120, 100), ranges=24)
+    windows = [w for w in deep._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in w]
+    assert windows and all("__range" in w for w in windows)
