@@ -24,10 +24,11 @@ from meterkit.operators import catalog as cat
 from meterkit.operators import changes as chg
 from meterkit.operators import ingest
 from meterkit.operators.multi import long_partials
+from meterkit.operators.tiers import build_tier, query_tiers
 from meterkit.operators.query import query_events, query_rollup, result_range, shape_rows
 from meterkit.operators.rollup import compact_partials, minute_partials, rollup_rejects
 from meterkit.plans.spec import MeterQuery, MeterSpec
-from meterkit.session import scratch_path
+from meterkit.session import materialize, scratch_path
 from meterkit.sources import catalog as fx
 from meterkit.sources import rollup_store as store
 from meterkit.sources.catalog_io import read_catalog
@@ -332,6 +333,35 @@ def q20_day_from_stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(query_rollup(store.read_rollup(spark, root, SUM_PURCHASE), SUM_PURCHASE, Q_SUM_DAY_ORG), SUM_PURCHASE)
 
 
+def _from_tiers(spark: SparkSession, sf_dir: str, spec: MeterSpec, q: MeterQuery) -> DataFrame:
+    """The query from written tiers of three quarters of the events, the rest as
+    minutes that came later."""
+    events = usage_events(spark, sf_dir)
+    late = F.pmod(F.xxhash64("id"), F.lit(4)) == 0
+    tiers = {"minute": materialize(minute_partials(events.where(~late), spec), f"tier-{uuid.uuid4().hex}")}
+    for finer, size in (("minute", "hour"), ("hour", "day")):
+        tiers[size] = materialize(build_tier(tiers[finer], spec, size), f"tier-{uuid.uuid4().hex}")
+    return _shown(query_tiers(tiers, spec, q, later=minute_partials(events.where(late), spec)), spec)
+
+
+@register("q21_range_from_tiers", SQL_COUNT_RANGE_PAGE)
+def q21_range_from_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4: q08 answered from minutes at the edges, hours and days between."""
+    return _from_tiers(spark, sf_dir, COUNT_CLICKS, Q_RANGE_PAGE)
+
+
+@register("q21_unique_day_from_tiers", SQL_UNIQUE_DAY_ORG)
+def q21_unique_day_from_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3, Q9: q07 answered from the day tier."""
+    return _from_tiers(spark, sf_dir, UNIQUE_CLICK_K, Q_DAY_ORG)
+
+
+@register("q21_count_hour_unaligned_from_tiers", SQL_COUNT_HOUR_UNALIGNED)
+def q21_count_hour_unaligned_from_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2, Q15: q14 answered from the hour tier."""
+    return _from_tiers(spark, sf_dir, COUNT_CLICKS, Q_HOUR_UNALIGNED)
+
+
 @register("m13_backfill_during_compaction", SQL_SUM_DAY_ORG)
 def m13_backfill_during_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A backfill that saw batches 1 and 2 lands after a compaction folded 1
