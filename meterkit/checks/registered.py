@@ -23,10 +23,11 @@ from meterkit.checks.oracle import (
 from meterkit.operators import catalog as cat
 from meterkit.operators import changes as chg
 from meterkit.operators import ingest
+from meterkit.operators.bitmaps import add_values, bitmap_partials, merge_bitmaps, query_bitmaps
 from meterkit.operators.multi import long_partials
 from meterkit.operators.tiers import build_tier, query_tiers
 from meterkit.operators.query import query_events, query_rollup, result_range, shape_rows
-from meterkit.operators.rollup import compact_partials, minute_partials, rollup_rejects
+from meterkit.operators.rollup import VALUE, compact_partials, extract, minute_partials, rollup_rejects
 from meterkit.plans.spec import MeterQuery, MeterSpec
 from meterkit.session import materialize, scratch_path
 from meterkit.sources import catalog as fx
@@ -265,6 +266,26 @@ def m02_partials_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minute_partials(usage_events(spark, sf_dir), UNIQUE_CLICK_K)
 
 
+def _from_bitmaps(q: MeterQuery, merged: bool) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Two batches of events; the dictionary grows with the
+        second, and both batches' states are read together."""
+        root, events, states = _scratch(spark, "m11"), usage_events(spark, sf_dir), None
+        for source in ("web_api", "mobile_api"):
+            batch = events.where(F.col("source") == source)
+            values = extract(batch, UNIQUE_CLICK_K).select(F.col(VALUE).alias("uniq_v"))
+            batch_states = bitmap_partials(batch, UNIQUE_CLICK_K, add_values(values, f"{root}/dictionary"))
+            batch_states.write.partitionBy("window_date").parquet(f"{root}/states/{source}")
+            own = spark.read.parquet(f"{root}/states/{source}")
+            states = own if states is None else states.unionByName(own)
+        return query_bitmaps(merge_bitmaps(states, UNIQUE_CLICK_K) if merged else states, UNIQUE_CLICK_K, q)
+    return run
+
+
+register("m11_bitmap_unique", SQL_UNIQUE_DAY_ORG)(_from_bitmaps(Q_DAY_ORG, merged=False))
+register("m11_bitmap_unique_compacted", SQL_UNIQUE_HOUR_FILTERS)(_from_bitmaps(Q_HOUR_FILTERS, merged=True))
+
+
 @register("m03_compacted_sum", SQL_PARTIALS_SUM)
 def m03_compacted_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partials built from two halves of the events, then compacted,
