@@ -33,7 +33,7 @@ from meterkit.session import materialize, scratch_path
 from meterkit.sources import catalog as fx
 from meterkit.sources import rollup_store as store
 from meterkit.sources.catalog_io import read_catalog
-from meterkit.sources.events import read_events
+from meterkit.sources.events import fold_events, read_events
 from meterkit.sources.fixtures import dirty_meters, dirty_raw_events, usage_events
 from meterkit.streaming.ingest import from_queue, kafka_records, parse_event_lines, process_batch
 
@@ -474,9 +474,42 @@ def s02_two_tenants_one_events_path(spark: SparkSession, sf_dir: str) -> DataFra
     return out.groupBy("tenant", "type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("id").alias("ids"))
 
 
-@register("s03_events_scan", with_views("""
+SQL_EVENTS_SCAN = with_views("""
 select id, type, source, organization, "user", "timestamp", properties from usage_events
-where type = 'app.purchase' and "timestamp" >= timestamp '2024-01-03' and "timestamp" < timestamp '2024-01-09'""", USAGE_EVENTS))
+where type = 'app.purchase' and "timestamp" >= timestamp '2024-01-03' and "timestamp" < timestamp '2024-01-09'""", USAGE_EVENTS)
+
+
+def _folded_events(spark: SparkSession, sf_dir: str, root: str) -> list[str]:
+    """Three batches of two runs, folded, then a fourth; the folder's paths."""
+    raw, meters = _raw(usage_events(spark, sf_dir)), dirty_meters(spark, sf_dir)
+    paths = [f"{root}/{k}" for k in ("events", "rejects", "rollups")]
+    for part, (epoch, run) in enumerate(((0, "first"), (1, "first"), (0, "second"), (1, "second"))):
+        process_batch(raw.where(F.pmod(F.xxhash64("id"), F.lit(4)) == part), epoch, meters, [], *paths, tenant=DIRTY_TENANT, run=run)
+        if part == 2:
+            fold_events(spark, paths[0], DIRTY_TENANT)
+    return paths
+
+
+@register("s03_folded_events_scan", SQL_EVENTS_SCAN)
+def s03_folded_events_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s03 from a layer of folded batches, by its files' types and
+    times, and a batch that came later."""
+    paths = _folded_events(spark, sf_dir, _scratch(spark, "s03f"))
+    found = read_events(spark, paths[0], dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 9), "app.purchase", tenant=DIRTY_TENANT)
+    return found.select("id", "type", "source", "organization", "user", "timestamp", "properties")
+
+
+@register("m13_backfill_from_folded_events", SQL_SUM_DAY_ORG)
+def m13_backfill_from_folded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A meter backfilled in chunks from folded events; a chunk takes some
+    of a layer's batches, and only files with the meter's type."""
+    root = _scratch(spark, "m13f")
+    paths, spec = _folded_events(spark, sf_dir, root), dataclasses.replace(SUM_PURCHASE, tenant_slug=DIRTY_TENANT)
+    store.backfill_from_events_table(spark, paths[0], paths[2], [spec], f"{root}/long", per_chunk=2)
+    return _shown(query_rollup(store.read_rollup(spark, paths[2], spec), spec, Q_SUM_DAY_ORG), spec)
+
+
+@register("s03_events_scan", SQL_EVENTS_SCAN)
 def s03_events_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as the ingest job does, read back by date and type."""
     path, events = _scratch(spark, "s03"), usage_events(spark, sf_dir)

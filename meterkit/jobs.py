@@ -78,6 +78,10 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     which.add_argument("--meter")
     which.add_argument("--meters", help="the whole registry; covered epochs of the tenant are deleted")
     p.add_argument("--full", action="store_true")
+    p = sub.add_parser("fold-events")
+    p.add_argument("--events-path", required=True)
+    p.add_argument("--tenant", required=True)
+    p.add_argument("--full", action="store_true", help="fold earlier layers too")
     p = sub.add_parser("query")
     meter_args(p)
     p.add_argument("--query", required=True)
@@ -124,6 +128,11 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
             store.compact_all(spark, args.rollup_root, meter_specs(_registry(spark, args.meters), args.tenant), args.full)
         else:
             store.compact(spark, args.rollup_root, _spec(args), full=args.full)
+    elif args.command == "fold-events":
+        from meterkit.sources.batch_log import BatchLog
+        from meterkit.sources.events import fold_events, tenant_root
+        fold_events(spark, args.events_path, args.tenant, full=args.full)
+        BatchLog(spark, tenant_root(args.events_path, args.tenant)).vacuum()
     elif args.command == "drop":
         store.drop_rollup(spark, args.rollup_root, _spec(args))
     elif args.command == "query":

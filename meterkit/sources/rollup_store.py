@@ -342,7 +342,7 @@ def backfill_from_events_table(spark: SparkSession, events_path: str, root: str,
                     return name
                 wanted = [b for b in batches if covers.has(*b)]
                 name = f"f{max(n for _, n in wanted)}"
-                events = read_events(spark, events_path, batches=wanted, tenant=tenant)
+                events = read_events(spark, events_path, event_type={m.event_type for m in meters}, batches=wanted, tenant=tenant)
                 done = write_many(spark, events, root, meters, name, long_path=f"{scratch}-{chunks}-{refused}", covers=covers)
                 chunks, refused = chunks + 1, refused + done.count(None)
                 if refused > 10 * len(specs):
