@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterkit.llm.scratch import free_name, write_scratch
+from meterkit.llm.scratch import free_name, without_ids, write_scratch
 
 #: Frequent digests that are broadcast at most (a row of them is about 100 bytes).
 HEAVY = 1000
@@ -78,15 +78,27 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text: Column | None = No
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       heavy: int = HEAVY, counters: int = COUNTERS) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: one per group of
-    equal texts (see ``exact_groups``)."""
+    equal texts (see ``exact_groups``).
+
+    Ids decide, and texts stay where they are (``without_ids``). Only rows of
+    an id that several rows have, of which some stay and some go, are told
+    apart by their digests.
+    """
+    groups = exact_groups(df, id_col, F.col(text_col), heavy, counters)
+    by_id = groups.groupBy("id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every"))
+    decided = write_scratch(by_id.where("not every").select("id", "some"), "leaving")
+    stay = without_ids(df, id_col, decided.select("id"))
+    mixed = decided.where("some").select("id")
+    if mixed.isEmpty():
+        return stay
+
     def key(ident: str, digest: Column) -> Column:
         # one value for (id, digest), so that a null id joins too
         return F.sha2(F.concat_ws(":", digest, F.col(ident).cast("string")), 256)
 
-    name = free_name(df.columns, "__copy_key")
-    stays = (exact_groups(df, id_col, F.col(text_col), heavy, counters).where("kept")
-             .select(key("id", F.col("text_sha256")).alias(name)))
+    name, ident = free_name(df.columns, "__copy_key"), free_name(df.columns, "__mixed_id")
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    kept = groups.where("kept").select(key("id", F.col("text_sha256")).alias(name))
+    rows = df.join(mixed.toDF(ident), F.col(id_col).eqNullSafe(F.col(ident)), "left_semi").withColumn(name, key(id_col, digest))
     # the merge join sorts by the key, which is the order dropDuplicates needs
-    return (df.withColumn(name, key(id_col, digest)).join(stays.hint("merge"), name, "left_semi")
-            .dropDuplicates([name]).drop(name))
+    return stay.union(rows.join(kept.hint("merge"), name, "left_semi").dropDuplicates([name]).drop(name))

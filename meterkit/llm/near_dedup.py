@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from meterkit.llm import words as W
-from meterkit.llm.scratch import free_name, write_scratch
+from meterkit.llm.scratch import without_ids, write_scratch
 from meterkit.llm.unionfind import components
 
 SHINGLE = 5
@@ -311,7 +311,6 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text: Column | None = Non
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: one per group of
     near copies (see ``near_groups``; rows that repeat an id stay or go
-    together)."""
-    name = free_name(df.columns, "__near_id")
-    stays = near_groups(df, id_col, F.col(text_col), **settings).where("kept").select(F.col("id").alias(name)).distinct()
-    return df.join(stays.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+    together). Ids decide; texts stay where they are (``without_ids``)."""
+    by_id = near_groups(df, id_col, F.col(text_col), **settings).groupBy("id").agg(F.bool_or("kept").alias("some"))
+    return without_ids(df, id_col, write_scratch(by_id.where("not some").select("id"), "leaving"))

@@ -80,6 +80,7 @@ def test_near_dedup_of_nothing_and_with_other_columns(spark):
     assert out.columns == df.columns
     kept = {r.id for r in near_dedup.near_groups(df).where("kept").collect()}
     assert {r.doc_id for r in out.collect()} == kept
+    assert "LeftSemi" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_signatures_estimate_similarity():

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from meterkit.llm import exact_dedup, shard
+from meterkit.llm import exact_dedup, scratch, shard
 
 from . import cases
 
@@ -49,6 +49,19 @@ def test_exact_copies_are_dropped_with_all_columns(spark):
     assert Counter((r.doc_id, r.text or "") for r in out.collect()) == want
 
 
+@pytest.mark.parametrize("many", [False, True], ids=["broadcast", "joined"])
+def test_copies_leave_by_id_and_texts_stay(spark, monkeypatch, many):
+    if many:
+        monkeypatch.setattr(scratch, "SMALL_IDS", 0)
+    rows = [*dict(cases.texts()).items(), (900, "twice"), (901, "twice"), (902, None)]  # no id twice
+    out = exact_dedup.drop_exact_copies(cases.with_clashes(cases.documents(spark, rows)))
+    want = Counter((max(ids, key=cases.key), text) for text, ids in _groups(rows).items())
+    assert Counter((r.doc_id, r.text or "") for r in out.collect()) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" not in plan
+    assert ("BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()) == (not many)
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.exact_groups(cases.documents(spark, [])).collect() == []
     assert exact_dedup.drop_exact_copies(cases.documents(spark, [])).collect() == []
