@@ -27,7 +27,7 @@ from meterkit.llm.scratch import free_name, numbered
 
 #: Pieces whose ids a Python worker remembers (some 250 bytes each): those of
 #: the last REMEMBERED new ones, and of the REMEMBERED before.
-REMEMBERED = 120_000
+REMEMBERED = 60_000
 #: Above every token id.
 IDS = 1 << 32
 NEVER = 1 << 60
