@@ -2,11 +2,15 @@
 
 The encoding of a text's prefix by ranked merges ends in one token only. So
 for every prefix it is enough to store that last token: of the vocabulary's
-tokens that are suffixes of the prefix (found for all prefixes in one walk of
-an automaton with suffix links over the vocabulary), it is the one that is
-compatible with the stored last token of the prefix before it: encoding the
-joint bytes of the two gives back just these two. Following the back-pointers from the whole text yields its exact ids. The program runs
-over each piece that the tokenizer's first split makes.
+tokens that are suffixes of the prefix (the longest of each found in one walk of
+an automaton with suffix links over the vocabulary, the others by such links
+between tokens), it is the one that is compatible with the stored last token of
+the prefix before it: encoding the joint bytes of the two gives back just these
+two. The program starts at the whole text and settles a shorter prefix when a
+longer one asks for it, each once; following the back-pointers from the whole
+text yields its exact ids. It runs over each piece that the tokenizer's first
+split makes. The new short pieces of many texts go through it together, a byte
+further at a time, as arrays.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 import contextlib
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -27,10 +32,18 @@ from meterkit.llm.scratch import free_name, numbered
 
 #: Pieces whose ids a Python worker remembers (some 250 bytes each): those of
 #: the last REMEMBERED new ones, and of the REMEMBERED before.
-REMEMBERED = 60_000
+REMEMBERED = 120_000
+#: Neighbouring tokens whose compatibility a worker remembers (some 130 bytes each).
+PAIRS = 180_000
+#: Pieces up to this many bytes are settled together, so many at a time.
+SHORT, TOGETHER = 64, 20_000
+#: Places for compatibilities of pairs in arrays, as a power of two (9 bytes each).
+PLACES = 18
 #: Above every token id.
 IDS = 1 << 32
 NEVER = 1 << 60
+#: Below every rank: that of tokens that no merge makes.
+UNMADE = -1
 
 
 def merge_by_rank(tables: pretokens.ByteBpe, data: bytes) -> list[int]:
@@ -63,34 +76,33 @@ class Encoder(dict):
         # bytes as letters, for the automaton holds text
         self.automaton = ahocorasick.Automaton()
         for t, i in tables.vocab.items():
-            self.automaton.add_word(t.decode("latin-1"), (len(t), i))
+            self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.size = {i: len(t) for t, i in tables.vocab.items()}
+        # the longest other token that ends as a token does
+        self.shorter = {i: next((tables.vocab[t[k:]] for k in range(1, len(t)) if t[k:] in tables.vocab), None)
+                        for t, i in tables.vocab.items()}
         # bytes that no token stands for: the library leaves them out before it merges
         self.unknown = bytes(b for b in range(256) if bytes([b]) not in tables.vocab)
-        self.made_of = {made: (rank, pair) for pair, (rank, made) in tables.merges.items()}
-        if len(self.made_of) < len(tables.merges):
+        # token -> the rank and pair of the merge that makes it
+        self.made_of = {i: (UNMADE, (i, i)) for i in self.token}
+        made = {out: (rank, pair) for pair, (rank, out) in tables.merges.items()}
+        if len(made) < len(tables.merges):
             raise ValueError("several merges make the same token")
+        self.made_of.update(made)
         self.pair: dict[int, bool] = {}  # by left * IDS + right
         self.said = {i: str(i) for i in self.token}
-        self.spines: tuple[dict, dict] = ({}, {})
         self.older: dict[str, str] = {}
-
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The tokens that lie at the left (0) or right (1) border of ``token``
-        as merges build it up, from a byte to the whole, each with the rank of
-        the merge that swallows it."""
-        known = self.spines[side].get(token)
-        if known is None:
-            known, at, swallowed = [], token, NEVER
-            while True:
-                known.append((at, swallowed))
-                made = self.made_of.get(at)
-                if made is None:
-                    break
-                swallowed, at = made[0], made[1][side]
-            known.reverse()
-            self.spines[side][token] = known
-        return known
+        # the tables once more as arrays, by token; tokens are counted from 1 in ``last`` and keys, 0 is none
+        self.ids = max(self.token, default=0) + 2
+        self.sizes, self.made, self.of_left, self.of_right = np.ones((4, self.ids), dtype=np.int64)
+        for i, (rank, pair) in self.made_of.items():
+            self.sizes[i], self.made[i], self.of_left[i], self.of_right[i] = self.size[i], rank, *pair
+        keys = np.array([a * self.ids + b for a, b in tables.merges], dtype=np.int64)
+        order = np.argsort(keys)
+        self.merge_keys = np.append(keys[order], NEVER)
+        self.merge_ranks = np.append(np.array([rank for rank, _ in tables.merges.values()], dtype=np.int64)[order], NEVER)
+        self.place_keys, self.place_fits = np.full(1 << PLACES, -1, dtype=np.int64), np.zeros(1 << PLACES, dtype=bool)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens can stand side by side in an encoding; with
@@ -103,7 +115,7 @@ class Encoder(dict):
         """
         known = self.pair.get(left * IDS + right)
         if known is None:
-            if len(self.pair) >= 3 * REMEMBERED:
+            if len(self.pair) >= PAIRS:
                 self.pair.clear()
             known = self.pair[left * IDS + right] = self._alone(right) if left < 0 else self._side_by_side(left, right)
         return known
@@ -112,36 +124,137 @@ class Encoder(dict):
         return merge_by_rank(self.tables, self.token[token]) == [token]
 
     def _side_by_side(self, left: int, right: int) -> bool:
-        ours, theirs, merges = self._spine(left, 1), self._spine(right, 0), self.tables.merges
-        i = j = 0
+        # back in time from the two whole tokens: each step undoes the last merge
+        merges, made_of = self.tables.merges.get, self.made_of
+        left_gone = right_gone = NEVER  # ranks of the merges that swallow the two
         while True:
-            (a, a_gone), (b, b_gone) = ours[i], theirs[j]
-            joined = merges.get((a, b))
-            if joined and joined[0] < a_gone and joined[0] <= b_gone:
+            joined = merges((left, right))
+            if joined and joined[0] < left_gone and joined[0] <= right_gone:
                 return False
-            if a_gone == b_gone == NEVER:
-                return True
-            i, j = i + (a_gone <= b_gone), j + (b_gone <= a_gone)
+            (left_made, of_left), (right_made, of_right) = made_of[left], made_of[right]
+            if left_made >= right_made:
+                if left_made == UNMADE:
+                    return True
+                left_gone, left = left_made, of_left[1]
+            if right_made >= left_made:
+                right_gone, right = right_made, of_right[0]
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """The ids of one piece."""
         if self.unknown:
             data = data.translate(None, self.unknown)
-        last, length = [-1] * (len(data) + 1), [0] * (len(data) + 1)
-        known, test = self.pair.get, self.compatible
-        for end, (size, token) in self.automaton.iter(data.decode("latin-1")):
-            end += 1
-            # suffixes come longest first; one of them fits
-            if not length[end]:
-                left = last[end - size]
-                fits = known(left * IDS + token)
-                if fits or fits is None and test(left, token):
-                    last[end], length[end] = token, size
-        ids, at = [], len(data)
-        while at:
-            ids.append(last[at])
-            at -= length[at]
-        return ids[::-1]
+        if not data:
+            return []
+        # of each prefix, by its last byte: the token to try next (the longest first), and the one that fits
+        tried: list = [None] * len(data)
+        for end, token in self.automaton.iter(data.decode("latin-1")):
+            if tried[end] is None:
+                tried[end] = token
+        last: list = [None] * len(data) + [-1]  # at -1: nothing before
+        known, test, size, shorter = self.pair.get, self.compatible, self.size, self.shorter
+        end, waiting = len(data) - 1, []
+        while True:
+            token = tried[end]
+            before = end - size[token]
+            left = last[before]
+            if left is None:
+                waiting.append(end)
+                end = before
+                continue
+            fits = known(left * IDS + token)
+            if fits or fits is None and test(left, token):
+                last[end] = token
+                if not waiting:
+                    break
+                end = waiting.pop()
+            else:
+                tried[end] = shorter[token]
+        ids, end = [], len(data) - 1
+        while end >= 0:
+            token = last[end]
+            ids.append(token)
+            end -= size[token]
+        ids.reverse()
+        return ids
+
+    def _all_side_by_side(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_side_by_side`` of many pairs, all a step back at a time."""
+        out, at = np.ones(len(left), dtype=bool), np.arange(len(left))
+        left_gone = right_gone = np.full(len(left), NEVER)
+        while len(at):
+            key = left * self.ids + right
+            i = np.searchsorted(self.merge_keys, key)
+            joined = np.where(self.merge_keys[i] == key, self.merge_ranks[i], NEVER)
+            joins = (joined < left_gone) & (joined <= right_gone)
+            out[at[joins]] = False
+            left_made, right_made = self.made[left], self.made[right]
+            on = ~joins & (np.maximum(left_made, right_made) != UNMADE)
+            undo_left, undo_right = left_made >= right_made, right_made >= left_made
+            left_gone, right_gone = np.where(undo_left, left_made, left_gone)[on], np.where(undo_right, right_made, right_gone)[on]
+            left, right = np.where(undo_left, self.of_right[left], left)[on], np.where(undo_right, self.of_left[right], right)[on]
+            at = at[on]
+        return out
+
+    def _all_compatible(self, left: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """``compatible`` of many pairs, ``left`` counted from 1. A pair's answer
+        is kept at one place, until another pair needs it."""
+        key = left * self.ids + token
+        place = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PLACES)).astype(np.int64)
+        fits, new = self.place_fits[place], np.flatnonzero(self.place_keys[place] != key)
+        if len(new):
+            keys, which = np.unique(key[new], return_inverse=True)
+            lefts, rights = keys // self.ids - 1, keys % self.ids
+            found, alone = np.zeros(len(keys), dtype=bool), lefts < 0
+            found[alone] = [self.compatible(-1, i) for i in rights[alone].tolist()]
+            found[~alone] = self._all_side_by_side(lefts[~alone], rights[~alone])
+            fits[new] = found[which]
+            self.place_keys[place[new]], self.place_fits[place[new]] = key[new], fits[new]
+        return fits
+
+    def encode_short(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each of ``pieces``, of 1 to ``SHORT`` bytes that all have tokens."""
+        # end to end, each after a letter that is no byte; the automaton starts anew there
+        letters = "\u0100" + "\u0100".join(p.decode("latin-1") for p in pieces)
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(letters)), dtype=np.int64).reshape(-1, 2)
+        ends, tokens = found[:, 0], found[:, 1]
+        first = np.searchsorted(ends, np.arange(len(letters)))  # each prefix's longest token; shorter ones follow
+        lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        starts = np.cumsum(lengths + 1) - lengths
+        last = np.zeros(len(letters), dtype=np.int64)
+        for done in range(lengths.max()):
+            at = starts[lengths > done] + done
+            tried = first[at]
+            while len(at):
+                token = tokens[tried]
+                fits = self._all_compatible(last[at - self.sizes[token]], token)
+                last[at[fits]] = token[fits] + 1
+                at, tried = at[~fits], tried[~fits] + 1
+        # back from the ends
+        ending, at, start = np.zeros(len(letters), dtype=bool), starts + lengths - 1, starts
+        while len(at):
+            ending[at] = True
+            at = at - self.sizes[last[at] - 1]
+            on = at >= start
+            at, start = at[on], start[on]
+        ids = (last[ending] - 1).tolist()
+        cuts = np.cumsum(ending)[starts + lengths - 1].tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Works out the new ones among short ``pieces`` together, and keeps the others."""
+        unseen = [p for p in pieces if p not in self]
+        self.update((p, self.older[p]) for p in unseen if p in self.older)
+        new = [(p, data) for p in unseen if len(p) <= SHORT and p not in self.older and p not in self.special
+               and 0 < len(data := p.encode().translate(None, self.unknown)) <= SHORT]
+        for i in range(0, len(new), TOGETHER):
+            some = new[i:i + TOGETHER]
+            for (piece, _), ids in zip(some, self.encode_short([data for _, data in some]), strict=True):
+                self[piece] = ",".join(map(self.said.__getitem__, ids))
+
+    def _turn(self) -> None:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, piece: str) -> str:
         if piece in self.special:
@@ -149,10 +262,8 @@ class Encoder(dict):
         ids = self.older.get(piece)
         if ids is None:
             ids = ",".join(map(self.said.__getitem__, self.encode_bytes(piece.encode())))
-        if len(piece) <= 64:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
+        if len(piece) <= SHORT:
+            self._turn()
             self[piece] = ids
         return ids
 
@@ -165,6 +276,14 @@ class Encoder(dict):
         """The ids of a text, joined by commas."""
         return ",".join(map(self.__getitem__, self.tables.pieces(text)))
 
+    def encode_all(self, texts: list[str | None]) -> Iterator[str]:
+        """``encode`` of each text (null: empty)."""
+        split = [self.tables.pieces(t or "") for t in texts]
+        self._turn()
+        self.learn(set().union(*split))
+        for pieces in split:
+            yield ",".join(map(self.__getitem__, pieces))
+
     def decode(self, ids: str) -> str:
         """The text of ids joined by commas; bytes that are no UTF-8 become
         the replacement character."""
@@ -202,7 +321,7 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with encoder(content.value) as own:
             for part in (p for batch in batches for p in W.slices(batch, text)):
-                ids = [list(map(int, s.split(","))) if (s := own.encode(t or "")) else [] for t in part.column(text).to_pylist()]
+                ids = [list(map(int, s.split(","))) if s else [] for s in own.encode_all(part.column(text).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
 
     return plain.mapInArrow(run, StructType([*plain.schema.fields]).add("ids", ArrayType(IntegerType()))).toDF(*df.columns, name)
@@ -242,8 +361,7 @@ def round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep_
         with encoder(content.value) as own:
             for part in (p for batch in batches for p in W.slices(batch, text_of)):
                 n, ids_hash, text_hash, ids_of = [], [], [], []
-                for text in part.column(text_of).to_pylist():
-                    ids = own.encode(text or "")
+                for ids in own.encode_all(part.column(text_of).to_pylist()):
                     n.append(ids.count(",") + 1 if ids else 0)
                     ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_hash.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())

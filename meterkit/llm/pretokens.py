@@ -50,7 +50,7 @@ def has_newer_letters(text: str) -> bool:
 class ByteBpe:
     """A tokenizer file as tables. ``merges`` ranks pairs of token ids."""
 
-    tokenizer: Tokenizer
+    content: str
     vocab: dict[bytes, int]
     merges: dict[tuple[int, int], tuple[int, int]]  # pair -> (rank, merged id)
     special: dict[str, int]
@@ -63,6 +63,14 @@ class ByteBpe:
         names = sorted(self.special, key=lambda s: (-len(s), s))
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
+    @functools.cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The library's own, some 50 MB: built when it is first asked."""
+        tokenizer = Tokenizer.from_str(self.content)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
     def pieces(self, text: str) -> list[str]:
         """The pieces of ``text`` in order; special strings are pieces too."""
         if self.at_special is None or not self.at_special.search(text):
@@ -101,7 +109,4 @@ def load(content: str) -> ByteBpe:
     for rank, pair in enumerate(model["merges"]):
         left, right = pair.split(" ") if isinstance(pair, str) else pair
         merges[ids[left], ids[right]] = (rank, ids[left + right])
-    tokenizer = Tokenizer.from_str(content)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return ByteBpe(tokenizer, {raw[t]: i for t, i in ids.items() if t in raw and t not in special}, merges, special)
+    return ByteBpe(content, {raw[t]: i for t, i in ids.items() if t in raw and t not in special}, merges, special)

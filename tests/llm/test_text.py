@@ -96,6 +96,23 @@ def test_prefix_program_matches_the_library_on_random_text(library, monkeypatch)
         assert own.decode(own.encode(text)) == library.decode(want, skip_special_tokens=False)
 
 
+def test_short_pieces_of_many_texts_are_settled_together(library, monkeypatch):
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        own = bpe.Encoder(f.read())
+    one_by_one = []
+    plain = bpe.Encoder.encode_bytes
+    monkeypatch.setattr(bpe.Encoder, "encode_bytes", lambda self, data: one_by_one.append(data) or plain(self, data))
+    monkeypatch.setattr(bpe, "REMEMBERED", 500)  # caches turn over
+    monkeypatch.setattr(bpe, "TOGETHER", 70)
+    r = random.Random(3)
+    letters = "aeinrst ehth  \n1é²漢\U0001f600Zñ!?.,_"
+    for _ in range(6):
+        texts = [None, "", "<|endoftext|>", "x" * 300, *("".join(r.choice(letters) for _ in range(r.randrange(200))) for _ in range(60))]
+        for text, ids in zip(texts, own.encode_all(texts), strict=True):
+            assert ids == ",".join(map(str, ids_of(library, text))), text
+    assert one_by_one and all(len(data) > bpe.SHORT for data in one_by_one)
+
+
 def test_compatible_pairs_are_those_that_merging_leaves_alone():
     with open(tokenizer_file(), encoding="utf-8") as f:
         own = bpe.Encoder(f.read())
