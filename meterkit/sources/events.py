@@ -150,6 +150,15 @@ def read_events(spark: SparkSession, path: str, start: dt.datetime | None = None
     return df
 
 
+def _index_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The types, times and row counts of a written layer's files. Rows are grouped
+    by their file's path as it is; its last two names are cut out of the groups."""
+    written = spark.read.schema(T.StructType([f for f in EVENTS_SCHEMA if f.name in ("type", "timestamp", "event_date")])).parquet(folder)
+    return (written.groupBy(F.col("_metadata.file_path").alias("file"), "type")
+            .agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count(F.lit(1)).alias("events"))
+            .withColumn("file", F.substring_index("file", "/", -2)))
+
+
 def fold_events(spark: SparkSession, path: str, tenant: str, min_batches: int = 2, full: bool = False) -> str | None:
     """Folds a tenant's batches that are in no layer yet into a new layer (with
     ``full``, its layers too). Returns the layer's label, or None where fewer
@@ -180,8 +189,5 @@ def fold_events(spark: SparkSession, path: str, tenant: str, min_batches: int =
     by = ["event_date", "type", "timestamp", "id"]
     (rows.repartitionByRange(*by).sortWithinPartitions(*by)
      .write.partitionBy("event_date").parquet(folder))
-    written = spark.read.schema(T.StructType([f for f in EVENTS_SCHEMA if f.name in ("type", "timestamp", "event_date")])).parquet(folder)
-    (written.groupBy(F.regexp_extract(F.col("_metadata.file_path"), "[^/]+/[^/]+$", 0).alias("file"), "type")
-     .agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count(F.lit(1)).alias("events"))
-     .write.parquet(os.path.join(folder, INDEX)))
+    _index_of(spark, folder).write.parquet(os.path.join(folder, INDEX))
     return label if log.add(Entry(label, live, covers)) else None

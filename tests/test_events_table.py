@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from meterkit.jobs import run as run_job
 from meterkit.sources.batch_log import BatchLog, Cover, Entry, Overlap, label_of
-from meterkit.sources.events import event_batches, fold_events, read_events, tenant_root
+from meterkit.sources.events import INDEX, _index_of, event_batches, fold_events, read_events, tenant_root
 from meterkit.sources.fixtures import usage_events
 from pyspark.sql import functions as F
 
@@ -66,6 +66,24 @@ def test_only_files_of_the_type_and_time_are_opened(spark, table):
     assert read_events(spark, path, event_type="no such type").isEmpty()
 
 
+def test_index_names_each_file_by_groups_not_rows(spark, table):
+    path, events = table
+    fold_events(spark, path, TENANT)
+    log = BatchLog(spark, tenant_root(path, TENANT))
+    folder = f"{log.base}/{log.snapshot().entries[0].folder}"
+    got = sorted(map(tuple, spark.read.parquet(f"{folder}/{INDEX}").select("file", "type", "first", "last", "events").collect()))
+    want = {}
+    for r in spark.read.parquet(folder).select("type", "timestamp", F.input_file_name().alias("f")).collect():
+        want.setdefault(("/".join(r.f.split("/")[-2:]), r.type), []).append(r.timestamp)
+    assert got == sorted((*key, min(at), max(at), len(at)) for key, at in want.items())
+    assert sum(r[4] for r in got) == events.count()
+    # a row's path is grouped by as it is; the groups' names are cut
+    plan = _index_of(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    groups, rows = plan.split("Aggregate", 1)[1].split("\n", 1)
+    assert "substring_index(" in groups and "file_path" in rows
+    assert "substring_index(" not in rows and "regexp_extract(" not in plan
+
+
 def test_later_batches_replays_and_pinned_readers(spark, table):
     path, events = table
     pinned = read_events(spark, path, tenant=TENANT)
