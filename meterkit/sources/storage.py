@@ -72,6 +72,21 @@ def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
+    if fs.getUri().getScheme() == "file":
+        # Hadoop's rename on a local disk looks whether the name is free and then replaces
+        # what is there: two writers may both succeed. Of two links one fails.
+        def local(p):
+            return jvm.java.io.File(p.toUri().getPath()).toPath()
+
+        try:
+            jvm.java.nio.file.Files.createLink(local(fs.makeQualified(hpath)), local(fs.makeQualified(draft)))
+            fs.delete(draft, False)
+            return True
+        except Py4JJavaError:
+            if fs.exists(hpath):
+                fs.delete(draft, False)
+                return False
+            # a disk without links: renamed as elsewhere
     options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     try:

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from meterkit.sources.batch_log import BatchLog, Cover, Entry, Overlap
+from meterkit.sources.storage import create_if_absent, read_text
 
 batches = st.sets(st.tuples(st.sampled_from(["", "a", "b"]), st.integers(0, 12)), max_size=12)
 
@@ -60,6 +61,16 @@ def test_writers_at_once(spark, scratch_dir):
     assert not [f for f in os.listdir(log.path) if f.startswith(".0") and not f.endswith(".crc")]
 
 
+def test_a_taken_name_is_never_replaced(spark, scratch_dir):
+    path = f"{scratch_dir}/log/1.json"
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda n: create_if_absent(spark, path, f"{n}" * 1000), range(8)))
+    assert sum(won) == 1 and read_text(spark, path) == f"{won.index(True)}" * 1000
+    # one file: no checksum file beside it that another writer's may replace
+    assert os.listdir(f"{scratch_dir}/log") == ["1.json"]
+    assert not create_if_absent(spark, path, "later") and read_text(spark, path) == f"{won.index(True)}" * 1000
+
+
 def test_json_reading(spark):
     from pyspark.sql import functions as F
 
